@@ -2,110 +2,109 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Ranges routed inside the organisation, and documentation ranges (external).
-INTERNAL_V4 = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "100.64.0.0/10"]
-DOCUMENTATION_V4 = ["192.0.2.0/24", "198.51.100.0/24", "203.0.113.0/24"]
-
-_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-V4_PATTERN = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+V4_PATTERN = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 _V6_CHARS = r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*(%[^%]+)?$"
 
+# v4 ranges routed inside the organisation (10/8, 172.16/12, 192.168/16, 127/8, 169.254/16,
+# 100.64/10) and the documentation ranges, which count as external.
+INTERNAL_V4 = (
+    r"^(?:10\.|127\.|192\.168\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\."
+    r"|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.)"
+)
+DOCUMENTATION_V4 = r"^(?:192\.0\.2|198\.51\.100|203\.0\.113)\."
+
 
-def _trimmed(ip: Column) -> Column:
-    return F.trim(ip)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def is_v4(ip: Column) -> Column:
-    return F.coalesce(_trimmed(ip).rlike(V4_PATTERN), F.lit(False))
+    return F.coalesce(F.trim(ip).rlike(V4_PATTERN), F.lit(False))
 
 
-def _v6_text(ip: Column) -> Column:
-    """Zone id removed and a dotted tail rewritten as two hextets."""
-    bare = F.regexp_replace(F.lower(_trimmed(ip)), r"%.*$", "")
-    tail = F.regexp_extract(bare, r":((?:[0-9]+\.){3}[0-9]+)$", 1)
-    octets = F.split(tail, r"\.")
-    as_int = lambda i: F.get(octets, F.lit(i)).try_cast("int")
-    hextets = F.concat(
-        F.lower(F.hex(as_int(0) * 256 + as_int(1))), F.lit(":"), F.lower(F.hex(as_int(2) * 256 + as_int(3)))
-    )
-    head = F.regexp_replace(bare, r"((?:[0-9]+\.){3}[0-9]+)$", "")
-    return F.when(tail == "", bare).when(tail.rlike(V4_PATTERN), F.concat(head, hextets))
+def _hextets_of(text: Column) -> Column:
+    """Eight hextets of a lower-case address without zone or dotted tail, or null."""
+    def joined(halves: Column) -> Column:
+        side = lambda i: F.filter(F.split(F.get(halves, F.lit(i)), ":"), lambda g: g != "")
+        # an empty group next to a single colon makes the text invalid, so it is kept for the check below
+        whole = F.split(F.get(halves, F.lit(0)), ":")
+        clean = F.forall(halves, lambda h: (h == "") | ~h.rlike("^:|:$|::"))
+        left, right = side(0), side(1)
+        missing = F.lit(8) - F.size(left) - F.size(right)
+        filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+        return F.when(F.size(halves) == 1, whole).when((F.size(halves) == 2) & clean & (missing >= 1), filled)
+
+    def checked(groups: Column) -> Column:
+        valid = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(valid, F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    return let(joined(F.split(text, "::")), checked)
 
 
 def _v6_hextets(ip: Column) -> Column:
-    """Eight hextets as integers, or null when the text is not an address."""
-    text = _v6_text(ip)
-    halves = F.split(text, "::")
-    side = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
-    left, right = side(F.get(halves, F.lit(0))), side(F.get(halves, F.lit(1)))
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    compressed = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    groups = (
-        F.when(F.size(halves) == 1, F.split(text, ":"))
-        .when((F.size(halves) == 2) & (missing >= 1), compressed)
-    )
-    valid = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(
-        _trimmed(ip).rlike(_V6_CHARS) & valid,
-        F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int")),
-    )
+    """Eight hextets as integers, or null when the text is not a v6 address."""
+    def plain(bare: Column) -> Column:
+        tail = F.regexp_extract(bare, r":((?:[0-9]+\.){3}[0-9]+)$", 1)
+        octet = lambda i: F.get(F.split(tail, r"\."), F.lit(i)).try_cast("int")
+        hextets = F.concat(F.lower(F.hex(octet(0) * 256 + octet(1))), F.lit(":"), F.lower(F.hex(octet(2) * 256 + octet(3))))
+        head = F.regexp_replace(bare, r"((?:[0-9]+\.){3}[0-9]+)$", "")
+        return F.when(tail == "", bare).when(tail.rlike(V4_PATTERN), F.concat(head, hextets))
 
+    bare = F.regexp_replace(F.lower(F.trim(ip)), r"%.*$", "")
+    return F.when(F.trim(ip).rlike(_V6_CHARS), let(let(bare, plain), _hextets_of))
 
-def is_valid(ip: Column) -> Column:
-    return is_v4(ip) | F.coalesce(_v6_hextets(ip).isNotNull(), F.lit(False))
 
+def _decide(ip: Column, v4: Callable[[Column], Column], v6: Callable[[Column], Column], default) -> Column:
+    """``v4`` on a dotted address, ``v6`` on the hextets of a colon address, else ``default``.
 
-def _v4_number(ip: Column) -> Column:
-    parts = F.split(_trimmed(ip), r"\.")
-    number = F.lit(0).cast("bigint")
-    for i in range(4):
-        number = number * 256 + F.get(parts, F.lit(i)).try_cast("bigint")
-    return number
+    The v6 branch runs only on text holding a colon.
+    """
+    text = F.trim(ip)
+    fallback = F.lit(default)
+    return (
+        F.when(is_v4(ip), v4(text))
+        .when(text.contains(":"), F.coalesce(let(_v6_hextets(ip), lambda h: F.when(h.isNotNull(), v6(h))), fallback))
+        .otherwise(fallback)
+    )
 
 
-def _in_v4(ip: Column, cidrs: list[str]) -> Column:
-    number = _v4_number(ip)
-    tests = []
-    for cidr in cidrs:
-        base, bits = cidr.split("/")
-        low = reduce(lambda acc, part: acc * 256 + int(part), base.split("."), 0)
-        tests.append(number.between(low, low + 2 ** (32 - int(bits)) - 1))
-    return is_v4(ip) & F.coalesce(reduce(or_, tests), F.lit(False))
+def _internal_hextets(h: Column) -> Column:
+    first = F.get(h, F.lit(0))
+    loopback = (F.aggregate(F.slice(h, 1, 7), F.lit(0), lambda a, x: a + x) == 0) & (F.get(h, F.lit(7)) == 1)
+    return loopback | first.between(0xFC00, 0xFDFF) | first.between(0xFE80, 0xFEBF)
 
 
-def _v6_test(ip: Column, test) -> Column:
-    hextets = _v6_hextets(ip)
-    return F.when(is_v4(ip), F.lit(False)).otherwise(F.coalesce(test(hextets), F.lit(False)))
+def is_valid(ip: Column) -> Column:
+    return _decide(ip, lambda t: F.lit(True), lambda h: F.lit(True), False)
 
 
 def is_internal(ip: Column) -> Column:
     """Inside the organisation: private, loopback, link-local, carrier NAT, v6 unique local."""
-    def v6(h: Column) -> Column:
-        first = F.get(h, F.lit(0))
-        loopback = (F.aggregate(F.slice(h, 1, 7), F.lit(0), lambda a, x: a + x) == 0) & (F.get(h, F.lit(7)) == 1)
-        return loopback | first.between(0xFC00, 0xFDFF) | first.between(0xFE80, 0xFEBF)
-
-    return _in_v4(ip, INTERNAL_V4) | _v6_test(ip, v6)
+    return _decide(ip, lambda t: t.rlike(INTERNAL_V4), _internal_hextets, False)
 
 
 def is_external(ip: Column) -> Column:
     """Valid and not internal; a missing or malformed address is not external."""
-    return is_valid(ip) & ~is_internal(ip)
+    return _decide(ip, lambda t: ~t.rlike(INTERNAL_V4), lambda h: ~_internal_hextets(h), False)
 
 
 def is_documentation(ip: Column) -> Column:
-    v6 = lambda h: (F.get(h, F.lit(0)) == 0x2001) & (F.get(h, F.lit(1)) == 0x0DB8)
-    return _in_v4(ip, DOCUMENTATION_V4) | _v6_test(ip, v6)
+    return _decide(
+        ip, lambda t: t.rlike(DOCUMENTATION_V4),
+        lambda h: (F.get(h, F.lit(0)) == 0x2001) & (F.get(h, F.lit(1)) == 0x0DB8), False,
+    )
 
 
 def classify(ip: Column) -> Column:
-    return F.when(~is_valid(ip), "unknown").when(is_internal(ip), "internal").otherwise("external")
+    name = lambda internal: F.when(internal, "internal").otherwise("external")
+    return _decide(ip, lambda t: name(t.rlike(INTERNAL_V4)), lambda h: name(_internal_hextets(h)), "unknown")
 
 
 def canonical_ip(ip: Column) -> Column:
@@ -114,15 +113,16 @@ def canonical_ip(ip: Column) -> Column:
     v6 is lower-cased, leading zeros dropped and the longest run of zero groups (two or more, leftmost on
     a tie) written as ``::``.
     """
-    joined = F.concat(
-        F.lit(":"), F.array_join(F.transform(_v6_hextets(ip), lambda n: F.lower(F.hex(n))), ":"), F.lit(":")
-    )
-    shortened = joined
-    for run in range(2, 9):  # the longest run is tested first, so it is wrapped last
-        pattern = "(?::0){%d}:" % run
-        # only the first run of this length is replaced: the rest of the text is kept as group 2
-        replaced = F.regexp_replace(joined, rf"^(.*?){pattern}(.*)$", "$1::$2")
-        shortened = F.when(joined.rlike(pattern), replaced).otherwise(shortened)
-    body = F.regexp_replace(F.regexp_replace(shortened, r"^:(?!:)", ""), r"(?<!:):$", "")
-    zone = F.regexp_extract(_trimmed(ip), r"(%[^%]+)$", 1)
-    return F.when(is_v4(ip), _trimmed(ip)).when(_v6_hextets(ip).isNotNull(), F.concat(body, zone))
+    def shorten(joined: Column) -> Column:
+        out = joined
+        for run in range(2, 9):  # the longest run is tested first, so it is wrapped last
+            pattern = "(?::0){%d}:" % run
+            out = F.when(joined.rlike(pattern), F.regexp_replace(joined, rf"^(.*?){pattern}(.*)$", "$1::$2")).otherwise(out)
+        return out
+
+    def written(h: Column) -> Column:
+        joined = F.concat(F.lit(":"), F.array_join(F.transform(h, lambda n: F.lower(F.hex(n))), ":"), F.lit(":"))
+        body = F.regexp_replace(F.regexp_replace(let(joined, shorten), r"^:(?!:)", ""), r"(?<!:):$", "")
+        return F.concat(body, F.regexp_extract(F.trim(ip), r"(%[^%]+)$", 1))
+
+    return _decide(ip, lambda t: t, written, None)
