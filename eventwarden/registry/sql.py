@@ -97,3 +97,353 @@ b AS (
 def with_ev(body: str, *ctes: str) -> str:
     """``body`` over the bridge, with further CTEs in between."""
     return "WITH " + ",\n".join([EV.strip(), *[c.strip() for c in ctes]]) + "\n" + body.strip()
+
+
+# ---- detections -----------------------------------------------------------------------------------
+_FAILED = "event_type = 'authentication' AND status = 'failure' AND action = 'login'"
+_LOGGED_IN = "event_type = 'authentication' AND status = 'success' AND action = 'login'"
+_SESSION = "event_type = 'authentication' AND status = 'success' AND action IN ('login', 'session_open')"
+_U = "lower(\"user\")"
+
+# rule id, predicate, group parts
+MATCH_SQL = [
+    ("CREDENTIAL_FILE_ACCESS_001",
+     "(event_type = 'file' AND m_sensitive_file) OR (event_type IN ('process', 'discovery') AND command_line LIKE '%/etc/shadow%')",
+     ["lower(host)", _U]),
+    ("PRIVESC_SUID_ENUM_001", "m_indicator = 'suid_enumeration'", ["event_id"]),
+    ("PRIVESC_GROUP_CHANGE_001", "event_type = 'account' AND action = 'group_member_added' AND m_privileged_group", ["event_id"]),
+    ("PRIVESC_WINDOWS_SPECIAL_PRIV_001", "event_type = 'privilege' AND m_windows_event_id = 4672 AND m_debug_privilege", ["event_id"]),
+    ("PERSISTENCE_SCHEDULED_TASK_001", "event_type = 'file' AND action = 'modify' AND m_persistence_path",
+     ["lower(host)", "m_persistence_mechanism"]),
+    ("PERSISTENCE_BACKDOOR_ACCOUNT_001", "event_type = 'account' AND action = 'account_created' AND m_uid_zero", ["event_id"]),
+    ("PERSISTENCE_SERVICE_INSTALL_001", "event_type = 'service' AND action = 'service_installed'", ["event_id"]),
+    ("LATERAL_TOOL_TRANSFER_001", "event_type = 'discovery' AND m_indicator = 'remote_download'", ["event_id"]),
+    ("CLOUD_IAM_PRIVESC_001", "m_iam_category = 'privilege_grant' AND m_high_risk_policy AND status = 'success'", ["event_id"]),
+    ("CLOUD_LOG_TAMPERING_001", "m_iam_category = 'defense_evasion' AND status = 'success'", ["event_id"]),
+]
+
+# rule id, predicate, group parts, count, window seconds, distinct value, distinct count
+THRESHOLD_SQL = [
+    ("BRUTE_FORCE_001", _FAILED, ["source_ip"], 5, 300, "NULL", "NULL"),
+    ("BRUTE_FORCE_002", _FAILED, ["source_ip"], 6, 600, _U, "4"),
+    ("ACCOUNT_DISCOVERY_001", "event_type = 'discovery' AND m_discovery_category IS NOT NULL", [_U, "lower(host)"], 4, 180,
+     "m_discovery_category", "3"),
+    ("CLOUD_DISCOVERY_001", "m_cloud_discovery", [_U, "cloud_account"], 5, 300, "lower(action)", "4"),
+    ("LATERAL_BREADTH_001", _SESSION, [_U], 4, 900, "lower(host)", "4"),
+]
+
+# rule id, group parts, first step, its count, second step, its gap, window
+TWO_STEP_SQL = [
+    ("BRUTE_FORCE_003", ["source_ip"], _FAILED, 4, _LOGGED_IN, 600, 900),
+    ("PRIVESC_SUDO_CHAIN_001", [_U, "lower(host)"],
+     "(event_type = 'discovery' AND m_discovery_category = 'permission') OR m_indicator = 'suid_enumeration' "
+     "OR (event_type = 'discovery' AND process = 'sudo')", 1,
+     "event_type = 'privilege' AND status = 'success' AND m_elevated", 420, 600),
+    ("CLOUD_IAM_KEY_CHAIN_001", [_U, "cloud_account"], "m_cloud_discovery", 2,
+     "m_iam_category IN ('credential_creation', 'credential_modification') AND status = 'success'", 1200, 1800),
+]
+
+
+def _parts(parts: list[str]) -> str:
+    return "[" + ", ".join(parts) + "]"
+
+
+def _key(parts: str = "parts") -> str:
+    return f"array_to_string(list_transform({parts}, lambda x: coalesce('=' || x, '~')), '|')"
+
+
+def match_ctes() -> str:
+    selects = [
+        f"SELECT '{r}' AS rule_id, {_parts(p)} AS parts, e, us, event_id FROM ev WHERE coalesce({w}, FALSE)"
+        for r, w, p in MATCH_SQL
+    ]
+    return "mt AS (\n  " + "\n  UNION ALL ".join(selects) + "\n)"
+
+
+def threshold_ctes(stretch: int, rules: list[str] | None = None) -> str:
+    chosen = [t for t in THRESHOLD_SQL if rules is None or t[0] in rules]
+    selects = [
+        f"SELECT '{r}' AS rule_id, {_parts(p)} AS parts, e, us, event_id, {d} AS d, {n} AS n, "
+        f"CAST({k} AS INTEGER) AS kd, CAST({w * stretch} AS BIGINT) * 1000000 AS w FROM ev WHERE coalesce({where}, FALSE)"
+        for r, where, p, n, w, d, k in chosen
+    ]
+    return f"""tr0 AS (
+  {chr(10).join(['', '  UNION ALL ']).join(selects)}
+), tr AS (SELECT *, {_key()} AS g FROM tr0),
+th AS (
+  SELECT r.rule_id, r.g, r.us AS hit_us, min(x.us) AS start_us
+  FROM tr r JOIN tr x ON x.rule_id = r.rule_id AND x.g = r.g AND x.us BETWEEN r.us - r.w AND r.us
+  GROUP BY r.rule_id, r.g, r.us, r.event_id, r.n, r.kd
+  HAVING count(DISTINCT x.event_id) >= r.n AND (r.kd IS NULL OR count(DISTINCT x.d) >= r.kd)
+), tf AS (
+  SELECT rule_id, g, arg_min(start_us, hit_us) AS start_us FROM th GROUP BY rule_id, g
+), te AS (
+  SELECT tr.* FROM tr JOIN tf USING (rule_id, g) WHERE tr.us BETWEEN tf.start_us AND tf.start_us + tr.w
+)"""
+
+
+def two_step_ctes(stretch: int, rules: list[str] | None = None) -> str:
+    chosen = [t for t in TWO_STEP_SQL if rules is None or t[0] in rules]
+    selects = [
+        f"SELECT '{r}' AS rule_id, {_parts(p)} AS parts, e, us, event_id, coalesce({a}, FALSE) AS s0, coalesce({b}, FALSE) AS s1, "
+        f"{m} AS m, CAST({gap * stretch} AS BIGINT) * 1000000 AS gap, CAST({w * stretch} AS BIGINT) * 1000000 AS w "
+        f"FROM ev WHERE coalesce({a}, FALSE) OR coalesce({b}, FALSE)"
+        for r, p, a, m, b, gap, w in chosen
+    ]
+    return f"""sr0 AS (
+  {chr(10).join(['', '  UNION ALL ']).join(selects)}
+), sr AS (SELECT *, {_key()} AS g FROM sr0),
+sa AS (
+  SELECT *, row_number() OVER (PARTITION BY rule_id, g ORDER BY us, event_id) AS rn FROM sr WHERE s0
+), sc AS (
+  SELECT a.rule_id, a.g, a.us AS a_us, a.event_id AS a_id, a.w, a.gap, z.us AS end_us, z.event_id AS end_id
+  FROM sa a JOIN sa z ON z.rule_id = a.rule_id AND z.g = a.g AND z.rn = a.rn + a.m - 1 AND z.us - a.us <= a.w
+), sn AS (
+  SELECT sc.*, nx.us AS n_us
+  FROM sc, LATERAL (
+    SELECT x.us FROM sr x WHERE x.rule_id = sc.rule_id AND x.g = sc.g AND x.s1 AND (x.us, x.event_id) > (sc.end_us, sc.end_id)
+    ORDER BY x.us, x.event_id LIMIT 1
+  ) nx
+  WHERE nx.us - sc.a_us <= sc.w AND nx.us - sc.end_us <= sc.gap
+), sf AS (
+  SELECT rule_id, g, arg_min(a_us, (a_us, a_id)) AS a_us, arg_min(n_us, (a_us, a_id)) AS n_us FROM sn GROUP BY rule_id, g
+), se AS (
+  SELECT sr.rule_id, sr.g, sr.parts, sr.e, sr.us, sr.event_id, CASE WHEN s0 AND us < n_us THEN 0 ELSE 1 END AS step
+  FROM sr JOIN sf USING (rule_id, g)
+  WHERE (s0 AND us >= a_us AND us < n_us) OR (s1 AND us = n_us)
+)"""
+
+
+def lateral_ctes(stretch: int) -> str:
+    """Login, internal connection, login elsewhere: three steps over at least two hosts."""
+    w, gap = 1200 * stretch * 1_000_000, 900 * stretch * 1_000_000
+    return f"""lr AS (
+  SELECT 'LATERAL_MOVEMENT_001' AS rule_id, [{_U}] AS parts, {_key('[' + _U + ']')} AS g, e, us, event_id, lower(host) AS h,
+         coalesce({_SESSION}, FALSE) AS s0, coalesce(event_type = 'network' AND m_internal_lateral_candidate, FALSE) AS s1
+  FROM ev
+), la AS (
+  SELECT a.g, a.us AS a_us, a.event_id AS a_id, n1.us AS b_us, n2.us AS c_us
+  FROM lr a,
+  LATERAL (SELECT x.us, x.event_id FROM lr x WHERE x.g = a.g AND x.s1 AND (x.us, x.event_id) > (a.us, a.event_id)
+           ORDER BY x.us, x.event_id LIMIT 1) n1,
+  LATERAL (SELECT x.us FROM lr x WHERE x.g = a.g AND x.s0 AND (x.us, x.event_id) > (n1.us, n1.event_id)
+           ORDER BY x.us, x.event_id LIMIT 1) n2
+  WHERE a.s0 AND n1.us - a.us <= {w} AND n1.us - a.us <= {gap} AND n2.us - a.us <= {w} AND n2.us - n1.us <= {gap}
+), lx AS (
+  SELECT la.g, la.a_us, la.a_id, lr.rule_id, lr.parts, lr.e, lr.us, lr.event_id, lr.h,
+         CASE WHEN s0 AND lr.us < b_us THEN 0 WHEN s1 AND lr.us < c_us THEN 1 ELSE 2 END AS step
+  FROM la JOIN lr ON lr.g = la.g
+   AND ((s0 AND lr.us >= a_us AND lr.us < b_us) OR (s1 AND lr.us >= b_us AND lr.us < c_us) OR (s0 AND lr.us = c_us))
+), lp AS (
+  SELECT g, a_us, a_id FROM lx GROUP BY g, a_us, a_id HAVING count(DISTINCT h) >= 2
+), lf AS (
+  SELECT g, min((a_us, a_id)) AS first_anchor FROM lp GROUP BY g
+), le AS (
+  SELECT lx.rule_id, lx.g, lx.parts, lx.e, lx.us, lx.event_id, lx.step
+  FROM lx JOIN lf ON lf.g = lx.g AND lf.first_anchor = (lx.a_us, lx.a_id)
+)"""
+
+
+INDICATORS = """
+ind AS (
+  SELECT 'IOC-' || i AS ioc_id, 'ip' AS ioc_type, '203.0.113.' || i AS ioc_key, 0.5 + (i - 90) / 20.0 AS ioc_confidence,
+         CASE WHEN i % 2 = 0 THEN 'high' ELSE 'medium' END AS ioc_severity FROM range(90, 100) t(i)
+  UNION ALL SELECT 'IOC-200', 'hash', repeat('c', 64), 0.95, 'critical'
+), im AS (
+  SELECT e, us, event_id, ioc_id, f.field AS matched_field, f.value AS matched_value, ioc_confidence, ioc_severity
+  FROM (
+    SELECT e, us, event_id, unnest([{'field': 'source_ip', 'kind': 'ip', 'value': source_ip},
+                                    {'field': 'destination_ip', 'kind': 'ip', 'value': destination_ip},
+                                    {'field': 'file_hash', 'kind': 'hash', 'value': file_hash}]) AS f FROM ev
+  ) x JOIN ind ON ind.ioc_type = f.kind AND ind.ioc_key = lower(trim(f.value))
+)"""
+
+# What each account's baseline held before the hour of each scored event.
+HISTORY = f"""
+ob AS (
+  SELECT lower("user") AS u_ref, us // 3600000000 AS bucket, 'login_hours' AS feature, CAST(hour(ts) AS VARCHAR) AS v
+  FROM ev WHERE "user" IS NOT NULL AND event_type = 'authentication' AND status = 'success'
+  UNION ALL SELECT lower("user"), us // 3600000000, 'source_ips', source_ip FROM ev
+  WHERE "user" IS NOT NULL AND source_ip IS NOT NULL AND event_type = 'authentication' AND status = 'success'
+  UNION ALL SELECT lower("user"), us // 3600000000, 'hosts', lower(host) FROM ev
+  WHERE "user" IS NOT NULL AND host IS NOT NULL AND event_type = 'authentication' AND status = 'success'
+  UNION ALL SELECT lower("user"), us // 3600000000, 'cloud_apis', lower(action) FROM ev
+  WHERE "user" IS NOT NULL AND cloud_account IS NOT NULL AND action IS NOT NULL
+  UNION ALL SELECT lower("user"), us // 3600000000, 'cloud_hours', CAST(hour(ts) AS VARCHAR) FROM ev
+  WHERE "user" IS NOT NULL AND cloud_account IS NOT NULL AND action IS NOT NULL
+  UNION ALL SELECT lower("user"), us // 3600000000, 'source_ips', source_ip FROM ev
+  WHERE "user" IS NOT NULL AND source_ip IS NOT NULL AND cloud_account IS NOT NULL AND action IS NOT NULL
+), sce AS (
+  SELECT ev.*, {_U} AS u_ref, us // 3600000000 AS bucket FROM ev
+  WHERE "user" IS NOT NULL AND ((event_type = 'authentication' AND status = 'success') OR cloud_account IS NOT NULL)
+), hi AS (
+  SELECT s.e,
+    count(*) FILTER (feature = 'source_ips') AS ip_n, count(DISTINCT v) FILTER (feature = 'source_ips') AS ip_d,
+    coalesce(bool_or(feature = 'source_ips' AND v LIKE '203.%'), FALSE) AS ip_ext,
+    coalesce(bool_or(feature = 'source_ips' AND v = s.source_ip), FALSE) AS ip_seen,
+    count(*) FILTER (feature = 'hosts') AS host_n, count(DISTINCT v) FILTER (feature = 'hosts') AS host_d,
+    coalesce(bool_or(feature = 'hosts' AND v = lower(s.host)), FALSE) AS host_seen,
+    count(*) FILTER (feature = 'cloud_apis') AS api_n, count(DISTINCT v) FILTER (feature = 'cloud_apis') AS api_d,
+    coalesce(bool_or(feature = 'cloud_apis' AND v = lower(s.action)), FALSE) AS api_seen,
+    count(*) FILTER (feature = 'login_hours') AS hour_n, count(DISTINCT v) FILTER (feature = 'login_hours') AS hour_d,
+    min(TRY_CAST(v AS INTEGER)) FILTER (feature = 'login_hours') AS hour_lo, max(TRY_CAST(v AS INTEGER)) FILTER (feature = 'login_hours') AS hour_hi,
+    count(*) FILTER (feature = 'cloud_hours') AS chour_n, count(DISTINCT v) FILTER (feature = 'cloud_hours') AS chour_d,
+    min(TRY_CAST(v AS INTEGER)) FILTER (feature = 'cloud_hours') AS chour_lo, max(TRY_CAST(v AS INTEGER)) FILTER (feature = 'cloud_hours') AS chour_hi
+  FROM sce s LEFT JOIN ob ON ob.u_ref = s.u_ref AND ob.bucket < s.bucket
+  GROUP BY s.e
+)"""
+
+ANOMALY = """
+al AS (
+  SELECT s.e, s.us, s.event_id, s.u_ref, s.source_ip,
+    ip_n >= 8 AND NOT ip_seen AS f_ip,
+    ip_n >= 8 AND NOT ip_seen AND s.source_ip LIKE '203.%' AND ip_d > 0 AND NOT ip_ext AS f_ext,
+    coalesce(hour_n >= 8 AND hour_d >= 4 AND hour_hi - hour_lo <= 18 AND hour(s.ts) NOT BETWEEN hour_lo AND hour_hi, FALSE) AS f_off,
+    s.host IS NOT NULL AND host_n >= 8 AND NOT host_seen AS f_host
+  FROM sce s JOIN hi USING (e)
+  WHERE s.event_type = 'authentication' AND s.status = 'success' AND greatest(ip_n, hour_n, host_n) >= 8
+), as1 AS (
+  SELECT *, round(least(1.0, CASE WHEN f_ip THEN 0.30 ELSE 0 END + CASE WHEN f_ext THEN 0.25 ELSE 0 END
+    + CASE WHEN f_off THEN 0.25 ELSE 0 END + CASE WHEN f_host THEN 0.20 ELSE 0 END), 3) AS score FROM al
+), ac AS (
+  SELECT s.e, s.us, s.event_id, s.u_ref, s.source_ip,
+    NOT api_seen AS f_api, coalesce(m_iam_risk IN ('high', 'critical'), FALSE) AS f_risk,
+    coalesce(m_iam_risk IN ('high', 'critical') AND m_high_risk_policy, FALSE) AS f_policy,
+    coalesce(chour_n >= 10 AND chour_d >= 4 AND chour_hi - chour_lo <= 18 AND hour(s.ts) NOT BETWEEN chour_lo AND chour_hi, FALSE) AS f_off,
+    ip_d > 0 AND NOT ip_seen AS f_ip, coalesce(NOT m_mfa, FALSE) AS f_mfa
+  FROM sce s JOIN hi USING (e) WHERE s.cloud_account IS NOT NULL AND api_n >= 10
+), as2 AS (
+  SELECT *, round(least(1.0, CASE WHEN f_api THEN 0.35 ELSE 0 END + CASE WHEN f_risk THEN 0.30 ELSE 0 END
+    + CASE WHEN f_policy THEN 0.10 ELSE 0 END + CASE WHEN f_off THEN 0.20 ELSE 0 END + CASE WHEN f_ip THEN 0.20 ELSE 0 END
+    + CASE WHEN f_mfa THEN 0.15 ELSE 0 END), 3) AS score FROM ac
+), an AS (
+  SELECT 'VALID_ACCOUNT_ABUSE_001' AS rule_id, e, us, event_id, [u_ref, coalesce(source_ip, '')] AS parts, score,
+         CASE WHEN score >= 0.70 THEN 'high' ELSE 'medium' END AS severity FROM as1 WHERE score >= 0.45
+  UNION ALL
+  SELECT 'CLOUD_IAM_ANOMALY_001', e, us, event_id, [u_ref, coalesce(source_ip, '')], score,
+         CASE WHEN score >= 0.85 THEN 'critical' ELSE 'high' END FROM as2 WHERE score >= 0.50
+)"""
+
+# rule id, kind, severity, confidence, dedup seconds, count, window, techniques, tactics
+_RULE_ROWS = [
+    ("BRUTE_FORCE_001", "threshold", "high", 0.80, 900, 5, 300, "T1110 T1110.001", "TA0006"),
+    ("BRUTE_FORCE_002", "threshold", "high", 0.85, 1800, 6, 600, "T1110 T1110.003", "TA0006"),
+    ("BRUTE_FORCE_003", "sequence", "critical", 0.88, 3600, 0, 900, "T1110 T1078", "TA0006 TA0001"),
+    ("ACCOUNT_DISCOVERY_001", "threshold", "medium", 0.70, 900, 4, 180, "T1087 T1087.001 T1082 T1033", "TA0007"),
+    ("CLOUD_DISCOVERY_001", "threshold", "medium", 0.70, 1800, 5, 300, "T1087 T1087.004 T1526", "TA0007"),
+    ("VALID_ACCOUNT_ABUSE_001", "anomaly", "medium", 0.60, 3600, 0, 0, "T1078", "TA0001 TA0003 TA0004 TA0005"),
+    ("CREDENTIAL_FILE_ACCESS_001", "match", "high", 0.70, 600, 0, 0, "T1552 T1552.004", "TA0006"),
+    ("IOC_MATCH_001", "ioc", "medium", 0.85, 1800, 0, 0, "T1071", "TA0011"),
+    ("PRIVESC_SUID_ENUM_001", "match", "medium", 0.75, 900, 0, 0, "T1548 T1548.001", "TA0004 TA0007"),
+    ("PRIVESC_SUDO_CHAIN_001", "sequence", "high", 0.82, 1800, 0, 600, "T1548 T1548.003 T1068", "TA0004"),
+    ("PRIVESC_GROUP_CHANGE_001", "match", "high", 0.80, 600, 0, 0, "T1098 T1078", "TA0004 TA0003"),
+    ("PRIVESC_WINDOWS_SPECIAL_PRIV_001", "match", "high", 0.72, 900, 0, 0, "T1134 T1078", "TA0004 TA0005"),
+    ("PERSISTENCE_SCHEDULED_TASK_001", "match", "high", 0.78, 600, 0, 0, "T1053 T1053.003 T1543 T1543.002 T1098.004", "TA0003 TA0002"),
+    ("PERSISTENCE_BACKDOOR_ACCOUNT_001", "match", "critical", 0.92, 300, 0, 0, "T1136 T1136.001", "TA0003"),
+    ("PERSISTENCE_SERVICE_INSTALL_001", "match", "medium", 0.65, 900, 0, 0, "T1543 T1543.003", "TA0003 TA0004"),
+    ("LATERAL_MOVEMENT_001", "sequence", "high", 0.84, 3600, 0, 1200, "T1021 T1021.004 T1078", "TA0008"),
+    ("LATERAL_BREADTH_001", "threshold", "high", 0.76, 3600, 4, 900, "T1021 T1078", "TA0008"),
+    ("LATERAL_TOOL_TRANSFER_001", "match", "medium", 0.62, 900, 0, 0, "T1105 T1570", "TA0011 TA0008"),
+    ("CLOUD_IAM_PRIVESC_001", "match", "critical", 0.88, 600, 0, 0, "T1098 T1098.003 T1078.004", "TA0004 TA0003"),
+    ("CLOUD_LOG_TAMPERING_001", "match", "critical", 0.90, 300, 0, 0, "T1562 T1562.008", "TA0005"),
+    ("CLOUD_IAM_KEY_CHAIN_001", "sequence", "critical", 0.86, 1800, 0, 1800, "T1098 T1098.001 T1136.003", "TA0003 TA0004"),
+    ("CLOUD_IAM_ANOMALY_001", "anomaly", "high", 0.70, 1800, 0, 0, "T1078 T1078.004", "TA0004 TA0005"),
+]
+
+
+def rule_ctes() -> str:
+    values = ",\n    ".join(
+        f"('{i}', '{kind}', '{sev}', {conf}, {dedup}, {need}, {win}, string_split('{tech}', ' '), string_split('{tac}', ' '))"
+        for i, kind, sev, conf, dedup, need, win, tech, tac in _RULE_ROWS
+    )
+    return f"""rl AS (
+  SELECT * FROM (VALUES
+    {values}
+  ) t(rule_id, kind, severity, confidence, dedup, need, win, techniques, tactics)
+)"""
+
+
+def detection_ctes(stretch: int) -> str:
+    """``ed``: one row per (detection, event); ``dt``: one row per detection; over the whole pack."""
+    return ",\n".join([
+        match_ctes(), threshold_ctes(stretch), two_step_ctes(stretch), lateral_ctes(stretch), INDICATORS.strip(),
+        HISTORY.strip(), ANOMALY.strip(), rule_ctes(), f"""ed AS (
+  SELECT rule_id, rule_id || ':' || event_id AS detection_id, parts, e, us, event_id, 0 AS step,
+         CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS ioc_id FROM mt
+  UNION ALL SELECT rule_id, rule_id || ':' || g, parts, e, us, event_id, 0, NULL, NULL, NULL, NULL FROM te
+  UNION ALL SELECT rule_id, rule_id || ':' || g, parts, e, us, event_id, step, NULL, NULL, NULL, NULL FROM se
+  UNION ALL SELECT rule_id, rule_id || ':' || g, parts, e, us, event_id, step, NULL, NULL, NULL, NULL FROM le
+  UNION ALL SELECT 'IOC_MATCH_001', 'IOC_MATCH_001:' || event_id || ':' || matched_field, [lower(matched_value)], e, us, event_id, 0,
+         ioc_severity, round(least(0.99, ioc_confidence * 0.85 + 0.1), 3), NULL, ioc_id FROM im
+  UNION ALL SELECT rule_id, rule_id || ':' || event_id, parts, e, us, event_id, 0, severity,
+         round(least(0.95, 0.40 + score * 0.55), 3), score, NULL FROM an
+), dg AS (
+  SELECT detection_id, any_value(rule_id) AS rule_id, any_value(parts) AS parts, count(*) AS evidence_count, min(us) AS first_us,
+         max(us) AS last_us, arg_max(e, (step, us, event_id)) AS trigger_e, max(severity) AS own_severity,
+         max(confidence) AS own_confidence, max(score) AS score, max(ioc_id) AS ioc_id
+  FROM ed GROUP BY detection_id
+), dt AS (
+  SELECT dg.detection_id, dg.rule_id, rl.kind, coalesce(own_severity, rl.severity) AS severity,
+    CASE rl.kind
+      WHEN 'threshold' THEN round(least(0.99, rl.confidence + greatest(0.0, least(0.15, 0.03 * (evidence_count - need)))), 3)
+      WHEN 'sequence' THEN round(least(0.99, rl.confidence + 0.10 * (1.0 - least(1.0, greatest(1, (last_us - first_us) // 1000000) / (win * {stretch}.0)))), 3)
+      ELSE coalesce(own_confidence, rl.confidence) END AS confidence,
+    parts, array_to_string(list_transform(parts, lambda x: coalesce(x, '(none)')), '|') AS group_text,
+    evidence_count, first_us, last_us, trigger_e, score, ioc_id, techniques, tactics,
+    dg.rule_id || ':' || substr(sha256(dg.rule_id || '|' || array_to_string(list_transform(parts, lambda x: coalesce(x, 'None')), '|') || '|'
+      || (last_us // (dedup * {stretch} * 1000000))), 1, 24) AS dedup_key
+  FROM dg JOIN rl USING (rule_id)
+)"""])
+
+
+def alert_ctes(stretch: int) -> str:
+    """``al0``: folded alerts; ``ae``: alert evidence; ``ax``: alert entities; ``sa0``: alerts with risk."""
+    return detection_ctes(stretch) + """,
+a0 AS (
+  SELECT dedup_key, arg_max(detection_id, (last_us, detection_id)) AS detection_id, max(confidence) AS confidence, count(*) - 1 AS suppressed
+  FROM dt GROUP BY dedup_key
+), al0 AS (
+  SELECT 'ALT-' || upper(substr(sha256(a0.dedup_key), 1, 12)) AS alert_id, a0.dedup_key, a0.detection_id, dt.rule_id, dt.kind, dt.severity,
+         a0.confidence, dt.confidence AS first_confidence, dt.group_text, dt.last_us AS detected_us, dt.first_us, dt.last_us,
+         dt.evidence_count, a0.suppressed, dt.score, dt.ioc_id, dt.techniques, dt.tactics, ev.host, ev."user", ev.source_ip
+  FROM a0 JOIN dt USING (detection_id) JOIN ev ON ev.e = dt.trigger_e
+), ae AS (
+  SELECT DISTINCT 'ALT-' || upper(substr(sha256(dt.dedup_key), 1, 12)) AS alert_id, ed.e, ed.event_id, ed.us, dt.rule_id
+  FROM ed JOIN dt USING (detection_id)
+), oe AS (
+  SELECT al0.alert_id, ed.e FROM al0 JOIN ed USING (detection_id)
+), ax AS (
+  SELECT DISTINCT alert_id, entity FROM (
+    SELECT alert_id, unnest(['host:' || host, 'user:' || "user", 'ip:' || source_ip, 'ip:' || destination_ip, 'cloud:' || cloud_account]) AS entity
+    FROM oe JOIN ev USING (e)) WHERE entity IS NOT NULL
+), fl AS (
+  SELECT e, greatest(
+      CASE WHEN m_uid_zero THEN 1.00 ELSE 0 END, CASE WHEN m_high_risk_policy THEN 0.95 ELSE 0 END,
+      CASE WHEN m_privileged_group THEN 0.85 ELSE 0 END, CASE WHEN m_persistence_path THEN 0.80 ELSE 0 END,
+      CASE WHEN m_setuid THEN 0.80 ELSE 0 END, CASE WHEN m_elevated THEN 0.55 ELSE 0 END,
+      CASE WHEN m_internal_lateral_candidate THEN 0.60 ELSE 0 END, CASE WHEN m_sensitive_file THEN 0.65 ELSE 0 END,
+      CASE WHEN m_invalid_user THEN 0.35 ELSE 0 END,
+      CASE WHEN m_indicator = 'credential_file_access' THEN 0.65 WHEN m_indicator IS NOT NULL THEN 0.55 ELSE 0 END) AS behaviour,
+    CASE WHEN host IS NOT NULL THEN 1 + (k % 20) % 5 END AS criticality, ("user" IS NOT NULL AND u % 10 = 0) AS privileged,
+    (SELECT count(*) FROM im WHERE im.e = ev.e) AS iocs
+  FROM ev
+), af AS (
+  SELECT alert_id, max(behaviour) AS behaviour, max(criticality) AS criticality, bool_or(privileged) AS privileged, sum(iocs) AS iocs
+  FROM oe JOIN fl USING (e) GROUP BY alert_id
+), ap AS (
+  SELECT al0.*,
+    round(100 * 0.30 * CASE severity WHEN 'info' THEN 0.10 WHEN 'low' THEN 0.30 WHEN 'medium' THEN 0.55 WHEN 'high' THEN 0.80 ELSE 1.0 END, 2) AS r_severity,
+    round(100 * 0.20 * first_confidence, 2) AS r_confidence,
+    round(100 * 0.15 * least(1.0, coalesce(criticality / 5.0, 0.40) + CASE WHEN privileged THEN 0.15 ELSE 0 END), 2) AS r_asset,
+    round(greatest(behaviour, coalesce(score, 0)), 3) AS behaviour,
+    round(100 * 0.15 * greatest(behaviour, coalesce(score, 0)), 2) AS r_behavioural,
+    round(100 * 0.10 * CASE WHEN iocs = 0 AND ioc_id IS NULL THEN 0 WHEN ioc_id IS NOT NULL THEN first_confidence ELSE 0.6 END, 2) AS r_indicator,
+    round(100 * 0.10 * least(1.0, 0.55 * ln(1 + evidence_count) / ln(21) + 0.45 * least(1.0, len(tactics) / 5.0)), 2) AS r_correlation
+  FROM al0 JOIN af USING (alert_id)
+), sa0 AS (
+  SELECT *, round(least(100.0, round(r_severity + r_confidence + r_asset + r_behavioural + r_indicator + r_correlation, 6)), 1) AS risk_score FROM ap
+)"""
+
+
+def with_alerts(body: str, stretch: int, *ctes: str) -> str:
+    return with_ev(body, alert_ctes(stretch), *ctes)
