@@ -22,7 +22,7 @@ from eventwarden.sources.bridge import bridge_events
 from eventwarden.sources.inventory import discover_hosts, discover_users
 
 # The test feed has about two events per account and day, so rule windows are stretched by this factor.
-STRETCH = 36
+STRETCH = 96
 # "Now" of the test feed.
 NOW_US = 1_706_659_200_000_000  # 2024-01-31 00:00:00 UTC
 

@@ -6,7 +6,7 @@ import importlib
 
 from eventwarden.registry.base import QUERIES, SQL
 
-_MODULES = ["predicates", "detection"]
+_MODULES = ["predicates", "detection", "cases"]
 
 
 def _load() -> None:

@@ -126,18 +126,18 @@ for _rule in rules_of("threshold"):
 
 
 # ---- sequence -------------------------------------------------------------------------------------
-def _sequence_rule(rule_id: str, source: str, ctes: str) -> None:
+def _sequence_rule(rule_id: str, source: str, ctes: str, stretch: int = 144) -> None:
     @query(f"rule_{rule_id.lower()}", with_ev(
         "SELECT array_to_string(list_transform(parts, lambda x: coalesce(x, '(none)')), '|') AS group_text, event_id, "
         f"CAST(step AS BIGINT) AS step FROM {source}", ctes))
     def run(spark, sf_dir):
-        chosen = rule(rule_id, stretched(144))
+        chosen = rule(rule_id, stretched(stretch))
         evidence = sequence_evidence(desk(spark, sf_dir).events, [rule_sequence(chosen)])
         return evidence.select(group_text("group_key").alias("group_text"), "event_id", F.col("step_index").cast("bigint").alias("step"))
 
 
-for _id in ("BRUTE_FORCE_003", "PRIVESC_SUDO_CHAIN_001", "CLOUD_IAM_KEY_CHAIN_001"):
-    _sequence_rule(_id, "se", S.two_step_ctes(144, [_id]))
+for _id, _factor in (("BRUTE_FORCE_003", 144), ("PRIVESC_SUDO_CHAIN_001", 1440), ("CLOUD_IAM_KEY_CHAIN_001", 144)):
+    _sequence_rule(_id, "se", S.two_step_ctes(_factor, [_id]), _factor)
 _sequence_rule("LATERAL_MOVEMENT_001", "le", S.lateral_ctes(144))
 
 

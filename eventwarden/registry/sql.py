@@ -4,6 +4,8 @@
 prefix and event time is whole microseconds in ``us``.
 """
 
+from eventwarden.catalogue import TACTICS, TECHNIQUES
+
 EV = """
 b AS (
   SELECT event_id AS e, user_id AS u, ts, epoch_us(ts) AS us, event_type AS kind, value,
@@ -96,7 +98,7 @@ b AS (
 
 def with_ev(body: str, *ctes: str) -> str:
     """``body`` over the bridge, with further CTEs in between."""
-    return "WITH " + ",\n".join([EV.strip(), *[c.strip() for c in ctes]]) + "\n" + body.strip()
+    return "WITH RECURSIVE " + ",\n".join([EV.strip(), *[c.strip() for c in ctes]]) + "\n" + body.strip()
 
 
 # ---- detections -----------------------------------------------------------------------------------
@@ -391,7 +393,7 @@ def detection_ctes(stretch: int) -> str:
     parts, array_to_string(list_transform(parts, lambda x: coalesce(x, '(none)')), '|') AS group_text,
     evidence_count, first_us, last_us, trigger_e, score, ioc_id, techniques, tactics,
     dg.rule_id || ':' || substr(sha256(dg.rule_id || '|' || array_to_string(list_transform(parts, lambda x: coalesce(x, 'None')), '|') || '|'
-      || (last_us // (dedup * {stretch} * 1000000))), 1, 24) AS dedup_key
+      || (last_us // (CAST(dedup AS BIGINT) * {stretch} * 1000000))), 1, 24) AS dedup_key
   FROM dg JOIN rl USING (rule_id)
 )"""])
 
@@ -447,3 +449,107 @@ a0 AS (
 
 def with_alerts(body: str, stretch: int, *ctes: str) -> str:
     return with_ev(body, alert_ctes(stretch), *ctes)
+
+
+# ---- incidents ------------------------------------------------------------------------------------
+def rank_sql(column: str) -> str:
+    return f"CASE {column} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
+
+
+SEVERITY_NAMES = "['info', 'low', 'medium', 'high', 'critical']"
+
+
+def catalogue_ctes() -> str:
+    tactics = ", ".join(f"('{t}', '{n}', {p})" for t, n, p in TACTICS)
+    techniques = ", ".join(f"('{t}', '{n}', string_split('{x}', ' '))" for t, n, x in TECHNIQUES)
+    return f"""tc AS (SELECT * FROM (VALUES {tactics}) t(tactic_id, tactic, position)),
+tq AS (SELECT * FROM (VALUES {techniques}) t(technique_id, name, tactic_ids)),
+tt AS (SELECT technique_id, name, x.tactic_id, tactic, position FROM (SELECT technique_id, name, unnest(tactic_ids) AS tactic_id FROM tq) x JOIN tc USING (tactic_id)),
+tp AS (SELECT technique_id, any_value(name) AS name, arg_min(tactic_id, position) AS tactic_id, arg_min(tactic, position) AS tactic, min(position) AS position FROM tt GROUP BY 1)"""
+
+
+def cluster_ctes(window_seconds: int = 1800, source: str = "al0", prefix: str = "") -> str:
+    """``cl``: cluster of each alert in ``source``; ``cw``: cluster spans."""
+    w, p = window_seconds * 1_000_000, prefix
+    return f"""{p}lk AS (
+  SELECT DISTINCT a.alert_id AS a, b.alert_id AS b FROM ax a JOIN ax b ON a.entity = b.entity
+  JOIN {source} la ON la.alert_id = a.alert_id JOIN {source} lb ON lb.alert_id = b.alert_id
+  WHERE a.alert_id <> b.alert_id AND greatest(la.first_us - lb.last_us, lb.first_us - la.last_us) <= {w}
+), {p}cc(id, root) AS (
+  SELECT alert_id, alert_id FROM {source} UNION SELECT lk.b, cc.root FROM {p}cc cc JOIN {p}lk lk ON lk.a = cc.id
+), {p}cl AS (SELECT id AS alert_id, min(root) AS cluster FROM {p}cc GROUP BY id),
+{p}cw AS (
+  SELECT cluster, min(first_us) AS first_us, max(last_us) AS last_us, count(*) AS alert_count FROM {p}cl JOIN {source} USING (alert_id) GROUP BY 1
+)"""
+
+
+def case_ctes() -> str:
+    """Incident tables: ``ia`` alerts, ``ie`` events, ``ien`` entities, ``ik`` keys, ``it`` techniques, ``ich`` chain, ``inc`` rows."""
+    return cluster_ctes() + ",\n" + catalogue_ctes() + f""",
+ci AS (
+  SELECT cluster, 'INC-' || y || '-' || lpad(CAST(row_number() OVER (PARTITION BY y ORDER BY first_us, cluster) AS VARCHAR), 4, '0') AS incident_id
+  FROM (SELECT *, year(make_timestamp(first_us)) AS y FROM cw)
+), ia AS (SELECT sa0.*, ci.incident_id FROM sa0 JOIN cl USING (alert_id) JOIN ci USING (cluster)),
+ie AS (
+  SELECT incident_id, e, max({rank_sql('severity')}) AS severity_rank FROM ae JOIN (SELECT alert_id, incident_id, severity FROM ia) USING (alert_id) GROUP BY 1, 2
+), ien AS (
+  SELECT incident_id, kind, value, CASE WHEN kind = 'user' AND NOT bool_or(status <> 'failure') THEN 'targeted' ELSE 'affected' END AS role, count(*) AS events
+  FROM (SELECT incident_id, status, x.kind, x.value FROM (
+    SELECT incident_id, status, unnest([{{'kind': 'host', 'value': host}}, {{'kind': 'user', 'value': "user"}}, {{'kind': 'source_ip', 'value': source_ip}},
+      {{'kind': 'destination_ip', 'value': destination_ip}}, {{'kind': 'cloud', 'value': cloud_account}}]) AS x FROM ie JOIN ev USING (e)) WHERE x.value IS NOT NULL)
+  GROUP BY 1, 2, 3
+), ik AS (SELECT incident_id, entity, count(*) AS alert_count FROM ax JOIN ia USING (alert_id) GROUP BY 1, 2),
+itx AS (SELECT DISTINCT alert_id, incident_id, rule_id, confidence, detected_us, unnest(techniques) AS technique_id FROM ia),
+ite AS (SELECT DISTINCT incident_id, technique_id, ae.e, ae.event_id, ae.us FROM itx JOIN ae USING (alert_id)),
+it AS (
+  SELECT incident_id, technique_id, tp.name, tp.tactic_id, tp.tactic, tp.position, x.confidence, first_us, last_us, detected_us, rules, event_count
+  FROM (SELECT incident_id, technique_id, round(max(confidence), 3) AS confidence, min(detected_us) AS detected_us,
+               array_to_string(list_sort(list(DISTINCT rule_id)), ',') AS rules FROM itx GROUP BY 1, 2) x
+  JOIN (SELECT incident_id, technique_id, min(us) AS first_us, max(us) AS last_us, count(*) AS event_count FROM ite GROUP BY 1, 2) USING (incident_id, technique_id)
+  LEFT JOIN tp USING (technique_id)
+), ich AS (
+  SELECT incident_id, tactic_id, any_value(tactic) AS tactic, any_value(position) AS position, min(first_us) AS first_us, max(last_us) AS last_us,
+         min(detected_us) AS detected_us, max(confidence) AS confidence,
+         array_to_string(list_sort(list(technique_id)), ',') AS techniques,
+         row_number() OVER (PARTITION BY incident_id ORDER BY min(detected_us), any_value(position)) AS stage
+  FROM it WHERE tactic_id IS NOT NULL GROUP BY 1, 2
+), ig AS (
+  SELECT incident_id, max(gap) AS gap FROM (SELECT incident_id, detected_us - lag(detected_us) OVER (PARTITION BY incident_id ORDER BY detected_us) AS gap FROM ia) GROUP BY 1
+), ib AS (
+  SELECT incident_id, count(*) AS alert_count, min(first_us) AS first_us, max(last_us) AS last_us, min(detected_us) AS first_alert_us,
+         round(avg(confidence), 9) AS mean_confidence, max({rank_sql('severity')}) AS base_rank, max(behaviour) AS anomaly,
+         array_to_string(list_sort(list_distinct(flatten(list(techniques)))), ',') AS technique_ids,
+         array_to_string(list_sort(list(DISTINCT rule_id)), ',') AS rule_ids FROM ia GROUP BY 1
+), iv AS (
+  SELECT incident_id, count(*) AS event_count, max(behaviour) AS behaviour FROM ie JOIN fl USING (e) GROUP BY 1
+), ii AS (SELECT incident_id, count(*) AS ioc_count, max(ioc_confidence) AS ioc_best FROM ie JOIN (SELECT DISTINCT e, ioc_id, matched_field, ioc_confidence FROM im) USING (e) GROUP BY 1),
+ix AS (
+  SELECT ib.*, coalesce(event_count, 0) AS event_count, coalesce(ioc_count, 0) AS ioc_count, coalesce(ioc_best, 0) AS ioc_best, top_entity, gap,
+    coalesce(tactics, 0) AS tactics, criticality, coalesce(privileged, FALSE) AS privileged, greatest(behaviour, coalesce(anomaly, 0)) AS deviation,
+    (last_us - first_us) // 1000000 AS duration_seconds
+  FROM ib LEFT JOIN iv USING (incident_id) LEFT JOIN ii USING (incident_id) LEFT JOIN ig USING (incident_id)
+  LEFT JOIN (SELECT incident_id, max(alert_count) AS top_entity FROM ik GROUP BY 1) USING (incident_id)
+  LEFT JOIN (SELECT incident_id, count(DISTINCT tactic_id) AS tactics FROM itx JOIN tt USING (technique_id) GROUP BY 1) USING (incident_id)
+  LEFT JOIN (SELECT incident_id, max(1 + CAST(substr(value, 6) AS INTEGER) % 5) AS criticality FROM ien WHERE kind = 'host' GROUP BY 1) USING (incident_id)
+  LEFT JOIN (SELECT incident_id, bool_or(CAST(substr(value, 6) AS INTEGER) % 10 = 0) AS privileged FROM ien WHERE kind = 'user' AND role = 'affected' GROUP BY 1) USING (incident_id)
+), iy AS (
+  SELECT *, round(round(least(0.98, 0.30 * mean_confidence + 0.20 * least(1.0, ln(1 + event_count) / ln(26))
+      + 0.15 * CASE WHEN top_entity IS NULL THEN 0 WHEN alert_count <= 1 THEN 0.5 ELSE top_entity / alert_count END
+      + 0.15 * CASE WHEN gap IS NULL THEN 0.5 ELSE greatest(0.0, 1.0 - (gap / 1e6) / 3600.0) END
+      + 0.15 * least(1.0, tactics / 5.0) + 0.05 * CASE WHEN ioc_count > 0 THEN 1 ELSE 0 END), 9), 3) AS confidence
+  FROM ix
+), iz AS (
+  SELECT *, round(least(100.0, round(
+      round(30 * [0.10, 0.30, 0.55, 0.80, 1.00][base_rank + 1], 2) + round(20 * confidence, 2)
+      + round(15 * least(1.0, coalesce(criticality / 5.0, 0.40) + CASE WHEN privileged THEN 0.15 ELSE 0 END), 2)
+      + round(15 * deviation, 2) + round(10 * CASE WHEN ioc_count = 0 THEN 0 WHEN ioc_best = 0 THEN 0.6 ELSE least(1.0, ioc_best) END, 2)
+      + round(10 * least(1.0, 0.55 * ln(1 + event_count) / ln(21) + 0.45 * least(1.0, tactics / 5.0)), 2), 6)), 1) AS risk_score
+  FROM iy
+), inc AS (
+  SELECT *, {SEVERITY_NAMES}[greatest(base_rank, CASE WHEN risk_score >= 76 THEN 4 WHEN risk_score >= 51 THEN 3 WHEN risk_score >= 26 THEN 2 ELSE 1 END) + 1] AS severity
+  FROM iz
+)"""
+
+
+def with_cases(body: str, stretch: int, *ctes: str) -> str:
+    return with_ev(body, alert_ctes(stretch), case_ctes(), *ctes)
