@@ -128,7 +128,7 @@ def severity_rank(column: Column) -> Column:
 
 
 def severity_from_rank(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), rank.cast("int") + 1)
+    return F.get(F.array(*[F.lit(s) for s in SEVERITIES]), rank.cast("int"))
 
 
 def severity_weight(column: Column) -> Column:

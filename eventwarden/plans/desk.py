@@ -162,7 +162,7 @@ class Desk:
     @cached_property
     def response_actions(self) -> DataFrame:
         """Containment actions of the test feed: one on every third incident, by its number."""
-        number = F.substring("incident_id", 10, 10).cast("int")
+        number = F.substring("incident_id", 10, 10).cast("bigint")
         return self.incidents.filter(number % 3 == 0).select(
             "incident_id", F.lit("isolate_host").alias("action_type"),
             F.coalesce(F.get("hosts_first", F.lit(0)), F.lit("none")).alias("target"),

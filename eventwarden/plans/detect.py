@@ -70,7 +70,8 @@ def behaviour_flags() -> Column:
 
 def _carry(df: DataFrame, *extra: Column) -> DataFrame:
     return df.select(
-        *[F.col(f"`{c}`") for c in CARRIED], micros().alias("us"), behaviour_flags().alias("flags"), *extra,
+        *[F.col(f"`{c}`") for c in CARRIED], micros().alias("us"), behaviour_flags().alias("flags"),
+        F.coalesce("metadata.target_user", "metadata.target_principal").alias("target"), *extra,
     )
 
 

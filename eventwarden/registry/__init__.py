@@ -6,7 +6,7 @@ import importlib
 
 from eventwarden.registry.base import QUERIES, SQL
 
-_MODULES = ["predicates", "detection", "cases"]
+_MODULES = ["predicates", "detection", "cases", "dashboards"]
 
 
 def _load() -> None:
