@@ -6,7 +6,7 @@ import importlib
 
 from eventwarden.registry.base import QUERIES, SQL
 
-_MODULES = ["predicates", "detection", "cases", "dashboards", "investigation"]
+_MODULES = ["predicates", "detection", "cases", "dashboards", "investigation", "normalization"]
 
 
 def _load() -> None:

@@ -16,16 +16,16 @@ from eventwarden.registry.sql import with_alerts, with_cases, with_ev
 
 
 # ---- hunts ----------------------------------------------------------------------------------------
-def _simple_hunt(name: str, where: str, order: str = "us DESC", time: str = "us") -> None:
+def _simple_hunt(name: str, where: str, order: str = "us DESC", now_us: int = NOW_US) -> None:
     hunt = BUILTIN[name]
-    bound = f"us BETWEEN {NOW_US - hunt.last_minutes * 60_000_000} AND {NOW_US}" if hunt.last_minutes else "TRUE"
+    bound = f"us BETWEEN {now_us - hunt.last_minutes * 60_000_000} AND {now_us}"
 
     @query(f"hunt_{name}", with_ev(f"SELECT event_id, us FROM ev WHERE {where} AND {bound} ORDER BY {order}, event_id LIMIT {hunt.limit}"))
     def run(spark, sf_dir):
-        return hunts.page(desk(spark, sf_dir).events, hunt, NOW_US).select("event_id", micros().alias("us"))
+        return hunts.page(desk(spark, sf_dir).events, hunt, now_us).select("event_id", micros().alias("us"))
 
 
-_simple_hunt("privilege_escalation", "event_type = 'privilege' AND status = 'success'")
+_simple_hunt("privilege_escalation", "event_type = 'privilege' AND status = 'success'", now_us=1_704_344_400_000_000)
 _simple_hunt("persistence_mechanisms", "event_type = 'file' AND m_persistence_path")
 _simple_hunt("external_authentication", "event_type = 'authentication' AND status = 'success' AND source_ip NOT LIKE '%10.%'")
 _simple_hunt("cloud_privilege_grants", "m_iam_category IN ('privilege_grant', 'credential_creation', 'trust_policy_change')")
