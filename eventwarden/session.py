@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 # Rows up to which a side may be broadcast after counting it.
 BROADCAST_ROW_BOUND = 200_000
 
@@ -20,7 +23,7 @@ def build_session(app: str = "eventwarden", cores: str = "*", shuffle_partitions
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -29,12 +32,25 @@ def build_session(app: str = "eventwarden", cores: str = "*", shuffle_partitions
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
+
+
+# Runtime settings of every job: one time zone, and no per-expression call-site capture, which costs more
+# than building the plans themselves.
+RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.sql.dataFrameQueryContext.enabled": "false",
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings every job relies on; safe to call on a running session."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Apply the settings every job relies on; safe to call on a running session."""
+    for key, value in RUNTIME_SETTINGS.items():
+        try:
+            spark.conf.set(key, value)
+        except Exception:  # a cluster may pin a setting
+            log.debug("setting %s is pinned", key)
     checkpoint_root(spark)
     return spark
 

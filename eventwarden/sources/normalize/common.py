@@ -113,11 +113,12 @@ def bounded_raw(raw: DataFrame) -> DataFrame:
     walk = F.aggregate(
         steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
         lambda acc, s: F.struct((acc["now"] + s).alias("now"), F.greatest(acc["top"], acc["now"] + s).alias("top")))
-    # the record itself is level 0, so its own brace does not count
+    # only records with enough opening marks are walked; the record itself is level 0
+    opened = F.length("record") - F.length(F.translate(F.col("record"), "{[", ""))
     return raw.withColumn("raw_reason", F.coalesce(
         F.when(F.octet_length("record") > MAX_RAW_BYTES, "raw record exceeds 65536 bytes"),
         F.when(F.try_parse_json("record").isNull() | ~F.col("record").rlike(r"^\s*\{"), "record is not a JSON object"),
-        F.when(let(walk, lambda w: w["top"]) > MAX_RAW_DEPTH, "raw record is nested too deeply"),
+        F.when((opened > MAX_RAW_DEPTH) & (let(walk, lambda w: w["top"]) > MAX_RAW_DEPTH + 1), "raw record is nested too deeply"),
     ))
 
 
