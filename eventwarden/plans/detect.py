@@ -139,13 +139,27 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def fresh_only(evidence: DataFrame, batch: DataFrame) -> DataFrame:
+    """Detections with at least one evidence event in the batch; the others were found in an earlier pass."""
+    ids = evidence.join(batch.select("event_id"), "event_id", "left_semi").select("detection_id").distinct()
+    return evidence.join(ids, "detection_id", "left_semi")
+
+
 def collect_evidence(events: DataFrame, rules: list[Rule], indicators: DataFrame | None = None,
-                     history: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
-    """Evidence of every rule. A rule kind that fails to plan is logged and left out; the others run."""
+                     history: DataFrame | None = None, stored: DataFrame | None = None,
+                     candidates: DataFrame | None = None) -> DataFrame:
+    """Evidence of every rule. A rule kind that fails to plan is logged and left out; the others run.
+
+    In a micro-batch ``events`` are the new ones and ``candidates`` adds the history the stateful rules look
+    back on; their detections count only when they hold a new event.
+    """
+    def stateful(build, rs):
+        return build(events, rs) if candidates is None else fresh_only(build(candidates, rs), events)
+
     builders = {
         "match": lambda rs: match_evidence(events, rs),
-        "threshold": lambda rs: threshold_rows(events, rs),
-        "sequence": lambda rs: sequence_rows(events, rs),
+        "threshold": lambda rs: stateful(threshold_rows, rs),
+        "sequence": lambda rs: stateful(sequence_rows, rs),
         "ioc": lambda rs: ioc_evidence(events, rs, indicators),
         "anomaly": lambda rs: anomaly_evidence(events, rs, events if history is None else history, stored),
     }
@@ -317,7 +331,7 @@ def fold_alerts(detections: DataFrame) -> DataFrame:
         F.greatest(F.lit(0), F.expr("(detected_us - first_us) div 1000")).alias("detection_latency_ms"),
         F.lit("new").alias("status"), F.col("trigger.host").alias("host"), F.col("trigger.user").alias("user"),
         F.col("trigger.source_ip").alias("source_ip"), "evidence_count", "suppressed", "anomaly_score", "ioc_id",
-        "matched_field",
+        "matched_field", "dedup_seconds",
     )
 
 
