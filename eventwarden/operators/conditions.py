@@ -2,7 +2,9 @@
 
 Two languages with different null rules share the field lookup:
 
-* rule selections never yield null: positive tests on a missing value are false, negations true;
+* rule selections: positive tests on a missing value fail, negations hold. A failing test may be null
+  instead of false, so that plain comparisons reach the scan; every negation closes the null first, and
+  filters and ``when`` read null as false;
 * hunt filters follow SQL, so negations drop missing values, except in the step matcher of ordered hunts
   (``null_negation=True``), where they keep them.
 """
@@ -127,7 +129,7 @@ def _compare(column: Column, operator: str, value: Any) -> Column:
 
 
 def rule_test(name: str, operator: str, value: Any, exact: bool = False) -> Column:
-    """One rule-language test; true or false, never null."""
+    """One rule-language test; a positive test may be null where it fails."""
     column, kind = field(name)
     if operator == "exists":
         return column.isNotNull() if value else column.isNull()
@@ -138,23 +140,33 @@ def rule_test(name: str, operator: str, value: Any, exact: bool = False) -> Colu
             bound = float(value)
         except (TypeError, ValueError):
             return F.lit(False)
-        return _false(_compare(_number(column, kind), operator, bound))
+        if kind in _NUMERIC:
+            return _compare(column, operator, bound)
+        return _compare(_number(column, kind), operator, bound)
     positive = {"not_eq": "eq", "not_in": "in", "not_contains": "contains", "not_regex": "regex"}
     base = positive.get(operator, operator)
     folded = name in _FOLDED
     if base == "eq":
-        hit = _false(_equals(column, kind, value, exact, folded))
+        hit = _equals(column, kind, value, exact, folded)
     elif base == "in":
-        hit = _false(reduce(or_, [_equals(column, kind, v, exact, folded) for v in _listed(value)], F.lit(False)))
+        hit = _member(column, kind, _listed(value), exact, folded)
     elif base == "contains":
-        hit = _false(_contains(column, kind, value, exact))
+        hit = _contains(column, kind, value, exact)
     elif base in ("startswith", "endswith"):
-        hit = _false(_edge(column, kind, value, exact, base))
+        hit = _edge(column, kind, value, exact, base)
     elif base == "regex":
-        hit = _false(_regex(column, kind, value, exact))
+        hit = _regex(column, kind, value, exact)
     else:
         raise ValueError(f"unsupported operator '{operator}'")
-    return ~hit if operator in positive else hit
+    return ~_false(hit) if operator in positive else hit
+
+
+def _member(column: Column, kind: str, values: list, exact: bool, folded: bool) -> Column:
+    if kind == "string" and values and all(isinstance(v, str) for v in values):
+        if exact:
+            return column.isin(values)
+        return (column if folded else F.lower(column)).isin([v.lower() for v in values])
+    return reduce(or_, [_equals(column, kind, v, exact, folded) for v in values], F.lit(False))
 
 
 def compile_selection(selection: dict[str, Any] | None) -> Column:
@@ -171,7 +183,7 @@ def compile_selection(selection: dict[str, Any] | None) -> Column:
     if "all_of" in selection:
         tests.append(reduce(and_, [compile_selection(s) for s in selection["all_of"]], F.lit(True)))
     if "not" in selection:
-        tests.append(~compile_selection(selection["not"]))
+        tests.append(~_false(compile_selection(selection["not"])))
     for name, constraint in selection.items():
         if name in _RESERVED:
             continue

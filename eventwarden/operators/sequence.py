@@ -64,7 +64,7 @@ def _depth(specs: list[SequenceSpec]) -> int:
 
 
 def _tag(spec: SequenceSpec, depth: int, checks: int) -> tuple[Column, Column]:
-    tests = [s.test for s in spec.steps]
+    tests = [F.coalesce(s.test, F.lit(False)) for s in spec.steps]
     any_step = reduce(or_, tests)
     if spec.scope is not None:
         any_step = any_step & spec.scope

@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventwarden.functions.net import let
+
 EXCERPT_MARGIN = 40
 EXCERPT_LENGTH = 200
 
@@ -42,6 +44,24 @@ _SHAPES = [
 SIGNALS: list[tuple[str, str]] = [("(?i)" + p.replace(" ", _GAP), label) for p, label in _PHRASES] + [
     ("(?i)" + p, label) for p, label in _SHAPES]
 
+# A literal every match of the pattern must hold (any one of them), looked for before the pattern is tried.
+_NEEDLES = {
+    "ignore (all": ["ignore"], "disregard": ["disregard"], "forget": ["forget"], "you are now": ["now"],
+    "new (system": ["prompt", "instruction", "role"], "(act|": ["act", "behave", "respond"], "(drop|": ["drop", "delete", "truncate"],
+    "(reveal|": ["prompt", "instruction", "rules"], "mark (": ["mark"], "(this|the) (incident": ["incident", "alert", "activity"],
+    "do not": ["report", "alert", "flag", "escalate", "log", "mention"], "(close|": ["close", "dismiss", "suppress"],
+    "(execute|run|eval": ["command", "code", "script", "shell"], "(execute|run) (the": ["command", "code", "shell"],
+    r"\b(system": ["system", "assistant", "developer"], "</?(system": ["<"], r"\b(api": ["api", "secret", "passw", "token", "credential"],
+    "<<<END": ["<<<"], "(^|": ["#"], "#{2": ["##"], "<<<UNTRUSTED": ["<<<"], r"</\s": ["</"],
+}
+
+
+def _needles(source: str) -> list[str]:
+    return next(words for start, words in _NEEDLES.items() if source.startswith(start))
+
+
+NEEDLES = [_needles(p) for p, _ in _PHRASES + _SHAPES]
+
 # Secrets in text and what replaces them.
 REDACTIONS = [
     (r"(?i)(authorization\s*[:=]\s*bearer\s+)\S+", "$1[REDACTED]"),
@@ -51,6 +71,8 @@ REDACTIONS = [
     (r"\beyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\b", "[REDACTED_JWT]"),
 ]
 
+REDACTION_NEEDLES = [["authorization"], ["sk-"], ["akia"], ["api", "secret", "passw", "token"], ["eyj"]]
+
 # Shapes of the ids an answer may cite.
 CITABLE = [r"^EVT-[A-Z0-9\-]{4,32}$", r"^ALT-[A-Z0-9\-]{4,32}$", r"^INC-\d{4}-\d{4,}$", r"^IOC-[A-Z0-9\-]{4,32}$"]
 CITABLE_TECHNIQUE = r"^T\d{4}(\.\d{3})?$"
@@ -59,16 +81,19 @@ CITABLE_TECHNIQUE = r"^T\d{4}(\.\d{3})?$"
 def scan(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per (row, signal pattern) found in the whole text, with the text around the first match.
 
-    A pattern costs one search; position and excerpt are worked out only where it hit.
+    A pattern is tried only on texts holding a literal it needs, and position and excerpt are worked out only
+    where it hit.
     """
     subject = F.col(f"`{text}`")
+    df = df.withColumn("_low", F.lower(subject))
     found = []
     for index, (pattern, label) in enumerate(SIGNALS):
+        maybe = reduce(or_, [F.col("_low").contains(n) for n in NEEDLES[index]])
         start = F.regexp_instr(subject, F.lit(pattern))
         length = F.length(F.regexp_substr(subject, F.lit(pattern)))
         begin = F.greatest(start - EXCERPT_MARGIN, F.lit(1))
         excerpt = subject.substr(begin, start + length + EXCERPT_MARGIN - begin).substr(F.lit(1), F.lit(EXCERPT_LENGTH))
-        found.append(F.when(subject.rlike(pattern), F.struct(
+        found.append(F.when(maybe & subject.rlike(pattern), F.struct(
             F.lit(index).alias("pattern"), F.lit(label).alias("signal"), excerpt.alias("excerpt"))))
     hits = F.explode(F.array_compact(F.array(*found)))
     return df.select(*keep, hits.alias("h")).select(*keep, "h.*")
@@ -84,10 +109,16 @@ def scan_many(df: DataFrame, texts: list[str], keep: list[str]) -> DataFrame:
 
 
 def redact(text: Column) -> Column:
-    """Secrets replaced, in order."""
+    """Secrets replaced, in order; a pattern runs only on texts holding a literal it needs."""
+    def step(pattern: str, replacement: str, needles: list[str]):
+        def replace(t: Column) -> Column:
+            maybe = reduce(or_, [F.lower(t).contains(n) for n in needles])
+            return F.when(maybe, F.regexp_replace(t, pattern, replacement)).otherwise(t)
+        return replace
+
     out = text
-    for pattern, replacement in REDACTIONS:
-        out = F.regexp_replace(out, pattern, replacement)
+    for (pattern, replacement), needles in zip(REDACTIONS, REDACTION_NEEDLES):
+        out = let(out, step(pattern, replacement, needles))
     return out
 
 

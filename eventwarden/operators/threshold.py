@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from eventwarden.model import micros
 from eventwarden.operators.conditions import compile_selection, field
 from eventwarden.operators.groups import explode_rules, group_id, group_parts
-from eventwarden.session import shuffle_width
+from eventwarden.session import shuffle_width, stage
 
 
 @dataclass(frozen=True)
@@ -66,24 +66,27 @@ def matching_rows(events: DataFrame, specs: list[ThresholdSpec]) -> DataFrame:
 
 def _thin(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of each cell that can decide the answer; see the module text."""
-    forward = Window.partitionBy(*keys).orderBy("us", "event_id")
-    backward = Window.partitionBy(*keys).orderBy(F.desc("us"), F.desc("event_id"))
-    value_forward = Window.partitionBy(*keys, "d").orderBy("us", "event_id")
-    value_backward = Window.partitionBy(*keys, "d").orderBy(F.desc("us"), F.desc("event_id"))
+    whole = Window.partitionBy(*keys)
+    forward = whole.orderBy("us", "event_id")
+    running = forward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_value = Window.partitionBy(*keys, "d")
     has_value = F.col("d").isNotNull() & F.col("kd").isNotNull()
+    # ranks from the end follow from the totals, so one order per value and one per cell are enough
     marked = (
-        rows.withColumn("_opens", (F.row_number().over(value_forward) == 1) & has_value)
-        .withColumn("_closes", (F.row_number().over(value_backward) == 1) & has_value)
+        rows.withColumn("_vn", F.row_number().over(of_value.orderBy("us", "event_id")))
+        .withColumn("_opens", ((F.col("_vn") == 1) & has_value).cast("int"))
+        .withColumn("_closes", ((F.col("_vn") == F.count("*").over(of_value)) & has_value).cast("int"))
         .withColumn("_first", F.row_number().over(forward))
-        .withColumn("_open_rank", F.sum(F.col("_opens").cast("int")).over(forward))
-        .withColumn("_last", F.row_number().over(backward))
-        .withColumn("_close_rank", F.sum(F.col("_closes").cast("int")).over(backward))
+        .withColumn("_open_rank", F.sum("_opens").over(running))
+        .withColumn("_closed", F.sum("_closes").over(running))
+        .withColumn("_last", F.count("*").over(whole) - F.col("_first") + 1)
+        .withColumn("_close_rank", F.sum("_closes").over(whole) - F.col("_closed") + F.col("_closes"))
     )
     keep = (
         (F.col("_first") <= F.col("n"))
         | (F.col("kd").isNotNull() & (F.col("_last") <= F.col("n")))
-        | (F.col("_opens") & (F.col("_open_rank") <= F.col("kd")))
-        | (F.col("_closes") & (F.col("_close_rank") <= F.col("kd")))
+        | ((F.col("_opens") == 1) & (F.col("_open_rank") <= F.col("kd")))
+        | ((F.col("_closes") == 1) & (F.col("_close_rank") <= F.col("kd")))
     )
     return marked.filter(keep).select(*rows.columns)
 
@@ -116,9 +119,9 @@ def earliest_hits(rows: DataFrame) -> DataFrame:
     return (
         cells.filter(F.size("ctx") >= F.col("n"))
         .select("rule_id", "g", hit.alias("hit_us"))
-        .filter("hit_us IS NOT NULL")
         .groupBy("rule_id", "g")
         .agg(F.min("hit_us").alias("hit_us"))
+        .filter("hit_us IS NOT NULL")
     )
 
 
@@ -130,9 +133,10 @@ def threshold_evidence(events: DataFrame, specs: list[ThresholdSpec]) -> DataFra
     """
     rows = matching_rows(events, specs)
     hits = earliest_hits(rows)
-    near = rows.join(hits, ["rule_id", "g"]).filter(
+    # events around the first hits only; read twice below, so they are written once
+    near = stage(rows.join(hits, ["rule_id", "g"]).filter(
         F.col("us").between(F.col("hit_us") - F.col("w"), F.col("hit_us") + F.col("w"))
-    )
+    ), "near")
     starts = near.filter("us <= hit_us").groupBy("rule_id", "g").agg(F.min("us").alias("start_us"))
     return (
         near.join(starts, ["rule_id", "g"])
