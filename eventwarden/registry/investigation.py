@@ -355,8 +355,8 @@ def silent_rules(spark, sf_dir):
 @query("scenario_coverage", with_alerts("""
 SELECT run_id, array_to_string(list_filter(x, lambda t: list_contains(d, t)), ',') AS covered, array_to_string(list_filter(x, lambda t: NOT list_contains(d, t)), ',') AS missed,
   array_to_string(list_filter(d, lambda t: NOT list_contains(x, t)), ',') AS additional, round(len(list_filter(x, lambda t: list_contains(d, t))) / len(x), 3) AS coverage_ratio
-FROM (SELECT scenario AS run_id, list_sort(list(DISTINCT t)) AS x FROM (SELECT scenario, unnest(rl.techniques) AS t FROM ex JOIN rl USING (rule_id)) GROUP BY 1)
-JOIN (SELECT scenario AS run_id, list_sort(list(DISTINCT t)) AS d FROM (SELECT sl.scenario, unnest(rl.techniques) AS t FROM sl JOIN rl USING (rule_id) WHERE scenario LIKE 'malicious%') GROUP BY 1) USING (run_id)""",
+FROM (SELECT x.run_id, x.x, coalesce(d.d, []) AS d FROM (SELECT scenario AS run_id, list_sort(list(DISTINCT t)) AS x FROM (SELECT scenario, unnest(rl.techniques) AS t FROM ex JOIN rl USING (rule_id)) GROUP BY 1) x
+LEFT JOIN (SELECT scenario AS run_id, list_sort(list(DISTINCT t)) AS d FROM (SELECT sl.scenario, unnest(rl.techniques) AS t FROM sl JOIN rl USING (rule_id) WHERE scenario LIKE 'malicious%') GROUP BY 1) d USING (run_id))""",
     STRETCH, _MATRIX, _SCENARIO, _EXPECTED_SQL))
 def scenario_coverage(spark, sf_dir):
     """Techniques each malicious scenario should exercise against those that fired."""

@@ -203,7 +203,7 @@ def inventory_attributes(spark, sf_dir):
 
 @query("inventory_upsert", with_ev("""
 SELECT coalesce(a.host_id, b.host_id) AS host_id, least(a.f, b.f) AS first_us, greatest(a.l, b.l) AS last_us,
-       CASE WHEN a.host_id IS NOT NULL THEN 5 ELSE 3 END AS criticality
+       CASE WHEN a.host_id IS NOT NULL THEN 5 ELSE 3 END::BIGINT AS criticality
 FROM (SELECT host AS host_id, min(us) AS f, max(us) AS l FROM ev WHERE event_type = 'file' AND k < 95 GROUP BY 1) a
 FULL JOIN (SELECT host AS host_id, min(us) AS f, max(us) AS l FROM ev WHERE event_type = 'network' GROUP BY 1) b ON a.host_id = b.host_id"""))
 def inventory_upsert(spark, sf_dir):

@@ -306,7 +306,7 @@ al AS (
   WHERE s.event_type = 'authentication' AND s.status = 'success' AND greatest(ip_n, hour_n, host_n) >= 8
 ), as1 AS (
   SELECT *, round(least(1.0, CASE WHEN f_ip THEN 0.30 ELSE 0 END + CASE WHEN f_ext THEN 0.25 ELSE 0 END
-    + CASE WHEN f_off THEN 0.25 ELSE 0 END + CASE WHEN f_host THEN 0.20 ELSE 0 END), 3) AS score FROM al
+    + CASE WHEN f_off THEN 0.25 ELSE 0 END + CASE WHEN f_host THEN 0.20 ELSE 0 END), 3)::DOUBLE AS score FROM al
 ), ac AS (
   SELECT s.e, s.us, s.event_id, s.u_ref, s.source_ip,
     NOT api_seen AS f_api, coalesce(m_iam_risk IN ('high', 'critical'), FALSE) AS f_risk,
@@ -317,7 +317,7 @@ al AS (
 ), as2 AS (
   SELECT *, round(least(1.0, CASE WHEN f_api THEN 0.35 ELSE 0 END + CASE WHEN f_risk THEN 0.30 ELSE 0 END
     + CASE WHEN f_policy THEN 0.10 ELSE 0 END + CASE WHEN f_off THEN 0.20 ELSE 0 END + CASE WHEN f_ip THEN 0.20 ELSE 0 END
-    + CASE WHEN f_mfa THEN 0.15 ELSE 0 END), 3) AS score FROM ac
+    + CASE WHEN f_mfa THEN 0.15 ELSE 0 END), 3)::DOUBLE AS score FROM ac
 ), an AS (
   SELECT 'VALID_ACCOUNT_ABUSE_001' AS rule_id, e, us, event_id, [u_ref, coalesce(source_ip, '')] AS parts, score,
          CASE WHEN score >= 0.70 THEN 'high' ELSE 'medium' END AS severity FROM as1 WHERE score >= 0.45
