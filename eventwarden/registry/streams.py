@@ -35,7 +35,9 @@ def _drain(stream):
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-_END = F.lit("2024-02-05").cast("timestamp")
+def _end():
+    """A "now" after the feed, so that no event counts as future."""
+    return F.lit("2024-02-05").cast("timestamp")
 
 
 @query("stream_match", with_ev("SELECT rule_id, event_id FROM mt", S.match_ctes()))
@@ -54,7 +56,7 @@ def stream_dedup(spark, sf_dir):
     """Every event sent twice, kept once."""
     stream = _stream(spark, sf_dir).select("event_id", "timestamp")
     twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return _drain(ops.without_repeats(ops.admitted(twice, now=_END))).select("event_id", micros().alias("us"))
+    return _drain(ops.without_repeats(ops.admitted(twice, now=_end()))).select("event_id", micros().alias("us"))
 
 
 @query("stream_tumbling", with_ev("""
@@ -62,12 +64,12 @@ SELECT us // 3600000000 * 3600000000 AS hour_us, status, count(*) AS n FROM ev G
 HAVING hour_us + 3600000000 <= (SELECT max(us) FROM ev) - 3600000000"""))
 def stream_tumbling(spark, sf_dir):
     """Hours closed by the watermark."""
-    return _drain(ops.counts_by_hour(ops.admitted(_stream(spark, sf_dir), now=_END)))
+    return _drain(ops.counts_by_hour(ops.admitted(_stream(spark, sf_dir), now=_end())))
 
 
 @query("stream_sliding")
 def stream_sliding(spark, sf_dir):
-    return _drain(ops.sliding_counts(ops.admitted(_stream(spark, sf_dir), now=_END)))
+    return _drain(ops.sliding_counts(ops.admitted(_stream(spark, sf_dir), now=_end())))
 
 
 @query("stream_sessions", with_ev("""
@@ -77,13 +79,13 @@ SELECT "user", min(us) AS start_us, max(us) + 1800000000 AS end_us, count(*) AS
 GROUP BY "user", run HAVING max(us) + 1800000000 <= (SELECT max(us) FROM ev) - 3600000000"""))
 def stream_sessions(spark, sf_dir):
     """Activity runs per account, closed by half an hour of quiet."""
-    return _drain(ops.activity_sessions(ops.admitted(_stream(spark, sf_dir), now=_END)))
+    return _drain(ops.activity_sessions(ops.admitted(_stream(spark, sf_dir), now=_end())))
 
 
 @query("stream_suppression")
 def stream_suppression(spark, sf_dir):
     """First detection of each dedup key."""
-    return _drain(ops.suppressed_alerts(ops.admitted(_stream(spark, sf_dir), now=_END), rules_of("match"), 900))
+    return _drain(ops.suppressed_alerts(ops.admitted(_stream(spark, sf_dir), now=_end()), rules_of("match"), 900))
 
 
 @query("stream_threshold", with_ev("SELECT rule_id, min(hit_us) AS hit_us, count(DISTINCT g) AS groups FROM th2 GROUP BY rule_id", S.threshold_ctes(720), """
