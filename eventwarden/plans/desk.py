@@ -63,7 +63,7 @@ class Desk:
     @cached_property
     def events(self) -> DataFrame:
         bridged = bridge_events(self.spark, self.sf_dir)
-        stored = self._stored("events", bridged.repartition("event_type"), "event_type")
+        stored = self._stored("events", bridged, "event_type")
         return stored.select(*[F.col(f"`{f.name}`") for f in event_schema().fields])
 
     @cached_property

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -163,23 +164,30 @@ def collect_evidence(events: DataFrame, rules: list[Rule], indicators: DataFrame
         "ioc": lambda rs: ioc_evidence(events, rs, indicators),
         "anomaly": lambda rs: anomaly_evidence(events, rs, events if history is None else history, stored),
     }
-    parts = []
-    for kind, build in builders.items():
+    def run(kind: str) -> list[DataFrame]:
         chosen = rules_of(kind, rules)
         if not chosen or (kind == "ioc" and indicators is None):
-            continue
+            return []
         try:
-            parts.append(build(chosen))
+            return [builders[kind](chosen)]
         except Exception:  # one broken rule must not stop the rest
             log.exception("rule kind %s failed", kind)
-            for rule in chosen:
-                try:
-                    parts.append(build([rule]))
-                except Exception:
-                    log.exception("rule %s failed", rule.id)
+            return [p for p in (_attempt(builders[kind], rule) for rule in chosen) if p is not None]
+
+    # the kinds are independent, so their intermediate jobs share the cluster
+    with ThreadPoolExecutor(max_workers=len(builders)) as pool:
+        parts = [part for found in pool.map(run, builders) for part in found]
     return _union(parts)
 
 
+def _attempt(build, rule: Rule) -> DataFrame | None:
+    try:
+        return build([rule])
+    except Exception:
+        log.exception("rule %s failed", rule.id)
+        return None
+
+
 def render_title(rule: Rule, values: dict[str, Column], group: Column) -> Column:
     """A rule's title with event values first, then group values, then ``(unknown)``; 255 characters."""
     if not rule.title:

@@ -96,6 +96,12 @@ def work_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/eventwarden/{spark.sparkContext.applicationId}"
 
 
+def clear_work_folder(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; call it when its queries are done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write an intermediate result once and read it back.
 

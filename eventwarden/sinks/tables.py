@@ -14,6 +14,10 @@ from pyspark.sql.utils import AnalysisException
 from eventwarden.session import stage
 
 
+# Files a batch writes per day and event type.
+FILES_PER_PARTITION = 8
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -43,7 +47,9 @@ def append_events(events: DataFrame, path: str) -> DataFrame:
         days = [r.event_date for r in dated.select("event_date").distinct().collect()]  # the days of one batch
         stored = spark.read.schema(schema).parquet(path).filter(F.col("event_date").isin(days)).select("event_id")
         dated = stage(dated.join(stored, "event_id", "left_anti").select(*dated.columns), "new-events")
-    dated.write.mode("append").partitionBy("event_date", "event_type").parquet(path)
+    # rows of a day and type meet in a few tasks, so files stay few; the salt keeps a heavy type from one task
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(FILES_PER_PARTITION))
+    dated.repartition("event_date", "event_type", salt).write.mode("append").partitionBy("event_date", "event_type").parquet(path)
     return dated.drop("event_date")
 
 
