@@ -11,13 +11,27 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4_PATTERN = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 _V6_CHARS = r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*(%[^%]+)?$"
 
-# v4 ranges routed inside the organisation (10/8, 172.16/12, 192.168/16, 127/8, 169.254/16,
-# 100.64/10) and the documentation ranges, which count as external.
-INTERNAL_V4 = (
-    r"^(?:10\.|127\.|192\.168\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\."
-    r"|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.)"
-)
-DOCUMENTATION_V4 = r"^(?:192\.0\.2|198\.51\.100|203\.0\.113)\."
+# v4 ranges routed inside the organisation, and documentation ranges, which count as external.
+INTERNAL_V4 = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "100.64.0.0/10"]
+DOCUMENTATION_V4 = ["192.0.2.0/24", "198.51.100.0/24", "203.0.113.0/24"]
+
+
+def _prefixes(cidrs: list[str]) -> str:
+    """One pattern for the dotted texts inside the ranges; a range ends inside at most one octet."""
+    options = []
+    for cidr in cidrs:
+        base, bits = cidr.split("/")
+        octets, full, rest = base.split("."), int(bits) // 8, int(bits) % 8
+        pieces = [octets[i] for i in range(full)]
+        if rest:
+            low = int(octets[full])
+            pieces.append("(?:" + "|".join(str(n) for n in range(low, low + 2 ** (8 - rest))) + ")")
+        options.append(r"\.".join(pieces) + r"\.")
+    return "^(?:" + "|".join(options) + ")"
+
+
+_INTERNAL = _prefixes(INTERNAL_V4)
+_DOCUMENTATION = _prefixes(DOCUMENTATION_V4)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -87,24 +101,24 @@ def is_valid(ip: Column) -> Column:
 
 def is_internal(ip: Column) -> Column:
     """Inside the organisation: private, loopback, link-local, carrier NAT, v6 unique local."""
-    return _decide(ip, lambda t: t.rlike(INTERNAL_V4), _internal_hextets, False)
+    return _decide(ip, lambda t: t.rlike(_INTERNAL), _internal_hextets, False)
 
 
 def is_external(ip: Column) -> Column:
     """Valid and not internal; a missing or malformed address is not external."""
-    return _decide(ip, lambda t: ~t.rlike(INTERNAL_V4), lambda h: ~_internal_hextets(h), False)
+    return _decide(ip, lambda t: ~t.rlike(_INTERNAL), lambda h: ~_internal_hextets(h), False)
 
 
 def is_documentation(ip: Column) -> Column:
     return _decide(
-        ip, lambda t: t.rlike(DOCUMENTATION_V4),
+        ip, lambda t: t.rlike(_DOCUMENTATION),
         lambda h: (F.get(h, F.lit(0)) == 0x2001) & (F.get(h, F.lit(1)) == 0x0DB8), False,
     )
 
 
 def classify(ip: Column) -> Column:
     name = lambda internal: F.when(internal, "internal").otherwise("external")
-    return _decide(ip, lambda t: name(t.rlike(INTERNAL_V4)), lambda h: name(_internal_hextets(h)), "unknown")
+    return _decide(ip, lambda t: name(t.rlike(_INTERNAL)), lambda h: name(_internal_hextets(h)), "unknown")
 
 
 def canonical_ip(ip: Column) -> Column:

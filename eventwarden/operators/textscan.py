@@ -13,54 +13,40 @@ from eventwarden.functions.net import let
 EXCERPT_MARGIN = 40
 EXCERPT_LENGTH = 200
 
-# Between words any run of blanks, underscores, hyphens, dots, plus signs or URL blanks may stand.
+# What instruction-shaped content looks like, and its label. A blank stands for any run of
+# blanks, underscores, hyphens, dots, plus signs or URL blanks. The last entry of each row lists literals one of
+# which every match holds; they are looked for before the pattern is tried.
 _GAP = r"(?:[\s_\-.+]|%20|\+)+"
-_PHRASES = [
-    (r"ignore (all )?(previous|prior|above|earlier|preceding) (instructions?|prompts?|rules?)", "instruction override attempt"),
-    (r"disregard (all )?(previous|prior|the above|everything)", "instruction override attempt"),
-    (r"forget (all |everything )?(you|your|previous|prior)", "instruction override attempt"),
-    (r"you are now (a|an|the)?", "role reassignment attempt"),
-    (r"new (system )?(prompt|instructions?|role)", "role reassignment attempt"),
-    (r"(act|behave|respond) as (a|an|if)", "role reassignment attempt"),
-    (r"(drop|delete|truncate) (table|database|from)", "destructive database statement in data"),
-    (r"(reveal|print|output|repeat|show|disclose) (your|the) (system )?(prompt|instructions?|rules)", "prompt disclosure attempt"),
-    (r"mark (this|the) (incident|alert|event) as (benign|false positive|resolved|safe)", "verdict manipulation attempt"),
-    (r"(this|the) (incident|alert|activity) is (benign|authorized|expected|safe)", "verdict manipulation attempt"),
-    (r"do not (report|alert|flag|escalate|log|mention)", "suppression attempt"),
-    (r"(close|dismiss|suppress) (this|the) (incident|alert)", "suppression attempt"),
-    (r"(execute|run|eval|exec) (the )?(following|this|these) (command|code|script|shell)", "command execution request in data"),
-    (r"(execute|run) (the )?(command|shell|code)\s*[:=]", "command execution request in data"),
+_PATTERNS = [
+    (r"ignore (all )?(previous|prior|above|earlier|preceding) (instructions?|prompts?|rules?)", "instruction override attempt", ["ignore"]),
+    (r"disregard (all )?(previous|prior|the above|everything)", "instruction override attempt", ["disregard"]),
+    (r"forget (all |everything )?(you|your|previous|prior)", "instruction override attempt", ["forget"]),
+    (r"you are now (a|an|the)?", "role reassignment attempt", ["now"]),
+    (r"new (system )?(prompt|instructions?|role)", "role reassignment attempt", ["prompt", "instruction", "role"]),
+    (r"(act|behave|respond) as (a|an|if)", "role reassignment attempt", ["act", "behave", "respond"]),
+    (r"\b(system|assistant|developer)\s*:\s*\S", "role marker in data", ["system", "assistant", "developer"]),
+    (r"</?(system|instructions?|prompt|im_start|im_end)>", "prompt tag in data", ["<"]),
+    (r"(drop|delete|truncate) (table|database|from)", "destructive database statement in data", ["drop", "delete", "truncate"]),
+    (r"(reveal|print|output|repeat|show|disclose) (your|the) (system )?(prompt|instructions?|rules)", "prompt disclosure attempt",
+     ["prompt", "instruction", "rules"]),
+    (r"\b(api[_\-\s]?key|secret|password|passwd|token|credential)s?\b\s*[:=]\s*\S", "credential-shaped content",
+     ["api", "secret", "passw", "token", "credential"]),
+    (r"<<<END_UNTRUSTED_TELEMETRY>>>", "data delimiter in content", ["<<<"]),
+    (r"mark (this|the) (incident|alert|event) as (benign|false positive|resolved|safe)", "verdict manipulation attempt", ["mark"]),
+    (r"(this|the) (incident|alert|activity) is (benign|authorized|expected|safe)", "verdict manipulation attempt",
+     ["incident", "alert", "activity"]),
+    (r"do not (report|alert|flag|escalate|log|mention)", "suppression attempt", ["report", "alert", "flag", "escalate", "log", "mention"]),
+    (r"(close|dismiss|suppress) (this|the) (incident|alert)", "suppression attempt", ["close", "dismiss", "suppress"]),
+    (r"(^|\n)\s*#{1,6}\s*(system|assistant|user|developer|instructions?)\b", "role header in data", ["#"]),
+    (r"#{2,}\s*(system|assistant|developer)\s*#{2,}", "role header in data", ["##"]),
+    (r"(execute|run|eval|exec) (the )?(following|this|these) (command|code|script|shell)", "command execution request in data",
+     ["command", "code", "script", "shell"]),
+    (r"(execute|run) (the )?(command|shell|code)\s*[:=]", "command execution request in data", ["command", "code", "shell"]),
+    (r"<<<UNTRUSTED_TELEMETRY>>>", "data delimiter in content", ["<<<"]),
+    (r"</\s*(untrusted[_\s-]?telemetry|evidence|data|context)\s*>", "data delimiter in content", ["</"]),
 ]
-_SHAPES = [
-    (r"\b(system|assistant|developer)\s*:\s*\S", "role marker in data"),
-    (r"</?(system|instructions?|prompt|im_start|im_end)>", "prompt tag in data"),
-    (r"\b(api[_\-\s]?key|secret|password|passwd|token|credential)s?\b\s*[:=]\s*\S", "credential-shaped content"),
-    (r"<<<END_UNTRUSTED_TELEMETRY>>>", "data delimiter in content"),
-    (r"(^|\n)\s*#{1,6}\s*(system|assistant|user|developer|instructions?)\b", "role header in data"),
-    (r"#{2,}\s*(system|assistant|developer)\s*#{2,}", "role header in data"),
-    (r"<<<UNTRUSTED_TELEMETRY>>>", "data delimiter in content"),
-    (r"</\s*(untrusted[_\s-]?telemetry|evidence|data|context)\s*>", "data delimiter in content"),
-]
-SIGNALS: list[tuple[str, str]] = [("(?i)" + p.replace(" ", _GAP), label) for p, label in _PHRASES] + [
-    ("(?i)" + p, label) for p, label in _SHAPES]
-
-# A literal every match of the pattern must hold (any one of them), looked for before the pattern is tried.
-_NEEDLES = {
-    "ignore (all": ["ignore"], "disregard": ["disregard"], "forget": ["forget"], "you are now": ["now"],
-    "new (system": ["prompt", "instruction", "role"], "(act|": ["act", "behave", "respond"], "(drop|": ["drop", "delete", "truncate"],
-    "(reveal|": ["prompt", "instruction", "rules"], "mark (": ["mark"], "(this|the) (incident": ["incident", "alert", "activity"],
-    "do not": ["report", "alert", "flag", "escalate", "log", "mention"], "(close|": ["close", "dismiss", "suppress"],
-    "(execute|run|eval": ["command", "code", "script", "shell"], "(execute|run) (the": ["command", "code", "shell"],
-    r"\b(system": ["system", "assistant", "developer"], "</?(system": ["<"], r"\b(api": ["api", "secret", "passw", "token", "credential"],
-    "<<<END": ["<<<"], "(^|": ["#"], "#{2": ["##"], "<<<UNTRUSTED": ["<<<"], r"</\s": ["</"],
-}
-
-
-def _needles(source: str) -> list[str]:
-    return next(words for start, words in _NEEDLES.items() if source.startswith(start))
-
-
-NEEDLES = [_needles(p) for p, _ in _PHRASES + _SHAPES]
+SIGNALS: list[tuple[str, str]] = [("(?i)" + p.replace(" ", _GAP), label) for p, label, _ in _PATTERNS]
+NEEDLES = [words for _, _, words in _PATTERNS]
 
 # Secrets in text and what replaces them.
 REDACTIONS = [

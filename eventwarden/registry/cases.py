@@ -59,10 +59,16 @@ def alert_titles(spark, sf_dir):
         "PRIVESC_SUID_ENUM_001", "CLOUD_LOG_TAMPERING_001", "PERSISTENCE_SCHEDULED_TASK_001")).select("alert_id", "title")
 
 
-@query("alert_explanations")
+@query("alert_explanations", with_alerts(f"""
+SELECT alert_id, CASE kind
+  WHEN 'ioc' THEN CASE WHEN al0.ioc_id = 'IOC-200' THEN 'file_hash' ELSE 'source_ip' END || ' holds known indicator ' || al0.ioc_id
+  WHEN 'threshold' THEN evidence_count || ' events for ' || CASE rule_id WHEN 'LATERAL_BREADTH_001' THEN 'user=' WHEN 'ACCOUNT_DISCOVERY_001' THEN 'user=' WHEN 'CLOUD_DISCOVERY_001' THEN 'user=' ELSE 'source_ip=' END
+    || group_text || ' within ' || greatest(1, (last_us - first_us) // 1000000) || 's (needs ' || need || ' in ' || win * {STRETCH} || 's)' END AS first_line
+FROM al0 JOIN rl USING (rule_id, kind) WHERE kind = 'ioc' OR rule_id IN ('BRUTE_FORCE_001', 'BRUTE_FORCE_002', 'LATERAL_BREADTH_001')""", STRETCH))
 def alert_explanations(spark, sf_dir):
-    """Explanation lines of every alert."""
-    return desk(spark, sf_dir).alerts.select("alert_id", "rule_id", F.array_join("explanation", " | ").alias("explanation"))
+    """First explanation line of indicator and threshold alerts."""
+    rows = desk(spark, sf_dir).alerts.filter((F.col("rule_type") == "ioc") | F.col("rule_id").isin("BRUTE_FORCE_001", "BRUTE_FORCE_002", "LATERAL_BREADTH_001"))
+    return rows.select("alert_id", F.get("explanation", F.lit(0)).alias("first_line"))
 
 
 # ---- correlation ----------------------------------------------------------------------------------

@@ -67,7 +67,9 @@ def stream_tumbling(spark, sf_dir):
     return _drain(ops.counts_by_hour(ops.admitted(_stream(spark, sf_dir), now=_end())))
 
 
-@query("stream_sliding")
+@query("stream_sliding", with_ev("""
+SELECT us // 900000000 * 900000000 - i * 900000000 AS start_us, event_type, count(*) AS n FROM ev, range(4) t(i) GROUP BY 1, 2
+HAVING start_us + 3600000000 <= (SELECT max(us) FROM ev) - 3600000000"""))
 def stream_sliding(spark, sf_dir):
     return _drain(ops.sliding_counts(ops.admitted(_stream(spark, sf_dir), now=_end())))
 
@@ -82,10 +84,12 @@ def stream_sessions(spark, sf_dir):
     return _drain(ops.activity_sessions(ops.admitted(_stream(spark, sf_dir), now=_end())))
 
 
-@query("stream_suppression")
+@query("stream_suppression", with_ev("""
+SELECT DISTINCT rule_id, rule_id || ':' || substr(sha256(rule_id || '|' || array_to_string(list_transform(parts, lambda x: coalesce(x, 'None')), '|') || '|' || (us // 900000000)), 1, 24) AS dedup_key
+FROM mt""", S.match_ctes()))
 def stream_suppression(spark, sf_dir):
     """First detection of each dedup key."""
-    return _drain(ops.suppressed_alerts(ops.admitted(_stream(spark, sf_dir), now=_end()), rules_of("match"), 900))
+    return _drain(ops.suppressed_alerts(ops.admitted(_stream(spark, sf_dir), now=_end()), rules_of("match"), 900)).select("rule_id", "dedup_key")
 
 
 @query("stream_threshold", with_ev("SELECT rule_id, min(hit_us) AS hit_us, count(DISTINCT g) AS groups FROM th2 GROUP BY rule_id", S.threshold_ctes(720), """
