@@ -24,8 +24,8 @@ def sink_append_events(spark, sf_dir):
     """Two overlapping batches appended by day and type: every event is stored once."""
     events, folder = desk(spark, sf_dir).events, _folder(spark)
     cut = F.lit("2024-01-12").cast("timestamp")
-    tables.append_events(events.filter(F.col("timestamp") < cut + F.expr("INTERVAL 2 DAYS")), folder)
-    tables.append_events(events.filter(F.col("timestamp") >= cut), folder)
+    tables.append_events(events.filter(F.col("timestamp") < cut + F.expr("INTERVAL 2 DAYS")), folder, 0)
+    tables.append_events(events.filter(F.col("timestamp") >= cut), folder, 1)
     stored = spark.read.schema("event_id string, event_date string, event_type string").parquet(folder)
     return stored.groupBy(F.col("event_date").alias("day"), "event_type").agg(F.count("*").alias("n"))
 

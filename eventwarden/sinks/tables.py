@@ -38,23 +38,31 @@ def event_day(column: Column) -> Column:
     return F.date_format(F.timestamp_micros(column), "yyyy-MM-dd")
 
 
-def append_events(events: DataFrame, path: str) -> DataFrame:
-    """Append canonical events by day and type, leaving out ids the touched days already hold."""
+def append_events(events: DataFrame, path: str, batch_id: int = 0) -> DataFrame:
+    """Append canonical events by day and type; returns the batch's own events.
+
+    Ids that another batch stored are repeats and dropped. Ids this batch stored before it failed are not
+    written again but stay in the result, so a batch that runs twice is processed as a whole.
+    """
     spark = events.sparkSession
-    dated = events.withColumn("event_date", F.date_format("timestamp", "yyyy-MM-dd"))
+    dated = events.withColumn("event_date", F.date_format("timestamp", "yyyy-MM-dd")).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    missing = dated
     if exists(spark, path):
-        schema = T.StructType([f for f in dated.schema.fields])
         days = [r.event_date for r in dated.select("event_date").distinct().collect()]  # the days of one batch
-        stored = spark.read.schema(schema).parquet(path).filter(F.col("event_date").isin(days)).select("event_id")
-        dated = stage(dated.join(stored, "event_id", "left_anti").select(*dated.columns), "new-events")
+        stored = spark.read.schema(dated.schema).parquet(path).filter(F.col("event_date").isin(days)).select(
+            "event_id", F.col("batch_id").alias("_by"))
+        known = dated.join(stored, "event_id", "left").filter(F.col("_by").isNull() | (F.col("_by") == batch_id))
+        marked = stage(known.select(*dated.columns, F.col("_by").isNull().alias("_new")), "batch-events")
+        dated = marked.drop("_new")
+        missing = marked.filter("_new").drop("_new")
     # rows of a day and type meet in a few tasks, so files stay few; the salt keeps a heavy type from one task
     salt = F.pmod(F.xxhash64("event_id"), F.lit(FILES_PER_PARTITION))
-    dated.repartition("event_date", "event_type", salt).write.mode("append").partitionBy("event_date", "event_type").parquet(path)
-    return dated.drop("event_date")
+    missing.repartition("event_date", "event_type", salt).write.mode("append").partitionBy("event_date", "event_type").parquet(path)
+    return dated.drop("event_date", "batch_id")
 
 
-def upsert(fresh: DataFrame, path: str, keys: list[str], partition: str, merge: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Insert new keys and merge known ones. Returns ``(inserted, merged)``.
+def upsert(fresh: DataFrame, path: str, keys: list[str], partition: str, merge: dict[str, Column]) -> DataFrame:
+    """Insert new keys and merge known ones. Returns the touched rows as they are stored now.
 
     ``merge`` gives, for the columns a repeat may change, an expression over the stored column ``x`` and the
     fresh one ``_x``; all other columns keep their stored value. ``partition`` is a column both sides share
@@ -74,10 +82,9 @@ def upsert(fresh: DataFrame, path: str, keys: list[str], partition: str, merge:
             columns.append(F.when(F.col("_had") & F.col("_in"), merge[name]).otherwise(F.coalesce(F.col(name), F.col(f"_{name}"))).alias(name))
         else:
             columns.append(F.when(F.coalesce("_had", F.lit(False)), F.col(name)).otherwise(F.col(f"_{name}")).alias(name))
-    result = stage(both.select(*columns, F.coalesce("_had", F.lit(False)).alias("_had"), F.coalesce("_in", F.lit(False)).alias("_in")), "merged")
-    result.drop("_had", "_in").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    touched = result.filter("_in")
-    return touched.filter("NOT _had").drop("_had", "_in"), touched.filter("_had").drop("_had", "_in")
+    result = stage(both.select(*columns, F.coalesce("_in", F.lit(False)).alias("_in")), "merged")
+    result.drop("_in").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return result.filter("_in").drop("_in")
 
 
 def insert_absent(fresh: DataFrame, path: str, keys: list[str], partition: str) -> DataFrame:
@@ -101,7 +108,7 @@ def alert_merge() -> dict[str, Column]:
     }
 
 
-def upsert_alerts(alerts: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+def upsert_alerts(alerts: DataFrame, path: str) -> DataFrame:
     """Alerts by dedup key. A key carries its time bucket, so both sides share the bucket's day.
 
     A closed alert is never reopened: a repeat of its key opens a new alert under a fresh id.
@@ -109,7 +116,9 @@ def upsert_alerts(alerts: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     spark = alerts.sparkSession
     dated = alerts.withColumn("alert_date", event_day(F.expr("(last_us div (dedup_seconds * 1000000)) * dedup_seconds * 1000000")))
     if exists(spark, path):
-        closed = spark.read.schema(dated.schema).parquet(path).filter(~F.col("status").isin("new", "investigating", "escalated"))
+        days = [r.alert_date for r in dated.select("alert_date").distinct().collect()]  # the days of one batch
+        closed = spark.read.schema(dated.schema).parquet(path).filter(
+            F.col("alert_date").isin(days) & ~F.col("status").isin("new", "investigating", "escalated"))
         generation = closed.groupBy("dedup_key").agg(F.count("*").alias("closed"))
         dated = dated.join(generation, "dedup_key", "left").withColumn(
             "alert_id", F.when(F.col("closed") > 0, F.concat("alert_id", F.lit("R"), F.col("closed").cast("string"))).otherwise(F.col("alert_id")))

@@ -50,8 +50,11 @@ class Pipeline:
         self.run_events(ids.select(*[F.col(f"`{n}`") for n in names]), batch_id)
 
     def run_events(self, events: DataFrame, batch_id: int) -> None:
-        """Store a batch of canonical events and run detection, alerting and correlation on it."""
-        new = stage(tables.append_events(events.dropDuplicates(["event_id"]), self.path("events")), "batch")
+        """Store a batch of canonical events and run detection, alerting and correlation on it.
+
+        Every write is idempotent per batch, so a batch that failed half-way is simply run again.
+        """
+        new = stage(tables.append_events(events.dropDuplicates(["event_id"]), self.path("events"), batch_id), "batch")
         if new.isEmpty():
             return
         self._inventory(new, batch_id)
@@ -89,7 +92,11 @@ class Pipeline:
         return self._snapshot(name, schema, 2**62)
 
     def _detect(self, new: DataFrame) -> DataFrame | None:
-        history = self.spark.read.schema(self._event_table_schema()).parquet(self.path("events")).drop("event_date")
+        low, high = new.agg(F.min("timestamp"), F.max("timestamp")).first()
+        first_day = F.date_format(F.lit(low) - F.expr(f"make_dt_interval(0, 0, 0, {int(self.lookback_seconds)})"), "yyyy-MM-dd")
+        # only the days the look-back reaches are listed and read
+        history = self.spark.read.schema(self._event_table_schema()).parquet(self.path("events")).filter(
+            (F.col("event_date") >= first_day) & (F.col("event_date") <= F.date_format(F.lit(high), "yyyy-MM-dd")))
         history = history.select(*[F.col(f"`{n}`") for n in event_schema().fieldNames()])
         candidates = stage(lookback_candidates(history, new, self.lookback_seconds), "candidates")
         evidence = stage(detect.collect_evidence(
@@ -109,34 +116,48 @@ class Pipeline:
         users = self._latest("users", discover_users(new).schema)
         folded = detect.fold_alerts(detections)
         scored = detect.score_alerts(folded, evidence, iocs, hosts, users)
-        inserted, _ = tables.upsert_alerts(scored, self.path("alerts"))
+        touched = tables.upsert_alerts(scored, self.path("alerts"))
         links = detect.alert_evidence(detections, evidence).withColumn("event_date", tables.event_day(F.col("us")))
         tables.insert_absent(links, self.path("alert_evidence"), ["alert_id", "event_id"], "event_date")
         keys = detect.entity_keys(links, ["alert_id", "event_date"])
         tables.insert_absent(keys, self.path("alert_entities"), ["alert_id", "entity"], "event_date")
-        return None if inserted.isEmpty() else inserted
+        return touched
 
     def _event_table_schema(self):
         schema = event_schema()
-        return schema.add("event_date", "string")
+        return schema.add("batch_id", "long").add("event_date", "string")
 
     # ---- incidents -------------------------------------------------------------------------------
     MEMBERSHIP_DDL = "alert_id string, incident_id string, first_us bigint, last_us bigint"
 
-    def _correlate(self, inserted: DataFrame, batch_id: int) -> None:
-        """Put the batch's new alerts into existing or new incidents; incidents that meet are merged."""
-        entities = self.spark.read.parquet(self.path("alert_entities")).select("alert_id", "entity")
+    def _correlate(self, touched: DataFrame, batch_id: int) -> None:
+        """Put the batch's new alerts into existing or new incidents; incidents that meet are merged.
+
+        New is what no earlier batch placed: a repeat of an old alert changes no incident, and a batch that
+        runs again places its alerts again.
+        """
+        member = self._snapshot("membership", self.MEMBERSHIP_DDL, batch_id)
+        inserted = touched.join(member.select("alert_id"), "alert_id", "left_anti")
+        earliest = inserted.agg(F.min("first_us")).first()[0]
+        if earliest is None:
+            return
+        low = earliest - self.window_seconds * 1_000_000
+        # incidents that ended before the window of the new alerts cannot take any of them
+        known = stage(member.groupBy("incident_id").agg(
+            F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.lit("open").alias("status")).filter(F.col("last_us") >= low), "known")
+        since = min(low, known.agg(F.min("first_us")).first()[0] or low)
+        entities = self.spark.read.schema("alert_id string, entity string, event_date string").parquet(self.path("alert_entities")).filter(
+            F.col("event_date") >= tables.event_day(F.lit(since))).select("alert_id", "entity")
         own = entities.join(inserted.select("alert_id"), "alert_id", "left_semi")
         clusters = stage(correlate.cluster_alerts(inserted, own, self.window_seconds), "clusters")
         windows = correlate.cluster_windows(inserted, clusters)
-        member = self._snapshot("membership", self.MEMBERSHIP_DDL, batch_id)
-        known = member.groupBy("incident_id").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.lit("open").alias("status"))
-        known_entities = entities.join(member.select("alert_id", "incident_id"), "alert_id").select("incident_id", "entity")
+        active = member.join(known.select("incident_id"), "incident_id", "left_semi").select("alert_id", "incident_id")
+        known_entities = entities.join(active, "alert_id").select("incident_id", "entity")
         cluster_entities = own.join(clusters, "alert_id").select("cluster", "entity")
         matches = stage(correlate.matching_incidents(windows, cluster_entities, known, known_entities, self.window_seconds), "matches")
         chosen, absorbed = correlate.merge_into_incidents(windows, matches, known)
         rest = windows.join(chosen.select("cluster"), "cluster", "left_anti")
-        fresh = correlate.number_incidents(rest, taken=known.select("incident_id"))
+        fresh = correlate.number_incidents(rest, taken=member.select("incident_id").distinct())
         placed = clusters.join(chosen.unionByName(fresh), "cluster").select("alert_id", "incident_id").join(
             inserted.select("alert_id", "first_us", "last_us"), "alert_id")
         moved = member.join(absorbed, "incident_id", "left").select(

@@ -55,10 +55,14 @@ def test_pipeline_batches_alerts_and_incidents(spark, make_events, tmp_path):
     assert all(len(v) == 2 for v in by_user.values()) and not (by_user["mallory"] & by_user["eve"])
     rows = {r.incident_id: r for r in cases.incidents.collect()}
     assert len(rows) == 4 and sum(r.alert_count for r in rows.values()) == 10
+    members = sorted(map(str, p.tables()["membership"].collect()))
     before = {n: sorted(map(str, t.collect())) for n, t in p.tables().items() if n in ("alerts", "alert_evidence", "alert_entities")}
     p.run_events(batches[1], 1)  # a batch that runs twice changes nothing
+    assert sorted(map(str, p.tables()["membership"].collect())) == members
     after = {n: sorted(map(str, t.collect())) for n, t in p.tables().items() if n in before}
     assert before == after
+    p.run_events(batches[0], 2)  # events another batch stored are repeats
+    assert spark.read.parquet(p.path("events")).count() == 18
     summary = {r.metric: r.value for r in run_summary(p).collect()}
     assert summary["events_ingested"] == 18 and summary["alerts"] == 10
 
