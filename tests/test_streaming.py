@@ -117,3 +117,23 @@ def test_stateful_sequence_finds_the_same_groups(spark, make_events, tmp_path):
     hits = drain(ops.sequence_stream(stream, [spec]), str(tmp_path / "out"))
     got = {(r.g, r.hit_us) for r in hits.groupBy("g").agg(F.min("hit_us").alias("hit_us")).collect()}
     assert got == want and want
+
+
+def test_batch_that_failed_half_way_is_processed_again(spark, make_events, tmp_path):
+    class Failing(Pipeline):
+        def _correlate(self, touched, batch_id):
+            raise RuntimeError("lost")
+
+    events = make_events(attack(0)).cache()
+    folder = str(tmp_path / "tables")
+    try:
+        Failing(spark, folder, RULES).run_events(events, 0)
+        raise AssertionError("the batch should have failed")
+    except RuntimeError:
+        pass
+    p = Pipeline(spark, folder, RULES)
+    p.run_events(events, 0)
+    t = p.tables()
+    assert t["events"].count() == 9 and t["alerts"].count() == 5
+    assert t["membership"].count() == 5 and t["membership"].select("incident_id").distinct().count() == 2
+    assert t["baseline"].filter("feature = 'login_hours'").first().observation_count == 1
