@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventwarden.llm import decontaminate, personal, quality, secrets
+from eventwarden.llm import decontaminate, jaccard, personal, quality, secrets
 from eventwarden.llm.jobs import table
 
 
@@ -20,6 +20,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find(table(spark, sf_dir, "documents"))
 
@@ -29,7 +33,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_rules, op2_secret_scan, op9_personal_data, op10_decontamination)}
+    op1_quality_rules, op2_secret_scan, op3_ngram_join, op9_personal_data, op10_decontamination)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
