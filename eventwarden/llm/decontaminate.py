@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from eventwarden.llm import words as w
-from eventwarden.llm.jobs import BINARY, INT, LONG, field, map_texts, prepared, staged
+from eventwarden.llm.jobs import BINARY, INT, KEY, LONG, field, keys, map_texts, prepared, staged, without
 
 SPAN = 13
 GRAM = 8
@@ -197,20 +197,26 @@ def hits(documents: DataFrame, benchmark: DataFrame, key: list[str], text: str =
     return read.select(*key, "n_words"), _extended(joined).distinct()
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: words, hit words, items with occurring windows, and the verdict."""
-    rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    # a null id joins nothing: stand-in columns keep such rows together with their hits
-    rows = rows.withColumn("id_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    key = ["doc_id", "id_key", "text_key"]
-    base, found = hits(rows, benchmark, key)
-    return base.join(_summed(found, ["id_key", "text_key"]), ["id_key", "text_key"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+def judged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document with its key, counts, items and verdict."""
+    base, found = hits(documents.select("doc_id", *keys(), "text"), benchmark, ["doc_id", *KEY])
+    return base.join(_summed(found, KEY), KEY, "left").select(
+        "doc_id", *KEY, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce("item_list", F.lit("")), 256).alias("items_sha256"),
     ).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
+def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document: words, hit words, items with occurring windows, and the verdict."""
+    return judged(documents, benchmark).drop(*KEY)
+
+
+def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    return without(documents, judged(documents, benchmark).filter("contaminated").select(*KEY).distinct())
+
+
 def _summed(found: DataFrame, key: list[str]) -> DataFrame:
     """Union length of a document's runs, and its items."""
     ordered = Window.partitionBy(*key).orderBy("s", "e")

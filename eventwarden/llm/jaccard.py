@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from eventwarden.llm import words as w
 from eventwarden.llm.decontaminate import FILTER_WORD
-from eventwarden.llm.jobs import BINARY, INT, LONG, field, prepared, staged
+from eventwarden.llm.jobs import BINARY, INT, KEY, LONG, field, keys, prepared, staged, without
 from eventwarden.llm.trees import Tree
 from eventwarden.operators.correlate import connected_components
 
@@ -65,31 +65,32 @@ def _bucket(code: np.ndarray) -> np.ndarray:
     return (code >> np.uint64(48)).astype(np.int64)
 
 
-def _sized(documents: DataFrame) -> DataFrame:
-    """(doc_id, set_id, n_shingles) per row, and (bucket, held) rows for buckets crowded within a task."""
-    schema = T.StructType([documents.schema["doc_id"], field("set_id", LONG), field("n_shingles", LONG),
-                           field("bucket", INT), field("held", LONG)])
+def _sized(rows: DataFrame) -> DataFrame:
+    """The other columns, set_id and n_shingles per row; and (bucket, held) rows for buckets crowded within a task."""
+    others = [f for f in rows.schema.fields if f.name != "text"]
+    schema = T.StructType([*others, field("set_id", LONG), field("n_shingles", LONG), field("bucket", INT),
+                           field("held", LONG)])
 
     def run(batches):
         held = np.zeros(BUCKETS, dtype=np.int64)
-        id_type = None
+        kept: list[pa.Array] = []
         for batch, part in _parts(batches, "text"):
             sets = Sets(part)
             held += np.bincount(_bucket(sets.code), minlength=BUCKETS)
-            ids = batch.column(batch.schema.get_field_index("doc_id")).slice(part.first, sets.n)
-            id_type = ids.type
+            kept = [batch.column(batch.schema.get_field_index(f.name)).slice(part.first, sets.n) for f in others]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sets.ids), pa.array(sets.sizes.astype(np.int64)), pa.nulls(sets.n, pa.int32()),
+                [*kept, pa.array(sets.ids), pa.array(sets.sizes.astype(np.int64)), pa.nulls(sets.n, pa.int32()),
                  pa.nulls(sets.n, pa.int64())], names=schema.names)
         mean = held.mean()
         crowded = np.flatnonzero(held > mean + 8 * np.sqrt(mean) + 8)
         if len(crowded):
             n = len(crowded)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                [*(pa.nulls(n, c.type) for c in kept), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
                  pa.array(crowded.astype(np.int32)), pa.array(held[crowded])], names=schema.names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+    return rows.mapInArrow(run, nullable)
 
 
 def _fresh(seen: set, ids: np.ndarray) -> np.ndarray:
@@ -308,17 +309,50 @@ def linked_sets(documents: DataFrame, sized: DataFrame) -> DataFrame:
     return _relabelled(labels, _links(_blocks(_open_groups(entries, labels), last=True), sets), "last")
 
 
+def _classes(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """(set_id, label): the component of every class of equal sets."""
+    classes = sized.filter("n_shingles > 0").select("set_id").distinct()
+    return staged(classes.join(linked_sets(rows, sized), "set_id", "left").select(
+        "set_id", F.coalesce("label", "set_id").alias("label")), "classes")
+
+
 def components(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     prepared(documents.sparkSession)
-    sized = staged(_sized(documents), "sized")
-    rows = sized.filter("bucket is null").select("doc_id", "set_id", "n_shingles")
-    classes = rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    labelled = classes.join(linked_sets(documents, sized), "set_id", "left").select(
-        "set_id", "least", F.coalesce("label", "set_id").alias("label"))
-    labelled = staged(labelled, "classes")
-    names = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(names, "label").select("set_id", "component_id")
-    return rows.join(named, "set_id", "left").select(
+    rows = documents.select("doc_id", "text")
+    sized = staged(_sized(rows), "sized")
+    held = sized.filter("bucket is null").select("doc_id", "set_id", "n_shingles")
+    classes = _classes(rows, sized)
+    least = held.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    names = least.join(classes, "set_id").groupBy("label").agg(F.min("least").alias("component_id"))
+    named = classes.join(names, "label").select("set_id", "component_id")
+    return held.join(named, "set_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         .alias("component_id"))
+
+
+def representatives(documents: DataFrame) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns; wordless rows all stay.
+
+    Rows without an id give way to linked rows that have one; of equal rows one stays.
+    """
+    prepared(documents.sparkSession)
+    rows = documents.select("doc_id", *keys(), "text")
+    sized = staged(_sized(rows), "sized")
+    held = sized.filter("bucket is null and n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *KEY)
+    chosen = (held.join(_classes(rows, sized), "set_id").groupBy("label").agg(F.min(order).alias("best"))
+              .select("best.id_key", "best.text_key"))
+    dropped = held.select(*KEY).distinct().join(chosen, KEY, "left_anti")
+    left = without(documents, dropped)
+    repeated = held.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1").join(chosen, KEY).select(*KEY)
+    return _once(left, staged(repeated, "repeated"))
+
+
+def _once(documents: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``documents`` with a single row for each repeated key."""
+    if repeated.isEmpty():
+        return documents
+    tagged = documents.select(F.struct(F.col("*")).alias("row"), *keys())
+    again = tagged.join(repeated, KEY).groupBy(*KEY).agg(F.first("row").alias("row")).select("row.*")
+    return without(documents, repeated).unionByName(again)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -32,12 +32,21 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return stage(df, label)
 
 
-def fresh_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, lengthened until no column of ``df`` has that name in any case."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = f"_{wanted}"
-    return wanted
+def keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """What tells rows apart without shuffling texts: the id as text (null: empty) and a hash of the text.
+
+    Rows equal in both are repeats, and share every result.
+    """
+    return [F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id_key"), F.xxhash64(text).alias("text_key")]
+
+
+KEY = ["id_key", "text_key"]
+
+
+def without(documents: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of ``documents`` whose key is not in ``dropped``; all columns as they were."""
+    rows = documents.select(F.struct(F.col("*")).alias("row"), *keys())
+    return rows.join(dropped.select(*KEY), KEY, "left_anti").select("row.*")
 
 
 def map_texts(df: DataFrame, text: str, fields: list[T.StructField],

@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from eventwarden.llm import words as w
-from eventwarden.llm.jobs import INT, LONG, STRING, field, map_texts, prepared, staged
+from eventwarden.llm.jobs import INT, KEY, LONG, STRING, field, keys, map_texts, prepared, staged
 from eventwarden.llm.spans import (Span, code_points_before, digest, docs_with, joined, ordered, replaced, text_of)
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -138,7 +139,6 @@ def _read(documents: DataFrame, text: str) -> DataFrame:
                 if spans:
                     found[doc] = [{"s": s, "rank": KINDS.index(k), "e": e} for k, s, e in spans]
                     near[doc] = near_terms(*_doc_words(part, doc), spans, value)
-            from pyspark.sql.pandas.types import to_arrow_type
             return [pa.array(found, to_arrow_type(SPANS)), pa.array(near, to_arrow_type(NEAR))]
         return compute
 
@@ -194,9 +194,7 @@ def disclosing(near: DataFrame, documents: DataFrame, text: str = "text", disclo
 def find(documents: DataFrame) -> DataFrame:
     """One row per document: counts per kind, digest of the base spans, all spans."""
     prepared(documents.sparkSession)
-    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"),
-                            F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"))
-    key = ["id_key", "text_key"]
+    rows, key = documents.select("doc_id", "text", *keys()), KEY
     read = staged(_read(rows, "text"), "entities")
     near = read.filter(F.size("near") > 0).select(*key, F.explode("near").alias("x")).select(*key, "x.*")
     pairs = disclosing(near, rows)

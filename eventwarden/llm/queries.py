@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventwarden.llm import decontaminate, jaccard, personal, quality, secrets
-from eventwarden.llm.jobs import table
+from eventwarden.llm import chat, decontaminate, html, jaccard, language, packing, personal, quality, secrets, toxicity
+from eventwarden.llm.jobs import held_out, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,35 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    rows = documents.select("doc_id", held_out().alias("held_out"), "text")
+    return language.predicted(rows, language.fit(documents.select("doc_id", "text", "lang")))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op6_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
+    return chat.digests(rows.union(probe))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.scored(documents.select("doc_id", held_out().alias("held_out"), "text"), model)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find(table(spark, sf_dir, "documents"))
 
@@ -33,7 +62,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_rules, op2_secret_scan, op3_ngram_join, op9_personal_data, op10_decontamination)}
+    op1_quality_rules, op2_secret_scan, op3_ngram_join, op4_language_id, op5_html_extraction,
+    op6_chat_prefix_tree, op7_toxicity, op8_best_fit_packing,
+    op9_personal_data, op10_decontamination)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

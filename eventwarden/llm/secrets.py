@@ -19,8 +19,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from eventwarden.llm.jobs import LONG, STRING, field, map_texts, prepared
+from eventwarden.llm.jobs import BOOLEAN, LONG, STRING, field, map_texts, prepared
 from eventwarden.llm.spans import Span, digest, docs_with, docs_with_runs, joined, ordered, replaced, text_of
 from eventwarden.llm.words import Slice
 
@@ -258,19 +259,27 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(df, text, FIELDS, make)
 
 
-def redacted(df: DataFrame, text: str, into: str) -> DataFrame:
-    """The other columns of ``df`` and, as ``into``, the text with every secret replaced by its kind; null stays."""
-    prepared(df.sparkSession)
+def redacted(documents: DataFrame) -> DataFrame:
+    """The documents with every secret replaced by its kind, and ``n_chars`` brought up to date where a text changed."""
+    prepared(documents.sparkSession)
 
     def make():
         def compute(part, column):
-            out = column.to_pylist()
+            out, changed = column.to_pylist(), np.zeros(part.last - part.first, dtype=bool)
             for doc in suspects(part):
-                old = out[doc] or ""
-                found = spans_of(old)
+                found = spans_of(out[doc] or "")
                 if found:
-                    out[doc] = replaced(old, found, lambda kind, _: f"[{kind.upper()}]")
-            return [pa.array(out, pa.string())]
+                    out[doc] = replaced(out[doc], found, lambda kind, _: f"[{kind.upper()}]")
+                    changed[doc] = True
+            return [pa.array(out, pa.string()), pa.array(changed)]
         return compute
 
-    return map_texts(df, text, [field(into, STRING)], make)
+    others = [F.col(c) for c in documents.columns if c != "text"]
+    rows = map_texts(documents.select(F.struct(*others).alias("row"), "text"), "text",
+                     [field("new_text", STRING), field("changed", BOOLEAN)], make)
+    count = F.when(F.col("changed"), F.length("new_text")).otherwise(F.col("row.n_chars")) if (
+        "n_chars" in documents.columns) else None
+    return rows.select(*(
+        F.col("new_text").alias("text") if c == "text" else
+        count.cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`")
+        for c in documents.columns))

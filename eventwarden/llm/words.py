@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1024
 U64 = np.uint64
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
@@ -73,8 +74,8 @@ class Slice(NamedTuple):
     offsets: np.ndarray
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cut a text column into runs of whole documents of about ``limit`` bytes; null counts as empty."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[Slice]:
+    """Cut a text column into runs of whole documents of at most ``rows`` rows and about ``limit`` bytes; null counts as empty."""
     column = pc.fill_null(column, "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -88,7 +89,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), first + rows, n)
         yield Slice(first, last, whole[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
         first = last
 
