@@ -4,12 +4,16 @@
 2. Two sets at similarity t or more share one of the first ``n - ceil(t * n) + 1`` of their shingles in any fixed
    order, so those are the candidate entries. The order puts shingles of crowded hash buckets last: shared passages
    then hardly ever make candidates. Buckets are counted over all documents; the table has ``BUCKETS`` rows at most.
-3. Sets that meet under a shingle are compared by signature trees (``trees.py``), exactly. Three rounds do that: each
-   set under its most shared shingle; then one set per component and shingle; then everything that is still in two
-   components under one shingle. The first two only save work for the last, which covers every remaining pair.
+3. Signature trees over bitmaps (``trees.py``) of the sets that meet under a shingle leave out all sets that cannot
+   reach the threshold with any other there; bitmaps are a sixteenth of a set's size.
+4. The others' sets are compared by signature trees exactly, in two rounds: each set under its most shared shingle,
+   once for all sets and once more for those that still meet other components. Both only save work for the last step.
+5. Signature trees over the bitmaps of all that still meets across components tell which set has to visit which
+   component; there it is compared with the members that it may be linked with, exactly. That covers every pair of sets
+   that the rounds before have not joined, without listing pairs.
 
 No group goes to one task whole: groups beyond ``GROUP_SETS`` sets or ``GROUP_TOKENS`` shingles are dealt out in
-blocks, and the last round compares all pairs of blocks. Neither pairs nor components pass through the driver.
+blocks, and the last step compares all pairs of blocks. Neither pairs nor components pass through the driver.
 
 Defined results: null, empty and wordless texts have the empty set and link with nothing, each its own component. Fewer
 than five words are one shingle. Repeated rows and repeated ids stay one row each. A component is named by its smallest
@@ -28,7 +32,7 @@ from pyspark.sql.window import Window
 from eventwarden.llm import words as w
 from eventwarden.llm.decontaminate import FILTER_WORD
 from eventwarden.llm.jobs import BINARY, INT, KEY, LONG, field, keys, prepared, staged, without
-from eventwarden.llm.trees import Tree
+from eventwarden.llm.trees import Links, Marks, across, bitmaps, width
 from eventwarden.operators.correlate import connected_components
 
 SHINGLE = 5
@@ -54,6 +58,11 @@ class Sets:
         total = sums[self.bounds[1:]] - sums[self.bounds[:-1]]
         self.ids = w.signed(w.mixed(total + self.sizes.astype(np.uint64)))
 
+    def maps(self) -> list[bytes | None]:
+        """Each set's bitmap at its own width; none for the empty set."""
+        return [bitmaps([self.code[lo:hi]], width(hi - lo)).tobytes() if hi > lo else None
+                for lo, hi in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist())]
+
 
 def _parts(batches, column: str):
     for batch in batches:
@@ -66,10 +75,10 @@ def _bucket(code: np.ndarray) -> np.ndarray:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """The other columns, set_id and n_shingles per row; and (bucket, held) rows for buckets crowded within a task."""
+    """The other columns, set_id, n_shingles and bitmap per row; and (bucket, held) rows for buckets crowded in a task."""
     others = [f for f in rows.schema.fields if f.name != "text"]
-    schema = T.StructType([*others, field("set_id", LONG), field("n_shingles", LONG), field("bucket", INT),
-                           field("held", LONG)])
+    schema = T.StructType([*others, field("set_id", LONG), field("n_shingles", LONG), field("map", BINARY),
+                           field("bucket", INT), field("held", LONG)])
 
     def run(batches):
         held = np.zeros(BUCKETS, dtype=np.int64)
@@ -79,7 +88,8 @@ def _sized(rows: DataFrame) -> DataFrame:
             held += np.bincount(_bucket(sets.code), minlength=BUCKETS)
             kept = [batch.column(batch.schema.get_field_index(f.name)).slice(part.first, sets.n) for f in others]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(sets.ids), pa.array(sets.sizes.astype(np.int64)), pa.nulls(sets.n, pa.int32()),
+                [*kept, pa.array(sets.ids), pa.array(sets.sizes.astype(np.int64)),
+                 pa.array(sets.maps(), pa.binary()), pa.nulls(sets.n, pa.int32()),
                  pa.nulls(sets.n, pa.int64())], names=schema.names)
         mean = held.mean()
         crowded = np.flatnonzero(held > mean + 8 * np.sqrt(mean) + 8)
@@ -87,7 +97,7 @@ def _sized(rows: DataFrame) -> DataFrame:
             n = len(crowded)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.nulls(n, c.type) for c in kept), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                 pa.array(crowded.astype(np.int32)), pa.array(held[crowded])], names=schema.names)
+                 pa.nulls(n, pa.binary()), pa.array(crowded.astype(np.int32)), pa.array(held[crowded])], names=schema.names)
 
     nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
     return rows.mapInArrow(run, nullable)
@@ -165,11 +175,55 @@ def _without_twins(entries: DataFrame) -> DataFrame:
     """Of tokens held by the very same sets, only the smallest: the others would repeat its comparisons."""
     member = F.xxhash64("set_id")
     groups = entries.groupBy("token").agg(F.count("*").alias("sets"), F.bit_xor(member).alias("x"),
-                                          F.sum(F.shiftright(member, 20)).alias("s"), F.sum("n").alias("tokens"))
+                                          F.sum(F.shiftright(member, 20)).alias("s"), F.sum("n").alias("tokens")).filter("sets > 1")
     kept = groups.groupBy("sets", "x", "s", "tokens").agg(F.min("token").alias("token")).select("token", "sets", "tokens")
     return entries.join(kept, "token")
 
 
+def _possible(entries: DataFrame, maps: DataFrame) -> DataFrame:
+    """(set_id) of the sets that some set they meet may be linked with; of large groups, every pair of blocks meets."""
+    groups = entries.select("token", "set_id", "sets", "tokens").join(maps, "set_id")
+    found = staged(_marked(_blocks(groups, last=False)), "possible")
+    rest = groups.filter(F.greatest(F.col("sets") / GROUP_SETS, F.col("tokens") / GROUP_TOKENS) > 1)
+    waiting = rest.join(found, "set_id", "left_anti").select("token").distinct()
+    crossed = staged(_marked(_blocks(rest.join(waiting, "token"), last=True)), "possible-crossed")
+    return staged(found.union(crossed).distinct(), "possible-all")
+
+
+def _marked(groups: DataFrame) -> DataFrame:
+    schema = T.StructType([field("set_id", LONG)])
+
+    def solved(rows):
+        ids = np.array([r[0] for r in rows], dtype=np.int64)
+        maps = [np.frombuffer(r[2], dtype=np.uint64) for r in rows]
+        return ids[Marks(np.array([r[1] for r in rows]), maps, NUM, DEN).found()] if len(rows) > 1 else ids[:0]
+
+    def run(batches):
+        for found in _solved(batches, 3, solved):
+            ids = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids)], names=schema.names)
+
+    return (groups.select("token", "a", "b", "set_id", "n", "map").repartition("token", "a", "b")
+            .sortWithinPartitions("token", "a", "b").mapInArrow(run, schema).distinct())
+
+
+def _solved(batches, columns: int, solve):
+    """Streams over rows sorted by (token, a, b): per batch, what ``solve`` makes of the groups that end in it."""
+    key, rows = None, []
+    for batch in batches:
+        out = []
+        values = [batch.column(i).to_pylist() for i in range(3 + columns)]
+        for token, a, b, *row in zip(*values):
+            if (token, a, b) != key:
+                if rows:
+                    out.append(solve(rows))
+                key, rows = (token, a, b), []
+            rows.append(row)
+        yield out
+    if rows:
+        yield [solve(rows)]
+
+
 def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code = w.mixed(ids.view(np.uint64))
     return ((code & np.uint64(FILTER_BITS - 1)).astype(np.int64),
@@ -220,7 +274,7 @@ def _chosen_sets(documents: DataFrame, passing: np.ndarray) -> DataFrame:
 def _blocks(groups: DataFrame, last: bool) -> DataFrame:
     """Rows (token, set_id, label, sets, tokens) dealt out to blocks of bounded size, as (a, b) block pairs.
 
-    Early rounds compare inside blocks only; the last one compares every pair of blocks.
+    The rounds compare inside blocks only; with ``last``, every pair of blocks meets.
     """
     count = F.greatest(F.ceil(F.col("sets") / GROUP_SETS), F.ceil(F.col("tokens") / GROUP_TOKENS)).cast("int")
     rows = groups.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
@@ -239,29 +293,51 @@ def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         labels, codes = [r[0] for r in rows], [np.frombuffer(r[1], dtype=np.uint64) for r in rows]
         if len(set(labels)) < 2:
             return []
-        return [(k, v) for k, v in Tree(codes, labels, NUM, DEN).traverse().items() if k != v]
+        return [(k, v) for k, v in Links(codes, labels, NUM, DEN).joined().items() if k != v]
 
     def run(batches):
-        key, rows, out = None, [], []
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for token, a, b, label, codes in zip(*columns):
-                if (token, a, b) != key:
-                    out += solved(rows)
-                    key, rows = (token, a, b), []
-                rows.append((label, codes))
-            yield _pairs(out)
-            out = []
-        yield _pairs(solved(rows))
-
-    def _pairs(out):
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+        for found in _solved(batches, 2, solved):
+            pairs = [pair for part in found for pair in part]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in range(2)],
+                                             names=schema.names)
 
     rows = groups.select("set_id", "token", "a", "b", "label").join(sets, "set_id")
     return (rows.select("token", "a", "b", "label", "codes").repartition("token", "a", "b")
             .sortWithinPartitions("token", "a", "b").mapInArrow(run, schema).distinct())
 
 
+def _visits(groups: DataFrame, maps: DataFrame) -> DataFrame:
+    """Distinct (set_id, anchor): the components at which a set meets sets that bitmaps leave open, its own included."""
+    schema = T.StructType([field("set_id", LONG), field("anchor", LONG)])
+
+    def solved(rows):
+        ids, labels, ranks, sizes = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
+        place, anchor = across(sizes, [np.frombuffer(r[4], dtype=np.uint64) for r in rows], labels, ranks, NUM, DEN)
+        return np.stack([ids[place], anchor])
+
+    def run(batches):
+        for found in _solved(batches, 5, solved):
+            rows = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=schema.names)
+
+    ranks = groups.select("label", "set_id").distinct().groupBy("label").agg(F.count("*").alias("rank"))
+    rows = groups.select("set_id", "token", "a", "b", "label").join(ranks, "label").join(maps, "set_id")
+    return (rows.select("token", "a", "b", "set_id", "label", "rank", "n", "map").repartition("token", "a", "b")
+            .sortWithinPartitions("token", "a", "b").mapInArrow(run, schema).distinct())
+
+
+def _hosted(visits: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Groups of a component's members, in blocks of bounded size, each with all of its visitors."""
+    rows = staged(visits.join(labels, "set_id").join(sizes, "set_id"), "visits")
+    home = rows.filter("label = anchor")
+    number = F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int")
+    blocks = home.groupBy("anchor").agg(number.alias("blocks"))
+    dealt = home.join(blocks, "anchor").withColumn("a", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    guests = rows.filter("label <> anchor").join(blocks, "anchor").withColumn(
+        "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.unionByName(guests).select(F.col("anchor").alias("token"), "set_id", "label", "a", F.col("a").alias("b"))
+
+
 def _relabelled(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     links = staged(links, f"{name}-links")
     if links.isEmpty():
@@ -278,7 +354,7 @@ def _open_groups(entries: DataFrame, labels: DataFrame) -> DataFrame:
     groups = (labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
                                             F.count("*").alias("sets"), F.sum("n").alias("tokens"))
               .filter("lo <> hi").select("token", "sets", "tokens"))
-    return labelled.join(groups, "token")
+    return labelled.join(groups, "token").select("token", "set_id", "n", "label", "sets", "tokens")
 
 
 def linked_sets(documents: DataFrame, sized: DataFrame) -> DataFrame:
@@ -286,27 +362,28 @@ def linked_sets(documents: DataFrame, sized: DataFrame) -> DataFrame:
     crowding = np.zeros(BUCKETS, dtype=np.uint8)
     for row in sized.filter("bucket is not null").groupBy("bucket").agg(F.sum("held").alias("held")).toLocalIterator():
         crowding[row.bucket] = int(row.held).bit_length()  # at most BUCKETS rows
-    entries = staged(_without_twins(_meeting(_entries(documents, crowding))), "meeting")
+    meeting = staged(_without_twins(_meeting(_entries(documents, crowding))), "meeting")
+    maps = sized.filter("n_shingles > 0").groupBy("set_id").agg(F.first("map").alias("map"),
+                                                                F.first("n_shingles").alias("n"))
+    possible = _possible(meeting, maps)
+    entries = staged(_without_twins(meeting.select("token", "set_id", "n").join(possible, "set_id")), "entries")
     labels = staged(entries.select("set_id").distinct().withColumn("label", F.col("set_id")), "labels")
     sets = staged(_chosen_sets(documents, _filter_of(labels.select("set_id"))).join(
         labels.select("set_id"), "set_id"), "sets")
 
-    # each set under the token that most sets share
-    best = entries.groupBy("set_id").agg(F.max(F.struct("sets", F.col("token"))).alias("most")).select(
-        "set_id", "most.token")
-    first = entries.select("token", "set_id", "n").join(best, ["set_id", "token"]).withColumn("label", F.col("set_id"))
-    sizes = first.groupBy("token").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
-    labels = _relabelled(labels, _links(_blocks(first.join(sizes, "token"), last=False), sets), "first")
-
-    # one set per component and token
-    opened = _open_groups(entries, labels)
-    speakers = opened.groupBy("token", "label").agg(F.min("set_id").alias("set_id")).join(
-        entries.select("token", "set_id", "n"), ["token", "set_id"])
-    sizes = speakers.groupBy("token").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    labels = _relabelled(labels, _links(_blocks(speakers.join(sizes, "token"), last=False), sets), "second")
-
-    # all that is left
-    return _relabelled(labels, _links(_blocks(_open_groups(entries, labels), last=True), sets), "last")
+    labels = _joined_once(entries, labels, sets, "first")
+    labels = _joined_once(entries, labels, sets, "second")
+    visits = _visits(staged(_blocks(_open_groups(entries, labels), last=True), "open"), maps)
+    return _relabelled(labels, _links(_hosted(visits, labels, maps.select("set_id", "n")), sets), "last")
+
+
+def _joined_once(entries: DataFrame, labels: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Labels after comparing each set under the one open token that most sets share."""
+    opened = staged(_open_groups(entries, labels), f"{name}-open")
+    best = opened.groupBy("set_id").agg(F.max(F.struct("sets", "token")).alias("most")).select("set_id", "most.token")
+    dealt = opened.select("token", "set_id", "n", "label").join(best, ["set_id", "token"])
+    sizes = dealt.groupBy("token").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
+    return _relabelled(labels, _links(_blocks(dealt.join(sizes, "token"), last=False), sets), name)
 
 
 def _classes(rows: DataFrame, sized: DataFrame) -> DataFrame:
