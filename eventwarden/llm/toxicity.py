@@ -27,7 +27,7 @@ WINDOW, STRIDE = 24, 12
 HIDDEN = 8
 WORD_BUCKETS, WORD_SIZE = 1 << 14, 5
 GRAM_BUCKETS, GRAM_SIZE, GRAM = 1 << 16, 5, 4
-FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 2048, 4096, 24 << 20
+FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 2048, 4096, 16 << 20
 ROUNDS, BATCH, LEAST_STEPS = 4, 256, 40
 RATE = 0.02
 PRIOR, LEAST_DOCS = 3.0, 5
@@ -119,16 +119,86 @@ def worst(logits: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return best, which
 
 
-def _log_odds(buckets: np.ndarray, doc: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+def _held(buckets: np.ndarray, doc: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """Clean and toxic documents per bucket; a document counts once."""
+    pairs = np.unique(doc.astype(np.int64) * size + buckets)
+    owner, bucket = pairs // size, pairs % size
+    return np.stack([np.bincount(bucket[toxic[owner] == y], minlength=size) for y in (False, True)])
+
+
+def _log_odds(held: np.ndarray, rate: float) -> np.ndarray:
     """Log odds of a toxic document given the bucket, against all documents; 0 for buckets too rare to tell.
 
     A word of its own document alone would mark that document, and teach the network to trust rarity.
     """
-    pairs = np.unique(np.stack([doc.astype(np.int64), buckets.astype(np.int64)]), axis=1)
-    held = [np.bincount(pairs[1][toxic[pairs[0]] == y], minlength=size) for y in (0, 1)]
-    rate = toxic.mean()
     odds = np.log((held[1] + PRIOR * rate) / (held[0] + PRIOR * (1 - rate)) * (1 - rate) / rate)
-    return np.where(held[0] + held[1] >= LEAST_DOCS, odds, 0)
+    return np.where(held.sum(axis=0) >= LEAST_DOCS, odds, 0)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All of start, start + 1, ... for each size, one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _part_of(v: Vocabulary, used: np.ndarray) -> Vocabulary:
+    size = v.gram_start[used + 1] - v.gram_start[used]
+    return Vocabulary(v.word[used], v.gram[_ranges(v.gram_start[used], size)], np.concatenate([[0], np.cumsum(size)]))
+
+
+class _Texts:
+    """Training texts in slices, so that only one slice's numbers are worked out at a time."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray):
+        self.toxic, self.slices = toxic, []
+        for part in w.slices(pa.array(texts, pa.large_string())):
+            v, index, bounds = read(part)
+            self.slices.append((v, index, bounds, windows(bounds), part.first))
+
+    def log_odds(self) -> tuple[np.ndarray, np.ndarray]:
+        word, gram = np.zeros((2, WORD_BUCKETS), dtype=np.int64), np.zeros((2, GRAM_BUCKETS), dtype=np.int64)
+        for v, index, bounds, _, first in self.slices:
+            toxic = self.toxic[first:first + len(bounds) - 1]
+            doc = np.repeat(np.arange(len(toxic)), np.diff(bounds))
+            known = np.unique(doc * len(v.word) + index) if len(index) else doc
+            doc, index = known // max(len(v.word), 1), known % max(len(v.word), 1)
+            size = np.diff(v.gram_start)[index]
+            word += _held(v.word[index], doc, toxic, WORD_BUCKETS)
+            gram += _held(v.gram[_ranges(v.gram_start[index], size)], np.repeat(doc, size), toxic, GRAM_BUCKETS)
+        rate = self.toxic.mean()
+        return _log_odds(word, rate), _log_odds(gram, rate)
+
+    def scored(self, score) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Best score per document, and per slice the windows that have it."""
+        best, which = np.full(len(self.toxic), -np.inf), []
+        for v, index, bounds, (first, last, owner), at in self.slices:
+            top, place = worst(score(v, index, first, last) if len(first) else np.zeros(0), owner, len(bounds) - 1)
+            best[at:at + len(top)] = top
+            which.append(place)
+        return best, which
+
+    def chosen(self, which: list[np.ndarray], rng: np.random.Generator):
+        """Vocabulary, word matrix, mask and label of the given windows and of one at random per clean document."""
+        parts, words, masks, labels, base = [], [], [], [], 0
+        for (v, index, bounds, (first, last, owner), at), place in zip(self.slices, which):
+            toxic = self.toxic[at:at + len(place)]
+            picked, label = place[place >= 0], toxic[place >= 0]
+            clean = np.flatnonzero(~toxic[owner])
+            extra = rng.choice(clean, min(len(clean), len(picked)), replace=False) if len(clean) else clean
+            picked = np.concatenate([picked, extra])
+            if not len(picked):
+                continue
+            word, mask = steps(first[picked], last[picked], index)
+            used, inverse = np.unique(word, return_inverse=True)
+            parts.append(_part_of(v, used))
+            words.append(inverse.reshape(word.shape) + base)
+            masks.append(mask)
+            labels.append(np.concatenate([label, np.zeros(len(extra), dtype=bool)]))
+            base += len(used)
+        starts = np.cumsum([0, *(len(p.gram) for p in parts)])
+        whole = Vocabulary(np.concatenate([p.word for p in parts]), np.concatenate([p.gram for p in parts]),
+                           np.concatenate([*(p.gram_start[:-1] + s for p, s in zip(parts, starts)), starts[-1:]]))
+        return whole, np.concatenate(words), np.concatenate(masks), np.concatenate(labels)
 
 
 class _Step:
@@ -153,50 +223,36 @@ def trained(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int
     if not len(texts) or toxic.all() or not toxic.any():
         return None
     rng = np.random.default_rng(seed)
-    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
-    v, index, bounds = read(w.Slice(0, len(texts), data, offsets))
-    if not len(index):
-        return None
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    # character grams per occurrence would be large: a word's grams count where the word does
-    size = np.diff(v.gram_start)
-    pairs = np.unique(np.stack([doc, index]), axis=1)
-    gram_doc = np.repeat(pairs[0], size[pairs[1]])
-    place = np.repeat(v.gram_start[pairs[1]], size[pairs[1]]) + (
-        np.arange(len(gram_doc)) - np.repeat(np.concatenate([[0], np.cumsum(size[pairs[1]])[:-1]]), size[pairs[1]]))
+    read_ = _Texts(texts, toxic)
     word = (0.1 * rng.standard_normal((WORD_BUCKETS, WORD_SIZE))).astype(np.float32)
     gram = (0.02 * rng.standard_normal((GRAM_BUCKETS, GRAM_SIZE))).astype(np.float32)
-    word[:, 0] = np.clip(_log_odds(v.word[pairs[1]], pairs[0], toxic, WORD_BUCKETS), -1, 3)
-    gram[:, 0] = 0.3 * np.clip(_log_odds(v.gram[place], gram_doc, toxic, GRAM_BUCKETS), -1, 3)
+    word_odds, gram_odds = read_.log_odds()
+    word[:, 0], gram[:, 0] = np.clip(word_odds, -1, 3), 0.3 * np.clip(gram_odds, -1, 3)
     model = Model(gru.initial(WORD_SIZE + GRAM_SIZE, HIDDEN, rng), word, gram)
-    first, last, owner = windows(bounds)
-    # the first choice of windows: most evidence by the starting embeddings
-    x, _ = inputs(model, v)
-    evidence = np.maximum(x[:, 0] + 2 * x[:, WORD_SIZE], 0)[index]
-    sums = np.concatenate([[0], np.cumsum(evidence)])
-    scores = (sums[last] - sums[first]).astype(np.float32)
+
+    def evidence(v, index, first, last):
+        x, _ = inputs(model, v)
+        sums = np.concatenate([[0], np.cumsum(np.maximum(x[:, 0] + 2 * x[:, WORD_SIZE], 0)[index])])
+        return sums[last] - sums[first]
+
+    def answer(v, index, first, last):
+        return window_logits(model, v, index, first, last)
+
     step = _Step(RATE)
     for number in range(rounds):
-        if number:
-            scores = window_logits(model, v, index, first, last)
-        _, which = worst(scores, owner, len(texts))
-        chosen = np.flatnonzero(which >= 0)
-        picked, label = which[chosen], toxic[chosen]
-        # for every clean document a window at random as well
-        clean = np.flatnonzero(~toxic[owner])
-        extra = rng.choice(clean, min(len(clean), len(chosen)), replace=False) if len(clean) else clean
-        picked = np.concatenate([picked, extra])
-        label = np.concatenate([label, np.zeros(len(extra), dtype=bool)])
+        # the first choice of windows: most evidence by the starting embeddings
+        best, which = read_.scored(answer if number else evidence)
+        if not np.isfinite(best).any():
+            return None
+        v, words, mask, label = read_.chosen(which, rng)
         balance = np.where(label, 0.5 / max(label.sum(), 1), 0.5 / max((~label).sum(), 1)) * len(label) / BATCH
-        for _ in range(max(2, -(-LEAST_STEPS * BATCH // len(picked)))):
-            order = rng.permutation(len(picked))
+        for _ in range(max(2, -(-LEAST_STEPS * BATCH // len(label)))):
+            order = rng.permutation(len(label))
             for at in range(0, len(order), BATCH):
                 rows = order[at:at + BATCH]
-                _learn(model, step, v, *steps(first[picked[rows]], last[picked[rows]], index),
-                       label[rows].astype(np.float32), balance[rows].astype(np.float32))
-    scores = window_logits(model, v, index, first, last)
-    best, _ = worst(scores, owner, len(texts))
+                _learn(model, step, v, words[rows], mask[rows], label[rows].astype(np.float32),
+                       balance[rows].astype(np.float32))
+    best, _ = read_.scored(answer)
     # the most toxic of many windows: move the bias to where the documents part best
     model.params["bias"][0] -= _parting(best[np.isfinite(best)], toxic[np.isfinite(best)])
     return model
@@ -219,10 +275,8 @@ def _parting(score: np.ndarray, toxic: np.ndarray) -> float:
 
 def _learn(model: Model, step: _Step, v: Vocabulary, word: np.ndarray, mask: np.ndarray, y, weight) -> None:
     used, inverse = np.unique(word, return_inverse=True)
-    size = v.gram_start[used + 1] - v.gram_start[used]
-    starts = np.concatenate([[0], np.cumsum(size)])
-    place = np.repeat(v.gram_start[used] - starts[:-1], size) + np.arange(starts[-1])
-    small = Vocabulary(v.word[used], v.gram[place], starts)
+    small = _part_of(v, used)
+    size = np.diff(small.gram_start)
     x, squashed = inputs(model, small)
     inverse = inverse.reshape(word.shape)
     _, grads, d_x = gru.loss_gradients(model.params, x[inverse], mask, y, weight)
@@ -245,7 +299,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     chosen = ranked(1, FIT_TOXIC).union(ranked(0, FIT_CLEAN))
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
     sizes = rows.select("doc_id", "toxic", F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("draw")
-                        ).toPandas().sort_values(["draw", "doc_id", "size"])  # one short row per chosen document
+                        ).toPandas().sort_values(["draw", "doc_id", "size"])  # one short row per document
     fits = sizes[sizes["size"].cumsum() <= FIT_BYTES]["doc_id"].drop_duplicates()
     if not len(fits):
         return None
