@@ -34,6 +34,7 @@ NEAR_WORDS = 8
 TERM_CHARS = 3
 FILTER_BITS = 1 << 22
 FILTER_WORD = 32
+TERMS_HELD = 1 << 18
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -146,11 +147,15 @@ def _read(documents: DataFrame, text: str) -> DataFrame:
 
 
 def _term_documents(documents: DataFrame, text: str, packed) -> DataFrame:
-    """Documents per term, for terms that pass the filter; counted per slice before the shuffle."""
+    """Documents per term, for terms that pass the filter; counted within tasks before the shuffle."""
     schema = T.StructType([field("term", LONG), field("n", LONG)])
 
+    def told(terms, counts):
+        return pa.RecordBatch.from_arrays([pa.array(w.signed(terms)), pa.array(counts)], names=schema.names)
+
     def run(batches):
         allowed = np.unpackbits(packed.value).astype(bool)
+        terms, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         for batch in batches:
             for part in w.slices(batch.column(0)):
                 words = w.words_of(part, w.ALNUM, w.FOLDED_VALUES)
@@ -160,21 +165,32 @@ def _term_documents(documents: DataFrame, text: str, packed) -> DataFrame:
                 code, doc = code[order], doc[order]
                 fresh = np.ones(len(code), dtype=bool)
                 fresh[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
-                term, n = np.unique(code[fresh], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w.signed(term)), pa.array(n.astype(np.int64))],
-                                                 names=["term", "n"])
+                both = np.concatenate([terms, code[fresh]])
+                weight = np.concatenate([counts, np.ones(int(fresh.sum()), dtype=np.int64)])
+                terms, place = np.unique(both, return_inverse=True)
+                counts = np.bincount(place, weights=weight, minlength=len(terms)).astype(np.int64)
+                if len(terms) > TERMS_HELD:
+                    yield told(terms, counts)
+                    terms, counts = terms[:0], counts[:0]
+        yield told(terms, counts)
 
     return documents.select(text).mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing(near: DataFrame, documents: DataFrame, text: str = "text", disclosure: float = DISCLOSURE,
                support: int = SUPPORT) -> DataFrame:
-    """(entity, term) pairs beyond the threshold, from rows (entity, around, term) and the whole corpus."""
+    """(entity, term) pairs beyond the threshold, from rows (key, entity, around, term) and the whole corpus."""
     spark = documents.sparkSession
     seen = near.select("entity", "around", "term").distinct()
     entities = (near.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("n_c")))
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= support)
-    pairs = staged(pairs, "term-pairs")
+    total = F.lit(float(documents.count()))
+    # a term is in as many documents as it is near entities in, at least: what that rules out needs no counting
+    least = near.select("term", *KEY).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = staged(
+        seen.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= support)
+        .join(entities, "entity").join(least, "term").withColumn("content", F.log2(total / F.col("n_c")))
+        .withColumn("most", F.log2(total * F.col("n_ct") / (F.col("n_c") * F.col("n_near"))))
+        .filter((F.col("content") > 0) & (F.col("most") >= disclosure * F.col("content"))), "term-pairs")
     bit = F.col("term").bitwiseAND(F.lit(FILTER_BITS - 1))
     cells = (pairs.select(bit.alias("bit")).groupBy((F.col("bit") / FILTER_WORD).cast("long").alias("cell"))
              .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(bit % {FILTER_WORD} as int))")).alias("bits")))
@@ -183,12 +199,9 @@ def disclosing(near: DataFrame, documents: DataFrame, text: str = "text", disclo
         base = row.cell * FILTER_WORD
         passing[base:base + FILTER_WORD] = (row.bits >> np.arange(FILTER_WORD)) & 1 == 1
     packed = spark.sparkContext.broadcast(np.packbits(passing))
-    total = F.lit(float(documents.count()))
-    informed = (pairs.join(entities, "entity").join(_term_documents(documents, text, packed), "term")
-                .withColumn("content", F.log2(total / F.col("n_c")))
-                .withColumn("revealed", F.log2(total * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))))
-    return (informed.filter((F.col("content") > 0) & (F.col("revealed") >= disclosure * F.col("content")))
-            .select("entity", "term"))
+    informed = pairs.join(_term_documents(documents, text, packed), "term").withColumn(
+        "revealed", F.log2(total * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))))
+    return informed.filter(F.col("revealed") >= disclosure * F.col("content")).select("entity", "term")
 
 
 def find(documents: DataFrame) -> DataFrame:
