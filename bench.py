@@ -12,7 +12,7 @@ import time
 
 from eventwarden import registry
 from eventwarden.plans.desk import desk
-from eventwarden.session import build_session
+from eventwarden.session import build_session, clear_work_folder
 
 HEADLINE = [
     "threshold_count", "threshold_distinct", "rule_brute_force_001", "rule_brute_force_003", "rule_lateral_movement_001",
@@ -41,6 +41,7 @@ def main() -> None:
         start = time.time()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
+    clear_work_folder(spark)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": float(os.path.basename(folder.rstrip("/")).replace("sf", "") or 0),

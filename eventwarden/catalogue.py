@@ -16,68 +16,68 @@ TACTICS = [
 
 # Technique id, name, tactic ids.
 TECHNIQUES = [
-    ("T1110", "Brute Force", "TA0006"),
-    ("T1110.001", "Brute Force: Password Guessing", "TA0006"),
-    ("T1110.003", "Brute Force: Password Spraying", "TA0006"),
-    ("T1110.004", "Brute Force: Credential Stuffing", "TA0006"),
-    ("T1078", "Valid Accounts", "TA0001 TA0003 TA0004 TA0005"),
-    ("T1078.002", "Valid Accounts: Domain Accounts", "TA0001 TA0003 TA0004 TA0005"),
-    ("T1078.003", "Valid Accounts: Local Accounts", "TA0001 TA0003 TA0004 TA0005"),
-    ("T1078.004", "Valid Accounts: Cloud Accounts", "TA0001 TA0003 TA0004 TA0005"),
-    ("T1087", "Account Discovery", "TA0007"),
-    ("T1087.001", "Account Discovery: Local Account", "TA0007"),
-    ("T1087.002", "Account Discovery: Domain Account", "TA0007"),
-    ("T1087.004", "Account Discovery: Cloud Account", "TA0007"),
-    ("T1082", "System Information Discovery", "TA0007"),
-    ("T1033", "System Owner/User Discovery", "TA0007"),
-    ("T1057", "Process Discovery", "TA0007"),
-    ("T1069", "Permission Groups Discovery", "TA0007"),
-    ("T1069.003", "Permission Groups Discovery: Cloud Groups", "TA0007"),
-    ("T1046", "Network Service Discovery", "TA0007"),
-    ("T1518", "Software Discovery", "TA0007"),
-    ("T1526", "Cloud Service Discovery", "TA0007"),
-    ("T1580", "Cloud Infrastructure Discovery", "TA0007"),
-    ("T1059", "Command and Scripting Interpreter", "TA0002"),
-    ("T1059.001", "Command and Scripting Interpreter: PowerShell", "TA0002"),
-    ("T1059.004", "Command and Scripting Interpreter: Unix Shell", "TA0002"),
-    ("T1548", "Abuse Elevation Control Mechanism", "TA0004 TA0005"),
-    ("T1548.001", "Abuse Elevation Control Mechanism: Setuid and Setgid", "TA0004 TA0005"),
-    ("T1548.003", "Abuse Elevation Control Mechanism: Sudo and Sudo Caching", "TA0004 TA0005"),
-    ("T1068", "Exploitation for Privilege Escalation", "TA0004"),
-    ("T1134", "Access Token Manipulation", "TA0004 TA0005"),
-    ("T1098", "Account Manipulation", "TA0003 TA0004"),
-    ("T1098.001", "Account Manipulation: Additional Cloud Credentials", "TA0003 TA0004"),
-    ("T1098.003", "Account Manipulation: Additional Cloud Roles", "TA0003 TA0004"),
-    ("T1098.004", "Account Manipulation: SSH Authorized Keys", "TA0003 TA0004"),
-    ("T1136", "Create Account", "TA0003"),
-    ("T1136.001", "Create Account: Local Account", "TA0003"),
-    ("T1136.003", "Create Account: Cloud Account", "TA0003"),
-    ("T1053", "Scheduled Task/Job", "TA0002 TA0003 TA0004"),
-    ("T1053.003", "Scheduled Task/Job: Cron", "TA0002 TA0003 TA0004"),
-    ("T1053.005", "Scheduled Task/Job: Scheduled Task", "TA0002 TA0003 TA0004"),
-    ("T1543", "Create or Modify System Process", "TA0003 TA0004"),
-    ("T1543.002", "Create or Modify System Process: Systemd Service", "TA0003 TA0004"),
-    ("T1543.003", "Create or Modify System Process: Windows Service", "TA0003 TA0004"),
-    ("T1021", "Remote Services", "TA0008"),
-    ("T1021.001", "Remote Services: Remote Desktop Protocol", "TA0008"),
-    ("T1021.004", "Remote Services: SSH", "TA0008"),
-    ("T1021.006", "Remote Services: Windows Remote Management", "TA0008"),
-    ("T1570", "Lateral Tool Transfer", "TA0008"),
-    ("T1105", "Ingress Tool Transfer", "TA0011"),
-    ("T1071", "Application Layer Protocol", "TA0011"),
-    ("T1071.001", "Application Layer Protocol: Web Protocols", "TA0011"),
-    ("T1552", "Unsecured Credentials", "TA0006"),
-    ("T1552.004", "Unsecured Credentials: Private Keys", "TA0006"),
-    ("T1003", "OS Credential Dumping", "TA0006"),
-    ("T1003.008", "OS Credential Dumping: /etc/passwd and /etc/shadow", "TA0006"),
-    ("T1562", "Impair Defenses", "TA0005"),
-    ("T1562.001", "Impair Defenses: Disable or Modify Tools", "TA0005"),
-    ("T1562.008", "Impair Defenses: Disable or Modify Cloud Logs", "TA0005"),
-    ("T1070", "Indicator Removal", "TA0005"),
-    ("T1484", "Domain or Tenant Policy Modification", "TA0003 TA0004"),
-    ("T1041", "Exfiltration Over C2 Channel", "TA0010"),
-    ("T1567", "Exfiltration Over Web Service", "TA0010"),
-    ("T1530", "Data from Cloud Storage", "TA0009"),
+    ("T1110", "Brute Force", ("TA0006",)),
+    ("T1110.001", "Brute Force: Password Guessing", ("TA0006",)),
+    ("T1110.003", "Brute Force: Password Spraying", ("TA0006",)),
+    ("T1110.004", "Brute Force: Credential Stuffing", ("TA0006",)),
+    ("T1078", "Valid Accounts", ("TA0001", "TA0003", "TA0004", "TA0005")),
+    ("T1078.002", "Valid Accounts: Domain Accounts", ("TA0001", "TA0003", "TA0004", "TA0005")),
+    ("T1078.003", "Valid Accounts: Local Accounts", ("TA0001", "TA0003", "TA0004", "TA0005")),
+    ("T1078.004", "Valid Accounts: Cloud Accounts", ("TA0001", "TA0003", "TA0004", "TA0005")),
+    ("T1087", "Account Discovery", ("TA0007",)),
+    ("T1087.001", "Account Discovery: Local Account", ("TA0007",)),
+    ("T1087.002", "Account Discovery: Domain Account", ("TA0007",)),
+    ("T1087.004", "Account Discovery: Cloud Account", ("TA0007",)),
+    ("T1082", "System Information Discovery", ("TA0007",)),
+    ("T1033", "System Owner/User Discovery", ("TA0007",)),
+    ("T1057", "Process Discovery", ("TA0007",)),
+    ("T1069", "Permission Groups Discovery", ("TA0007",)),
+    ("T1069.003", "Permission Groups Discovery: Cloud Groups", ("TA0007",)),
+    ("T1046", "Network Service Discovery", ("TA0007",)),
+    ("T1518", "Software Discovery", ("TA0007",)),
+    ("T1526", "Cloud Service Discovery", ("TA0007",)),
+    ("T1580", "Cloud Infrastructure Discovery", ("TA0007",)),
+    ("T1059", "Command and Scripting Interpreter", ("TA0002",)),
+    ("T1059.001", "Command and Scripting Interpreter: PowerShell", ("TA0002",)),
+    ("T1059.004", "Command and Scripting Interpreter: Unix Shell", ("TA0002",)),
+    ("T1548", "Abuse Elevation Control Mechanism", ("TA0004", "TA0005")),
+    ("T1548.001", "Abuse Elevation Control Mechanism: Setuid and Setgid", ("TA0004", "TA0005")),
+    ("T1548.003", "Abuse Elevation Control Mechanism: Sudo and Sudo Caching", ("TA0004", "TA0005")),
+    ("T1068", "Exploitation for Privilege Escalation", ("TA0004",)),
+    ("T1134", "Access Token Manipulation", ("TA0004", "TA0005")),
+    ("T1098", "Account Manipulation", ("TA0003", "TA0004")),
+    ("T1098.001", "Account Manipulation: Additional Cloud Credentials", ("TA0003", "TA0004")),
+    ("T1098.003", "Account Manipulation: Additional Cloud Roles", ("TA0003", "TA0004")),
+    ("T1098.004", "Account Manipulation: SSH Authorized Keys", ("TA0003", "TA0004")),
+    ("T1136", "Create Account", ("TA0003",)),
+    ("T1136.001", "Create Account: Local Account", ("TA0003",)),
+    ("T1136.003", "Create Account: Cloud Account", ("TA0003",)),
+    ("T1053", "Scheduled Task/Job", ("TA0002", "TA0003", "TA0004")),
+    ("T1053.003", "Scheduled Task/Job: Cron", ("TA0002", "TA0003", "TA0004")),
+    ("T1053.005", "Scheduled Task/Job: Scheduled Task", ("TA0002", "TA0003", "TA0004")),
+    ("T1543", "Create or Modify System Process", ("TA0003", "TA0004")),
+    ("T1543.002", "Create or Modify System Process: Systemd Service", ("TA0003", "TA0004")),
+    ("T1543.003", "Create or Modify System Process: Windows Service", ("TA0003", "TA0004")),
+    ("T1021", "Remote Services", ("TA0008",)),
+    ("T1021.001", "Remote Services: Remote Desktop Protocol", ("TA0008",)),
+    ("T1021.004", "Remote Services: SSH", ("TA0008",)),
+    ("T1021.006", "Remote Services: Windows Remote Management", ("TA0008",)),
+    ("T1570", "Lateral Tool Transfer", ("TA0008",)),
+    ("T1105", "Ingress Tool Transfer", ("TA0011",)),
+    ("T1071", "Application Layer Protocol", ("TA0011",)),
+    ("T1071.001", "Application Layer Protocol: Web Protocols", ("TA0011",)),
+    ("T1552", "Unsecured Credentials", ("TA0006",)),
+    ("T1552.004", "Unsecured Credentials: Private Keys", ("TA0006",)),
+    ("T1003", "OS Credential Dumping", ("TA0006",)),
+    ("T1003.008", "OS Credential Dumping: /etc/passwd and /etc/shadow", ("TA0006",)),
+    ("T1562", "Impair Defenses", ("TA0005",)),
+    ("T1562.001", "Impair Defenses: Disable or Modify Tools", ("TA0005",)),
+    ("T1562.008", "Impair Defenses: Disable or Modify Cloud Logs", ("TA0005",)),
+    ("T1070", "Indicator Removal", ("TA0005",)),
+    ("T1484", "Domain or Tenant Policy Modification", ("TA0003", "TA0004")),
+    ("T1041", "Exfiltration Over C2 Channel", ("TA0010",)),
+    ("T1567", "Exfiltration Over Web Service", ("TA0010",)),
+    ("T1530", "Data from Cloud Storage", ("TA0009",)),
 ]
 
 
@@ -87,7 +87,7 @@ def tactics(spark: SparkSession) -> DataFrame:
 
 def techniques(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
-        [(t, n, x.split()) for t, n, x in TECHNIQUES], "technique_id string, name string, tactic_ids array<string>")
+        [(t, n, list(x)) for t, n, x in TECHNIQUES], "technique_id string, name string, tactic_ids array<string>")
 
 
 def technique_tactics(spark: SparkSession) -> DataFrame:

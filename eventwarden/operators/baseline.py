@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 from eventwarden.functions import net
 from eventwarden.model import micros
 
-MAX_VALUES_PER_FEATURE = 250
 HOUR_US = 3_600_000_000
 
 FEATURES = ["login_hours", "source_ips", "hosts", "cloud_apis", "cloud_hours"]
@@ -39,17 +38,14 @@ def observations(events: DataFrame) -> DataFrame:
     ).select("entity_ref", "us", "o.feature", "o.value")
 
 
-def frequency_table(events: DataFrame, keep: int | None = MAX_VALUES_PER_FEATURE) -> DataFrame:
-    """``(entity_ref, feature, value, n, observation_count)``, keeping the most observed values."""
+def frequency_table(events: DataFrame, keep: int | None = None) -> DataFrame:
+    """``(entity_ref, feature, value, n, observation_count)``; with ``keep``, the most observed values only."""
     counts = observations(events).groupBy("entity_ref", "feature", "value").agg(F.count("*").alias("n"))
     totals = counts.groupBy("entity_ref", "feature").agg(F.sum("n").alias("observation_count"))
-    if keep is not None:
-        best = Window.partitionBy("entity_ref", "feature").orderBy(F.desc("n"), "value")
-        counts = counts.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= keep).drop("_rank")
-    return counts.join(totals, ["entity_ref", "feature"])
+    return _most_observed(counts, keep).join(totals, ["entity_ref", "feature"])
 
 
-def merge_frequencies(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+def merge_frequencies(stored: DataFrame, fresh: DataFrame, keep: int | None = None) -> DataFrame:
     """Fold a batch's frequency table into the stored one."""
     both = stored.select("entity_ref", "feature", "value", "n").unionByName(
         fresh.select("entity_ref", "feature", "value", "n"))
@@ -59,13 +55,18 @@ def merge_frequencies(stored: DataFrame, fresh: DataFrame) -> DataFrame:
         .unionByName(fresh.select("entity_ref", "feature", "observation_count").distinct())
         .groupBy("entity_ref", "feature").agg(F.sum("observation_count").alias("observation_count"))
     )
+    return _most_observed(counts, keep).join(totals, ["entity_ref", "feature"])
+
+
+def _most_observed(counts: DataFrame, keep: int | None) -> DataFrame:
+    if keep is None:
+        return counts
     best = Window.partitionBy("entity_ref", "feature").orderBy(F.desc("n"), "value")
-    counts = counts.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= MAX_VALUES_PER_FEATURE)
-    return counts.drop("_rank").join(totals, ["entity_ref", "feature"])
+    return counts.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= keep).drop("_rank")
 
 
 def as_maps(table: DataFrame) -> DataFrame:
-    """Wide form: one value map per (account, feature). Maps hold at most the kept values."""
+    """Wide form: one value map per (account, feature); for tables cut by ``keep``, which bounds the maps."""
     return table.groupBy("entity_ref", "feature").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("frequencies"),
         F.max("observation_count").alias("observation_count"),

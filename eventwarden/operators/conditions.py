@@ -18,7 +18,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventwarden.model import EVENT_TYPES_BY_COLUMN, FIELD_ALIASES, MAX_REGEX_SUBJECT, METADATA_TYPES
+from eventwarden.model import EVENT_TYPES_BY_COLUMN, FIELD_ALIASES, METADATA_TYPES
 
 RULE_OPERATORS = [
     "eq", "not_eq", "in", "not_in", "contains", "not_contains", "startswith", "endswith",
@@ -109,7 +109,7 @@ def _edge(column: Column, kind: str, value: Any, exact: bool, method: str) -> Co
 
 
 def _regex(column: Column, kind: str, value: Any, exact: bool) -> Column:
-    subject = F.substring(_as_text(column, kind), 1, MAX_REGEX_SUBJECT)
+    subject = _as_text(column, kind)
     prefix = "" if exact else "(?i)"
     return reduce(or_, [subject.rlike(prefix + str(p)) for p in _listed(value)])
 

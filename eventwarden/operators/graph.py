@@ -66,8 +66,8 @@ def event_edges(events: DataFrame) -> DataFrame:
     return events.select("incident_id", "event_id", "us", F.explode(edges).alias("x")).select("incident_id", "event_id", "us", "x.*")
 
 
-def incident_graph(events: DataFrame, alerts: DataFrame, alert_entities: DataFrame, ioc_matches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All nodes and edges of every incident, unpruned."""
+def _nodes_and_rows(events: DataFrame, alerts: DataFrame, alert_entities: DataFrame, ioc_matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All nodes, and one row per edge and the event (or alert) that shows it."""
     spark = events.sparkSession
     seen = event_nodes(events)
     rank = severity_rank(F.col("severity"))
@@ -100,13 +100,30 @@ def incident_graph(events: DataFrame, alerts: DataFrame, alert_entities: DataFra
         F.lit("matches").alias("relation"),
     ).join(exists, ["incident_id", "target"], "left_semi")
     rows = event_edges(events).unionByName(detected).unionByName(maps).unionByName(matched)
-    keys = ["incident_id", "source", "target", "relation"]
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("count"))
-    order = Window.partitionBy(*keys).orderBy("us", "event_id")
-    distinct_ids = rows.filter("event_id IS NOT NULL").select(*keys, "event_id", "us").distinct()
-    ids = distinct_ids.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= MAX_EDGE_EVENTS).groupBy(*keys).agg(
+    return nodes, rows
+
+
+EDGE = ["incident_id", "source", "target", "relation"]
+
+
+def _evidence(rows: DataFrame) -> DataFrame:
+    return rows.filter("event_id IS NOT NULL").select(*EDGE, "event_id", "us").distinct()
+
+
+def edge_evidence(events: DataFrame, alerts: DataFrame, alert_entities: DataFrame, ioc_matches: DataFrame) -> DataFrame:
+    """``(edge, event_id, us)``: every event behind every edge."""
+    return _evidence(_nodes_and_rows(events, alerts, alert_entities, ioc_matches)[1])
+
+
+def incident_graph(events: DataFrame, alerts: DataFrame, alert_entities: DataFrame, ioc_matches: DataFrame,
+                   preview: int = MAX_EDGE_EVENTS) -> tuple[DataFrame, DataFrame]:
+    """All nodes and edges of every incident, unpruned; an edge shows its ``preview`` first events."""
+    nodes, rows = _nodes_and_rows(events, alerts, alert_entities, ioc_matches)
+    counts = rows.groupBy(*EDGE).agg(F.count("*").alias("count"))
+    order = Window.partitionBy(*EDGE).orderBy("us", "event_id")
+    ids = _evidence(rows).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= preview).groupBy(*EDGE).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rank", "event_id"))), lambda x: x["event_id"]).alias("event_ids"))
-    return nodes, counts.join(ids, keys, "left")
+    return nodes, counts.join(ids, EDGE, "left")
 
 
 def prune(nodes: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame, DataFrame]:

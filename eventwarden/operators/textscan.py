@@ -85,15 +85,6 @@ def scan(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, hits.alias("h")).select(*keep, "h.*")
 
 
-def scan_many(df: DataFrame, texts: list[str], keep: list[str]) -> DataFrame:
-    """Several text columns of a row, each under its own ``location``."""
-    parts = [scan(df, t, keep).withColumn("location", F.lit(t)) for t in texts]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def redact(text: Column) -> Column:
     """Secrets replaced, in order; a pattern runs only on texts holding a literal it needs."""
     def step(pattern: str, replacement: str, needles: list[str]):

@@ -133,6 +133,10 @@ def sequence_rows(events: DataFrame, rules: list[Rule]) -> DataFrame:
                   *_extras(step=F.col("step"), step_index=F.col("step_index")))
 
 
+# what a malformed rule raises while its predicates and plans are built
+RULE_ERRORS = (ValueError, KeyError, TypeError, AttributeError, re.error)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -148,8 +152,10 @@ def fresh_only(evidence: DataFrame, batch: DataFrame) -> DataFrame:
 
 def collect_evidence(events: DataFrame, rules: list[Rule], indicators: DataFrame | None = None,
                      history: DataFrame | None = None, stored: DataFrame | None = None,
-                     candidates: DataFrame | None = None) -> DataFrame:
-    """Evidence of every rule. A rule kind that fails to plan is logged and left out; the others run.
+                     candidates: DataFrame | None = None, skipped: list[str] | None = None) -> DataFrame:
+    """Evidence of every rule. A rule that does not compile is logged and left out, its id added to ``skipped``.
+
+    Errors of Spark jobs are no rule errors: they are raised, so that the batch fails and is run again.
 
     In a micro-batch ``events`` are the new ones and ``candidates`` adds the history the stateful rules look
     back on; their detections count only when they hold a new event.
@@ -170,9 +176,9 @@ def collect_evidence(events: DataFrame, rules: list[Rule], indicators: DataFrame
             return []
         try:
             return [builders[kind](chosen)]
-        except Exception:  # one broken rule must not stop the rest
-            log.exception("rule kind %s failed", kind)
-            return [p for p in (_attempt(builders[kind], rule) for rule in chosen) if p is not None]
+        except RULE_ERRORS:  # one broken rule must not stop the rest
+            log.exception("a %s rule does not compile", kind)
+            return [p for p in (_attempt(builders[kind], rule, skipped) for rule in chosen) if p is not None]
 
     # the kinds are independent, so their intermediate jobs share the cluster
     with ThreadPoolExecutor(max_workers=len(builders)) as pool:
@@ -180,16 +186,18 @@ def collect_evidence(events: DataFrame, rules: list[Rule], indicators: DataFrame
     return _union(parts)
 
 
-def _attempt(build, rule: Rule) -> DataFrame | None:
+def _attempt(build, rule: Rule, skipped: list[str] | None) -> DataFrame | None:
     try:
         return build([rule])
-    except Exception:
-        log.exception("rule %s failed", rule.id)
+    except RULE_ERRORS:
+        log.exception("rule %s does not compile", rule.id)
+        if skipped is not None:
+            skipped.append(rule.id)
         return None
 
 
 def render_title(rule: Rule, values: dict[str, Column], group: Column) -> Column:
-    """A rule's title with event values first, then group values, then ``(unknown)``; 255 characters."""
+    """A rule's title with event values first, then group values, then ``(unknown)``."""
     if not rule.title:
         return F.lit(rule.name)
     fields = [f.replace("metadata.", "") for f in rule.group_by]
@@ -202,7 +210,7 @@ def render_title(rule: Rule, values: dict[str, Column], group: Column) -> Column
             if name in fields:
                 options.append(F.get(group, F.lit(fields.index(name))))
             pieces.append(F.coalesce(*options, F.lit("(unknown)")))
-    return F.substring(F.concat(*pieces), 1, 255)
+    return F.concat(*pieces)
 
 
 def _by_rule(rules: list[Rule], pick) -> Column:

@@ -8,7 +8,6 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from eventwarden.model import micros
 from eventwarden.operators.conditions import compile_filters
@@ -170,14 +169,6 @@ def sequence_hunt(events: DataFrame, hunt: Hunt, now_us: int) -> tuple[DataFrame
     return per_key, found
 
 
-def hunt_steps_summary(found: DataFrame) -> DataFrame:
-    """Per (key, step): events, first time and the ids in order. A step holds its ``min_count`` events."""
-    order = Window.partitionBy("g", "step").orderBy("us", "event_id")
-    return found.withColumn("_n", F.row_number().over(order)).groupBy("g", "step", "step_name").agg(
-        F.count("*").alias("count"), F.min("us").alias("first_us"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", "event_id"))), lambda x: x["event_id"]).alias("event_ids"))
-
-
 def key_of(*columns: str) -> Column:
     return group_id(F.array(*[F.lower(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in columns]))
 

@@ -71,8 +71,18 @@ def incident_keys(alerts: DataFrame, alert_entities: DataFrame) -> DataFrame:
         F.count("*").alias("alert_count"))
 
 
-def technique_rollup(alerts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per (incident, technique): confidence, first and last evidence, rules and up to 50 evidence ids."""
+def technique_evidence(alerts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``(incident_id, technique_id, event_id, us)``: all evidence of every technique, once each."""
+    tagged = alerts.select("alert_id", "incident_id", F.explode(F.array_distinct("technique_ids")).alias("technique_id"))
+    return evidence.select("alert_id", "event_id", "us").join(tagged, "alert_id").select(
+        "incident_id", "technique_id", "event_id", "us").distinct()
+
+
+def technique_rollup(alerts: DataFrame, evidence: DataFrame, preview: int = MAX_TECHNIQUE_EVENTS) -> DataFrame:
+    """Per (incident, technique): confidence, first and last evidence, rules and the ``preview`` first evidence ids.
+
+    All evidence is the rows of :func:`technique_evidence`.
+    """
     spark = alerts.sparkSession
     tagged = alerts.select("alert_id", "incident_id", "rule_id", "confidence", "detected_us",
                            F.explode(F.array_distinct("technique_ids")).alias("technique_id"))
@@ -82,11 +92,9 @@ def technique_rollup(alerts: DataFrame, evidence: DataFrame) -> DataFrame:
         F.max("a_last").alias("last_us"), F.min("detected_us").alias("detected_us"),
         F.array_sort(F.collect_set("rule_id")).alias("rule_ids"),  # at most as many as rules
     )
-    pairs = evidence.select("alert_id", "event_id", "us").join(
-        tagged.select("alert_id", "incident_id", "technique_id"), "alert_id").select(
-        "incident_id", "technique_id", "event_id", "us").distinct()
+    pairs = technique_evidence(alerts, evidence)
     rank = Window.partitionBy("incident_id", "technique_id").orderBy("us", "event_id")
-    listed = pairs.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= MAX_TECHNIQUE_EVENTS).groupBy(
+    listed = pairs.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= preview).groupBy(
         "incident_id", "technique_id").agg(F.array_sort(F.collect_list(F.struct("us", "event_id"))).alias("listed"))
     counted = pairs.groupBy("incident_id", "technique_id").agg(F.count("*").alias("event_count"))
     primary = F.broadcast(catalogue.primary_tactics(spark))
@@ -190,7 +198,7 @@ def incident_title() -> Column:
         F.when(users == 1, F.concat(F.lit(" involving "), F.get("users_first", F.lit(0))))
         .when(users > 1, F.concat(F.lit(" involving "), users, F.lit(" accounts"))).otherwise("")
     )
-    return F.substring(F.concat(stages, F.lit(" on "), target, actor), 1, 255)
+    return F.concat(stages, F.lit(" on "), target, actor)
 
 
 def duration_text(seconds: Column) -> Column:
@@ -214,19 +222,27 @@ def incident_summary() -> Column:
     )
 
 
+def linking_entities(keys: DataFrame) -> DataFrame:
+    """``(incident_id, entity, alert_count)`` for every entity that several alerts of an incident touch."""
+    return keys.filter("alert_count > 1").select("incident_id", "entity", "alert_count")
+
+
 def correlation_reason(alerts: DataFrame, events: DataFrame, keys: DataFrame, incidents: DataFrame,
-                       window_seconds: int = CORRELATION_WINDOW_SECONDS) -> DataFrame:
-    """Why the alerts were joined: events by type, up to ten linking entities, contributing rules."""
+                       window_seconds: int = CORRELATION_WINDOW_SECONDS, linking: int = 10) -> DataFrame:
+    """Why the alerts were joined: events by type, the ``linking`` most shared entities, contributing rules.
+
+    All linking entities are the rows of :func:`linking_entities`.
+    """
     by_type = events.groupBy("incident_id", "event_type").agg(F.count("*").alias("n")).groupBy("incident_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "event_type", "n"))),
                     lambda x: F.struct(x["event_type"].alias("event_type"), x["n"].alias("n"))).alias("events_by_type"))
     rank = Window.partitionBy("incident_id").orderBy(F.desc("alert_count"), "entity")
-    linking = keys.filter("alert_count > 1").withColumn("_rank", F.row_number().over(rank)).filter("_rank <= 10").groupBy(
+    shown = linking_entities(keys).withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= linking).groupBy(
         "incident_id").agg(F.transform(
             F.array_sort(F.collect_list(F.struct("_rank", "entity", "alert_count"))),
             lambda x: F.struct(x["entity"].alias("entity"), x["alert_count"].alias("alert_count"))).alias("linking_entities"))
     facts = incidents.select("incident_id", "alert_count", "event_count", "rule_ids", "confidence", "duration_seconds")
-    return facts.join(by_type, "incident_id", "left").join(linking, "incident_id", "left").withColumn(
+    return facts.join(by_type, "incident_id", "left").join(shown, "incident_id", "left").withColumn(
         "window_seconds", F.lit(window_seconds))
 
 

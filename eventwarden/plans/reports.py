@@ -19,41 +19,31 @@ DAY_US = 86_400_000_000
 
 
 def duration_words(seconds: Column) -> Column:
-    minutes, hours = F.floor(seconds / 60), F.floor(seconds / 3600)
-    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return (
-        F.when(seconds < 60, text(seconds.cast("string"), " seconds"))
-        .when(minutes < 60, text(minutes.cast("string"), "m ", (seconds % 60).cast("string"), "s"))
-        .otherwise(text(hours.cast("string"), "h ", (minutes % 60).cast("string"), "m"))
-    )
+    """``2h 05m``, ``5m 10s`` or ``40s``: the two largest units."""
+    part = lambda unit, n: F.format_string(f"%d{unit}", n.cast("long"))
+    hours, minutes, rest = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
+    return F.when(hours > 0, F.concat_ws(" ", part("h", hours), part("m", minutes))).otherwise(
+        F.when(minutes > 0, F.concat_ws(" ", part("m", minutes), part("s", rest))).otherwise(part("s", rest)))
 
 
 def executive_summary(incidents: DataFrame, entities: DataFrame) -> DataFrame:
-    """``(incident_id, body)``: one plain paragraph per incident from stored facts."""
-    external = entities.filter((F.col("kind") == "source_ip") & net.is_external(F.col("value"))).groupBy("incident_id").agg(
+    """``(incident_id, body)``: the stored facts of an incident as labelled clauses, the rating first."""
+    outside = entities.filter((F.col("kind") == "source_ip") & net.is_external(F.col("value"))).groupBy("incident_id").agg(
         F.min("value").alias("origin"))
-    many = lambda n, one, some, none: (
-        F.when(n == 1, one).when(n > 1, F.concat(n.cast("string"), F.lit(some))).otherwise(none))
-    stamp = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    assurance = (
-        F.when(F.col("confidence") >= 0.8, "The evidence is strong.")
-        .when(F.col("confidence") >= 0.6, "The evidence is consistent but not complete.")
-        .otherwise("The evidence is limited.")
-    )
+    day = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    clause = lambda label, *parts: F.concat(F.lit(f"{label} "), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
     body = F.concat_ws(
-        " ",
-        F.concat(F.lit("From "), stamp("first_us"), F.lit(" to "), stamp("last_us"), F.lit(" ("), duration_words(F.col("duration_seconds")),
-                 F.lit(") related activity touched "), many(F.col("hosts_count"), "one system", " systems", "no known system"),
-                 F.lit(" and "), many(F.col("users_count"), "one account", " accounts", "no account"), F.lit(".")),
-        F.when(F.size("stages") > 0, F.concat(F.lit("It went through "), F.lower(F.array_join("stages", ", ")), F.lit("."))),
-        F.when(F.col("origin").isNotNull(), F.concat(F.lit("It came from outside, from "), F.col("origin"), F.lit("."))),
-        F.when(F.col("targeted_count") > 0, F.concat(F.col("targeted_count").cast("string"), F.lit(" more account(s) were tried without success."))),
-        F.concat(F.lit("Rated "), F.upper("severity"), F.lit(" with risk "), F.round("risk_score", 0).cast("int").cast("string"),
-                 F.lit(" of 100 from "), F.col("alert_count").cast("string"), F.lit(" detections over "),
-                 F.col("event_count").cast("string"), F.lit(" events.")),
-        assurance, F.concat(F.lit("The incident is "), F.regexp_replace("status", "_", " "), F.lit(".")),
+        "; ",
+        clause("rating", F.col("severity"), ", risk ", F.round("risk_score", 0).cast("int").cast("string"), "/100"),
+        clause("state", F.col("status")),
+        clause("evidence", number("alert_count"), " detections, ", number("event_count"), " events"),
+        clause("scope", number("hosts_count"), " hosts, ", number("users_count"), " accounts, ", number("targeted_count"), " targeted"),
+        clause("time", day("first_us"), " to ", day("last_us")),
+        F.when(F.size("stages") > 0, clause("stages", F.lower(F.array_join("stages", " > ")))),
+        F.when(F.col("origin").isNotNull(), clause("outside", F.col("origin"))),
     )
-    return incidents.join(external, "incident_id", "left").select("incident_id", body.alias("body"))
+    return incidents.join(outside, "incident_id", "left").select("incident_id", body.alias("body"))
 
 
 def root_cause(incidents: DataFrame, events: DataFrame, chain: DataFrame) -> DataFrame:

@@ -179,11 +179,9 @@ def incident_entities(spark, sf_dir):
 
 
 @query("incident_linking_entities", with_cases("""
-SELECT incident_id, entity, alert_count FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY alert_count DESC, entity) AS rn FROM ik WHERE alert_count > 1) WHERE rn <= 10""", STRETCH))
+SELECT incident_id, entity, alert_count FROM ik WHERE alert_count > 1""", STRETCH))
 def incident_linking_entities(spark, sf_dir):
-    d = desk(spark, sf_dir)
-    reason = incidents.correlation_reason(d.alerts, d.incident_events, d.incident_keys, d.incidents)
-    return reason.select("incident_id", F.explode("linking_entities").alias("x")).select("incident_id", "x.entity", "x.alert_count")
+    return incidents.linking_entities(desk(spark, sf_dir).incident_keys)
 
 
 @query("incident_events_by_type", with_cases("SELECT incident_id, event_type, count(*) AS n FROM ie JOIN ev USING (e) GROUP BY 1, 2", STRETCH))
@@ -201,11 +199,11 @@ def technique_rollup(spark, sf_dir):
         F.array_join("rule_ids", ",").alias("rules"), "event_count")
 
 
-@query("technique_evidence", with_cases("""
-SELECT incident_id, technique_id, event_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY incident_id, technique_id ORDER BY us, event_id) AS rn FROM ite) WHERE rn <= 50""", STRETCH))
+@query("technique_evidence", with_cases("SELECT DISTINCT incident_id, technique_id, event_id FROM ite", STRETCH))
 def technique_evidence(spark, sf_dir):
-    return desk(spark, sf_dir).techniques.select("incident_id", "technique_id", F.explode("event_ids").alias("event_id"))
+    """All evidence of every technique."""
+    d = desk(spark, sf_dir)
+    return incidents.technique_evidence(d.alerts, d.alert_evidence).select("incident_id", "technique_id", "event_id")
 
 
 @query("attack_chain", with_cases("SELECT incident_id, stage, tactic_id, tactic, first_us, last_us, detected_us, confidence, techniques FROM ich", STRETCH))

@@ -266,15 +266,10 @@ def identity_graph_nodes(spark, sf_dir):
 
 
 # ---- timelines ------------------------------------------------------------------------------------
-SUMMARY_SQL = """CASE event_type
-  WHEN 'authentication' THEN coalesce("user", 'unknown account') || CASE status WHEN 'success' THEN ' logged in' ELSE ' failed to log in' END
-    || ' on ' || coalesce(host, 'unknown system') || ' from ' || source_ip || coalesce(' (' || m_failure_reason || ')', '')
-  WHEN 'discovery' THEN coalesce("user", 'unknown account') || ' ran `' || command_line || '` on ' || host
-  WHEN 'privilege' THEN coalesce("user", 'unknown account') || ' raised privileges on ' || host
-  WHEN 'file' THEN coalesce("user", 'unknown account') || ' modify ' || file_path || ' on ' || host || coalesce(' (' || m_persistence_mechanism || ' autostart)', '')
-  WHEN 'network' THEN host || ' connected to ' || destination_ip || ':' || destination_port || ' (tcp, ' || bytes_out || ' bytes out)'
-  WHEN 'account' THEN 'account change on ' || host || ': ' || action || ' (' || coalesce("user", 'unknown account') || ')'
-  ELSE coalesce("user", 'unknown account') || ' performed ' || action || ' on ' || coalesce(host, cloud_account) END"""
+SUMMARY_SQL = """replace(event_type, '_', ' ') || ' ' || status || ': ' || coalesce("user", '-') || ' | ' || coalesce(CASE
+  WHEN event_type = 'authentication' THEN source_ip WHEN event_type IN ('process', 'discovery') THEN coalesce(command_line, process)
+  WHEN event_type = 'file' THEN file_path WHEN event_type = 'network' THEN destination_ip || ':' || destination_port ELSE action END, '-')
+  || ' | ' || coalesce(host, cloud_account, '-')"""
 
 
 @query("event_summary_text", with_ev(f"SELECT event_id, {SUMMARY_SQL} AS summary FROM ev"))
@@ -376,6 +371,14 @@ def graph_nodes(spark, sf_dir):
     return _graph(spark, sf_dir)[0].select("incident_id", "id", "severity", "event_count")
 
 
+@query("graph_edge_evidence", with_cases("""
+SELECT DISTINCT incident_id, source, target, relation, event_id FROM ge0 WHERE event_id IS NOT NULL""", STRETCH, _GRAPH))
+def graph_edge_evidence(spark, sf_dir):
+    """Every event behind every edge."""
+    d = desk(spark, sf_dir)
+    return graph.edge_evidence(d.incident_events, d.alerts, d.alert_entities, d.ioc_matches).drop("us")
+
+
 @query("graph_edges", with_cases("SELECT incident_id, source, target, relation, gc.count, gx.event_ids FROM gc JOIN gx USING (incident_id, source, target, relation)", STRETCH, _GRAPH))
 def graph_edges(spark, sf_dir):
     return _graph(spark, sf_dir)[1].select(

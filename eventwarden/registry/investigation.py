@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventwarden.model import micros
-from eventwarden.plans import detect, evaluate, hunts, listing, reports, respond
+from eventwarden.plans import detect, evaluate, hunts, listing, reports, respond, timeline
 from eventwarden.plans.desk import NOW_US, STRETCH, desk
 from eventwarden.plans.hunts import BUILTIN, Hunt, HuntStep
 from eventwarden.plans.search import classify_term, search, technique_hits
@@ -462,40 +462,29 @@ def root_cause(spark, sf_dir):
         "incident_id", "first_event_id", "initial_tactic", "entry", F.array_join("factors", ",").alias("factors"))
 
 
-_MANY = "CASE WHEN {n} = 1 THEN 'one {w}' WHEN {n} > 1 THEN {n} || ' {w}s' ELSE '{none}' END"
-
-
 @query("executive_summary", with_cases(f"""
-SELECT incident_id, concat_ws(' ',
-  'From ' || strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%SZ') || ' to ' || strftime(make_timestamp(last_us), '%Y-%m-%dT%H:%M:%SZ') || ' (' ||
-    CASE WHEN duration_seconds < 60 THEN duration_seconds || ' seconds' WHEN duration_seconds < 3600 THEN (duration_seconds // 60) || 'm ' || (duration_seconds % 60) || 's'
-      ELSE (duration_seconds // 3600) || 'h ' || (duration_seconds // 60 % 60) || 'm' END || ') related activity touched ' ||
-    {_MANY.format(n="coalesce(h.n, 0)", w="system", none="no known system")} || ' and ' || {_MANY.format(n="coalesce(a.n, 0)", w="account", none="no account")} || '.',
-  CASE WHEN stages IS NOT NULL THEN 'It went through ' || lower(stages) || '.' END,
-  CASE WHEN origin IS NOT NULL THEN 'It came from outside, from ' || origin || '.' END,
-  CASE WHEN t.n > 0 THEN t.n || ' more account(s) were tried without success.' END,
-  'Rated ' || upper(severity) || ' with risk ' || CAST(round(risk_score, 0) AS INTEGER) || ' of 100 from ' || alert_count || ' detections over ' || event_count || ' events.',
-  CASE WHEN confidence >= 0.8 THEN 'The evidence is strong.' WHEN confidence >= 0.6 THEN 'The evidence is consistent but not complete.' ELSE 'The evidence is limited.' END,
-  'The incident is open.') AS body
+SELECT incident_id, concat_ws('; ',
+  'rating ' || severity || ', risk ' || CAST(round(risk_score, 0) AS INTEGER) || '/100', 'state open',
+  'evidence ' || alert_count || ' detections, ' || event_count || ' events',
+  'scope ' || coalesce(h.n, 0) || ' hosts, ' || coalesce(a.n, 0) || ' accounts, ' || coalesce(t.n, 0) || ' targeted',
+  'time ' || strftime(make_timestamp(first_us), '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(make_timestamp(last_us), '%Y-%m-%d %H:%M:%S'),
+  CASE WHEN stages IS NOT NULL THEN 'stages ' || lower(stages) END, CASE WHEN origin IS NOT NULL THEN 'outside ' || origin END) AS body
 FROM inc
 LEFT JOIN (SELECT incident_id, count(*) AS n FROM ien WHERE kind = 'host' GROUP BY 1) h USING (incident_id)
 LEFT JOIN (SELECT incident_id, count(*) AS n FROM ien WHERE kind = 'user' AND role = 'affected' GROUP BY 1) a USING (incident_id)
 LEFT JOIN (SELECT incident_id, count(*) AS n FROM ien WHERE kind = 'user' AND role = 'targeted' GROUP BY 1) t USING (incident_id)
 LEFT JOIN (SELECT incident_id, min(value) AS origin FROM ien WHERE kind = 'source_ip' AND value LIKE '203.%' GROUP BY 1) o USING (incident_id)
-LEFT JOIN (SELECT incident_id, string_agg(tactic, ', ' ORDER BY stage) AS stages FROM ich GROUP BY 1) s USING (incident_id)""", STRETCH))
+LEFT JOIN (SELECT incident_id, string_agg(tactic, ' > ' ORDER BY stage) AS stages FROM ich GROUP BY 1) s USING (incident_id)""", STRETCH))
 def executive_summary(spark, sf_dir):
     """One paragraph per incident."""
     d = desk(spark, sf_dir)
     return reports.executive_summary(d.incidents, d.incident_entities)
 
 
-@query("evidence_list", with_cases("""
-SELECT event_id, us FROM ie JOIN ev USING (e) WHERE incident_id = (SELECT incident_id FROM inc ORDER BY event_count DESC, incident_id LIMIT 1) ORDER BY us, event_id LIMIT 250""", STRETCH))
+@query("evidence_list", with_cases("SELECT incident_id, event_id, us FROM ie JOIN ev USING (e)", STRETCH))
 def evidence_list(spark, sf_dir):
-    """First page of evidence of the largest incident."""
-    d = desk(spark, sf_dir)
-    largest = d.incidents.orderBy(F.desc("event_count"), "incident_id").limit(1).select("incident_id")
-    return d.incident_events.join(largest, "incident_id", "left_semi").orderBy("us", "event_id").limit(250).select("event_id", "us")
+    """Evidence of every incident."""
+    return timeline.evidence_list(desk(spark, sf_dir).incident_events)
 
 
 @query("even_sample", with_ev("""

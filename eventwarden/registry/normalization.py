@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from eventwarden.model import micros
 from eventwarden.plans.desk import desk
 from eventwarden.registry.base import query
 from eventwarden.registry.sql import with_ev
+from eventwarden.session import work_folder
 from eventwarden.sources.inventory import guess_os, guess_user_type, upsert_inventory
 from eventwarden.sources.normalize import NORMALIZERS, normalize
-from eventwarden.sources.raw import raw_records
+from eventwarden.sources.raw import raw_records, read_raw
 
 
 def _source(spark, sf_dir, *sources: str):
@@ -19,6 +22,18 @@ def _source(spark, sf_dir, *sources: str):
     return normalize(raw, now, list(sources))
 
 
+@query("raw_repeated_lines", with_ev("SELECT event_type, 2 * count(*) AS records, 2 * count(*) AS ids FROM ev GROUP BY event_type"))
+def raw_repeated_lines(spark, sf_dir):
+    """Raw files that hold every line twice: equal lines stay separate records."""
+    line = F.to_json(F.struct("event_id", "event_type"))
+    lines = desk(spark, sf_dir).events.select(line.alias("value"))
+    path = f"{work_folder(spark)}/repeated-lines-{uuid.uuid4().hex}"
+    lines.union(lines).repartition(4, "value").write.text(path)
+    raw = read_raw(spark, path, "normalized")
+    return raw.groupBy(F.get_json_object("record", "$.event_type").alias("event_type")).agg(
+        F.count("*").alias("records"), F.count_distinct("record_id").alias("ids"))
+
+
 _meta = lambda k: F.col(f"metadata.`{k}`").alias(k)
 _who = "coalesce(\"user\", 'ghost')"
 _fail = "(event_type = 'authentication' AND status = 'failure')"

@@ -39,6 +39,15 @@ _ids("prd_regex", {"command_line": {"regex": [r"^CURL\s+http", r"find\s.*-perm"]
      r"coalesce(regexp_matches(command_line, '(?i)^CURL\s+http') OR regexp_matches(command_line, '(?i)find\s.*-perm'), FALSE)")
 _ids("prd_not_regex", {"host": {"not_regex": r"^host-1\d$"}},
      r"host IS NULL OR NOT regexp_matches(host, '(?i)^host-1\d$')")
+
+
+@query("prd_regex_long", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)licensed under the .* licen[sc]e')")
+def prd_regex_long(spark, sf_dir):
+    """A pattern anywhere in long texts: nothing is cut before it is searched."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("command_line"))
+    return rows.filter(compile_selection({"command_line": {"regex": r"licensed under the .* licen[sc]e"}})).select("doc_id")
+
+
 _ids("prd_gt", {"bytes_out": {"gt": 2000000}}, "coalesce(bytes_out > 2000000, FALSE)")
 _ids("prd_gte", {"destination_port": {"gte": 445}}, "coalesce(destination_port >= 445, FALSE)")
 _ids("prd_lt", {"destination_port": {"lt": 443}}, "coalesce(destination_port < 443, FALSE)")

@@ -461,7 +461,7 @@ SEVERITY_NAMES = "['info', 'low', 'medium', 'high', 'critical']"
 
 def catalogue_ctes() -> str:
     tactics = ", ".join(f"('{t}', '{n}', {p})" for t, n, p in TACTICS)
-    techniques = ", ".join(f"('{t}', '{n}', string_split('{x}', ' '))" for t, n, x in TECHNIQUES)
+    techniques = ", ".join(f"('{t}', '{n}', string_split('{' '.join(x)}', ' '))" for t, n, x in TECHNIQUES)
     return f"""tc AS (SELECT * FROM (VALUES {tactics}) t(tactic_id, tactic, position)),
 tq AS (SELECT * FROM (VALUES {techniques}) t(technique_id, name, tactic_ids)),
 tt AS (SELECT technique_id, name, x.tactic_id, tactic, position FROM (SELECT technique_id, name, unnest(tactic_ids) AS tactic_id FROM tq) x JOIN tc USING (tactic_id)),

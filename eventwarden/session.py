@@ -1,4 +1,4 @@
-"""Session settings, the shared checkpoint folder and size-checked broadcasts."""
+"""Session settings and the shared work folder."""
 
 from __future__ import annotations
 
@@ -7,14 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
-# Rows up to which a side may be broadcast after counting it.
-BROADCAST_ROW_BOUND = 200_000
-
-
 def build_session(app: str = "eventwarden", cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
     """A local session for tests and benches; a cluster brings its own."""
     builder = (
@@ -82,15 +77,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Hint a broadcast only when the side is counted to be at most ``bound`` rows.
-
-    Counting stops at the bound, so the check never scans a large side to its end. Beyond it the join is
-    left to Spark (sort-merge, with adaptive skew splitting).
-    """
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 def work_folder(spark: SparkSession) -> str:
     """This application's folder for intermediate tables, inside the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/eventwarden/{spark.sparkContext.applicationId}"

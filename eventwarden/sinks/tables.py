@@ -114,7 +114,10 @@ def upsert_alerts(alerts: DataFrame, path: str) -> DataFrame:
     A closed alert is never reopened: a repeat of its key opens a new alert under a fresh id.
     """
     spark = alerts.sparkSession
-    dated = alerts.withColumn("alert_date", event_day(F.expr("(last_us div (dedup_seconds * 1000000)) * dedup_seconds * 1000000")))
+    # a rule without a dedup window has one bucket for all time, as in its key
+    bucket = F.expr("""CASE WHEN dedup_seconds > 0
+        THEN (last_us div nullif(dedup_seconds * 1000000, 0)) * dedup_seconds * 1000000 ELSE CAST(0 AS BIGINT) END""")
+    dated = alerts.withColumn("alert_date", event_day(bucket))
     if exists(spark, path):
         days = [r.alert_date for r in dated.select("alert_date").distinct().collect()]  # the days of one batch
         closed = spark.read.schema(dated.schema).parquet(path).filter(

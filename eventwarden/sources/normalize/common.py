@@ -28,10 +28,6 @@ def present(column: Column) -> Column:
     return F.nullif(column, F.lit(""))
 
 
-def cut(column: Column, limit: int) -> Column:
-    return F.substring(column, 1, limit)
-
-
 def whole(column: Column) -> Column:
     return column.try_cast("bigint")
 
@@ -44,7 +40,7 @@ def stamp(*columns: Column) -> Column:
 def normalized(parsed: DataFrame, values: dict[str, Column], metadata: dict[str, Column], time: Column, reject: Column | None = None) -> DataFrame:
     """Canonical columns plus ``record_id``, ``ts_fallback`` and the record-level ``reject`` reason.
 
-    Texts are cut to their column's cap; a record without a readable time takes its ingest time and says so.
+    Texts stay whole; a record without a readable time takes its ingest time and says so.
     """
     out = parsed.withColumn("_time", time)
     meta = metadata_struct(**metadata)
@@ -53,9 +49,6 @@ def normalized(parsed: DataFrame, values: dict[str, Column], metadata: dict[str,
         "source": F.col("source"),
     }
     merged = {**extra, **values}
-    for name, cap in TEXT_CAPS.items():
-        if name in merged and name not in ("event_id", "source_ip", "destination_ip"):
-            merged[name] = cut(merged[name].cast("string"), cap)
     columns = [
         meta.alias(n) if n == "metadata" else merged.get(n, F.lit(None)).cast(kind).alias(n)
         for n, kind in EVENT_TYPES_BY_COLUMN.items()

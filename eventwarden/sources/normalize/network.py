@@ -123,7 +123,7 @@ def cloud_audit(raw: DataFrame) -> DataFrame:
     metadata = {
         "api_call": api, "identity_type": present(who["type"]),
         "mfa_authenticated": F.lower(who["sessionContext"]["attributes"]["mfaAuthenticated"]) == "true",
-        "user_agent": F.substring("r.userAgent", 1, 255), "read_only": F.coalesce("r.readOnly", F.lit(False)) | inventory,
+        "user_agent": F.col("r.userAgent"), "read_only": F.coalesce("r.readOnly", F.lit(False)) | inventory,
         "iam_category": category, "iam_risk": F.col("iam.col2"), "cloud_discovery": F.when(inventory, True), "policy": policy,
         "high_risk_policy": policy.isin(HIGH_RISK_POLICIES) | policy.contains("Administrator"), "target_principal": target,
         "target_group": present(asked["groupName"]), "error_code": error,

@@ -11,10 +11,16 @@ RAW_DDL = "record_id string, source string, record string, ingested_at timestamp
 
 
 def read_raw(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Files of one JSON record per line, all from one source; the id hashes the file and the record."""
+    """Files of one JSON record per line, all from one source; the id hashes the file, the record and its copy number.
+
+    Equal lines of a file are separate records. They are interchangeable, so they are counted (with map-side combine) and
+    numbered from 1: ids stay the same when a task or a batch is run again.
+    """
     lines = spark.read.text(path).select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("file"))
-    return lines.select(
-        F.sha2(F.concat_ws("|", "file", "record"), 256).alias("record_id"), F.lit(source).alias("source"), "record",
+    copies = lines.groupBy("file", "record").agg(F.count("*").alias("copies")).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return copies.select(
+        F.sha2(F.concat_ws("|", "file", "record", F.col("copy").cast("string")), 256).alias("record_id"), F.lit(source).alias("source"), "record",
         F.current_timestamp().alias("ingested_at"))
 
 

@@ -223,7 +223,14 @@ class SequenceState(StatefulProcessor):
 
 
 def sequence_stream(stream: DataFrame, specs: list[SequenceSpec]) -> DataFrame:
-    """Completed ordered sequences per rule and group as the events arrive."""
+    """Completed ordered sequences per rule and group as the events arrive.
+
+    The state holds counts and times, no values and no skipped steps: rules with constraints across steps or with optional
+    steps are refused here and run in the batch pass of the pipeline.
+    """
+    refused = [s.rule_id for s in specs if s.constraints or any(t.optional for t in s.steps)]
+    if refused:
+        raise ValueError(f"constraints and optional steps need the batch operator: {', '.join(refused)}")
     plans = {
         s.rule_id: ([(t.min_count, t.max_gap_seconds * 1_000_000 if t.max_gap_seconds else None) for t in s.steps], s.window_seconds * 1_000_000)
         for s in specs

@@ -99,8 +99,13 @@ class Pipeline:
             (F.col("event_date") >= first_day) & (F.col("event_date") <= F.date_format(F.lit(high), "yyyy-MM-dd")))
         history = history.select(*[F.col(f"`{n}`") for n in event_schema().fieldNames()])
         candidates = stage(lookback_candidates(history, new, self.lookback_seconds), "candidates")
+        skipped: list[str] = []
         evidence = stage(detect.collect_evidence(
-            new, self.rules, self.indicators, stored=self._latest("baseline", BASELINE_DDL), candidates=candidates), "evidence")
+            new, self.rules, self.indicators, stored=self._latest("baseline", BASELINE_DDL), candidates=candidates,
+            skipped=skipped), "evidence")
+        if skipped:
+            self.spark.createDataFrame([(r,) for r in sorted(set(skipped))], "rule_id string").write.mode(
+                "overwrite").parquet(self.path("skipped_rules"))
         if evidence.isEmpty():
             return None
         detections = stage(detect.summarise(evidence, self.rules), "detections")

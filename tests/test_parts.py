@@ -208,3 +208,59 @@ def test_feed_documents(spark, tmp_path):
     rows = read_feed(spark, str(tmp_path / "feed.json")).collect()
     assert [(r.indicator, r.ioc_type, r.confidence, r.severity, r.tags, r.is_active) for r in rows] == [
         ("203.0.113.9", "ip", 0.5, "medium", ["x", "LOCAL"], True)]
+
+
+def test_equal_raw_lines_are_separate_records(spark, tmp_path):
+    from eventwarden.sources.raw import read_raw
+
+    (tmp_path / "auth.log").write_text('{"a": 1}\n' * 5 + '{"a": 2}\n')
+    first = read_raw(spark, str(tmp_path / "auth.log"), "linux_auth").collect()
+    again = read_raw(spark, str(tmp_path / "auth.log"), "linux_auth").collect()
+    assert len(first) == 6 and len({r.record_id for r in first}) == 6
+    assert {r.record_id for r in first} == {r.record_id for r in again}
+
+
+def test_job_errors_fail_the_batch_and_malformed_rules_do_not(spark, make_events, monkeypatch):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from eventwarden.plans import detect
+    from eventwarden.plans.rulepack import RULES
+
+    events = make_events([{"at": 0, "event_type": "authentication", "status": "failure", "user": "a", "host": "h"}])
+
+    def lost(*_):
+        raise PySparkException("executor lost")
+
+    monkeypatch.setattr(detect, "threshold_rows", lost)
+    with pytest.raises(PySparkException):
+        detect.collect_evidence(events, RULES)
+
+    def malformed(events, rules):
+        raise ValueError("no such operator")
+
+    monkeypatch.setattr(detect, "threshold_rows", malformed)
+    skipped = []
+    detect.collect_evidence(events, RULES, skipped=skipped)
+    assert skipped and all(isinstance(x, str) for x in skipped)
+
+
+def test_streamed_sequences_refuse_what_their_state_cannot_hold(spark, make_events):
+    import pytest
+
+    from eventwarden.operators.sequence import rule_sequence
+    from eventwarden.plans.rulepack import RULES
+    from eventwarden.streaming.operators import sequence_stream
+
+    constrained = [rule_sequence(r) for r in RULES if r.id == "LATERAL_MOVEMENT_001"]
+    with pytest.raises(ValueError):
+        sequence_stream(make_events([]), constrained)
+
+
+def test_alerts_without_a_dedup_window_are_merged_into_one_bucket(spark, tmp_path):
+    from eventwarden.sinks.tables import event_day
+
+    bucket = F.expr("""CASE WHEN dedup_seconds > 0
+        THEN (last_us div nullif(dedup_seconds * 1000000, 0)) * dedup_seconds * 1000000 ELSE CAST(0 AS BIGINT) END""")
+    rows = spark.createDataFrame([(90_000_000_000, 0), (90_000_000_000, 60)], "last_us bigint, dedup_seconds bigint")
+    assert [r.day for r in rows.select(event_day(bucket).alias("day")).collect()] == ["1970-01-01", "1970-01-02"]
