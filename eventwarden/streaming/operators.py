@@ -32,8 +32,8 @@ def admitted(stream: DataFrame, lookback_seconds: int = LOOKBACK_SECONDS, now=No
     return stream.filter(F.col("timestamp") <= now + F.expr("INTERVAL 24 HOURS")).withWatermark("timestamp", f"{lookback_seconds} seconds")
 
 
-def late_or_future(events: DataFrame, watermark_us: int, now_us: int) -> DataFrame:
-    """Quarantine rows of one batch: behind the watermark or more than a day ahead."""
+def late_or_future(events: DataFrame, watermark_us, now_us) -> DataFrame:
+    """Quarantine rows of one batch: behind the watermark (null: none yet) or more than a day ahead."""
     us = F.unix_micros("timestamp")
     reason = F.when(us > now_us + 86_400_000_000, "timestamp is more than 24h in the future").when(us < watermark_us, "late")
     return events.withColumn("reason", reason).filter("reason IS NOT NULL")

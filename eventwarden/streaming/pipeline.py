@@ -18,6 +18,7 @@ from eventwarden.session import prepare, stage
 from eventwarden.sinks import tables
 from eventwarden.sources.inventory import discover_hosts, discover_users, upsert_inventory
 from eventwarden.sources.normalize import normalize, split_rejects
+from eventwarden.streaming.operators import late_or_future
 
 IOC_MATCH_DDL = "ioc_id string, event_id string, matched_field string, ioc_confidence double, event_date string"
 BASELINE_DDL = "entity_ref string, feature string, value string, n bigint, observation_count bigint"
@@ -34,6 +35,8 @@ class Pipeline:
     lookback_seconds: int = LOOKBACK_SECONDS
     window_seconds: int = CORRELATION_WINDOW_SECONDS
     now: object = None
+    # events this far behind the newest event of earlier batches are refused; None admits any lateness
+    lateness_seconds: int | None = None
 
     def path(self, name: str) -> str:
         return f"{self.folder.rstrip('/')}/{name}"
@@ -54,9 +57,11 @@ class Pipeline:
 
         Every write is idempotent per batch, so a batch that failed half-way is simply run again.
         """
-        new = stage(tables.append_events(events.dropDuplicates(["event_id"]), self.path("events"), batch_id), "batch")
+        admitted = self._on_time(events.dropDuplicates(["event_id"]), batch_id)
+        new = stage(tables.append_events(admitted, self.path("events"), batch_id), "batch")
         if new.isEmpty():
             return
+        self._batch_table("watermarks", new.agg(F.max(F.unix_micros("timestamp")).alias("newest_us")), batch_id)
         self._inventory(new, batch_id)
         alerts = self._detect(new)
         if alerts is not None:
@@ -64,6 +69,35 @@ class Pipeline:
         # the baseline learns last: a batch is judged on what came before it
         self._learn(new, batch_id)
 
+    def _batch_table(self, name: str, rows: DataFrame, batch_id: int) -> None:
+        """Rows of one batch; a batch that runs again replaces its own."""
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path(name))
+
+    def _on_time(self, events: DataFrame, batch_id: int) -> DataFrame:
+        """The batch without late and future events, which go to the table ``late`` with a reason."""
+        newest = None
+        if self.lateness_seconds is not None and tables.exists(self.spark, self.path("watermarks")):
+            newest = self.spark.read.schema("newest_us bigint, batch_id int").parquet(self.path("watermarks")).filter(
+                F.col("batch_id") < batch_id).agg(F.max("newest_us")).first()[0]
+        now = F.unix_micros(F.current_timestamp() if self.now is None else self.now)
+        bound = F.lit(None if newest is None else newest - self.lateness_seconds * 1_000_000).cast("bigint")
+        refused = stage(late_or_future(events, bound, now).select("event_id", "source", "reason", "raw"), "late")
+        if refused.isEmpty():
+            return events
+        self._batch_table("late", refused, batch_id)
+        return events.join(refused.select("event_id"), "event_id", "left_anti").select(*events.columns)
+
+    def set_status(self, statuses: DataFrame) -> None:
+        """Records ``(incident_id, status)``; the latest entry counts. Incidents that are not active take no more alerts."""
+        statuses.select("incident_id", "status", F.current_timestamp().alias("at")).write.mode("append").parquet(
+            self.path("incident_status"))
+
+    def _statuses(self) -> DataFrame:
+        stored = tables.read_or_empty(self.spark, self.path("incident_status"),
+                                      StructType.fromDDL("incident_id string, status string, at timestamp"))
+        return stored.groupBy("incident_id").agg(F.max_by("status", "at").alias("status"))
+
     def _snapshot(self, name: str, schema, batch_id: int) -> DataFrame:
         """The table as the latest earlier batch left it."""
         folder = self.path(name)
@@ -149,7 +183,8 @@ class Pipeline:
         low = earliest - self.window_seconds * 1_000_000
         # incidents that ended before the window of the new alerts cannot take any of them
         known = stage(member.groupBy("incident_id").agg(
-            F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.lit("open").alias("status")).filter(F.col("last_us") >= low), "known")
+            F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")).filter(F.col("last_us") >= low).join(
+            self._statuses(), "incident_id", "left").withColumn("status", F.coalesce("status", F.lit("open"))), "known")
         since = min(low, known.agg(F.min("first_us")).first()[0] or low)
         entities = self.spark.read.schema("alert_id string, entity string, event_date string").parquet(self.path("alert_entities")).filter(
             F.col("event_date") >= tables.event_day(F.lit(since))).select("alert_id", "entity")
@@ -165,6 +200,7 @@ class Pipeline:
         fresh = correlate.number_incidents(rest, taken=member.select("incident_id").distinct())
         placed = clusters.join(chosen.unionByName(fresh), "cluster").select("alert_id", "incident_id").join(
             inserted.select("alert_id", "first_us", "last_us"), "alert_id")
+        self._batch_table("merged_incidents", absorbed, batch_id)
         moved = member.join(absorbed, "incident_id", "left").select(
             "alert_id", F.coalesce("into", "incident_id").alias("incident_id"), "first_us", "last_us")
         moved.unionByName(placed).write.mode("overwrite").parquet(f"{self.path('membership')}/batch={batch_id}")

@@ -137,3 +137,33 @@ def test_batch_that_failed_half_way_is_processed_again(spark, make_events, tmp_p
     assert t["events"].count() == 9 and t["alerts"].count() == 5
     assert t["membership"].count() == 5 and t["membership"].select("incident_id").distinct().count() == 2
     assert t["baseline"].filter("feature = 'login_hours'").first().observation_count == 1
+
+
+def test_late_and_future_events_are_refused_with_a_reason(spark, make_events, tmp_path):
+    at = F.lit("2024-01-11 00:00:00").cast("timestamp")
+    p = Pipeline(spark, str(tmp_path / "tables"), RULES, now=at, lateness_seconds=600)
+    login = {"event_type": "authentication", "user": "u", "host": "h", "status": "success"}
+    first = make_events([{**login, "event_id": "A", "at": 0}, {**login, "event_id": "B", "at": 3000}, {**login, "event_id": "F", "at": 900_000}])
+    second = make_events([{**login, "event_id": "C", "at": 1000}, {**login, "event_id": "D", "at": 2500}])
+    for _ in range(2):  # a batch that runs again refuses the same events
+        p.run_events(first, 0)
+    p.run_events(second, 1)
+    assert {r.event_id for r in spark.read.parquet(p.path("events")).collect()} == {"A", "B", "D"}
+    late = {r.event_id: r.reason for r in spark.read.parquet(p.path("late")).collect()}
+    assert late == {"F": "timestamp is more than 24h in the future", "C": "late"}
+
+
+def test_closed_incidents_take_no_more_alerts(spark, make_events, tmp_path):
+    p = Pipeline(spark, str(tmp_path / "tables"), RULES)
+    events = make_events(attack(0)).cache()
+    early = F.unix_micros("timestamp") < F.lit(events.agg(F.min(F.unix_micros("timestamp"))).first()[0] + 140_000_000)
+    p.run_events(events.filter(early), 0)
+    before = {r.incident_id for r in p.tables()["membership"].collect()}
+    p.set_status(spark.createDataFrame([(i, "closed") for i in before], "incident_id string, status string"))
+    p.run_events(events.filter(~early), 1)
+    after = p.tables()["membership"].groupBy("incident_id").count().collect()
+    assert before < {r.incident_id for r in after}
+    open_ = Pipeline(spark, str(tmp_path / "other"), RULES)
+    open_.run_events(events.filter(early), 0)
+    open_.run_events(events.filter(~early), 1)
+    assert open_.tables()["membership"].select("incident_id").distinct().count() < len(after)
