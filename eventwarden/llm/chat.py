@@ -185,12 +185,13 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     turns = staged(_nodes(conversations), "turns")
     shared = turns.groupBy("node").agg(F.count("*").alias("shared"), F.min("conv_id").alias("owner"))
     runs = staged(_segments(turns.join(shared, "node")), "runs")
-    unique = runs.filter("text is not null").dropDuplicates(["segment"])
-    spark = conversations.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one conversation owns each segment; its row alone has the text, which joins again when all places are known
+    own = runs.filter("text is not null")
+    width = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # depth-first order is path order: a path begins with its ancestors' paths
-    dealt = staged(unique.repartitionByRange(width, "path").withColumn("slice", F.spark_partition_id()).select(
-        "segment", "parent", "path", "level", "position", "n_tokens", "text", "loss", "slice"), "segments")
+    dealt = staged(
+        own.select("segment", "parent", "path", "level", "position", "n_tokens").repartitionByRange(width, "path")
+        .withColumn("slice", F.spark_partition_id()), "segments")
     sums = dealt.groupBy("slice").agg(F.sum("n_tokens").alias("held"))
     earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
     base = sums.select("slice", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"))
@@ -202,7 +203,7 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.expr("transform(sequence(0, level), i -> substring(path, 32 * i + 1, 32))")).alias("ancestor"))
     spans = placed.select(F.col("segment").alias("ancestor"), F.struct("start", "end").alias("span"))
     attends = names.join(spans, "ancestor").groupBy("segment").agg(F.array_sort(F.collect_list("span")).alias("attends"))
-    tree = staged(placed.join(attends, "segment").select(
+    tree = staged(placed.join(attends, "segment").join(own.select("segment", "text", "loss"), "segment").select(
         "segment", "parent", "level", "start", "end", "position", "text", "loss", "attends"), "tree")
     return tree, runs.filter("last = 1").select("conv_id", "segment")
 
