@@ -141,17 +141,19 @@ def coverage(rules: DataFrame, techniques: DataFrame) -> DataFrame:
 
 def coverage_by_tactic(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("tactic_id", "tactic", "position").agg(
-        F.count_if("covered").alias("covered_count"), F.count("*").alias("total_count"))
+        F.count_if("covered").alias("covered_count"), F.count("*").alias("total_count"), F.sum("observed").alias("observed"))
 
 
 def coverage_totals(matrix: DataFrame) -> DataFrame:
-    unique = matrix.select("technique_id", "covered").distinct()
-    return unique.agg(F.count("*").alias("technique_count"), F.count_if("covered").alias("covered_techniques")).withColumn(
+    unique = matrix.select("technique_id", "covered", "observed").distinct()
+    return unique.agg(F.count("*").alias("technique_count"), F.count_if("covered").alias("covered_techniques"),
+                      F.count_if(F.col("observed") > 0).alias("observed_techniques")).withColumn(
         "coverage_ratio", F.round(F.col("covered_techniques") / F.col("technique_count"), 3))
 
 
 def uncovered(matrix: DataFrame) -> DataFrame:
-    return matrix.filter("NOT covered").select("technique_id").distinct()
+    """Techniques without a rule, with how often incidents saw them all the same."""
+    return matrix.filter("NOT covered").select("technique_id", "observed").distinct()
 
 
 def technique_detail(rules: DataFrame, alerts: DataFrame, techniques: DataFrame) -> DataFrame:

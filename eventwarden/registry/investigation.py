@@ -235,19 +235,21 @@ def coverage_matrix(spark, sf_dir):
 
 
 @query("coverage_by_tactic", with_cases("""
-SELECT tactic_id, tactic, count(DISTINCT technique_id) FILTER (technique_id IN (SELECT technique_id FROM rt)) AS covered_count, count(DISTINCT technique_id) AS total_count FROM tt GROUP BY 1, 2""", STRETCH, _COVER))
+SELECT tactic_id, tactic, count(DISTINCT technique_id) FILTER (technique_id IN (SELECT technique_id FROM rt)) AS covered_count, count(DISTINCT technique_id) AS total_count,
+  CAST(sum(coalesce(o.n, 0)) AS BIGINT) AS observed FROM tt LEFT JOIN (SELECT technique_id, count(*) AS n FROM it GROUP BY 1) o USING (technique_id) GROUP BY 1, 2""", STRETCH, _COVER))
 def coverage_by_tactic(spark, sf_dir):
     return listing.coverage_by_tactic(_matrix(spark, sf_dir)).drop("position")
 
 
 @query("coverage_totals", with_cases("""
 SELECT count(*) AS technique_count, count(*) FILTER (technique_id IN (SELECT technique_id FROM rt)) AS covered_techniques,
+  count(*) FILTER (technique_id IN (SELECT technique_id FROM it)) AS observed_techniques,
   round(count(*) FILTER (technique_id IN (SELECT technique_id FROM rt)) / count(*), 3) AS coverage_ratio FROM tq""", STRETCH, _COVER))
 def coverage_totals(spark, sf_dir):
     return listing.coverage_totals(_matrix(spark, sf_dir))
 
 
-@query("uncovered_techniques", with_cases("SELECT technique_id FROM tq WHERE technique_id NOT IN (SELECT technique_id FROM rt)", STRETCH, _COVER))
+@query("uncovered_techniques", with_cases("SELECT technique_id, (SELECT count(*) FROM it WHERE it.technique_id = tq.technique_id) AS observed FROM tq WHERE technique_id NOT IN (SELECT technique_id FROM rt)", STRETCH, _COVER))
 def uncovered_techniques(spark, sf_dir):
     return listing.uncovered(_matrix(spark, sf_dir))
 
