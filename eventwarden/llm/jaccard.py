@@ -50,6 +50,7 @@ class Sets:
     def __init__(self, part: w.Slice):
         self.n = part.last - part.first
         words = w.words_of(part, w.SPACED, w.FOLDED_VALUES)
+        self.n_words = w.per_doc(words.doc, self.n).astype(np.int64)
         self.doc, self.code = w.shingle_sets(words, self.n, SHINGLE)
         self.bounds = np.searchsorted(self.doc, np.arange(self.n + 1))
         self.sizes = np.diff(self.bounds)
@@ -393,6 +394,12 @@ def _classes(rows: DataFrame, sized: DataFrame) -> DataFrame:
         "set_id", F.coalesce("label", "set_id").alias("label")), "classes")
 
 
+def clusters(documents: DataFrame) -> DataFrame:
+    """(set_id, label): the component of every class of equal sets, by the ids that ``Sets`` gives to rows with words."""
+    rows = documents.select("text")
+    return _classes(rows, staged(_sized(rows), "sized"))
+
+
 def components(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     prepared(documents.sparkSession)
