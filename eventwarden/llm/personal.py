@@ -1,10 +1,10 @@
 """Personal data: base patterns, and terms whose company in the corpus gives a protected entity away.
 
 The method: an entity (one e-mail address, phone number, card or address of a host) has the information content
-``log2(N / n_c)``; a term near it reveals ``log2(N * n_ct / (n_c * n_t))`` of that. ``N`` is the number of documents,
-``n_t`` the documents holding the term, ``n_c`` the different surroundings of the entity, ``n_ct`` those with the term.
-Terms that reveal the share ``DISCLOSURE`` or more, in ``SUPPORT`` different surroundings at least, are spans too and
-are generalised to their shape. Exact copies of a surrounding count once. All counts cover all documents; the second
+``log2(N / n_c)``; a term near it reveals ``log2(N * n_ct / (n_c * n_t))`` of that. All four count distinct texts, so
+copies of a document change nothing: ``N`` all of them, ``n_t`` those holding the term, ``n_c`` those holding the entity,
+``n_ct`` those with the term near it. Terms that reveal the share ``DISCLOSURE`` or more, in ``SUPPORT`` different
+surroundings at least, are spans too and are generalised to their shape. All counts cover all documents; the second
 pass counts only terms near some entity, picked by a bit filter of fixed size which never loses one.
 
 Defined results: null counts as the empty text. Rows equal in id and text share their result and stay separate rows.
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from eventwarden.llm import words as w
+from eventwarden.llm.jaccard import _bits, _filter_of, _fresh
 from eventwarden.llm.jobs import INT, KEY, LONG, STRING, field, keys, map_texts, prepared, staged
 from eventwarden.llm.spans import (Span, code_points_before, digest, docs_with, joined, ordered, replaced, text_of)
 
@@ -113,7 +114,7 @@ def _doc_words(part: w.Slice, doc: int) -> tuple[w.Words, np.ndarray, np.ndarray
 
 
 def near_terms(words: w.Words, start: np.ndarray, end: np.ndarray, spans: list[Span], text: str) -> list[dict]:
-    """Terms within ``NEAR_WORDS`` words of each entity; words inside any entity are no terms."""
+    """Terms within ``NEAR_WORDS`` words of each entity, or one null; words inside any entity are no terms."""
     free = end - start >= TERM_CHARS
     for _, s, e in spans:
         free[np.searchsorted(end, s, side="right"):np.searchsorted(start, e)] = False
@@ -122,7 +123,9 @@ def near_terms(words: w.Words, start: np.ndarray, end: np.ndarray, spans: list[S
         before, after = int(np.searchsorted(end, s, side="right")), int(np.searchsorted(start, e))
         near = np.arange(max(0, before - NEAR_WORDS), min(len(start), after + NEAR_WORDS))
         near = near[free[near]]
-        if len(near):
+        if not len(near):
+            rows.append({"entity": entity_value(kind, text[s:e]), "around": 0, "term": None, "s": None, "e": None})
+        else:
             around = int(w.signed(w.mixed(words.code[near] * w._SCALES[:len(near)]).sum(keepdims=True))[0])
             rows += [{"entity": entity_value(kind, text[s:e]), "around": around, "term": t, "s": a, "e": b}
                      for t, a, b in zip(w.signed(words.code[near]).tolist(), start[near].tolist(), end[near].tolist())]
@@ -146,27 +149,43 @@ def _read(documents: DataFrame, text: str) -> DataFrame:
     return map_texts(documents, text, [field("found", SPANS), field("near", NEAR)], make)
 
 
-def _term_documents(documents: DataFrame, text: str, packed) -> DataFrame:
-    """Documents per term, for terms that pass the filter; counted within tasks before the shuffle."""
-    schema = T.StructType([field("term", LONG), field("n", LONG)])
+def _term_documents(texts: DataFrame, packed, copied) -> DataFrame:
+    """Distinct texts per term, for terms that pass the filter; counted within tasks before the shuffle.
+
+    Rows (text_key, text); texts that pass the filter ``copied`` may have copies in other tasks and keep their key.
+    """
+    schema = T.StructType([field("term", LONG), field("text_key", LONG), field("n", LONG)])
 
     def told(terms, counts):
-        return pa.RecordBatch.from_arrays([pa.array(w.signed(terms)), pa.array(counts)], names=schema.names)
+        return pa.RecordBatch.from_arrays([pa.array(w.signed(terms)), pa.nulls(len(terms), pa.int64()),
+                                           pa.array(counts)], names=schema.names)
 
     def run(batches):
-        allowed = np.unpackbits(packed.value).astype(bool)
-        terms, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        allowed, again = (np.unpackbits(x.value).astype(bool) for x in (packed, copied))
+        terms, counts, seen = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), set()
         for batch in batches:
-            for part in w.slices(batch.column(0)):
+            keys_ = batch.column(0).to_numpy()
+            for part in w.slices(batch.column(1)):
+                key = keys_[part.first:part.last]
+                a, b = _bits(key)
+                many = again[a] & again[b]
+                use = ~many
+                use[many] = _fresh(seen, key[many])
                 words = w.words_of(part, w.ALNUM, w.FOLDED_VALUES)
-                hit = allowed[(words.code & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
+                hit = allowed[(words.code & np.uint64(FILTER_BITS - 1)).astype(np.int64)] & use[words.doc]
                 code, doc = words.code[hit], words.doc[hit]
                 order = np.lexsort((doc, code))
                 code, doc = code[order], doc[order]
                 fresh = np.ones(len(code), dtype=bool)
                 fresh[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
-                both = np.concatenate([terms, code[fresh]])
-                weight = np.concatenate([counts, np.ones(int(fresh.sum()), dtype=np.int64)])
+                code, doc = code[fresh], doc[fresh]
+                shared = many[doc]
+                if shared.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(w.signed(code[shared])), pa.array(key[doc[shared]]),
+                         pa.array(np.ones(int(shared.sum()), dtype=np.int64))], names=schema.names)
+                both = np.concatenate([terms, code[~shared]])
+                weight = np.concatenate([counts, np.ones(int((~shared).sum()), dtype=np.int64)])
                 terms, place = np.unique(both, return_inverse=True)
                 counts = np.bincount(place, weights=weight, minlength=len(terms)).astype(np.int64)
                 if len(terms) > TERMS_HELD:
@@ -174,20 +193,30 @@ def _term_documents(documents: DataFrame, text: str, packed) -> DataFrame:
                     terms, counts = terms[:0], counts[:0]
         yield told(terms, counts)
 
-    return documents.select(text).mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n_t"))
+    per_text = texts.mapInArrow(run, schema).groupBy("term", "text_key").agg(F.sum("n").alias("n"))
+    once = F.when(F.col("text_key").isNull(), F.col("n")).otherwise(F.lit(1).cast("long"))
+    return per_text.groupBy("term").agg(F.sum(once).alias("n_t"))
 
 
 def disclosing(near: DataFrame, documents: DataFrame, text: str = "text", disclosure: float = DISCLOSURE,
                support: int = SUPPORT) -> DataFrame:
     """(entity, term) pairs beyond the threshold, from rows (key, entity, around, term) and the whole corpus."""
     spark = documents.sparkSession
-    seen = near.select("entity", "around", "term").distinct()
-    entities = (near.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("n_c")))
-    total = F.lit(float(documents.count()))
-    # a term is in as many documents as it is near entities in, at least: what that rules out needs no counting
-    least = near.select("term", *KEY).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    texts = documents.select(F.xxhash64(whole).alias("text_key"), whole.alias("text"))
+    copies = staged(texts.groupBy("text_key").agg(F.count("*").alias("n")), "text-copies")
+    total = F.lit(float(copies.count()))
+    surroundings = near.select("entity", "around", "term").distinct()
+    backed = (surroundings.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_around"))
+              .filter(F.col("n_around") >= support))
+    seen = near.select("entity", "term", "text_key").distinct()
+    entities = seen.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    together = seen.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
+    # a term is in as many texts as it is near entities in, at least: what that rules out needs no counting
+    least = (seen.filter("term is not null").select("term", "text_key").distinct()
+             .groupBy("term").agg(F.count("*").alias("n_near")))
     pairs = staged(
-        seen.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= support)
+        together.join(backed, ["entity", "term"])
         .join(entities, "entity").join(least, "term").withColumn("content", F.log2(total / F.col("n_c")))
         .withColumn("most", F.log2(total * F.col("n_ct") / (F.col("n_c") * F.col("n_near"))))
         .filter((F.col("content") > 0) & (F.col("most") >= disclosure * F.col("content"))), "term-pairs")
@@ -199,7 +228,8 @@ def disclosing(near: DataFrame, documents: DataFrame, text: str = "text", disclo
         base = row.cell * FILTER_WORD
         passing[base:base + FILTER_WORD] = (row.bits >> np.arange(FILTER_WORD)) & 1 == 1
     packed = spark.sparkContext.broadcast(np.packbits(passing))
-    informed = pairs.join(_term_documents(documents, text, packed), "term").withColumn(
+    copied = spark.sparkContext.broadcast(np.packbits(_filter_of(copies.filter("n > 1").select("text_key"))))
+    informed = pairs.join(_term_documents(texts, packed, copied), "term").withColumn(
         "revealed", F.log2(total * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))))
     return informed.filter(F.col("revealed") >= disclosure * F.col("content")).select("entity", "term")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventwarden.llm import packing
+from eventwarden.llm import packing, personal
 from tests.llm import brute
 from tests.llm.conftest import prose
 
@@ -32,3 +32,16 @@ def test_bins_hold_one_document_of_each_near_copy_group(spark):
             bins.setdefault(r.bin_id, []).append(component[r.doc_id])
     assert all(len(held) == len(set(held)) for held in bins.values())
     assert lonely is None
+
+
+def test_copies_leave_disclosing_terms_as_they_were(spark):
+    days = "one two six ten".split()
+    rows = [(i, f"call zyxomat at mail@corp.example.com on day {d}") for i, d in enumerate(days)]
+    rows += [(10 + i, f"we call at noon on day five and meet {'a' * i}") for i in range(40)]
+    schema = "doc_id long, text string"
+    want = {r.doc_id: r.spans for r in personal.find(spark.createDataFrame(rows, schema)).collect()}
+    assert all("term:5:12" in want[i] for i in range(len(days)))
+    copies = rows + [(100 + i, rows[0][1]) for i in range(200)] + [rows[1]] * 3 + [(400 + i, rows[20][1]) for i in range(50)]
+    got = personal.find(spark.createDataFrame(copies, schema).repartition(5)).collect()
+    assert len(got) == len(copies)
+    assert all(r.spans == want[r.doc_id if r.doc_id < 100 else 0 if r.doc_id < 400 else 20] for r in got)
