@@ -4,7 +4,8 @@ The method: an entity (one e-mail address, phone number, card or address of a ho
 ``log2(N / n_c)``; a term near it reveals ``log2(N * n_ct / (n_c * n_t))`` of that. All four count distinct texts, so
 copies of a document change nothing: ``N`` all of them, ``n_t`` those holding the term, ``n_c`` those holding the entity,
 ``n_ct`` those with the term near it. Terms that reveal the share ``DISCLOSURE`` or more, in ``SUPPORT`` different
-surroundings at least, are spans too and are generalised to their shape. All counts cover all documents; the second
+surroundings at least, are spans wherever they stand in a document that holds the entity, and are generalised to their
+shape. An entity with fewer surroundings than that is judged by all it has: its terms need every one. All counts cover all documents; the second
 pass counts only terms near some entity, picked by a bit filter of fixed size which never loses one.
 
 Defined results: null counts as the empty text. Rows equal in id and text share their result and stay separate rows.
@@ -14,17 +15,18 @@ Extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from eventwarden.llm import words as w
 from eventwarden.llm.jaccard import _bits, _filter_of, _fresh
-from eventwarden.llm.jobs import INT, KEY, LONG, STRING, field, keys, map_texts, prepared, staged
+from eventwarden.llm.jobs import BOOLEAN, INT, KEY, LONG, STRING, field, keys, map_texts, prepared, staged
 from eventwarden.llm.spans import (Span, code_points_before, digest, docs_with, joined, ordered, replaced, text_of)
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -99,7 +101,9 @@ def entity_value(kind: str, text: str) -> str:
     return f"{kind}:{text.lower()}" if kind == "email" else f"{kind}:{_digits(text) if kind != 'ip' else text}"
 
 
-NEAR = T.ArrayType(T.StructType([field("entity", STRING), field("around", LONG), field("term", LONG), field("s", INT),
+NEAR = T.ArrayType(T.StructType([field("entity", STRING), field("around", LONG), field("term", LONG),
+                                 field("pair", LONG)]))
+HITS = T.ArrayType(T.StructType([field("pair", LONG), field("entity", STRING), field("term", LONG), field("s", INT),
                                  field("e", INT)]))
 SPANS = T.ArrayType(T.StructType([field("s", INT), field("rank", INT), field("e", INT)]))
 
@@ -113,25 +117,67 @@ def _doc_words(part: w.Slice, doc: int) -> tuple[w.Words, np.ndarray, np.ndarray
     return words, points[words.start], points[words.end]
 
 
-def near_terms(words: w.Words, start: np.ndarray, end: np.ndarray, spans: list[Span], text: str) -> list[dict]:
-    """Terms within ``NEAR_WORDS`` words of each entity, or one null; words inside any entity are no terms."""
+def _free(start: np.ndarray, end: np.ndarray, spans: list[Span]) -> np.ndarray:
+    """Words long enough for a term; words inside any entity are none."""
     free = end - start >= TERM_CHARS
     for _, s, e in spans:
         free[np.searchsorted(end, s, side="right"):np.searchsorted(start, e)] = False
+    return free
+
+
+def pair_codes(entity: str, terms: np.ndarray) -> np.ndarray:
+    own = int.from_bytes(blake2b(entity.encode(), digest_size=8).digest(), "big")
+    return w.signed(w.mixed(terms ^ np.uint64(own)))
+
+
+def near_terms(words: w.Words, start: np.ndarray, end: np.ndarray, spans: list[Span], text: str) -> list[dict]:
+    """Terms within ``NEAR_WORDS`` words of each entity, or one null."""
+    free = _free(start, end, spans)
     rows = []
     for kind, s, e in spans:
+        entity = entity_value(kind, text[s:e])
         before, after = int(np.searchsorted(end, s, side="right")), int(np.searchsorted(start, e))
         near = np.arange(max(0, before - NEAR_WORDS), min(len(start), after + NEAR_WORDS))
         near = near[free[near]]
         if not len(near):
-            rows.append({"entity": entity_value(kind, text[s:e]), "around": 0, "term": None, "s": None, "e": None})
-        else:
-            around = int(w.signed(w.mixed(words.code[near] * w._SCALES[:len(near)]).sum(keepdims=True))[0])
-            rows += [{"entity": entity_value(kind, text[s:e]), "around": around, "term": t, "s": a, "e": b}
-                     for t, a, b in zip(w.signed(words.code[near]).tolist(), start[near].tolist(), end[near].tolist())]
+            rows.append({"entity": entity, "around": 0, "term": None, "pair": None})
+            continue
+        codes = words.code[near]
+        around = int(w.signed(w.mixed(codes * w._SCALES[:len(near)]).sum(keepdims=True))[0])
+        rows += [{"entity": entity, "around": around, "term": t, "pair": p}
+                 for t, p in zip(w.signed(codes).tolist(), pair_codes(entity, codes).tolist())]
     return rows
 
 
+def _hits(documents: DataFrame, text: str, passing: np.ndarray) -> DataFrame:
+    """Every place of a term in a document that holds its entity, for pairs that pass the filter."""
+    packed = documents.sparkSession.sparkContext.broadcast(np.packbits(passing))
+
+    def make():
+        allowed = np.unpackbits(packed.value).astype(bool)
+
+        def compute(part, column):
+            hits = [[] for _ in range(part.last - part.first)]
+            for doc in suspects(part):
+                value = text_of(column, doc)
+                spans = base_spans(value)
+                if not spans:
+                    continue
+                words, start, end = _doc_words(part, doc)
+                places = np.flatnonzero(_free(start, end, spans))
+                for entity in {entity_value(k, value[s:e]) for k, s, e in spans}:
+                    pairs = pair_codes(entity, words.code[places])
+                    a, b = _bits(pairs)
+                    hit = allowed[a] & allowed[b]
+                    at = places[hit]
+                    hits[doc] += [{"pair": p, "entity": entity, "term": t, "s": x, "e": y} for p, t, x, y in zip(
+                        pairs[hit].tolist(), w.signed(words.code[at]).tolist(), start[at].tolist(), end[at].tolist())]
+            return [pa.array(hits, to_arrow_type(HITS))]
+        return compute
+
+    return map_texts(documents, text, [field("hits", HITS)], make)
+
+
 def _read(documents: DataFrame, text: str) -> DataFrame:
     def make():
         def compute(part, column):
@@ -207,8 +253,10 @@ def disclosing(near: DataFrame, documents: DataFrame, text: str = "text", disclo
     copies = staged(texts.groupBy("text_key").agg(F.count("*").alias("n")), "text-copies")
     total = F.lit(float(copies.count()))
     surroundings = near.select("entity", "around", "term").distinct()
+    arounds = surroundings.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("arounds"))
     backed = (surroundings.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_around"))
-              .filter(F.col("n_around") >= support))
+              .join(arounds, "entity").filter(F.col("n_around") >= F.least(F.lit(support), "arounds"))
+              .select("entity", "term"))
     seen = near.select("entity", "term", "text_key").distinct()
     entities = seen.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
     together = seen.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
@@ -234,23 +282,34 @@ def disclosing(near: DataFrame, documents: DataFrame, text: str = "text", disclo
     return informed.filter(F.col("revealed") >= disclosure * F.col("content")).select("entity", "term")
 
 
-def find(documents: DataFrame) -> DataFrame:
-    """One row per document: counts per kind, digest of the base spans, all spans."""
-    prepared(documents.sparkSession)
+def _told(documents: DataFrame) -> DataFrame:
+    """Per document its key, its base spans, and all spans as (s, rank, e)."""
     rows, key = documents.select("doc_id", "text", *keys()), KEY
     read = staged(_read(rows, "text"), "entities")
     near = read.filter(F.size("near") > 0).select(*key, F.explode("near").alias("x")).select(*key, "x.*")
-    pairs = disclosing(near, rows)
-    terms = (near.join(pairs, ["entity", "term"]).groupBy(*key).agg(F.collect_set(
+    pairs = staged(near.select("entity", "term", "pair").distinct().join(disclosing(near, rows), ["entity", "term"]),
+                   "disclosing")
+    hits = (_hits(rows.select(*key, "text"), "text", _filter_of(pairs.select("pair"))).filter(F.size("hits") > 0)
+            .select(*key, F.explode("hits").alias("x")).select(*key, "x.*"))
+    terms = (hits.join(pairs.select("entity", "term"), ["entity", "term"]).groupBy(*key).agg(F.collect_set(
         F.struct("s", F.lit(KINDS.index("term")).alias("rank"), "e")).alias("terms")))
+    whole = F.when(F.col("terms").isNull(), F.col("found")).otherwise(F.array_sort(F.concat("found", "terms")))
+    return read.join(terms, key, "left").select("doc_id", *key, "found", whole.alias("whole"))
+
+
+def _text(spans) -> Column:
     names = F.array(*(F.lit(k) for k in KINDS))
-    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(
         ":", F.get(names, x["rank"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
+def find(documents: DataFrame) -> DataFrame:
+    """One row per document: counts per kind, digest of the base spans, all spans."""
+    prepared(documents.sparkSession)
     count = lambda kind: F.size(F.filter("found", lambda x: x["rank"] == KINDS.index(kind))).cast("long")
-    whole = F.when(F.col("terms").isNull(), F.col("found")).otherwise(F.array_sort(F.concat("found", "terms")))
-    return read.join(terms, key, "left").select(
+    return _told(documents).select(
         "doc_id", *(count(k).alias(f"n_{k}") for k in BASE_KINDS),
-        F.sha2(told(F.col("found")), 256).alias("base_sha256"), told(whole).alias("spans"))
+        F.sha2(_text(F.col("found")), 256).alias("base_sha256"), _text(F.col("whole")).alias("spans"))
 
 
 SHAPES = [(re.compile(r"[0-9]+"), "[NUMBER]"), (re.compile(r"[A-Z].*", re.DOTALL), "[NAME]")]
@@ -265,3 +324,27 @@ def generalised(kind: str, old: str) -> str:
 def sanitised(text: str, spans: list[Span]) -> str:
     """The text with entities and disclosing terms generalised."""
     return replaced(text, spans, generalised)
+
+
+def sanitised_texts(documents: DataFrame) -> DataFrame:
+    """The documents with every span generalised, and ``n_chars`` brought up to date where a text changed."""
+    prepared(documents.sparkSession)
+    found = _told(documents).filter(F.size("whole") > 0).groupBy(*KEY).agg(F.first("whole").alias("whole"))
+    others = [F.col(c) for c in documents.columns if c != "text"]
+    rows = documents.select(F.struct(*others).alias("row"), "text", *keys()).join(found, KEY, "left").select(
+        "row", "text", "whole")
+    schema = T.StructType([rows.schema["row"], field("new_text", STRING), field("changed", BOOLEAN)])
+
+    def run(batches):
+        for batch in batches:
+            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            new = [sanitised(t, [(KINDS[x["rank"]], x["s"], x["e"]) for x in f]) if f else t for t, f in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()),
+                                              pa.array([bool(f) for f in spans])], names=schema.names)
+
+    count = F.when(F.col("changed"), F.length("new_text")).otherwise(F.col("row.n_chars")) if (
+        "n_chars" in documents.columns) else None
+    return rows.mapInArrow(run, schema).select(*(
+        F.col("new_text").alias("text") if c == "text" else
+        count.cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
+        for c in documents.columns))

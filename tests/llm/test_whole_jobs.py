@@ -45,3 +45,19 @@ def test_copies_leave_disclosing_terms_as_they_were(spark):
     got = personal.find(spark.createDataFrame(copies, schema).repartition(5)).collect()
     assert len(got) == len(copies)
     assert all(r.spans == want[r.doc_id if r.doc_id < 100 else 0 if r.doc_id < 400 else 20] for r in got)
+
+
+def test_disclosing_terms_are_marked_and_generalised_in_whole_documents(spark):
+    far = " ".join(["we call at noon on day five and meet"] * 3)
+    rows = [(i, f"call zyxomat at mail@corp.example.com on day {d} {far} Zyxomat") for i, d in enumerate(("one", "two", "six"))]
+    rows += [(5, f"{far} quillon asks lone@corp.example.org {far} quillon")]
+    rows += [(10 + i, f"{far} {'a' * i}") for i in range(60)]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in rows] + [(99, None, None)], "doc_id long, text string, n_chars long")
+    texts = {r.doc_id: r for r in personal.sanitised_texts(df.repartition(3)).collect()}
+    assert len(texts) == len(rows) + 1 and texts[99].text is None
+    for i in range(3):
+        assert "zyxomat" not in texts[i].text.lower() and "mail@" not in texts[i].text
+        assert "[TERM]" in texts[i].text and texts[i].text.endswith(f"{far} [NAME]") and "[EMAIL]" in texts[i].text
+    assert "quillon" not in texts[5].text and texts[5].text.endswith("[TERM]") and "lone@" not in texts[5].text
+    assert all(texts[10 + i].text == rows[4 + i][1] for i in range(60))
+    assert all(r.n_chars == len(r.text) for r in texts.values() if r.text is not None)
