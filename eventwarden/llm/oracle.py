@@ -69,5 +69,87 @@ USING (doc_id)
 """
 
 
+# CRC-32 over the hex digits of each distinct feature, bucket totals, gains, mean gains and the seeded draw
+RESAMPLING = r"""
+WITH raw AS (
+  SELECT 0 AS wanted, doc_id, row_number() OVER () AS row_id, text FROM documents
+  UNION ALL SELECT 1, NULL, row_number() OVER (), text FROM benchmark),
+worded AS (
+  SELECT wanted, doc_id, row_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM raw),
+feature AS (
+  SELECT wanted, row_id, unnest(w) AS f FROM worded
+  UNION ALL SELECT wanted, row_id, w[i] || ' ' || w[i + 1]
+  FROM (SELECT wanted, row_id, w, unnest(range(1, len(w))) AS i FROM worded)),
+step AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)),
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))),
+bucketed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(f)),
+                  lambda k: CAST('0x' || substr(hex(encode(f)), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM feature), step),
+held AS (
+  SELECT bucket, count(*) FILTER (wanted = 0) AS s, count(*) FILTER (wanted = 1) AS t
+  FROM feature JOIN bucketed USING (f) GROUP BY bucket),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE)
+                                      / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS g FROM held),
+weighed AS (
+  SELECT row_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS total
+  FROM feature JOIN bucketed USING (f) JOIN gain USING (bucket) WHERE wanted = 0 GROUP BY row_id),
+scored AS (
+  SELECT doc_id, len(w) >= 20 AS fit, coalesce(n, 0) AS n_features,
+         coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+         CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM worded LEFT JOIN weighed USING (row_id) WHERE wanted = 0),
+drawn AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id, n_features, weight) AS r,
+         25 * count(*) OVER (PARTITION BY fit) // 100 AS k FROM drawn)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN fit AND r <= k THEN r END AS rank FROM ranked
+"""
+
+# every kept term for every group and language, its share in each, and both rankings
+DIVERGENCE = r"""
+WITH doc AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+term AS (SELECT lang, source, row_id, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS held FROM term GROUP BY lang, term HAVING count(DISTINCT row_id) >= 3),
+size AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(held) AS n FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+counted AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS held FROM term JOIN kept USING (lang, term) GROUP BY ALL),
+whole AS (SELECT lang, source, CAST(sum(held) AS HUGEINT) AS n FROM counted GROUP BY ALL),
+share AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.held, 0) AS held,
+         1 + 1000000000 * (coalesce(c.held, 0) + 1) // (coalesce(o.n, 0) + s.v) AS p,
+         1 + 1000000000 * (k.held + 1) // (s.n + s.v) AS lang_p
+  FROM grp g JOIN kept k USING (lang) JOIN size s USING (lang)
+  LEFT JOIN whole o ON o.lang = g.lang AND o.source = g.source
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM share a JOIN share b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+told AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - lang_p) * (p - lang_p) // lang_p FROM share WHERE held > 0 AND p > lang_p),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM told)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": JACCARD, "op6_chat_prefix_tree": CHAT, "op10_decontamination": CONTAMINATION}
+    return {"op3_ngram_join": JACCARD, "op6_chat_prefix_tree": CHAT, "op10_decontamination": CONTAMINATION,
+            "op11_importance_resampling": RESAMPLING, "op13_source_divergence": DIVERGENCE}

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventwarden.llm import chat, decontaminate, html, jaccard, language, packing, personal, quality, secrets, toxicity
+from eventwarden.llm import (bpe, chat, decontaminate, divergence, html, jaccard, language, packing, personal, quality, resample, secrets,
+                             toxicity)
 from eventwarden.llm.jobs import held_out, table
 
 
@@ -61,10 +64,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    told = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
+    return bpe.decoded(told, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_secret_scan, op3_ngram_join, op4_language_id, op5_html_extraction,
     op6_chat_prefix_tree, op7_toxicity, op8_best_fit_packing,
-    op9_personal_data, op10_decontamination)}
+    op9_personal_data, op10_decontamination, op11_importance_resampling, op12_bpe_tokens, op13_source_divergence)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
