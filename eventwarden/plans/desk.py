@@ -20,6 +20,7 @@ from eventwarden.plans.rulepack import rule, stretched
 from eventwarden.session import prepare, work_folder
 from eventwarden.sources.bridge import bridge_events
 from eventwarden.sources.inventory import discover_hosts, discover_users
+from eventwarden.sources.replay import time_slices
 
 # The test feed has about two events per account and day, so rule windows are stretched by this factor.
 STRETCH = 96
@@ -66,6 +67,13 @@ class Desk:
         stored = self._stored("events", bridged, "event_type")
         return stored.select(*[F.col(f"`{f.name}`") for f in event_schema().fields])
 
+    @cached_property
+    def event_slices(self) -> str:
+        """Folder of the events in files of three days each, in time order."""
+        folder = f"{self.folder}/event_slices"
+        time_slices(self.events, folder, 3 * 86_400)
+        return folder
+
     @cached_property
     def rules(self):
         return stretched(STRETCH)

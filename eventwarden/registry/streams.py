@@ -1,4 +1,8 @@
-"""Streaming operators run to the end over the whole event table (file source, all available data)."""
+"""Streaming operators run to the end over the whole event table (file source, all available data).
+
+Operators with state read the events in time order, a file of three days per micro-batch, so every entry carries its state
+over ten batches or more.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +14,12 @@ from eventwarden.model import micros
 from eventwarden.operators.sequence import rule_sequence
 from eventwarden.operators.threshold import ThresholdSpec
 from eventwarden.plans.desk import desk
-from eventwarden.plans.rulepack import rule, rules_of, stretched
+from eventwarden.plans.rulepack import Rule, Step, rules_of, stretched
 from eventwarden.registry import sql as S
 from eventwarden.registry.base import query
 from eventwarden.registry.sql import with_ev
 from eventwarden.session import work_folder
+from eventwarden.sources.replay import sliced_stream
 from eventwarden.streaming import operators as ops
 
 
@@ -25,6 +30,12 @@ def _stream(spark, sf_dir):
     return spark.readStream.schema(schema).parquet(f"{d.folder}/events")
 
 
+def _ordered(spark, sf_dir):
+    """The events in time order, one micro-batch per slice."""
+    d = desk(spark, sf_dir)
+    return sliced_stream(spark, d.event_slices, d.events.schema)
+
+
 def _drain(stream):
     """Run a stream over everything available into a Parquet folder and read it back."""
     spark = stream.sparkSession
@@ -54,7 +65,7 @@ def stream_ioc(spark, sf_dir):
 @query("stream_dedup", with_ev("SELECT event_id, us FROM ev"))
 def stream_dedup(spark, sf_dir):
     """Every event sent twice, kept once."""
-    stream = _stream(spark, sf_dir).select("event_id", "timestamp")
+    stream = _ordered(spark, sf_dir).select("event_id", "timestamp")
     twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     return _drain(ops.without_repeats(ops.admitted(twice, now=_end()))).select("event_id", micros().alias("us"))
 
@@ -64,14 +75,14 @@ SELECT us // 3600000000 * 3600000000 AS hour_us, status, count(*) AS n FROM ev G
 HAVING hour_us + 3600000000 <= (SELECT max(us) FROM ev) - 3600000000"""))
 def stream_tumbling(spark, sf_dir):
     """Hours closed by the watermark."""
-    return _drain(ops.counts_by_hour(ops.admitted(_stream(spark, sf_dir), now=_end())))
+    return _drain(ops.counts_by_hour(ops.admitted(_ordered(spark, sf_dir), now=_end())))
 
 
 @query("stream_sliding", with_ev("""
 SELECT us // 900000000 * 900000000 - i * 900000000 AS start_us, event_type, count(*) AS n FROM ev, range(4) t(i) GROUP BY 1, 2
 HAVING start_us + 3600000000 <= (SELECT max(us) FROM ev) - 3600000000"""))
 def stream_sliding(spark, sf_dir):
-    return _drain(ops.sliding_counts(ops.admitted(_stream(spark, sf_dir), now=_end())))
+    return _drain(ops.sliding_counts(ops.admitted(_ordered(spark, sf_dir), now=_end())))
 
 
 @query("stream_sessions", with_ev("""
@@ -81,7 +92,7 @@ SELECT "user", min(us) AS start_us, max(us) + 1800000000 AS end_us, count(*) AS
 GROUP BY "user", run HAVING max(us) + 1800000000 <= (SELECT max(us) FROM ev) - 3600000000"""))
 def stream_sessions(spark, sf_dir):
     """Activity runs per account, closed by half an hour of quiet."""
-    return _drain(ops.activity_sessions(ops.admitted(_stream(spark, sf_dir), now=_end())))
+    return _drain(ops.activity_sessions(ops.admitted(_ordered(spark, sf_dir), now=_end())))
 
 
 @query("stream_suppression", with_ev("""
@@ -89,7 +100,7 @@ SELECT DISTINCT rule_id, rule_id || ':' || substr(sha256(rule_id || '|' || array
 FROM mt""", S.match_ctes()))
 def stream_suppression(spark, sf_dir):
     """First detection of each dedup key."""
-    return _drain(ops.suppressed_alerts(ops.admitted(_stream(spark, sf_dir), now=_end()), rules_of("match"), 900)).select("rule_id", "dedup_key")
+    return _drain(ops.suppressed_alerts(ops.admitted(_ordered(spark, sf_dir), now=_end()), rules_of("match"), 900)).select("rule_id", "dedup_key")
 
 
 def _first_hits(hits):
@@ -103,14 +114,46 @@ def stream_threshold(spark, sf_dir):
     """Stateful threshold rules: first hit of every group that fired."""
     ops.use_rocksdb(spark)
     specs = [ThresholdSpec(r, r.count, r.window_seconds, r.distinct_field, r.distinct_count) for r in rules_of("threshold", stretched(720))]
-    hits = _drain(ops.threshold_stream(_stream(spark, sf_dir), specs))
+    hits = _drain(ops.threshold_stream(_ordered(spark, sf_dir), specs))
     return _first_hits(hits)
 
 
-@query("stream_sequence", with_ev("SELECT rule_id, g, max(us) AS hit_us FROM se GROUP BY 1, 2", S.two_step_ctes(144)))
+# A failed login, perhaps a privilege use, then a file event. Over a growing feed the privilege use counts as soon as it is
+# there: what comes after it then has to follow it.
+OPTIONAL_RULE = Rule(
+    "OPTIONAL_STEP", "sequence", "Failed login, privilege use if any, file event", "low", 0.5, "demo", (), (),
+    group_by=("user",), window_seconds=20 * 3600,
+    steps=(Step("failed", {"event_type": "authentication", "status": "failure"}),
+           Step("privilege", {"event_type": "privilege"}, max_gap_seconds=8 * 3600, optional=True),
+           Step("file", {"event_type": "file"}, max_gap_seconds=10 * 3600)))
+
+OPTIONAL_SQL = f"""
+op AS (SELECT {S._key('[' + S._U + ']')} AS g, us, event_id, event_type, status FROM ev),
+on_ AS (
+  SELECT a.g, a.us AS a_us, b.us AS b_us, b.event_id AS b_id, c.us AS c_us, c.event_id AS c_id
+  FROM op a
+  LEFT JOIN LATERAL (SELECT x.us, x.event_id FROM op x WHERE x.g = a.g AND x.event_type = 'privilege'
+                     AND (x.us, x.event_id) > (a.us, a.event_id) ORDER BY x.us, x.event_id LIMIT 1) b ON b.us - a.us <= 28800000000
+  LEFT JOIN LATERAL (SELECT x.us, x.event_id FROM op x WHERE x.g = a.g AND x.event_type = 'file'
+                     AND (x.us, x.event_id) > (a.us, a.event_id) ORDER BY x.us, x.event_id LIMIT 1) c ON TRUE
+  WHERE a.event_type = 'authentication' AND a.status = 'failure'),
+oc AS (
+  SELECT o.g, CASE WHEN c_us - a_us <= 36000000000 AND (b_us IS NULL OR (c_us, c_id) < (b_us, b_id)) THEN c_us
+                   WHEN d.us - b_us <= 36000000000 AND d.us - a_us <= 72000000000 THEN d.us END AS hit_us
+  FROM on_ o
+  LEFT JOIN LATERAL (SELECT x.us FROM op x WHERE x.g = o.g AND x.event_type = 'file' AND (x.us, x.event_id) > (o.b_us, o.b_id)
+                     ORDER BY x.us, x.event_id LIMIT 1) d ON TRUE)
+"""
+
+
+@query("stream_sequence", with_ev("""
+SELECT rule_id, g, max(us) AS hit_us FROM se GROUP BY 1, 2
+UNION ALL SELECT rule_id, g, max(us) FROM le GROUP BY 1, 2
+UNION ALL SELECT 'OPTIONAL_STEP', g, min(hit_us) FROM oc WHERE hit_us IS NOT NULL GROUP BY g
+""", S.two_step_ctes(144), S.lateral_ctes(144), OPTIONAL_SQL))
 def stream_sequence(spark, sf_dir):
-    """Stateful ordered rules: first completion of every group that completed."""
+    """Stateful ordered rules, with constraints and optional steps: first completion of every group that completed."""
     ops.use_rocksdb(spark)
-    specs = [rule_sequence(rule(r, stretched(144))) for r in ("BRUTE_FORCE_003", "PRIVESC_SUDO_CHAIN_001", "CLOUD_IAM_KEY_CHAIN_001")]
-    hits = _drain(ops.sequence_stream(_stream(spark, sf_dir), specs))
+    specs = [rule_sequence(r) for r in [*rules_of("sequence", stretched(144)), OPTIONAL_RULE]]
+    hits = _drain(ops.sequence_stream(_ordered(spark, sf_dir), specs))
     return _first_hits(hits)

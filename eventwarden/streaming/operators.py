@@ -17,6 +17,7 @@ from eventwarden.operators.match import match_rules
 from eventwarden.operators.sequence import SequenceSpec, step_rows
 from eventwarden.operators.threshold import ThresholdSpec, matching_rows
 from eventwarden.plans.detect import dedup_key
+from eventwarden.streaming.runs import Plan, Run, Runs
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -80,7 +81,43 @@ def activity_sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 # ---- threshold ------------------------------------------------------------------------------------
-class ThresholdState(StatefulProcessor):
+class Expiring(StatefulProcessor):
+    """State that goes when the watermark has passed all it could still decide.
+
+    Every batch of a group puts the group's timer at the end of its newest window; the timer that fires finds a group
+    without newer events, and its state is cleared.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.alarm = handle.getValueState("alarm", "at bigint")
+
+    def _expire_at(self, us: int) -> None:
+        """Forget the group once the watermark is beyond ``us``; never earlier than asked before."""
+        at, held = us // 1000 + 1, self.alarm.get()
+        if held is not None and held[0] >= at:
+            return
+        if held is not None:
+            self.handle.deleteTimer(held[0])
+        self.handle.registerTimer(at)
+        self.alarm.update((at,))
+
+    def _forget(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._forget()
+        self.alarm.clear()
+        yield pd.DataFrame([], columns=HIT_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+HIT_COLUMNS = ["rule_id", "g", "start_us", "hit_us", "event_id"]
+
+
+class ThresholdState(Expiring):
     """Reports, per micro-batch and group, the earliest event that completes a window.
 
     As in the batch operator, time is cut into window-wide cells and a cell keeps only the rows that can
@@ -90,6 +127,7 @@ class ThresholdState(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.rows = handle.getValueState("rows", "us array<bigint>, d array<string>, id array<string>, quiet bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -124,7 +162,11 @@ class ThresholdState(StatefulProcessor):
         last = kept[-1][0]
         tail = [r for r in kept if r[0] >= last - w]
         self.rows.update(([int(r[0]) for r in tail], [r[1] for r in tail], [r[2] for r in tail], int(quiet)))
-        yield pd.DataFrame(out, columns=["rule_id", "g", "start_us", "hit_us", "event_id"])
+        self._expire_at(int(last) + w)
+        yield pd.DataFrame(out, columns=HIT_COLUMNS)
+
+    def _forget(self) -> None:
+        self.rows.clear()
 
     def _put(self, cells: dict, row: tuple, n: int, w: int, kd: int | None, quiet: int) -> None:
         cell = cells.setdefault((row[0] // w, row[0] > quiet), [])
@@ -147,95 +189,100 @@ class ThresholdState(StatefulProcessor):
                     keep.add(i)
         return [rows[i] for i in sorted(keep)]
 
-    def close(self) -> None:
-        pass
+
+HITS = "rule_id string, g string, start_us bigint, hit_us bigint, event_id string"
 
 
-THRESHOLD_OUT = "rule_id string, g string, start_us bigint, hit_us bigint, event_id string"
+def _stateful(rows: DataFrame, processor: StatefulProcessor, lateness_seconds: int) -> DataFrame:
+    """``rows`` by rule and group through the processor; the watermark bounds lateness and lets old state go."""
+    return rows.withWatermark("timestamp", f"{lateness_seconds} seconds").groupBy("rule_id", "g").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=StructType.fromDDL(HITS), outputMode="Append", timeMode="EventTime")
 
 
-def threshold_stream(stream: DataFrame, specs: list[ThresholdSpec]) -> DataFrame:
+def threshold_stream(stream: DataFrame, specs: list[ThresholdSpec], lateness_seconds: int = LOOKBACK_SECONDS) -> DataFrame:
     """Completed windows per rule and group as the events arrive."""
-    rows = matching_rows(stream, specs).select("rule_id", "g", "us", "d", "n", "w", "kd", "event_id")
-    return rows.groupBy("rule_id", "g").transformWithStateInPandas(
-        statefulProcessor=ThresholdState(), outputStructType=StructType.fromDDL(THRESHOLD_OUT), outputMode="Append", timeMode="None")
+    rows = matching_rows(stream, specs).select("rule_id", "g", "us", "d", "n", "w", "kd", "event_id", "timestamp")
+    return _stateful(rows, ThresholdState(), lateness_seconds)
 
 
 # ---- sequence -------------------------------------------------------------------------------------
-class SequenceState(StatefulProcessor):
-    """Open attempts of a group: for each, the anchor time, the step it waits for, how many of that step it
-    holds and when its previous step ended.
+class SequenceState(Expiring):
+    """Reports the first event at which a group's ordered rule is complete: what the batch operator would find over the
+    events so far, constraints and optional steps included (see ``runs.py``).
 
-    Of the attempts at the same point only the earliest and the latest anchor are kept: the latest meets
-    every window and gap any other would meet, so no completion is missed and state stays bounded by the
-    steps' counts. ``hit_us`` is exact; ``start_us`` is the earliest anchor still held.
+    After a report the group begins anew. ``hit_us`` is exact; ``start_us`` is the earliest anchor still held. A group's
+    events of one micro-batch are sorted together, and micro-batches are taken in time order: the source's trigger limits
+    set the size of the first and the order of the second. A late event advances the runs as if it had just come.
     """
 
-    def __init__(self, plans: dict):
+    RUN = ("anchor bigint, counts array<int>, first array<bigint>, ends array<bigint>, "
+           "of array<int>, checks array<int>, held array<string>, at array<bigint>, own array<boolean>")
+    GROUP = "quiet bigint, us array<bigint>, of array<int>, checks array<int>, held array<string>"
+
+    def __init__(self, plans: dict[str, Plan]):
         self.plans = plans
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "a array<bigint>, k array<int>, have array<int>, prev array<bigint>, quiet bigint")
+        super().init(handle)
+        self.runs = handle.getListState("runs", self.RUN)
+        self.group = handle.getValueState("group", self.GROUP)
+
+    def _load(self, plan: Plan) -> Runs:
+        group, open_ = self.group.get(), []
+        if group is None:
+            return Runs(plan)
+        for row in self.runs.get():
+            anchor, counts, first, ends = int(row[0]), *([int(x) for x in part] for part in row[1:4])
+            run = Run(anchor, counts, first, ends)
+            for of, check, value, at, own in zip(*row[4:]):
+                (run.own if own else run.seen).setdefault((int(of), int(check)), {})[value] = int(at)
+            open_.append(run)
+        ties = [(int(a), int(b), int(c), d) for a, b, c, d in zip(*group[1:])]
+        return Runs(plan, open_, group[0], ties)
+
+    def _store(self, runs: Runs) -> None:
+        rows = []
+        for run in runs.open:
+            values = [(*place, value, at, own) for own, kept in ((False, run.seen), (True, run.own))
+                      for place, held in kept.items() for value, at in held.items()]
+            rows.append((run.anchor, run.counts, run.first, run.ends, *([v[i] for v in values] for i in range(5))))
+        if rows:
+            self.runs.put(rows)
+        else:
+            self.runs.clear()
+        self.group.update((runs.quiet, *([t[i] for t in runs.ties] for i in range(4))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        steps, window = self.plans[key[0]]
-        stored = self.open.get()
-        attempts = [list(x) for x in zip(*stored[:4])] if stored is not None and stored[0] else []
-        quiet = stored[4] if stored is not None else -1
-        out = []
-        flags = [f"s{k}" for k in range(len(steps))]
-        # one micro-batch of one group: its size is set by the source's trigger limits
+        plan = self.plans[key[0]]
+        runs, out, newest = self._load(plan), [], 0
+        flags = [f"s{k}" for k in range(len(plan.steps))]
+        checks = [f"v{i}" for i in range(len(plan.limits))]
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"])
-        for row in batch.itertuples(index=False):
-            us = int(row.us)
-            hits = [bool(getattr(row, f)) for f in flags]
-            attempts = [a for a in attempts if us - a[0] <= window]
-            done = None
-            for attempt in attempts:
-                need, gap = steps[attempt[1]]
-                if not hits[attempt[1]] or (gap is not None and us - attempt[3] > gap):
-                    continue
-                attempt[2] += 1
-                if attempt[2] >= need:
-                    attempt[1], attempt[2], attempt[3] = attempt[1] + 1, 0, us
-                    if attempt[1] == len(steps) and (done is None or attempt[0] < done):
-                        done = attempt[0]
-            if hits[0]:
-                attempts.append([us, 0, 1, us] if steps[0][0] > 1 else [us, 1, 0, us])
-            if done is not None and us > quiet:
-                out.append((key[0], key[1], done, us, row.event_id))
-                quiet, attempts = us, []
-            attempts = self._thin([a for a in attempts if a[1] < len(steps)])
-        self.open.update((
-            [a[0] for a in attempts], [a[1] for a in attempts], [a[2] for a in attempts], [a[3] for a in attempts], quiet))
-        yield pd.DataFrame(out, columns=["rule_id", "g", "start_us", "hit_us", "event_id"])
-
-    @staticmethod
-    def _thin(attempts: list) -> list:
-        best: dict = {}
-        for a in attempts:
-            low, high = best.get((a[1], a[2]), (a, a))
-            best[(a[1], a[2])] = (min(low, a), max(high, a))
-        return [x for low, high in best.values() for x in ([low] if low == high else [low, high])]
-
-    def close(self) -> None:
-        pass
-
-
-def sequence_stream(stream: DataFrame, specs: list[SequenceSpec]) -> DataFrame:
-    """Completed ordered sequences per rule and group as the events arrive.
-
-    The state holds counts and times, no values and no skipped steps: rules with constraints across steps or with optional
-    steps are refused here and run in the batch pass of the pipeline.
-    """
-    refused = [s.rule_id for s in specs if s.constraints or any(t.optional for t in s.steps)]
-    if refused:
-        raise ValueError(f"constraints and optional steps need the batch operator: {', '.join(refused)}")
-    plans = {
-        s.rule_id: ([(t.min_count, t.max_gap_seconds * 1_000_000 if t.max_gap_seconds else None) for t in s.steps], s.window_seconds * 1_000_000)
-        for s in specs
-    }
-    depth = max(len(s.steps) for s in specs)
-    rows = step_rows(stream, specs).select("rule_id", "g", "us", "event_id", *[f"s{k}" for k in range(depth)])
-    return rows.groupBy("rule_id", "g").transformWithStateInPandas(
-        statefulProcessor=SequenceState(plans), outputStructType=StructType.fromDDL(THRESHOLD_OUT), outputMode="Append", timeMode="None")
+        values = batch[checks].astype(object).where(batch[checks].notna(), None)
+        for us, event_id, hits, held in zip(batch["us"].astype("int64").tolist(), batch["event_id"],
+                                            batch[flags].astype(bool).values.tolist(), values.values.tolist()):
+            start = runs.advance(us, hits, held)
+            newest = us
+            if start is not None:
+                out.append((key[0], key[1], start, us, event_id))
+        self._store(runs)
+        self._expire_at(newest + plan.window)
+        yield pd.DataFrame(out, columns=HIT_COLUMNS)
+
+    def _forget(self) -> None:
+        self.runs.clear()
+        self.group.clear()
+
+
+def sequence_plan(spec: SequenceSpec) -> Plan:
+    gap = lambda s: s.max_gap_seconds * 1_000_000 if s.max_gap_seconds else None
+    return Plan(tuple((s.min_count, gap(s), s.optional) for s in spec.steps), spec.window_seconds * 1_000_000,
+                tuple(limit for _, limit in spec.constraints))
+
+
+def sequence_stream(stream: DataFrame, specs: list[SequenceSpec], lateness_seconds: int = LOOKBACK_SECONDS) -> DataFrame:
+    """Completed ordered sequences per rule and group as the events arrive."""
+    depth, checks = max(len(s.steps) for s in specs), max(len(s.constraints) for s in specs)
+    rows = step_rows(stream, specs).select("rule_id", "g", "us", "event_id", "timestamp", *[f"s{k}" for k in range(depth)],
+                                           *[f"v{i}" for i in range(checks)])
+    return _stateful(rows, SequenceState({s.rule_id: sequence_plan(s) for s in specs}), lateness_seconds)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,11 @@ from eventwarden.operators import baseline, correlate
 from eventwarden.plans import detect, incidents
 from eventwarden.plans.lookback import lookback_candidates
 from eventwarden.plans.rulepack import RULES, Rule
-from eventwarden.session import prepare, stage
+from eventwarden.session import prepare, stage, work_folder
 from eventwarden.sinks import tables
 from eventwarden.sources.inventory import discover_hosts, discover_users, upsert_inventory
 from eventwarden.sources.normalize import normalize, split_rejects
+from eventwarden.sources.replay import sliced_stream, time_slices
 from eventwarden.streaming.operators import late_or_future
 
 IOC_MATCH_DDL = "ioc_id string, event_id string, matched_field string, ioc_confidence double, event_date string"
@@ -222,13 +224,18 @@ class Pipeline:
         links = t["alert_evidence"].drop("event_date")
         return incidents.build_cases(t["alerts"].drop("alert_date", "incident_id"), links, t["alert_entities"], t["ioc_matches"], t["hosts"], t["users"], t["membership"])
 
-    def replay(self, events: DataFrame, first_batch: int = 0) -> int:
-        """Feed a stored table hour by hour, so that no rule sees an event before its time."""
-        hour = F.expr("unix_micros(timestamp) div 3600000000")
-        hours = sorted(r.h for r in events.select(hour.alias("h")).distinct().collect())  # one value per hour
-        for i, value in enumerate(hours):
-            self.run_events(events.filter(hour == value), first_batch + i)
-        return len(hours)
+    def replay(self, events: DataFrame, slice_seconds: int = 3600) -> int:
+        """Feed a stored table slice by slice in time order, so that no rule sees an event before its time.
+
+        The table is scanned once, into one file per slice; a file stream then takes one file per micro-batch. Returns the
+        number of batches.
+        """
+        prepare(self.spark)
+        work = f"{work_folder(self.spark)}/replay-{uuid.uuid4().hex}"
+        time_slices(events, f"{work}/slices", slice_seconds)
+        query = self.start_events(sliced_stream(self.spark, f"{work}/slices", events.schema), f"{work}/checkpoint")
+        query.awaitTermination()
+        return query.lastProgress["batchId"] + 1 if query.lastProgress else 0
 
     # ---- streams ---------------------------------------------------------------------------------
     def start_raw(self, raw_stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -252,11 +259,3 @@ def run_summary(p: Pipeline) -> DataFrame:
     if tables.exists(p.spark, p.path("quarantine")):
         out = out.unionByName(count(p.spark.read.schema("record_id string, source string, reason string, raw string, batch_id int").parquet(p.path("quarantine")), "events_rejected"))
     return out
-
-
-def hourly_files(events: DataFrame, folder: str) -> None:
-    """A batch table as one file per hour, the order a causal replay reads them in."""
-    events.withColumn("hour", F.expr(f"unix_micros(timestamp) div {3_600_000_000}")).repartition("hour").write.mode(
-        "overwrite").partitionBy("hour").parquet(folder)
-
-

@@ -2,15 +2,18 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventwarden.operators.groups import group_parts
-from eventwarden.operators.sequence import SequenceSpec, StepSpec, sequence_evidence
+from eventwarden.operators.sequence import SequenceSpec, StepSpec
 from eventwarden.operators.threshold import ThresholdSpec, earliest_hits, matching_rows
 from eventwarden.plans.rulepack import RULES
 from eventwarden.streaming import operators as ops
-from eventwarden.streaming.pipeline import Pipeline, hourly_files, run_summary
-from tests.test_detectors import _rule, random_events
+from eventwarden.sources.replay import sliced_stream, time_slices
+from eventwarden.streaming.pipeline import Pipeline, run_summary
+from eventwarden.streaming.runs import Plan, Runs
+from tests.test_detectors import _groups, _rule, random_events, slow_sequence
 
 
 def drain(stream, folder, **options):
@@ -97,26 +100,105 @@ def test_stateful_threshold_equals_batch(spark, make_events, tmp_path):
     rule = _rule("R", {"status": "failure"}, ("user",))
     for i, spec in enumerate((ThresholdSpec(rule, 5, 60), ThresholdSpec(rule, 4, 90, "host", 3))):
         want = {(r.g, r.hit_us) for r in earliest_hits(matching_rows(events, [spec])).collect()}
-        hourly_files(events, f"{hourly}{i}")
-        stream = spark.readStream.schema(events.schema).parquet(f"{hourly}{i}")
+        time_slices(events, f"{hourly}{i}", 300)
+        stream = sliced_stream(spark, f"{hourly}{i}", events.schema)
         hits = drain(ops.threshold_stream(stream, [spec]), str(tmp_path / f"out{i}"))
         got = {(r.g, r.hit_us) for r in hits.groupBy("g").agg(F.min("hit_us").alias("hit_us")).collect()}
         assert got == want and want
 
 
-def test_stateful_sequence_finds_the_same_groups(spark, make_events, tmp_path):
+def _is(action):
+    return F.coalesce(F.col("action") == action, F.lit(False))
+
+
+def first_over_prefixes(rows, steps, window, limit):
+    """Time of the first event at which the batch definition finds a match in what came so far."""
+    plain = [(lambda e, a=a: a in e["action"], m, gap, opt) for a, m, gap, opt in steps]
+    return next((rows[n - 1][0] for n in range(1, len(rows) + 1) if slow_sequence(rows[:n], plain, window, limit)), None)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_equal_the_batch_definition_over_every_prefix(seed):
+    rng, fired, most = random.Random(seed), 0, 0
+    for _ in range(400):
+        steps = [(rng.choice("abc"), rng.choice([1, 1, 2, 3]), rng.choice([None, None, 3, 6, 12]), rng.random() < 0.3)
+                 for _ in range(rng.choice([2, 2, 3, 3, 4]))]
+        window, limit = rng.choice([8, 15, 30, 60]), rng.choice([None, 1, 2, 2, 3, 4])
+        hosts = [None, *[f"h{i}" for i in range(rng.choice([2, 3, 6]))]]
+        times = sorted(rng.randrange(rng.choice([20, 60, 120])) for _ in range(rng.randrange(4, 40)))
+        rows = [(t, f"e{i:03d}", {"action": rng.choice(["a", "b", "c", "ab", "bc", "abc", ""]), "host": rng.choice(hosts)})
+                for i, t in enumerate(times)]
+        runs = Runs(Plan(tuple((m, gap, opt) for _, m, gap, opt in steps), window, (limit,) if limit else ()))
+        got = None
+        for us, _, event in rows:
+            if runs.advance(us, [a in event["action"] for a, *_ in steps], [event["host"]] if limit else []) is not None:
+                got = us
+                break
+            most = max(most, len(runs.open))
+        assert got == first_over_prefixes(rows, steps, window, limit), (steps, window, limit, rows)
+        fired += got is not None
+    assert fired > 100 and most < 30
+
+
+def test_runs_of_a_hot_group_stay_few():
+    runs, rng = Runs(Plan(((1, None, False), (2, 50, False), (1, 90, False)), 100_000, (3,))), random.Random(3)
+    for us in range(5000):
+        kind = rng.random()
+        runs.advance(us, [kind < 0.9, kind > 0.9999, False], [f"h{rng.randrange(1000)}"])
+        assert len(runs.open) < 12
+
+
+SEQUENCES = [
+    # ([(action, min_count, gap, optional)], window, distinct hosts)
+    ([("a", 2, None, False), ("b", 1, 40, False), ("c", 1, 60, False)], 120, None),
+    ([("a", 1, None, False), ("b", 1, 90, False), ("a", 1, 90, False)], 300, 2),
+    ([("a", 1, None, False), ("b", 2, 40, True), ("c", 1, 60, False)], 120, None),
+    ([("a", 1, None, False), ("b", 1, 30, True), ("c", 2, 60, False)], 200, 3),
+]
+
+
+def test_stateful_sequences_over_many_batches(spark, make_events, tmp_path):
     ops.use_rocksdb(spark)
-    random.seed(5)
-    events = make_events(random_events(41, n=500, groups=15, span=4000, hot=0.2))
-    is_action = lambda a: F.coalesce(F.col("action") == a, F.lit(False))
-    spec = SequenceSpec("R", (StepSpec("x", is_action("a"), 2), StepSpec("y", is_action("b"), 1, 40), StepSpec("z", is_action("c"), 1, 60)), 120, group_parts(["user"]))
-    batch = sequence_evidence(events, [spec]).groupBy("g").agg(F.max("us").alias("last_us"))
-    want = {(r.g, r.last_us) for r in batch.collect()}
-    hourly_files(events, str(tmp_path / "events"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
-    hits = drain(ops.sequence_stream(stream, [spec]), str(tmp_path / "out"))
-    got = {(r.g, r.hit_us) for r in hits.groupBy("g").agg(F.min("hit_us").alias("hit_us")).collect()}
-    assert got == want and want
+    raw = random_events(41, n=900, groups=15, span=4000, hot=0.2)
+    events = make_events(raw)
+    specs = [SequenceSpec(f"R{i}", tuple(StepSpec(f"s{k}", _is(a), m, gap, opt) for k, (a, m, gap, opt) in enumerate(steps)),
+                          window, group_parts(["user"]), (("host", hosts),) if hosts else ())
+             for i, (steps, window, hosts) in enumerate(SEQUENCES)]
+    want = set()
+    for key, rows in _groups(raw, lambda e: True).items():
+        for i, (steps, window, hosts) in enumerate(SEQUENCES):
+            hit = first_over_prefixes(rows, steps, window, hosts)
+            want |= {(f"R{i}", key, hit)} if hit is not None else set()
+    time_slices(events, str(tmp_path / "events"), 300)
+    hits = drain(ops.sequence_stream(sliced_stream(spark, str(tmp_path / "events"), events.schema), specs), str(tmp_path / "out"))
+    base = events.agg(F.min(F.unix_micros("timestamp"))).first()[0] - min(e["at"] for e in raw) * 1_000_000
+    got = {(r.rule_id, r.g[1:] if r.g.startswith("=") else None, (r.hit_us - base) // 1_000_000)
+           for r in hits.groupBy("rule_id", "g").agg(F.min("hit_us").alias("hit_us")).collect()}
+    assert got == want and len({w[0] for w in want}) == len(SEQUENCES)
+
+
+def test_state_of_quiet_groups_expires(spark, make_events, tmp_path):
+    ops.use_rocksdb(spark)
+    step = {"event_type": "authentication", "action": "a", "status": "failure", "host": "h1"}
+    rows = [{**step, "at": 3600 * hour + i, "user": f"u{hour}-{i}"} for hour in range(12) for i in range(20 if hour < 3 else 2)]
+    events = make_events(rows)
+    time_slices(events, str(tmp_path / "events"), 3600)
+    spec = SequenceSpec("R", (StepSpec("x", _is("a")), StepSpec("y", _is("b"))), 600, group_parts(["user"]), (("host", 2),))
+    rule = _rule("T", {"status": "failure"}, ("user",))
+    for name, hits in (("sequence", lambda s: ops.sequence_stream(s, [spec], 60)),
+                       ("threshold", lambda s: ops.threshold_stream(s, [ThresholdSpec(rule, 5, 600)], 60))):
+        stream = hits(sliced_stream(spark, str(tmp_path / "events"), events.schema))
+        run = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        run.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress]
+        assert len(held) >= 12 and max(held) >= 40 and held[-1] <= max(held) / 4, held
+
+
+def test_replay_feeds_slices_in_time_order(spark, make_events, tmp_path):
+    events = make_events(attack(0) + attack(40_000, "eve", "WIN-1", "198.51.100.9"))
+    p = Pipeline(spark, str(tmp_path / "tables"), RULES)
+    assert p.replay(events) == 4
+    assert p.tables()["alerts"].count() == 10 and spark.read.parquet(p.path("events")).count() == 18
 
 
 def test_batch_that_failed_half_way_is_processed_again(spark, make_events, tmp_path):
