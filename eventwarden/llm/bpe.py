@@ -9,7 +9,7 @@ when the root is ``NONE``.
 The vocabulary is a tokenizer file in JSON (BPE with word ends, bytes as letters): the driver reads it and broadcasts it,
 so its size is bounded by the file. Texts are cut at added tokens, brought to the file's normal form (NFC, white space to
 one space, lower case letter by letter) and split into words, as the file states; ``Vocabulary`` refuses files that
-state anything else. Each task keeps the ids of up to ``CACHE_WORDS`` words of at most ``CACHE_CHARS`` characters. Signs
+state anything else. Each worker process keeps the ids of up to ``CACHE_WORDS`` words of at most ``CACHE_CHARS`` characters. Signs
 that came into Unicode after Python's tables (15.1) are neither letters nor numbers here.
 
 Defined results: null and empty texts have no ids and decode to the empty text. Ids outside the vocabulary decode to
@@ -34,7 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from eventwarden.llm.jobs import INT, STRING, field, prepared
 
 NONE = 1 << 60
-CACHE_WORDS = 1 << 17
+PAIR_BITS = 20
+CACHE_WORDS = 1 << 19
 CACHE_CHARS = 64
 
 # Fixed values of the vocabulary file: its normal form, its word pattern, and the letters that stand for bytes.
@@ -70,32 +71,38 @@ def later_signs() -> str:
 class PairTree:
     """The smallest of a row of ranks and its leftmost place, under point updates."""
 
+    __slots__ = ("width", "node")
+
     def __init__(self, ranks: list[int]):
-        self.width = 1 << max(len(ranks) - 1, 0).bit_length()
-        self.node = [NONE] * self.width + ranks + [NONE] * (self.width - len(ranks))
-        for i in range(self.width - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
+        width = self.width = 1 << max(len(ranks) - 1, 0).bit_length()
+        node = self.node = [NONE] * width + ranks + [NONE] * (width - len(ranks))
+        for i in range(width - 1, 0, -1):
+            a, b = node[2 * i], node[2 * i + 1]
+            node[i] = a if a < b else b
 
     def least(self) -> int:
         return self.node[1]
 
     def leftmost(self) -> int:
-        node, i = self.node, 1
-        while i < self.width:
-            i *= 2
-            if node[i] != node[1]:
+        node, width, i = self.node, self.width, 1
+        root = node[1]
+        while i < width:
+            i += i
+            if node[i] != root:
                 i += 1
-        return i - self.width
+        return i - width
 
     def put(self, place: int, rank: int) -> None:
         node, i = self.node, place + self.width
         node[i] = rank
         while i > 1:
+            best = node[i ^ 1]  # the sibling
+            if rank < best:
+                best = rank
             i >>= 1
-            best = min(node[2 * i], node[2 * i + 1])
             if node[i] == best:
                 return
-            node[i] = best
+            node[i] = rank = best
 
 
 class Vocabulary:
@@ -114,9 +121,11 @@ class Vocabulary:
         letters = byte_letters()
         self.inner = [ids[x] for x in letters]
         self.last = [ids[x + WORD_END] for x in letters]
-        self.merges = {}
+        # a pair's key is one number: its left id, then PAIR_BITS bits for its right id
+        self.ranks, self.made = {}, []
         for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.ranks[ids[a] << PAIR_BITS | ids[b]] = rank
+            self.made.append(ids[a + b])
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.tokens: list[str | None] = [None] * (1 + max(*ids.values(), *self.added.values()))
         for token, i in (ids | self.added).items():
@@ -129,40 +138,39 @@ class Vocabulary:
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, lowest rank first, the leftmost of equal ones first."""
-        merges, n = self.merges, len(symbols)
+        n, rank_of = len(symbols), self.ranks.get
         if n < 2:
             return symbols
-        none = (NONE, 0)
-        tree = PairTree([merges.get(pair, none)[0] for pair in zip(symbols, symbols[1:])])
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while tree.least() != NONE:
-            i = tree.leftmost()
+        tree = PairTree([rank_of(a << PAIR_BITS | b, NONE) for a, b in zip(symbols, symbols[1:])])
+        node, put, leftmost, made = tree.node, tree.put, tree.leftmost, self.made
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        while node[1] != NONE:
+            i = leftmost()
             j = after[i]
-            symbols[i] = merges[symbols[i], symbols[j]][1]
+            new = symbols[i] = made[node[1]]
             symbols[j] = -1
             k = after[i] = after[j]
-            if j < n - 1:
-                tree.put(j, NONE)
+            before[k] = i
             if k < n:
-                before[k] = i
-                tree.put(i, merges.get((symbols[i], symbols[k]), none)[0])
+                put(j, NONE)
+                put(i, rank_of(new << PAIR_BITS | symbols[k], NONE))
             else:
-                tree.put(i, NONE)
-            if before[i] >= 0:
-                tree.put(before[i], merges.get((symbols[before[i]], symbols[i]), none)[0])
+                put(i, NONE)
+            h = before[i]
+            if h >= 0:
+                put(h, rank_of(symbols[h] << PAIR_BITS | new, NONE))
         return [s for s in symbols if s >= 0]
 
     def word_ids(self, word: str) -> list[int]:
-        found = self.known.get(word)
-        if found is None:
-            raw = word.encode()
-            symbols = [self.inner[b] for b in raw]
-            symbols[-1] = self.last[raw[-1]]
-            found = self.merged(symbols)
-            if len(word) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = found
+        """The ids of a word, kept for the next time if it is not too long."""
+        raw = word.encode()
+        symbols = [self.inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
+        found = self.merged(symbols)
+        if len(word) <= CACHE_CHARS:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            self.known[word] = found
         return found
 
     def normal(self, text: str) -> str:
@@ -173,6 +181,7 @@ class Vocabulary:
 
     def ids(self, text: str) -> list[int]:
         out: list[int] = []
+        known = self.known.get
         parts = self.cut.split(text) if "<|" in text else [text]
         for part in parts:
             if part in self.added:
@@ -181,10 +190,16 @@ class Vocabulary:
             part = self.normal(part)
             late = self.later and not part.isascii() and self.later(part)
             for word in (self.words_later if late else self.words)(part):
-                out += self.word_ids(word)
+                out += known(word) or self.word_ids(word)
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(content: bytes, later: str) -> Vocabulary:
+    """One per worker process, which keeps it with its words from task to task."""
+    return Vocabulary(content, later)
+
+
 def _mapped(rows: DataFrame, dropped: str, made: T.StructField, path: str, make) -> DataFrame:
     """The columns of ``rows`` but ``dropped`` and ``made``, which ``make(vocabulary)`` computes from ``dropped``."""
     spark = prepared(rows.sparkSession)
@@ -195,7 +210,7 @@ def _mapped(rows: DataFrame, dropped: str, made: T.StructField, path: str, make)
     schema = T.StructType([*kept, made])
 
     def run(batches):
-        compute = make(Vocabulary(content.value, later))
+        compute = make(vocabulary(content.value, later))
         for batch in batches:
             column = lambda name: batch.column(batch.schema.get_field_index(name))
             out = compute(column(dropped))
@@ -213,9 +228,9 @@ def _lists(lengths: list[int], values: pa.Array) -> pa.Array:
 def encoded(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The columns of ``documents`` but the text, and its token ids as ``ids``."""
 
-    def make(vocabulary: Vocabulary):
+    def make(known: Vocabulary):
         def compute(column):
-            found = [np.array(vocabulary.ids(t or ""), dtype=np.int32) for t in column.to_pylist()]
+            found = [np.array(known.ids(t or ""), dtype=np.int32) for t in column.to_pylist()]
             return _lists([len(x) for x in found], pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int32)])))
         return compute
 
@@ -225,14 +240,14 @@ def encoded(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
 def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """The columns of ``rows`` but the ids, and the tokens they stand for, joined by one space, as ``decoded``."""
 
-    def make(vocabulary: Vocabulary):
-        tokens = pa.array(vocabulary.tokens, pa.string())
+    def make(known: Vocabulary):
+        tokens = pa.array(known.tokens, pa.string())
 
         def compute(column):
             column = pc.fill_null(column, [])
             flat = column.flatten()
-            known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens)))
-            named = tokens.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))
+            inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens)))
+            named = tokens.take(pc.if_else(inside, flat, pa.scalar(None, flat.type)))
             lists = _lists(pc.list_value_length(column).to_pylist(), named)
             if named.null_count:
                 lists = pa.array([[t for t in row if t is not None] for row in lists.to_pylist()], lists.type)
