@@ -6,13 +6,13 @@ value depends on two counts alone, so terms are never scored one by one: they ar
 and cells are what is ranked, by cumulative multiplicity. Cells of equal value merge; only the cells that begin before
 the last wanted rank are expanded into terms, in UTF-8 order.
 
-For pairs of sources, only terms that both have are joined. Cells with a zero on one side or both follow by inclusion and
-exclusion from the sources' own count tables and the number of kept terms, so the work does not grow with terms that a
-source lacks.
+For pairs of sources, only terms that both have are paired, once for both directions. Cells with a zero on one side or
+both follow by inclusion and exclusion from the sources' own count tables and the number of kept terms, so the work does
+not grow with terms that a source lacks.
 
-Texts are counted in tasks, slice by slice and distinct term by distinct term, and again by map-side aggregation; a source
-with a third of all rows is spread by term. A term has one row per source of its language, the bound on every group here.
-All arithmetic is exact: decimals where a product may exceed 64 bits.
+Texts are counted in tasks (``Tally``, at most ``TALLY`` entries at a time), and again by map-side aggregation; a source
+with a third of all rows is spread by term. A kept term is one row with its counts by source: as many as its language has
+sources, as the result has pairs. All arithmetic is exact: decimals where a product may exceed 64 bits.
 
 Defined results: null text, lang and source are ''. A language without kept terms has value 0 for every pair of its
 sources and no terms. Repeated rows are separate documents. Extra columns are ignored; an empty table has no rows.
@@ -34,6 +34,7 @@ from eventwarden.llm.resample import LOWER
 MIN_DOCS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
+TALLY = 1 << 20
 # [^\x00-\x40\x5B-\x60\x7B-\x7F]+
 LETTERS = w.class_table([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
@@ -49,8 +50,8 @@ def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[index]))
 
 
-def _slice_counts(part: w.Slice, group: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Group, term, occurrences and documents of every distinct (group, term) of a slice."""
+def _slice_counts(part: w.Slice, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Group, code, term, occurrences and documents of every distinct (group, term) of a slice."""
     found = w.words_of(part, LETTERS, w.FOLDED_VALUES)
     of = group[found.doc]
     order = np.lexsort((found.doc, found.code, of))
@@ -63,32 +64,89 @@ def _slice_counts(part: w.Slice, group: np.ndarray) -> tuple[np.ndarray, pa.Arra
     held = np.diff(np.append(entry, len(order)))
     docs = np.add.reduceat(in_doc, entry).astype(np.int64) if len(entry) else held
     at = order[entry]
-    return of[entry], _strings(LOWER[part.data], found.start[at], found.end[at]), held, docs
+    return of[entry], code[entry], _strings(LOWER[part.data], found.start[at], found.end[at]), held, docs
+
+
+class Tally:
+    """Counts of distinct (group, term) over the slices of a task; given out when they are many."""
+
+    def __init__(self):
+        self.groups: dict[tuple, int] = {}
+        self.parts: list[tuple] = []
+        self.entries = 0
+
+    def number(self, lang: list, source: list) -> np.ndarray:
+        known = self.groups
+        return np.array([known.setdefault(g, len(known)) for g in zip(lang, source)], dtype=np.int64)
+
+    def add(self, part: w.Slice, group: np.ndarray) -> None:
+        self.parts.append(_slice_counts(part, group))
+        self.entries += len(self.parts[-1][0])
+        if self.entries >= 2 * TALLY:
+            self._merge()
+
+    def _merge(self) -> None:
+        of, code, term, held, docs = zip(*self.parts)
+        of, code, held, docs = (np.concatenate(x) for x in (of, code, held, docs))
+        key = w.mixed(code ^ w.mixed(of.astype(np.uint64) + np.uint64(w.BASE)))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        entry = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else [])
+        at = order[entry]
+        sums = [np.add.reduceat(x[order], entry) if len(entry) else x for x in (held, docs)]
+        self.parts = [(of[at], code[at], pa.chunked_array(term, pa.string()).take(pa.array(at)).combine_chunks(), *sums)]
+        self.entries = len(at)
+
+    def full(self) -> bool:
+        return self.entries >= TALLY
+
+    def rows(self) -> pa.RecordBatch:
+        """All counts; the tally is empty after that."""
+        if self.parts:
+            self._merge()
+            (of, _, term, held, docs), = self.parts
+        else:
+            of, term, held, docs = np.zeros(0, dtype=np.int64), pa.array([], pa.string()), *[np.zeros(0, dtype=np.int64)] * 2
+        names = [pa.array([g[i] for g in self.groups], pa.string()).take(pa.array(of)) for i in (0, 1)]
+        self.__init__()
+        return pa.RecordBatch.from_arrays([*names, term, pa.array(held), pa.array(docs)], names=COUNTED.names)
 
 
 def _counted(documents: DataFrame) -> DataFrame:
     """(lang, source, term, held, docs): occurrences, and documents that have the term."""
 
     def run(batches):
+        tally = Tally()
         for batch in batches:
             column = lambda name: batch.column(batch.schema.get_field_index(name))
-            groups = pa.StructArray.from_arrays([column("lang"), column("source")], names=["lang", "source"]).to_pylist()
-            known: dict[tuple, int] = {}
-            number = np.array([known.setdefault((g["lang"], g["source"]), len(known)) for g in groups], dtype=np.int64)
-            names = [pa.array([k[i] for k in known], pa.string()) for i in (0, 1)]
+            lang, source = column("lang").to_pylist(), column("source").to_pylist()
             for part in w.slices(column("text")):
-                of, term, held, docs = _slice_counts(part, number[part.first:part.last])
-                yield pa.RecordBatch.from_arrays(
-                    [*(n.take(pa.array(of)) for n in names), term, pa.array(held), pa.array(docs)], names=COUNTED.names)
+                tally.add(part, tally.number(lang[part.first:part.last], source[part.first:part.last]))
+                if tally.full():
+                    yield tally.rows()
+        yield tally.rows()
 
     return documents.mapInArrow(run, COUNTED).groupBy("lang", "source", "term").agg(
         F.sum("held").alias("held"), F.sum("docs").alias("docs"))
 
 
+def _kept(documents: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, term, lang_held, spread): the kept terms with their counts, in all and by source."""
+    return _counted(documents).groupBy("lang", "term").agg(
+        F.sum("held").alias("lang_held"), F.sum("docs").alias("docs"),
+        F.array_sort(F.collect_list(F.struct("source", "held"))).alias("spread")).filter(F.col("docs") >= min_docs).drop("docs")
+
+
+def _by_source(kept: DataFrame) -> DataFrame:
+    return kept.select("lang", "term", "lang_held", F.inline("spread"))
+
+
 def _share(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (count + 1) / (total + terms)), exactly."""
-    top = F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(19,0)")
-    return 1 + F.call_function("div", top, F.nullif(total + terms, F.lit(0)).cast("decimal(19,0)"))
+    below = F.nullif(total + terms, F.lit(0))
+    div = lambda x, y: F.call_function("div", x, y)
+    wide = div(F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(19,0)"), below.cast("decimal(19,0)"))
+    return 1 + F.when(count < (1 << 63) // SCALE - 1, div(F.lit(SCALE).cast("long") * (count + 1), below)).otherwise(wide)
 
 
 def _departure(p: Column, q: Column) -> Column:
@@ -97,37 +155,47 @@ def _departure(p: Column, q: Column) -> Column:
 
 
 def _pairs(kept: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
-    """(lang, source, item, value) for every ordered pair of sources of a language."""
-    here = kept.select("lang", "term", F.col("source"), F.col("held").alias("a"))
-    there = kept.select("lang", "term", F.col("source").alias("item"), F.col("held").alias("b"))
-    both = here.join(there, ["lang", "term"]).filter("source <> item").groupBy("lang", "source", "item", "a", "b").agg(
+    """(lang, source, item, value) for every ordered pair of sources of a language.
+
+    With f(a, b) for the value of a term with counts a here and b there, the sum over all kept terms is that of
+    f(a, b) - f(a, 0) - f(0, b) + f(0, 0) over the terms of both, of f(a, 0) - f(0, 0) over those here, of
+    f(0, b) - f(0, 0) over those there, and of f(0, 0) over all.
+    """
+    zero, key = F.lit(0).cast("long"), ["lang", "source", "item"]
+    paired = F.flatten(F.transform("spread", lambda x, i: F.transform(
+        F.slice("spread", i + 2, F.size("spread")),
+        lambda y: F.struct(x["source"].alias("source"), y["source"].alias("item"), x["held"].alias("a"), y["held"].alias("b")))))
+    cells = kept.filter(F.size("spread") > 1).select("lang", F.inline(paired)).groupBy(*key, "a", "b").agg(
         F.count("*").alias("terms"))
-    cell = lambda a, b, n: F.struct(a.alias("a"), b.alias("b"), n.alias("terms"))
-    a, b, n, zero = F.col("a"), F.col("b"), F.col("terms"), F.lit(0).cast("long")
-    key = ["lang", "source", "item"]
-    shared = both.select(*key, F.inline(F.array(cell(a, b, n), cell(a, zero, -n), cell(zero, b, -n), cell(zero, zero, n))))
-    own = kept.groupBy("lang", "source", "held").agg(F.count("*").alias("terms"))
-    other = groups.select("lang", F.col("source").alias("other"))
-    against = own.join(other, "lang").filter("source <> other").withColumn("a", F.col("held"))
-    first = against.select("lang", "source", F.col("other").alias("item"), F.inline(F.array(cell(a, zero, n), cell(zero, zero, -n))))
-    second = against.select("lang", F.col("other").alias("source"), F.col("source").alias("item"),
-                            F.inline(F.array(cell(zero, a, n), cell(zero, zero, -n))))
-    totals = groups.select("lang", "source", "total").join(langs.select("lang", F.col("terms").alias("all_terms")), "lang")
-    pairs = totals.join(groups.select("lang", F.col("source").alias("item"), F.col("total").alias("item_total")), "lang").filter(
-        "source <> item")
-    rest = pairs.select(*key, zero.alias("a"), zero.alias("b"), F.col("all_terms").alias("terms"))
-    cells = shared.unionByName(first).unionByName(second).unionByName(rest).groupBy(*key, "a", "b").agg(
-        F.sum("terms").alias("terms")).filter("terms > 0")
-    p = _share(a, F.col("total"), F.col("all_terms"))
-    q = _share(b, F.col("item_total"), F.col("all_terms"))
-    value = F.sum(_departure(p, q).cast("decimal(19,0)") * n).cast("long")
-    valued = cells.join(pairs, key).groupBy(*key).agg(value.alias("value"))
-    return pairs.select(*key).join(valued, key, "left").withColumn("value", F.coalesce("value", zero))
+    sized = groups.join(langs.select("lang", F.col("terms").alias("all_terms")), "lang").select(
+        "lang", "source", "total", "all_terms", _share(zero, F.col("total"), F.col("all_terms")).alias("none"))
+    here = sized.select("lang", "source", F.col("total").alias("here"), "all_terms", F.col("none").alias("p0"))
+    there = sized.select("lang", F.col("source").alias("item"), F.col("total").alias("there"), F.col("none").alias("q0"))
+    p0, q0, f = F.col("p0"), F.col("q0"), _departure
+    p = _share(F.col("a"), F.col("here"), F.col("all_terms")).alias("p")
+    q = _share(F.col("b"), F.col("there"), F.col("all_terms")).alias("q")
+    p_, q_, n = F.col("p"), F.col("q"), F.col("terms").cast("decimal(19,0)")
+    both = cells.join(here, ["lang", "source"]).join(there, ["lang", "item"]).select(*key, "terms", "p0", "q0", p, q)
+    forth = F.sum((f(p_, q_) - f(p_, q0) - f(p0, q_) + f(p0, q0)).cast("decimal(19,0)") * n)
+    back = F.sum((f(q_, p_) - f(q_, p0) - f(q0, p_) + f(q0, p0)).cast("decimal(19,0)") * n)
+    shared = both.groupBy(*key).agg(forth.alias("forth"), back.alias("back")).select("lang", F.inline(F.array(
+        F.struct("source", "item", F.col("forth").alias("value")),
+        F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))))
+    own = _by_source(kept).groupBy("lang", "source", "held").agg(F.count("*").alias("terms"))
+    pairs = staged(here.join(there, "lang").filter("source <> item"), "pairs")
+    mine = own.withColumnRenamed("held", "a").join(pairs, ["lang", "source"]).select(*key, "terms", "p0", "q0", p)
+    theirs = own.select("lang", F.col("source").alias("item"), F.col("held").alias("b"), "terms").join(
+        pairs, ["lang", "item"]).select(*key, "terms", "p0", "q0", q)
+    summed = lambda rows, x: rows.groupBy(*key).agg(F.sum(x.cast("decimal(19,0)") * n).alias("value"))
+    whole = pairs.select(*key, (f(p0, q0).cast("decimal(19,0)") * F.col("all_terms").cast("decimal(19,0)")).alias("value"))
+    parts = shared.unionByName(summed(mine, f(p_, q0) - f(p0, q0))).unionByName(summed(theirs, f(p0, q_) - f(p0, q0))).unionByName(whole)
+    return parts.groupBy(*key).agg(F.coalesce(F.sum("value").cast("long"), zero).alias("value"))
 
 
 def _terms(kept: DataFrame, groups: DataFrame, langs: DataFrame, top: int) -> DataFrame:
     """(lang, source, item, value, rank) of the terms that a source uses more than its language, to rank ``top``."""
-    cells = (kept.groupBy("lang", "source", "held", "lang_held").agg(F.count("*").alias("terms"))
+    spread = _by_source(kept)
+    cells = (spread.groupBy("lang", "source", "held", "lang_held").agg(F.count("*").alias("terms"))
              .join(groups.select("lang", "source", "total"), ["lang", "source"])
              .join(langs.select("lang", F.col("terms").alias("all_terms"), F.col("total").alias("lang_total")), "lang"))
     shared = cells.withColumn("p", _share(F.col("held"), F.col("total"), F.col("all_terms"))).withColumn(
@@ -141,7 +209,7 @@ def _terms(kept: DataFrame, groups: DataFrame, langs: DataFrame, top: int) -> Da
     before = F.coalesce(F.sum("terms").over(by_value.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wanted = first.withColumn("before", before).filter(F.col("before") < top).select("lang", "source", "value", "before")
     chosen = valued.join(wanted, ["lang", "source", "value"]).select("lang", "source", "held", "lang_held", "value", "before")
-    terms = kept.join(chosen, ["lang", "source", "held", "lang_held"])
+    terms = spread.join(chosen, ["lang", "source", "held", "lang_held"])
     by_term = Window.partitionBy("lang", "source", "value").orderBy("term")
     placed = terms.withColumn("place", F.row_number().over(by_term)).filter(F.col("place") <= top)
     rank = (F.col("before") + F.col("place")).cast("int")
@@ -153,16 +221,12 @@ def audit(documents: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS)
     prepared(documents.sparkSession)
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = documents.select(blank("lang"), blank("source"), "text")
-    by_lang = Window.partitionBy("lang", "term")
-    kept = staged(_counted(rows).withColumn("lang_docs", F.sum("docs").over(by_lang)).withColumn(
-        "lang_held", F.sum("held").over(by_lang)).filter(F.col("lang_docs") >= min_docs).select(
-        "lang", "source", "term", "held", "lang_held"), "kept-terms")
-    held = kept.groupBy("lang", "source").agg(F.sum("held").alias("total"))
+    kept = staged(_kept(rows, min_docs), "kept-terms")
+    held = _by_source(kept).groupBy("lang", "source").agg(F.sum("held").alias("total"))
     zero = F.lit(0).cast("long")
     groups = staged(rows.select("lang", "source").distinct().join(held, ["lang", "source"], "left").withColumn(
         "total", F.coalesce("total", zero)), "groups")
-    vocabulary = kept.groupBy("lang", "term").agg(F.first("lang_held").alias("n")).groupBy("lang").agg(
-        F.count("*").alias("terms"), F.sum("n").alias("total"))
+    vocabulary = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_held").alias("total"))
     langs = staged(groups.select("lang").distinct().join(vocabulary, "lang", "left").select(
         "lang", F.coalesce("terms", zero).alias("terms"), F.coalesce("total", zero).alias("total")), "langs")
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

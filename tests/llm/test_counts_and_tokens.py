@@ -171,6 +171,28 @@ def audited(rows, top=200):
     return out
 
 
+def test_tally_counts_over_slices(monkeypatch):
+    monkeypatch.setattr(divergence, "TALLY", 40)
+    rng, tally, want, got = random.Random(2), divergence.Tally(), Counter(), Counter()
+    for _ in range(30):
+        texts = [" ".join(rng.choice(PROSE) for _ in range(rng.randrange(9))) for _ in range(6)]
+        lang, source = [rng.choice("xy") for _ in texts], [rng.choice("ab") for _ in texts]
+        for part in w.slices(pa.array(texts), rows=4):
+            tally.add(part, tally.number(lang[part.first:part.last], source[part.first:part.last]))
+            rows = tally.rows().to_pylist() if tally.full() else []
+            for r in rows:
+                got[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+                got[r["lang"], r["source"], r["term"], "held"] += r["held"]
+        for a, b, t in zip(lang, source, texts):
+            for term, n in Counter(t.split()).items():
+                want[a, b, term, "docs"] += 1
+                want[a, b, term, "held"] += n
+    for r in tally.rows().to_pylist():
+        got[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+        got[r["lang"], r["source"], r["term"], "held"] += r["held"]
+    assert got == want and tally.rows().num_rows == 0
+
+
 @pytest.mark.parametrize("top", [3, 200])
 def test_divergence(spark, messy, messy_rows, none, top):
     rng = random.Random(11)
