@@ -92,9 +92,18 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write an intermediate result once and read it back.
 
     Used where a result feeds several branches of one plan: each branch then reads the narrow table
-    instead of recomputing its lineage, and a lost executor costs one read.
+    instead of recomputing its lineage, and a lost executor costs one read. ``release`` removes it.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.stage_path = path
+    return read
+
+
+def release(df: DataFrame) -> None:
+    """Remove a staged table whose last reader has been written."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
