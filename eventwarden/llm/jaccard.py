@@ -13,7 +13,8 @@
    that the rounds before have not joined, without listing pairs.
 
 No group goes to one task whole: groups beyond ``GROUP_SETS`` sets or ``GROUP_TOKENS`` shingles are dealt out in
-blocks, and the last step compares all pairs of blocks. Neither pairs nor components pass through the driver.
+blocks, and the last step compares all pairs of blocks, members and visitors alike; that is quadratic in a hot group's
+blocks, for sets that nothing has joined or ruled out before. Neither pairs nor components pass through the driver.
 
 Defined results: null, empty and wordless texts have the empty set and link with nothing, each its own component. Fewer
 than five words are one shingle. Repeated rows and repeated ids stay one row each. A component is named by its smallest
@@ -30,24 +31,29 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from eventwarden.llm import words as w
+from eventwarden.llm.components import labelled
 from eventwarden.llm.decontaminate import FILTER_WORD
 from eventwarden.llm.jobs import BINARY, INT, KEY, LONG, field, keys, prepared, staged, without
 from eventwarden.llm.trees import Links, Marks, across, bitmaps, width
-from eventwarden.operators.correlate import connected_components
 
 SHINGLE = 5
 NUM, DEN = 80, 100
 BUCKETS = 1 << 16
-FILTER_BITS = 1 << 23
+FILTER_BITS = (1 << 16, 1 << 25)
+FILTER_SPARE = 16
+SALTS = 64
 GROUP_SETS = 2048
 GROUP_TOKENS = 1 << 21
 SEEN = 1 << 18
 
 
 class Sets:
-    """Shingle sets of a slice: sorted (document, code), bounds per document, and a hash of each whole set."""
+    """Shingle sets of a slice: sorted (document, code), bounds per document, and a hash of each whole set.
 
-    def __init__(self, part: w.Slice):
+    With ``within``, a long per row, sets are told apart and meet only among rows of equal value.
+    """
+
+    def __init__(self, part: w.Slice, within: np.ndarray | None = None):
         self.n = part.last - part.first
         words = w.words_of(part, w.SPACED, w.FOLDED_VALUES)
         self.n_words = w.per_doc(words.doc, self.n).astype(np.int64)
@@ -57,7 +63,15 @@ class Sets:
         sums = np.zeros(len(self.code) + 1, dtype=np.uint64)
         np.cumsum(w.mixed(self.code ^ np.uint64(w.BASE)), out=sums[1:])
         total = sums[self.bounds[1:]] - sums[self.bounds[:-1]]
-        self.ids = w.signed(w.mixed(total + self.sizes.astype(np.uint64)))
+        self.within = None if within is None else w.mixed(within.view(np.uint64) + np.uint64(w.BASE))
+        self.ids = w.signed(self._apart(w.mixed(total + self.sizes.astype(np.uint64)), slice(None)))
+
+    def _apart(self, code: np.ndarray, rows) -> np.ndarray:
+        return code if self.within is None else w.mixed(code ^ self.within[rows])
+
+    def tokens(self, doc: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """What the shingles ``code`` of documents ``doc`` meet under."""
+        return w.signed(self._apart(code, doc))
 
     def maps(self) -> list[bytes | None]:
         """Each set's bitmap at its own width; none for the empty set."""
@@ -65,10 +79,16 @@ class Sets:
                 for lo, hi in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist())]
 
 
-def _parts(batches, column: str):
+WITHIN = "within"
+
+
+def _sets(batches):
+    """(batch, slice, sets) of the rows of texts."""
     for batch in batches:
-        for part in w.slices(batch.column(batch.schema.get_field_index(column))):
-            yield batch, part
+        at = batch.schema.get_field_index(WITHIN)
+        within = None if at < 0 else batch.column(at).to_numpy()
+        for part in w.slices(batch.column(batch.schema.get_field_index("text"))):
+            yield batch, part, Sets(part, None if within is None else within[part.first:part.last])
 
 
 def _bucket(code: np.ndarray) -> np.ndarray:
@@ -76,20 +96,19 @@ def _bucket(code: np.ndarray) -> np.ndarray:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """The other columns, set_id, n_shingles and bitmap per row; and (bucket, held) rows for buckets crowded in a task."""
+    """The other columns, n_words, set_id, n_shingles and bitmap per row; and (bucket, held) rows for buckets crowded in a task."""
     others = [f for f in rows.schema.fields if f.name != "text"]
-    schema = T.StructType([*others, field("set_id", LONG), field("n_shingles", LONG), field("map", BINARY),
-                           field("bucket", INT), field("held", LONG)])
+    schema = T.StructType([*others, field("n_words", LONG), field("set_id", LONG), field("n_shingles", LONG),
+                           field("map", BINARY), field("bucket", INT), field("held", LONG)])
 
     def run(batches):
         held = np.zeros(BUCKETS, dtype=np.int64)
         kept: list[pa.Array] = []
-        for batch, part in _parts(batches, "text"):
-            sets = Sets(part)
+        for batch, part, sets in _sets(batches):
             held += np.bincount(_bucket(sets.code), minlength=BUCKETS)
             kept = [batch.column(batch.schema.get_field_index(f.name)).slice(part.first, sets.n) for f in others]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(sets.ids), pa.array(sets.sizes.astype(np.int64)),
+                [*kept, pa.array(sets.n_words), pa.array(sets.ids), pa.array(sets.sizes.astype(np.int64)),
                  pa.array(sets.maps(), pa.binary()), pa.nulls(sets.n, pa.int32()),
                  pa.nulls(sets.n, pa.int64())], names=schema.names)
         mean = held.mean()
@@ -97,7 +116,7 @@ def _sized(rows: DataFrame) -> DataFrame:
         if len(crowded):
             n = len(crowded)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.nulls(n, c.type) for c in kept), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                [*(pa.nulls(n, c.type) for c in kept), *[pa.nulls(n, pa.int64())] * 3,
                  pa.nulls(n, pa.binary()), pa.array(crowded.astype(np.int32)), pa.array(held[crowded])], names=schema.names)
 
     nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
@@ -117,14 +136,12 @@ def _fresh(seen: set, ids: np.ndarray) -> np.ndarray:
 
 
 def _entries(documents: DataFrame, crowding: np.ndarray) -> DataFrame:
-    """(token, set_id, n) for the prefix of every set."""
+    """(token, salt, set_id, n) for the prefix of every set; only tokens of crowded buckets are salted."""
     ranks = documents.sparkSession.sparkContext.broadcast(crowding)  # BUCKETS bytes
-    schema = T.StructType([field("token", LONG), field("set_id", LONG), field("n", INT)])
 
     def run(batches):
         rank, seen = ranks.value, set()
-        for _, part in _parts(batches, "text"):
-            sets = Sets(part)
+        for _, _, sets in _sets(batches):
             fresh = _fresh(seen, sets.ids)
             use = fresh[sets.doc]
             doc, code = sets.doc[use], sets.code[use]
@@ -133,43 +150,57 @@ def _entries(documents: DataFrame, crowding: np.ndarray) -> DataFrame:
             place = np.arange(len(doc)) - np.searchsorted(doc, np.arange(sets.n))[doc]
             n = sets.sizes[doc]
             prefix = place < n - -(-NUM * n // DEN) + 1
+            doc, code, n = doc[prefix], code[prefix], n[prefix]
+            ids = sets.ids[doc]
+            salt = np.where(rank[_bucket(code)] > 0, 1 + (ids.view(np.uint64) % np.uint64(SALTS)).astype(np.int32), 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w.signed(code[prefix])), pa.array(sets.ids[doc[prefix]]),
-                 pa.array(n[prefix].astype(np.int32))], names=schema.names)
+                [pa.array(sets.tokens(doc, code)), pa.array(salt.astype(np.int32)), pa.array(ids), pa.array(n.astype(np.int32))],
+                names=ENTRIES.names)
+
+    return _texts(documents).mapInArrow(run, ENTRIES)
+
+
+ENTRIES = T.StructType([field("token", LONG), field("salt", INT), field("set_id", LONG), field("n", INT)])
 
-    return documents.select("text").mapInArrow(run, schema)
+
+def _texts(documents: DataFrame, *more: str) -> DataFrame:
+    return documents.select(*(c for c in documents.columns if c in ("text", WITHIN, *more)))
 
 
 def _meeting(entries: DataFrame) -> DataFrame:
-    """Entries, without repeats, of tokens that at least two sets have; streams over sorted partitions."""
+    """Entries, without repeats, of tokens that at least two sets have; streams over sorted partitions.
+
+    A salted token, which may be in any part of all sets, is spread over ``SALTS`` places; its entries all pass.
+    """
+    schema = T.StructType([f for f in ENTRIES.fields if f.name != "salt"])
 
     def run(batches):
         held = None
         for batch in batches:
-            table = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1).astype(np.int64)
+            table = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1).astype(np.int64)
             if held is not None:
                 table = np.concatenate([held, table])
             if not len(table):
                 continue
-            table = table[np.concatenate([[True], (table[1:, :2] != table[:-1, :2]).any(axis=1)])]
+            table = table[np.concatenate([[True], (table[1:, :3] != table[:-1, :3]).any(axis=1)])]
             # the last token may go on in the next batch: hold back its last two entries, enough to decide it
-            tail = max(int(np.searchsorted(-(table[::-1, 0] == table[-1, 0]).astype(int), 0)), 1)
+            ending = (table[::-1, :2] == table[-1, :2]).all(axis=1)
+            tail = len(table) if ending.all() else int(np.argmin(ending))
             ready, held = (table[:-2], table[-2:]) if tail > 2 else (table[:-tail], table[-tail:])
-            token = table[:, 0]
             twice = np.zeros(len(table), dtype=bool)
-            twice[1:] = token[1:] == token[:-1]
+            twice[1:] = (table[1:, :2] == table[:-1, :2]).all(axis=1)
             twice[:-1] |= twice[1:]
-            yield _rows(ready[twice[:len(ready)]])
-        if held is not None and len(held) > 1:
-            yield _rows(held if held[0, 0] == held[1, 0] else held[:0])
+            yield _rows(ready[(twice | (table[:, 1] > 0))[:len(ready)]])
+        if held is not None:
+            both = len(held) > 1 and bool((held[0, :2] == held[1, :2]).all())
+            yield _rows(held if both else held[held[:, 1] > 0])
 
     def _rows(table):
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(table[:, 0])), pa.array(np.ascontiguousarray(table[:, 1])),
-             pa.array(table[:, 2].astype(np.int32))], names=["token", "set_id", "n"])
+            [pa.array(np.ascontiguousarray(table[:, 0])), pa.array(np.ascontiguousarray(table[:, 2])),
+             pa.array(table[:, 3].astype(np.int32))], names=schema.names)
 
-    return (entries.repartition("token").sortWithinPartitions("token", "set_id")
-            .mapInArrow(run, entries.schema))
+    return (entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "set_id").mapInArrow(run, schema))
 
 
 def _without_twins(entries: DataFrame) -> DataFrame:
@@ -225,51 +256,58 @@ def _solved(batches, columns: int, solve):
         yield [solve(rows)]
 
 
-def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     code = w.mixed(ids.view(np.uint64))
-    return ((code & np.uint64(FILTER_BITS - 1)).astype(np.int64),
-            ((code >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64))
+    return (code & np.uint64(bits - 1)).astype(np.int64), ((code >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit filter of fixed size over set ids, folded together by tasks before it reaches the driver."""
-    words = FILTER_BITS // FILTER_WORD
+    """A bit filter over ids, sized by their number within ``FILTER_BITS``; tasks fold it before it reaches the driver."""
+    least, most = FILTER_BITS
+    bits = min(max(least, 1 << (FILTER_SPARE * ids.count()).bit_length()), most)
+    words = bits // FILTER_WORD
     schema = T.StructType([field("cell", INT), field("bits", LONG)])
 
     def run(batches):
-        bits = np.zeros(FILTER_BITS, dtype=bool)
+        marks = np.zeros(bits, dtype=bool)
         for batch in batches:
-            for place in _bits(batch.column(0).to_numpy()):
-                bits[place] = True
-        folded = bits.reshape(words, FILTER_WORD) @ (1 << np.arange(FILTER_WORD, dtype=np.int64))
+            for place in _places(batch.column(0).to_numpy(), bits):
+                marks[place] = True
+        folded = marks.reshape(words, FILTER_WORD) @ (1 << np.arange(FILTER_WORD, dtype=np.int64))
         cell = np.flatnonzero(folded)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(folded[cell])],
                                          names=schema.names)
 
     folded = np.zeros(words, dtype=np.int64)
     for row in (ids.mapInArrow(run, schema).groupBy("cell").agg(F.bit_or("bits").alias("bits"))
-                .toLocalIterator()):  # at most FILTER_BITS / FILTER_WORD rows
+                .toLocalIterator()):  # a row per FILTER_WORD bits at most
         folded[row.cell] = row.bits
     return ((folded[:, None] >> np.arange(FILTER_WORD)) & 1).astype(bool).reshape(-1)
 
 
 def _chosen_sets(documents: DataFrame, passing: np.ndarray) -> DataFrame:
-    """(set_id, codes) of the sets that pass the filter, once each."""
-    packed = documents.sparkSession.sparkContext.broadcast(np.packbits(passing))  # FILTER_BITS bits
+    """(set_id, codes) of the texts whose key passes the filter, once each; no other text is cut into shingles."""
+    packed = documents.sparkSession.sparkContext.broadcast(np.packbits(passing))  # FILTER_BITS bits at most
     schema = T.StructType([field("set_id", LONG), field("codes", BINARY)])
 
     def run(batches):
         allowed, seen = np.unpackbits(packed.value).astype(bool), set()
-        for _, part in _parts(batches, "text"):
-            sets = Sets(part)
-            a, b = _bits(sets.ids)
-            use = np.flatnonzero(allowed[a] & allowed[b] & (sets.sizes > 0))
+
+        def wanted():
+            for batch in batches:
+                a, b = _places(batch.column(batch.schema.get_field_index("text_key")).to_numpy(), len(allowed))
+                rows = batch.filter(pa.array(allowed[a] & allowed[b]))
+                if rows.num_rows:
+                    yield rows
+
+        for _, _, sets in _sets(wanted()):
+            use = np.flatnonzero(sets.sizes > 0)
             use = use[_fresh(seen, sets.ids[use])]
             codes = [sets.code[sets.bounds[i]:sets.bounds[i + 1]].tobytes() for i in use]
             yield pa.RecordBatch.from_arrays([pa.array(sets.ids[use]), pa.array(codes, pa.binary())],
                                              names=schema.names)
 
-    return documents.select("text").mapInArrow(run, schema).groupBy("set_id").agg(F.first("codes").alias("codes"))
+    return _texts(documents, "text_key").mapInArrow(run, schema).groupBy("set_id").agg(F.first("codes").alias("codes"))
 
 
 def _blocks(groups: DataFrame, last: bool) -> DataFrame:
@@ -328,23 +366,24 @@ def _visits(groups: DataFrame, maps: DataFrame) -> DataFrame:
 
 
 def _hosted(visits: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Groups of a component's members, in blocks of bounded size, each with all of its visitors."""
-    rows = staged(visits.join(labels, "set_id").join(sizes, "set_id"), "visits")
-    home = rows.filter("label = anchor")
-    number = F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int")
-    blocks = home.groupBy("anchor").agg(number.alias("blocks"))
-    dealt = home.join(blocks, "anchor").withColumn("a", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    guests = rows.filter("label <> anchor").join(blocks, "anchor").withColumn(
-        "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.unionByName(guests).select(F.col("anchor").alias("token"), "set_id", "label", "a", F.col("a").alias("b"))
+    """Groups of a component's members and its visitors: both in blocks of bounded size, every two blocks once."""
+    rows = staged(visits.join(labels, "set_id").join(sizes, "set_id"), "visits").withColumn("own", F.col("label") == F.col("anchor"))
+    number = lambda own: F.greatest(
+        F.ceil(F.count_if(own) / GROUP_SETS), F.ceil(F.sum(F.when(own, F.col("n"))) / GROUP_TOKENS)).cast("int")
+    blocks = rows.groupBy("anchor").agg(number(F.col("own")).alias("homes"), number(~F.col("own")).alias("guests")).filter(
+        "homes > 0 and guests > 0")
+    place = lambda n: F.array(F.pmod(F.xxhash64("set_id"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    met = rows.join(blocks, "anchor").withColumn("a", F.explode(F.when(F.col("own"), place("homes")).otherwise(every("homes"))))
+    met = met.withColumn("b", F.explode(F.when(F.col("own"), every("guests")).otherwise(place("guests"))))
+    return met.select(F.col("anchor").alias("token"), "set_id", "label", "a", "b")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     links = staged(links, f"{name}-links")
     if links.isEmpty():
         return labels
-    nodes = links.select(F.col("a").alias("id")).union(links.select("b"))
-    merged = connected_components(nodes, links).select(F.col("id").alias("label"), F.col("label").alias("to"))
+    merged = labelled(links).select(F.col("id").alias("label"), F.col("label").alias("to"))
     return staged(labels.join(merged, "label", "left").select("set_id", F.coalesce("to", "label").alias("label")),
                   f"{name}-labels")
 
@@ -369,8 +408,9 @@ def linked_sets(documents: DataFrame, sized: DataFrame) -> DataFrame:
     possible = _possible(meeting, maps)
     entries = staged(_without_twins(meeting.select("token", "set_id", "n").join(possible, "set_id")), "entries")
     labels = staged(entries.select("set_id").distinct().withColumn("label", F.col("set_id")), "labels")
-    sets = staged(_chosen_sets(documents, _filter_of(labels.select("set_id"))).join(
-        labels.select("set_id"), "set_id"), "sets")
+    texts = sized.filter("n_shingles > 0").select("set_id", "text_key").join(labels.select("set_id"), "set_id")
+    passing = _filter_of(staged(texts.select("text_key").distinct(), "chosen-texts"))
+    sets = staged(_chosen_sets(documents, passing).join(labels.select("set_id"), "set_id"), "sets")
 
     labels = _joined_once(entries, labels, sets, "first")
     labels = _joined_once(entries, labels, sets, "second")
@@ -394,16 +434,25 @@ def _classes(rows: DataFrame, sized: DataFrame) -> DataFrame:
         "set_id", F.coalesce("label", "set_id").alias("label")), "classes")
 
 
-def clusters(documents: DataFrame) -> DataFrame:
-    """(set_id, label): the component of every class of equal sets, by the ids that ``Sets`` gives to rows with words."""
-    rows = documents.select("text")
-    return _classes(rows, staged(_sized(rows), "sized"))
+def sets_of(rows: DataFrame) -> DataFrame:
+    """``rows`` (with a ``text``) without their text, and n_words, set_id, n_shingles and bitmap of each; written once.
+
+    A long column ``within`` keeps sets of different values apart. The table also holds what ``clusters`` has to know
+    about all of them, in rows of their own with a ``bucket``.
+    """
+    prepared(rows.sparkSession)
+    return staged(_sized(rows.withColumn("text_key", F.xxhash64("text"))), "sized")
+
+
+def clusters(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """(set_id, label): the component of every class of equal sets; ``sized`` is what ``sets_of`` made of ``rows``."""
+    return _classes(rows.withColumn("text_key", F.xxhash64("text")), sized)
 
 
 def components(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     prepared(documents.sparkSession)
-    rows = documents.select("doc_id", "text")
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     sized = staged(_sized(rows), "sized")
     held = sized.filter("bucket is null").select("doc_id", "set_id", "n_shingles")
     classes = _classes(rows, sized)

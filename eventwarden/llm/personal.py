@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from eventwarden.llm import words as w
-from eventwarden.llm.jaccard import _bits, _filter_of, _fresh
+from eventwarden.llm.jaccard import _filter_of, _fresh, _places
 from eventwarden.llm.jobs import BOOLEAN, INT, KEY, LONG, STRING, field, keys, map_texts, prepared, staged
 from eventwarden.llm.spans import (Span, code_points_before, digest, docs_with, joined, ordered, replaced, text_of)
 
@@ -167,7 +167,7 @@ def _hits(documents: DataFrame, text: str, passing: np.ndarray) -> DataFrame:
                 places = np.flatnonzero(_free(start, end, spans))
                 for entity in {entity_value(k, value[s:e]) for k, s, e in spans}:
                     pairs = pair_codes(entity, words.code[places])
-                    a, b = _bits(pairs)
+                    a, b = _places(pairs, len(allowed))
                     hit = allowed[a] & allowed[b]
                     at = places[hit]
                     hits[doc] += [{"pair": p, "entity": entity, "term": t, "s": x, "e": y} for p, t, x, y in zip(
@@ -213,7 +213,7 @@ def _term_documents(texts: DataFrame, packed, copied) -> DataFrame:
             keys_ = batch.column(0).to_numpy()
             for part in w.slices(batch.column(1)):
                 key = keys_[part.first:part.last]
-                a, b = _bits(key)
+                a, b = _places(key, len(again))
                 many = again[a] & again[b]
                 use = ~many
                 use[many] = _fresh(seen, key[many])
