@@ -11,6 +11,7 @@ Two languages with different null rules share the field lookup:
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 from typing import Any
@@ -108,10 +109,32 @@ def _edge(column: Column, kind: str, value: Any, exact: bool, method: str) -> Co
     return reduce(or_, [getattr(text, method)(n) for n in needles])
 
 
+# parts of a pattern: escapes and classes, which stay, and what the engine writes in another way
+_PARTS = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\{,(?P<most>\d+)\}|\(\?P<(?P<group>\w+)>|\(\?P=(?P<back>\w+)\)", re.S)
+
+
+def engine_pattern(pattern: str) -> str:
+    """A rule's pattern as the engine writes it: named groups, back references to them, counts without a lower bound."""
+    def written(m: re.Match) -> str:
+        if m["most"]:
+            return f"{{0,{m['most']}}}"
+        name = (m["group"] or m["back"] or "").replace("_", "0")  # names of letters and digits only
+        return f"(?<{name}>" if m["group"] else f"\\k<{name}>" if m["back"] else m[0]
+
+    return _PARTS.sub(written, pattern)
+
+
 def _regex(column: Column, kind: str, value: Any, exact: bool) -> Column:
     subject = _as_text(column, kind)
     prefix = "" if exact else "(?i)"
-    return reduce(or_, [subject.rlike(prefix + str(p)) for p in _listed(value)])
+    return reduce(or_, [subject.rlike(prefix + engine_pattern(str(p))) for p in _listed(value)])
+
+
+def single_tests(selection: dict[str, Any] | None) -> list[Column]:
+    """Every single test of a selection by itself, so that none hides behind another one's outcome."""
+    selection = selection or {}
+    nested = [*selection.get("any_of", []), *selection.get("all_of", []), *([selection["not"]] if "not" in selection else [])]
+    return [*_level_tests(selection), *(test for part in nested for test in single_tests(part))]
 
 
 def _number(column: Column, kind: str) -> Column:
@@ -176,7 +199,6 @@ def compile_selection(selection: dict[str, Any] | None) -> Column:
     """
     if not selection:
         return F.lit(True)
-    exact = bool(selection.get("case_sensitive", False))
     tests: list[Column] = []
     if "any_of" in selection:
         tests.append(reduce(or_, [compile_selection(s) for s in selection["any_of"]], F.lit(False)))
@@ -184,6 +206,14 @@ def compile_selection(selection: dict[str, Any] | None) -> Column:
         tests.append(reduce(and_, [compile_selection(s) for s in selection["all_of"]], F.lit(True)))
     if "not" in selection:
         tests.append(~_false(compile_selection(selection["not"])))
+    tests += _level_tests(selection)
+    return reduce(and_, tests) if tests else F.lit(True)
+
+
+def _level_tests(selection: dict[str, Any]) -> list[Column]:
+    """The tests on fields that a selection states itself."""
+    exact = bool(selection.get("case_sensitive", False))
+    tests: list[Column] = []
     for name, constraint in selection.items():
         if name in _RESERVED:
             continue
@@ -193,7 +223,7 @@ def compile_selection(selection: dict[str, Any] | None) -> Column:
             tests.append(rule_test(name, "in", constraint, exact))
         else:
             tests.append(rule_test(name, "eq", constraint, exact))
-    return reduce(and_, tests) if tests else F.lit(True)
+    return tests
 
 
 # ---- hunt filters ---------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from eventwarden.model import ACTIVE_INCIDENT_STATUSES, CORRELATION_WINDOW_SECONDS
 from eventwarden.operators.groups import numbered
-from eventwarden.session import stage
+from eventwarden.session import release, stage
 
 DAY_US = 86_400_000_000
 
@@ -33,30 +33,41 @@ def entity_islands(alerts: DataFrame, entities: DataFrame, window_seconds: int =
     return members.join(named, ["entity", "slice"]).select("alert_id", "entity", "island")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, label)`` with one label per component: the smallest id in it.
 
-    Each round takes the smallest label among neighbours and then follows the label one step (pointer
-    jumping), so rounds grow with the logarithm of a component's diameter. Labels are written to the
-    shared folder each round; the loop ends when a round changes nothing.
+    Contraction: each round a node moves to the neighbour of smallest rank, its own included (ranks are hashes, new in every
+    round), nodes that meet become one, and edges are kept between what is left. A component without edges is done and
+    leaves; every shape shrinks by a constant factor a round, a path of n nodes in O(log n) rounds. The moves are put
+    together backwards, from the smallest table to the largest, and a round's edges are removed once the next are written.
     """
-    both = stage(
-        edges.select(F.col("a"), F.col("b")).union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(),
-        "edges",
-    )
-    labels = stage(nodes.select("id").distinct().withColumn("label", F.col("id")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(
-            F.min("label").alias("near"))
-        stepped = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select(
-            "id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        target = stepped.select(F.col("id").alias("label"), F.col("label").alias("jump"))
-        moved = stage(stepped.join(target, "label", "left").select(
-            "id", "old", F.least("label", F.coalesce("jump", "label")).alias("label")), "labels")
-        labels = moved.select("id", "label")
-        if moved.filter("old <> label").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    pairs = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                  .filter("a <> b").distinct(), "edges")
+    moves: list[DataFrame] = []
+    while not pairs.isEmpty():
+        ranked = lambda c, seed=len(moves): F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("rank"), F.col(c).alias("id"))
+        moved = stage(pairs.groupBy("a").agg(F.min(ranked("b")).alias("near")).select(
+            "a", F.least(F.col("near"), ranked("a"))["id"].alias("to")), "moves")
+        moves.append(moved)
+        ends = moved.select(F.col("a").alias("b"), F.col("to").alias("far"))
+        rest = stage(pairs.join(moved, "a").select("to", "b").join(ends, "b").filter("to <> far").select(
+            F.col("to").alias("a"), F.col("far").alias("b")).distinct(), "edges")
+        release(pairs)
+        pairs = rest
+    release(pairs)
+    alone = nodes.select("id").distinct()
+    if not moves:
+        return alone.withColumn("label", F.col("id"))
+    places = moves[-1]
+    for moved in reversed(moves[:-1]):
+        later = places.select(F.col("a").alias("to"), F.col("to").alias("end"))
+        places = moved.join(later, "to", "left").select("a", F.coalesce("end", "to").alias("to"))
+    names = places.groupBy("to").agg(F.min("a").alias("label"))
+    named = places.join(names, "to").select(F.col("a").alias("id"), "label")
+    labels = stage(alone.join(named, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
+    for moved in moves:
+        release(moved)
+    return labels
 
 
 def cluster_alerts(alerts: DataFrame, entities: DataFrame, window_seconds: int = CORRELATION_WINDOW_SECONDS) -> DataFrame:

@@ -7,13 +7,16 @@ import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from eventwarden.model import micros
+from eventwarden.model import event_schema, micros
 from eventwarden.operators import scoring
 from eventwarden.operators.anomaly import anomalies, any_candidate
 from eventwarden.operators.baseline import with_history, with_stored_history
+from eventwarden.operators.conditions import compile_selection, field, single_tests
 from eventwarden.operators.groups import group_text
 from eventwarden.operators.indicators import match_indicators
 from eventwarden.operators.match import match_rules
@@ -137,6 +140,60 @@ def sequence_rows(events: DataFrame, rules: list[Rule]) -> DataFrame:
 RULE_ERRORS = (ValueError, KeyError, TypeError, AttributeError, re.error)
 
 
+_SOUND: dict[tuple[str, str], bool] = {}
+
+
+def _stand_in(kind: T.DataType) -> Column:
+    """A value of a type, so that every test has something to look at."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_stand_in(f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return F.array(_stand_in(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.create_map(_stand_in(kind.keyType), _stand_in(kind.valueType))
+    plain = {"string": "1", "boolean": True, "timestamp": "2024-01-01 00:00:00"}.get(kind.typeName(), 1)
+    return F.lit(plain).cast(kind)
+
+
+def _tests(rule: Rule) -> list[Column]:
+    """Every expression of a rule that reads an event."""
+    tests = single_tests(rule.selection) + [t for s in rule.steps for t in single_tests(s.selection)]
+    fields = [rule.distinct_field, *rule.group_by, *(name for name, _ in rule.constraints)]
+    whole = [compile_selection(rule.selection), *(compile_selection(s.selection) for s in rule.steps)]
+    return [*tests, *whole, *(field(name)[0].cast("string") for name in fields if name)]
+
+
+def _runs(spark: SparkSession, rules: list[Rule]) -> bool:
+    """Whether the engine takes every test of these rules, evaluated on one row of stand-in values."""
+    try:
+        row = spark.range(1).select(*[_stand_in(f.dataType).alias(f.name) for f in event_schema().fields])
+        row.select(F.array(*[t.cast("string") for rule in rules for t in _tests(rule)])).collect()
+    except (PySparkException, *RULE_ERRORS):
+        return False
+    return True
+
+
+def sound_rules(spark: SparkSession, rules: list[Rule], skipped: list[str] | None = None) -> list[Rule]:
+    """The rules the engine can run; the others are logged and their ids added to ``skipped``.
+
+    A rule is tried by itself only where the rules do not run together, and once per application. If none runs alone, the
+    fault is not the rules', and they are all returned: the pass then shows it.
+    """
+    app = spark.sparkContext.applicationId
+    fresh = [r for r in rules if r.enabled and (app, repr(r)) not in _SOUND]
+    if fresh:
+        verdicts = [True] * len(fresh) if _runs(spark, fresh) else [_runs(spark, [r]) for r in fresh]
+        if not any(verdicts) and len(fresh) > 1:
+            return rules
+        _SOUND.update({(app, repr(r)): verdict for r, verdict in zip(fresh, verdicts)})
+    broken = [r.id for r in rules if not _SOUND.get((app, repr(r)), True)]
+    if broken:
+        log.error("rules that do not compile: %s", ", ".join(broken))
+        if skipped is not None:
+            skipped += broken
+    return [r for r in rules if r.id not in broken]
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -155,11 +212,14 @@ def collect_evidence(events: DataFrame, rules: list[Rule], indicators: DataFrame
                      candidates: DataFrame | None = None, skipped: list[str] | None = None) -> DataFrame:
     """Evidence of every rule. A rule that does not compile is logged and left out, its id added to ``skipped``.
 
-    Errors of Spark jobs are no rule errors: they are raised, so that the batch fails and is run again.
+    What the engine refuses (patterns, types, parameters) shows before the pass, on one row and rule by rule. Errors of the
+    jobs after that are no rule errors: they are raised, so that the batch fails and is run again.
 
     In a micro-batch ``events`` are the new ones and ``candidates`` adds the history the stateful rules look
     back on; their detections count only when they hold a new event.
     """
+    rules = sound_rules(events.sparkSession, rules, skipped)
+
     def stateful(build, rs):
         return build(events, rs) if candidates is None else fresh_only(build(candidates, rs), events)
 

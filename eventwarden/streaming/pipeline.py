@@ -65,7 +65,7 @@ class Pipeline:
             return
         self._batch_table("watermarks", new.agg(F.max(F.unix_micros("timestamp")).alias("newest_us")), batch_id)
         self._inventory(new, batch_id)
-        alerts = self._detect(new)
+        alerts = self._detect(new, batch_id)
         if alerts is not None:
             self._correlate(alerts, batch_id)
         # the baseline learns last: a batch is judged on what came before it
@@ -127,7 +127,7 @@ class Pipeline:
     def _latest(self, name: str, schema) -> DataFrame:
         return self._snapshot(name, schema, 2**62)
 
-    def _detect(self, new: DataFrame) -> DataFrame | None:
+    def _detect(self, new: DataFrame, batch_id: int) -> DataFrame | None:
         low, high = new.agg(F.min("timestamp"), F.max("timestamp")).first()
         first_day = F.date_format(F.lit(low) - F.expr(f"make_dt_interval(0, 0, 0, {int(self.lookback_seconds)})"), "yyyy-MM-dd")
         # only the days the look-back reaches are listed and read
@@ -140,8 +140,7 @@ class Pipeline:
             new, self.rules, self.indicators, stored=self._latest("baseline", BASELINE_DDL), candidates=candidates,
             skipped=skipped), "evidence")
         if skipped:
-            self.spark.createDataFrame([(r,) for r in sorted(set(skipped))], "rule_id string").write.mode(
-                "overwrite").parquet(self.path("skipped_rules"))
+            self._batch_table("skipped_rules", self.spark.createDataFrame([(r,) for r in sorted(set(skipped))], "rule_id string"), batch_id)
         if evidence.isEmpty():
             return None
         detections = stage(detect.summarise(evidence, self.rules), "detections")

@@ -10,8 +10,10 @@ from eventwarden.functions import net
 from eventwarden.operators import correlate
 from eventwarden.operators.conditions import compile_filters, compile_selection
 from eventwarden.operators.quantiles import order_statistics
+from eventwarden.plans import detect
 from eventwarden.plans.reports import even_sample
 from eventwarden.plans.respond import similar_incidents
+from eventwarden.plans.rulepack import Rule, Step
 from eventwarden.sinks import tables
 
 
@@ -245,18 +247,6 @@ def test_job_errors_fail_the_batch_and_malformed_rules_do_not(spark, make_events
     assert skipped and all(isinstance(x, str) for x in skipped)
 
 
-def test_streamed_sequences_refuse_what_their_state_cannot_hold(spark, make_events):
-    import pytest
-
-    from eventwarden.operators.sequence import rule_sequence
-    from eventwarden.plans.rulepack import RULES
-    from eventwarden.streaming.operators import sequence_stream
-
-    constrained = [rule_sequence(r) for r in RULES if r.id == "LATERAL_MOVEMENT_001"]
-    with pytest.raises(ValueError):
-        sequence_stream(make_events([]), constrained)
-
-
 def test_alerts_without_a_dedup_window_are_merged_into_one_bucket(spark, tmp_path):
     from eventwarden.sinks.tables import event_day
 
@@ -264,3 +254,26 @@ def test_alerts_without_a_dedup_window_are_merged_into_one_bucket(spark, tmp_pat
         THEN (last_us div nullif(dedup_seconds * 1000000, 0)) * dedup_seconds * 1000000 ELSE CAST(0 AS BIGINT) END""")
     rows = spark.createDataFrame([(90_000_000_000, 0), (90_000_000_000, 60)], "last_us bigint, dedup_seconds bigint")
     assert [r.day for r in rows.select(event_day(bucket).alias("day")).collect()] == ["1970-01-01", "1970-01-02"]
+
+
+def _pattern_rule(name, pattern):
+    return Rule(name, "match", name, "low", 0.5, "x", (), (), selection={"event_type": "nothing", "command_line": {"regex": pattern}})
+
+
+def test_rules_with_patterns_the_engine_refuses_are_named(spark, make_events):
+    events = make_events([{"event_type": "process", "command_line": "sudo aa"}, {"event_type": "process", "command_line": "aaaa"}])
+    good = [Rule(f"GOOD_{i}", "match", "g", "low", 0.5, "x", (), (), selection={"command_line": {"regex": p}})
+            for i, p in enumerate(["a{,3}$", "(?P<the_name>a)(?P=the_name)", r"\\{,3}|^sudo", "(?P<n>sudo)"])]
+    bad = [_pattern_rule(f"BAD_{i}", p) for i, p in enumerate(["(", "[a-", "(?(1)a|b)", "a**"])]
+    bad.append(Rule("BAD_STEP", "sequence", "b", "low", 0.5, "x", (), (), group_by=("user",), window_seconds=60, steps=(
+        Step("a", {"event_type": "process"}), Step("b", {"any_of": [{"event_type": "process"}, {"action": {"regex": "*"}}]}))))
+    bad.append(Rule("BAD_FIELD", "threshold", "b", "low", 0.5, "x", (), (), selection={"event_type": "process"},
+                    group_by=("no_such_field",), count=2, window_seconds=60))
+    skipped = []
+    found = detect.collect_evidence(events, [*good, *bad], skipped=skipped)
+    fired = {(r.rule_id, r.event_id) for r in found.collect()}
+    assert {r for r, _ in fired} == {r.id for r in good}
+    assert {e for r, e in fired if r == "GOOD_1"} == {"EVT-00000", "EVT-00001"}
+    assert sorted(skipped) == sorted(r.id for r in bad)
+    again = []
+    assert detect.collect_evidence(events, [*good, *bad], skipped=again).count() == len(fired) and sorted(again) == sorted(skipped)
