@@ -6,7 +6,7 @@ micro-batch that runs twice leaves the same tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -38,8 +38,8 @@ def event_day(column: Column) -> Column:
     return F.date_format(F.timestamp_micros(column), "yyyy-MM-dd")
 
 
-def append_events(events: DataFrame, path: str, batch_id: int = 0) -> DataFrame:
-    """Append canonical events by day and type; returns the batch's own events.
+def append_events(events: DataFrame, path: str, batch_id: int = 0, observed: Observation | None = None) -> DataFrame:
+    """Append canonical events by day and type; returns the batch's own events. ``observed`` counts them as ``rows``.
 
     Ids that another batch stored are repeats and dropped. Ids this batch stored before it failed are not
     written again but stay in the result, so a batch that runs twice is processed as a whole.
@@ -58,7 +58,8 @@ def append_events(events: DataFrame, path: str, batch_id: int = 0) -> DataFrame:
     # rows of a day and type meet in a few tasks, so files stay few; the salt keeps a heavy type from one task
     salt = F.pmod(F.xxhash64("event_id"), F.lit(FILES_PER_PARTITION))
     missing.repartition("event_date", "event_type", salt).write.mode("append").partitionBy("event_date", "event_type").parquet(path)
-    return dated.drop("event_date", "batch_id")
+    own = dated.drop("event_date", "batch_id")
+    return own if observed is None else own.observe(observed, F.count(F.lit(1)).alias("rows"))
 
 
 def upsert(fresh: DataFrame, path: str, keys: list[str], partition: str, merge: dict[str, Column]) -> DataFrame:

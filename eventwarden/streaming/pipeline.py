@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -17,13 +17,16 @@ from eventwarden.plans.lookback import lookback_candidates
 from eventwarden.plans.rulepack import RULES, Rule
 from eventwarden.session import prepare, stage, work_folder
 from eventwarden.sinks import tables
-from eventwarden.sources.inventory import discover_hosts, discover_users, upsert_inventory
+from eventwarden.sinks.incremental import IncrementalTable
+from eventwarden.sources.inventory import discover_hosts, discover_users
 from eventwarden.sources.normalize import normalize, split_rejects
 from eventwarden.sources.replay import sliced_stream, time_slices
 from eventwarden.streaming.operators import late_or_future
 
+MERGED = "incident_id string, into string"
+SPANS = "incident_id string, first_us bigint, last_us bigint"
+METRICS_DDL = "metric string, value bigint, batch_id int"
 IOC_MATCH_DDL = "ioc_id string, event_id string, matched_field string, ioc_confidence double, event_date string"
-BASELINE_DDL = "entity_ref string, feature string, value string, n bigint, observation_count bigint"
 
 
 @dataclass
@@ -39,6 +42,7 @@ class Pipeline:
     now: object = None
     # events this far behind the newest event of earlier batches are refused; None admits any lateness
     lateness_seconds: int | None = None
+    _counts: dict = field(default_factory=dict, repr=False)
 
     def path(self, name: str) -> str:
         return f"{self.folder.rstrip('/')}/{name}"
@@ -48,8 +52,7 @@ class Pipeline:
         """Normalize a batch of raw records, quarantine the refused ones, process the rest."""
         checked = stage(normalize(raw, self.now), "normalized")
         good, bad = split_rejects(checked)
-        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path("quarantine"))
+        self._counts["events_rejected"] = self._batch_table("quarantine", bad, batch_id)
         names = event_schema().fieldNames()
         ids = good.withColumn("event_id", F.coalesce("event_id", F.concat(F.lit("EVT-"), F.upper(F.substring(F.sha2("record_id", 256), 1, 16)))))
         self.run_events(ids.select(*[F.col(f"`{n}`") for n in names]), batch_id)
@@ -60,21 +63,28 @@ class Pipeline:
         Every write is idempotent per batch, so a batch that failed half-way is simply run again.
         """
         admitted = self._on_time(events.dropDuplicates(["event_id"]), batch_id)
-        new = stage(tables.append_events(admitted, self.path("events"), batch_id), "batch")
-        if new.isEmpty():
-            return
-        self._batch_table("watermarks", new.agg(F.max(F.unix_micros("timestamp")).alias("newest_us")), batch_id)
-        self._inventory(new, batch_id)
-        alerts = self._detect(new, batch_id)
-        if alerts is not None:
-            self._correlate(alerts, batch_id)
-        # the baseline learns last: a batch is judged on what came before it
-        self._learn(new, batch_id)
-
-    def _batch_table(self, name: str, rows: DataFrame, batch_id: int) -> None:
-        """Rows of one batch; a batch that runs again replaces its own."""
-        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+        fresh = Observation()
+        new = stage(tables.append_events(admitted, self.path("events"), batch_id, fresh), "batch")
+        if not new.isEmpty():
+            self._counts["events_ingested"] = fresh.get["rows"]
+            self._batch_table("watermarks", new.agg(F.max(F.unix_micros("timestamp")).alias("newest_us")), batch_id)
+            self._inventory(new, batch_id)
+            alerts = self._detect(new, batch_id)
+            if alerts is not None:
+                self._correlate(alerts, batch_id)
+            # the baseline learns last: a batch is judged on what came before it
+            self._learn(new, batch_id)
+        if self._counts:
+            rows = self.spark.createDataFrame(sorted(self._counts.items()), "metric string, value bigint")
+            self._batch_table("batch_metrics", rows, batch_id)
+            self._counts = {}
+
+    def _batch_table(self, name: str, rows: DataFrame, batch_id: int) -> int:
+        """Rows of one batch; a batch that runs again replaces its own. Returns their number."""
+        counted = Observation()
+        rows.withColumn("batch_id", F.lit(batch_id)).observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path(name))
+        return counted.get["rows"]
 
     def _on_time(self, events: DataFrame, batch_id: int) -> DataFrame:
         """The batch without late and future events, which go to the table ``late`` with a reason."""
@@ -100,32 +110,37 @@ class Pipeline:
                                       StructType.fromDDL("incident_id string, status string, at timestamp"))
         return stored.groupBy("incident_id").agg(F.max_by("status", "at").alias("status"))
 
-    def _snapshot(self, name: str, schema, batch_id: int) -> DataFrame:
-        """The table as the latest earlier batch left it."""
-        folder = self.path(name)
-        if not tables.exists(self.spark, folder):
-            return self.spark.createDataFrame([], schema)
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(folder)
-        found = [s.getPath().getName() for s in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)]
-        older = [int(n.split("=")[1]) for n in found if n.startswith("batch=") and int(n.split("=")[1]) < batch_id]
-        if not older:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{folder}/batch={max(older)}")
+    # ---- tables that every batch adds to ---------------------------------------------------------
+    def _incremental(self, name: str) -> IncrementalTable:
+        inventory = lambda schema, key: (schema, [key], {
+            f.name: {"first_seen": "min", "last_seen": "max"}.get(f.name, "first") for f in schema.fields if f.name != key}, None)
+        if name in ("hosts", "users"):
+            events = self.spark.createDataFrame([], event_schema())
+            found, key = (discover_hosts(events), "host_id") if name == "hosts" else (discover_users(events), "user_id")
+            spec = inventory(found.schema, key)
+        else:
+            ddl, keys, merge, bucket = {
+                "baseline": ("entity_ref string, feature string, value string, n bigint", ["entity_ref", "feature", "value"], {"n": "sum"}, None),
+                "membership": (self.MEMBERSHIP_DDL, ["alert_id"], {"incident_id": "last", "first_us": "min", "last_us": "max"}, None),
+                "incident_spans": (SPANS, ["incident_id"], {"first_us": "min", "last_us": "max"}, None),
+                "incident_entities": ("incident_id string, entity string", ["incident_id", "entity"], {}, "entity"),
+                "incident_merges": (MERGED, ["incident_id"], {"into": "last"}, None),
+                "incident_numbers": ("year string, used int", ["year"], {"used": "max"}, None),
+            }[name]
+            spec = StructType.fromDDL(ddl), keys, merge, bucket
+        return IncrementalTable(self.spark, self.path(name), *spec)
 
     def _inventory(self, new: DataFrame, batch_id: int) -> None:
-        for name, key, found in (("hosts", "host_id", discover_hosts(new)), ("users", "user_id", discover_users(new))):
-            known = self._snapshot(name, found.schema, batch_id)
-            upsert_inventory(known, found, key).write.mode("overwrite").parquet(f"{self.path(name)}/batch={batch_id}")
+        self._incremental("hosts").apply(discover_hosts(new), batch_id)
+        self._incremental("users").apply(discover_users(new), batch_id)
 
     def _learn(self, new: DataFrame, batch_id: int) -> None:
-        stored = self._snapshot("baseline", BASELINE_DDL, batch_id)
-        fresh = baseline.frequency_table(new, keep=None)
-        baseline.merge_frequencies(stored, fresh).select("entity_ref", "feature", "value", "n", "observation_count").write.mode(
-            "overwrite").parquet(f"{self.path('baseline')}/batch={batch_id}")
+        self._incremental("baseline").apply(baseline.frequency_table(new, keep=None), batch_id)
 
-    def _latest(self, name: str, schema) -> DataFrame:
-        return self._snapshot(name, schema, 2**62)
+    def _baseline(self, before: int | None = None, entities: DataFrame | None = None) -> DataFrame:
+        counts = self._incremental("baseline").read(before, entities)
+        totals = counts.groupBy("entity_ref", "feature").agg(F.sum("n").alias("observation_count"))
+        return counts.join(totals, ["entity_ref", "feature"]).select("entity_ref", "feature", "value", "n", "observation_count")
 
     def _detect(self, new: DataFrame, batch_id: int) -> DataFrame | None:
         low, high = new.agg(F.min("timestamp"), F.max("timestamp")).first()
@@ -135,9 +150,10 @@ class Pipeline:
             (F.col("event_date") >= first_day) & (F.col("event_date") <= F.date_format(F.lit(high), "yyyy-MM-dd")))
         history = history.select(*[F.col(f"`{n}`") for n in event_schema().fieldNames()])
         candidates = stage(lookback_candidates(history, new, self.lookback_seconds), "candidates")
+        stored = self._baseline(batch_id, new.filter(F.col("user").isNotNull()).select(F.lower("user").alias("entity_ref")))
         skipped: list[str] = []
         evidence = stage(detect.collect_evidence(
-            new, self.rules, self.indicators, stored=self._latest("baseline", BASELINE_DDL), candidates=candidates,
+            new, self.rules, self.indicators, stored=stored, candidates=candidates,
             skipped=skipped), "evidence")
         if skipped:
             self._batch_table("skipped_rules", self.spark.createDataFrame([(r,) for r in sorted(set(skipped))], "rule_id string"), batch_id)
@@ -151,9 +167,10 @@ class Pipeline:
         else:
             iocs = iocs.withColumn("ioc_confidence", F.lit(None).cast("double"))
         iocs = iocs.select("ioc_id", "event_id", "matched_field", "ioc_confidence", "event_date")
-        tables.insert_absent(iocs, self.path("ioc_matches"), ["ioc_id", "event_id", "matched_field"], "event_date")
-        hosts = self._latest("hosts", discover_hosts(new).schema)
-        users = self._latest("users", discover_users(new).schema)
+        self._counts["ioc_matches"] = tables.insert_absent(
+            iocs, self.path("ioc_matches"), ["ioc_id", "event_id", "matched_field"], "event_date").count()
+        hosts, users = (self._incremental(name).read(batch_id + 1, candidates.select(F.col(column).alias(key)))
+                        for name, column, key in (("hosts", "host", "host_id"), ("users", "user", "user_id")))
         folded = detect.fold_alerts(detections)
         scored = detect.score_alerts(folded, evidence, iocs, hosts, users)
         touched = tables.upsert_alerts(scored, self.path("alerts"))
@@ -176,45 +193,64 @@ class Pipeline:
         New is what no earlier batch placed: a repeat of an old alert changes no incident, and a batch that
         runs again places its alerts again.
         """
-        member = self._snapshot("membership", self.MEMBERSHIP_DDL, batch_id)
-        inserted = touched.join(member.select("alert_id"), "alert_id", "left_anti")
+        member = self._incremental("membership").read(batch_id, touched)
+        inserted = stage(touched.join(member.select("alert_id"), "alert_id", "left_anti"), "inserted")
         earliest = inserted.agg(F.min("first_us")).first()[0]
         if earliest is None:
             return
         low = earliest - self.window_seconds * 1_000_000
-        # incidents that ended before the window of the new alerts cannot take any of them
-        known = stage(member.groupBy("incident_id").agg(
-            F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")).filter(F.col("last_us") >= low).join(
-            self._statuses(), "incident_id", "left").withColumn("status", F.coalesce("status", F.lit("open"))), "known")
-        since = min(low, known.agg(F.min("first_us")).first()[0] or low)
         entities = self.spark.read.schema("alert_id string, entity string, event_date string").parquet(self.path("alert_entities")).filter(
-            F.col("event_date") >= tables.event_day(F.lit(since))).select("alert_id", "entity")
-        own = entities.join(inserted.select("alert_id"), "alert_id", "left_semi")
+            F.col("event_date") >= tables.event_day(F.lit(low))).select("alert_id", "entity")
+        own = stage(entities.join(inserted.select("alert_id"), "alert_id", "left_semi"), "own-entities")
         clusters = stage(correlate.cluster_alerts(inserted, own, self.window_seconds), "clusters")
         windows = correlate.cluster_windows(inserted, clusters)
-        active = member.join(known.select("incident_id"), "incident_id", "left_semi").select("alert_id", "incident_id")
-        known_entities = entities.join(active, "alert_id").select("incident_id", "entity")
         cluster_entities = own.join(clusters, "alert_id").select("cluster", "entity")
-        matches = stage(correlate.matching_incidents(windows, cluster_entities, known, known_entities, self.window_seconds), "matches")
+        # incidents that share an entity, by the name they go by now, and did not end before the window of the new alerts
+        merges = self._incremental("incident_merges")
+        gone = merges.read(batch_id)
+        near = stage(self._current(self._incremental("incident_entities").read(batch_id, own), gone).distinct(), "near-incidents")
+        known = stage(self._incremental("incident_spans").read(batch_id, near).filter(F.col("last_us") >= low).join(
+            self._statuses(), "incident_id", "left").withColumn("status", F.coalesce("status", F.lit("open"))), "known")
+        matches = stage(correlate.matching_incidents(windows, cluster_entities, known, near, self.window_seconds), "matches")
         chosen, absorbed = correlate.merge_into_incidents(windows, matches, known)
+        absorbed = stage(absorbed, "absorbed")
         rest = windows.join(chosen.select("cluster"), "cluster", "left_anti")
-        fresh = correlate.number_incidents(rest, taken=member.select("incident_id").distinct())
-        placed = clusters.join(chosen.unionByName(fresh), "cluster").select("alert_id", "incident_id").join(
-            inserted.select("alert_id", "first_us", "last_us"), "alert_id")
-        self._batch_table("merged_incidents", absorbed, batch_id)
-        moved = member.join(absorbed, "incident_id", "left").select(
-            "alert_id", F.coalesce("into", "incident_id").alias("incident_id"), "first_us", "last_us")
-        moved.unionByName(placed).write.mode("overwrite").parquet(f"{self.path('membership')}/batch={batch_id}")
+        numbers = self._incremental("incident_numbers")
+        taken = numbers.read(batch_id).select(F.concat_ws("-", F.lit("INC"), "year", F.col("used").cast("string")).alias("incident_id"))
+        fresh = stage(correlate.number_incidents(rest, taken=taken), "fresh-incidents")
+        placed = stage(clusters.join(chosen.unionByName(fresh), "cluster").select("alert_id", "incident_id").join(
+            inserted.select("alert_id", "first_us", "last_us"), "alert_id"), "placed")
+        merged = self._batch_table("merged_incidents", absorbed, batch_id)
+        parts = F.split("incident_id", "-")
+        numbers.apply(fresh.groupBy(F.get(parts, F.lit(1)).alias("year")).agg(F.max(F.get(parts, F.lit(2)).cast("int")).alias("used")), batch_id)
+        # what an incident took over before now goes by the name of the one that takes it over
+        onward = gone.join(absorbed.select(F.col("incident_id").alias("into"), F.col("into").alias("end")), "into")
+        merges.apply(absorbed.unionByName(onward.select("incident_id", F.col("end").alias("into"))), batch_id)
+        taken_over = known.join(absorbed, "incident_id").select(F.col("into").alias("incident_id"), "first_us", "last_us")
+        self._incremental("incident_spans").apply(
+            placed.select("incident_id", "first_us", "last_us").unionByName(taken_over).groupBy("incident_id").agg(
+                F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")), batch_id)
+        self._incremental("incident_entities").apply(
+            placed.join(own, "alert_id").select("incident_id", "entity").distinct(), batch_id)
+        self._counts["alerts"] = self._incremental("membership").apply(placed, batch_id)
+        self._counts["incidents"] = fresh.select("incident_id").count() - merged
+
+    @staticmethod
+    def _current(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        """``rows`` with the incident that has taken theirs over."""
+        others = [c for c in rows.columns if c != "incident_id"]
+        return rows.join(gone, "incident_id", "left").select(F.coalesce("into", "incident_id").alias("incident_id"), *others)
 
     def tables(self) -> dict[str, DataFrame]:
         """Current tables of the deployment."""
         read = self.spark.read.parquet
-        member = self._latest("membership", self.MEMBERSHIP_DDL).select("alert_id", "incident_id")
+        member = self._current(self._incremental("membership").read(), self._incremental("incident_merges").read()).select(
+            "alert_id", "incident_id")
         return {
             "events": read(self.path("events")), "alerts": read(self.path("alerts")), "alert_evidence": read(self.path("alert_evidence")),
             "alert_entities": read(self.path("alert_entities")).select("alert_id", "entity"), "membership": member,
-            "hosts": self._latest("hosts", "host_id string, criticality int"), "users": self._latest("users", "user_id string, is_privileged boolean"),
-            "ioc_matches": tables.read_or_empty(self.spark, self.path("ioc_matches"), StructType.fromDDL(IOC_MATCH_DDL)), "baseline": self._latest("baseline", BASELINE_DDL),
+            "hosts": self._incremental("hosts").read(), "users": self._incremental("users").read(),
+            "ioc_matches": tables.read_or_empty(self.spark, self.path("ioc_matches"), StructType.fromDDL(IOC_MATCH_DDL)), "baseline": self._baseline(),
         }
 
     def cases(self) -> incidents.Cases:
@@ -250,11 +286,6 @@ class Pipeline:
 
 
 def run_summary(p: Pipeline) -> DataFrame:
-    """Counters of the deployment so far."""
-    t = p.tables()
-    count = lambda df, name: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
-    out = count(t["events"], "events_ingested").unionByName(count(t["alerts"], "alerts")).unionByName(count(t["ioc_matches"], "ioc_matches"))
-    out = out.unionByName(count(t["membership"].select("incident_id").distinct(), "incidents"))
-    if tables.exists(p.spark, p.path("quarantine")):
-        out = out.unionByName(count(p.spark.read.schema("record_id string, source string, reason string, raw string, batch_id int").parquet(p.path("quarantine")), "events_rejected"))
-    return out
+    """Counters of the deployment so far, from what each batch observed while it wrote."""
+    counted = tables.read_or_empty(p.spark, p.path("batch_metrics"), StructType.fromDDL(METRICS_DDL))
+    return counted.groupBy("metric").agg(F.sum("value").alias("value"))
