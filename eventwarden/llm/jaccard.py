@@ -402,7 +402,7 @@ def linked_sets(documents: DataFrame, sized: DataFrame) -> DataFrame:
     crowding = np.zeros(BUCKETS, dtype=np.uint8)
     for row in sized.filter("bucket is not null").groupBy("bucket").agg(F.sum("held").alias("held")).toLocalIterator():
         crowding[row.bucket] = int(row.held).bit_length()  # at most BUCKETS rows
-    meeting = staged(_without_twins(_meeting(_entries(documents, crowding))), "meeting")
+    meeting = staged(_without_twins(staged(_meeting(_entries(documents, crowding)), "met")), "meeting")
     maps = sized.filter("n_shingles > 0").groupBy("set_id").agg(F.first("map").alias("map"),
                                                                 F.first("n_shingles").alias("n"))
     possible = _possible(meeting, maps)
