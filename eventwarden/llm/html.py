@@ -5,8 +5,15 @@ looks like article text; its output is the block's capacity to the source (text)
 blocks, and blocks that follow each other in one element, are joined by smoothness edges that weaken with the distance
 between them in the document tree. The minimum cut labels all blocks at once.
 
+Only elements that are boilerplate by their meaning (menus, footers, asides, dialogs, hidden ones) settle a block. Names of
+classes and ids add a bounded cost that fades on the way down; names that deny (``has-``, ``no-``, ``-free``) say nothing, and
+neither does the name of an element that holds most of the page's words while no other text rivals it: then it is the
+page's own wrapper. The same holds for forms.
+
 Defined results: null and empty pages give the empty text. Pages are read whole and leniently: unclosed elements, cut
-tags, stray ends, unclosed comments and scripts. Rows are independent; other columns pass through.
+tags, stray ends, unclosed comments. Scripts, styles and the like run to their end tag or the end of the page, as browsers
+read them; any other unread element without an end tag hides nothing. Rows are independent; other columns pass through,
+but those named ``text`` or ``n_chars`` give way to the computed ones.
 """
 
 from __future__ import annotations
@@ -26,11 +33,13 @@ BREAKING = frozenset("""address article aside blockquote body caption center dd
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p
 pre search section summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("""script style title noscript template textarea iframe svg math select option button object audio video
-canvas map""".split())
-OUTER = frozenset("nav footer aside form menu dialog search".split())
+RAW = frozenset("script style title textarea".split())
+UNREAD = RAW | frozenset("""noscript template iframe select option button object audio video canvas map annotation
+annotation-xml metadata desc""".split())
+OUTER = frozenset("nav footer aside menu dialog search".split())
 INNER = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+DENYING = frozenset("has have no not non without with hide is in".split())
 OUTER_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo
 promoted promotion sidebar sidenav nav navbar navigation navi menu menubar topnav breadcrumb breadcrumbs footer foot masthead
 cookie cookies consent gdpr notice notices notification disclaimer popup modal overlay newsletter subscribe subscription
@@ -47,6 +56,11 @@ IN_ARTICLE = 3.5
 BESIDE_ARTICLE = -3.0
 GOOD_NAME = 1.5
 LESSER_NAME = -1.2
+OUTER_NAME = -5.0
+FORM = -5.0
+HEADER = -0.5
+FADING = 0.8
+LEAST_LEAN = -8.0
 PARAGRAPH = 0.8
 HEADING = 0.3
 PER_LOG_WORD = 0.9
@@ -55,6 +69,9 @@ LINKS = -4.5
 NEIGHBOURS = 1.6
 SIBLINGS = 0.8
 FAR_APART = 64
+# of the page's words: what a wrapper holds at least, and what text elsewhere needs to rival it
+WRAPPER, RIVAL = 0.5, 0.2
+RIVAL_WORDS = 12
 
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 TAG_END = re.compile(r"""(?>[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+>""")
@@ -65,25 +82,28 @@ CLOSERS = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in UNREAD}
 
 
 class Element:
-    __slots__ = ("tag", "depth", "parent", "outside", "article", "lean")
+    """An open element: what its tag and names say, and after the whole page has been read, what that means for a block."""
+
+    __slots__ = ("tag", "depth", "parent", "words", "outside", "article", "named", "form", "lean")
 
     def __init__(self, tag: str, parent: "Element | None", attributes: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.outside = bool(parent and parent.outside) or tag in OUTER
-        self.article = bool(parent and parent.article) or tag in INNER
-        self.lean = parent.lean if parent else 0.0
-        if tag == "header" and not self.article:
-            self.outside = True
-        if attributes and not self.outside:
-            self._named(attributes)
-
-    def _named(self, attributes: str) -> None:
+        self.words = 0
+        self.outside, self.article, self.form = tag in OUTER, tag in INNER, tag == "form"
+        self.named, self.lean = False, HEADER if tag == "header" else 0.0
+        if attributes:
+            self._read(attributes)
+
+    def _read(self, attributes: str) -> None:
         names: set[str] = set()
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
-                names.update(p.lower() for p in PIECES.findall(value))
+                for name in value.split():
+                    pieces = [p.lower() for p in PIECES.findall(name)]
+                    if pieces and pieces[0] not in DENYING and pieces[-1] != "free":
+                        names.update(pieces)
             elif key == "role":
                 self.outside |= value.lower() in OUTER_ROLES
                 self.article |= value.lower() in ("main", "article")
@@ -95,25 +115,53 @@ class Element:
                 self.article = True
         if self.tag in ("html", "body"):
             return  # page-wide names say nothing about a block
-        if names & OUTER_NAMES:
-            self.outside = True
-        if names & INNER_NAMES:
+        self.named = bool(names & OUTER_NAMES)
+        if names & INNER_NAMES and not self.named:
             self.lean += GOOD_NAME
         elif names & LESSER_NAMES:
             self.lean += LESSER_NAME
 
 
+def settle(elements: list[Element], blocks: "list[Block]") -> None:
+    """Pass what the elements say down to the blocks, once the words of each are known. Parents come first in the list."""
+    for block in blocks:
+        block.element.words += block.words
+    for element in reversed(elements):
+        if element.parent:
+            element.parent.words += element.words
+    outer = lambda e: e.named or e.form
+    # words of longer blocks under no outer name at all: what rivals a wrapper
+    clear: dict[int, bool] = {}
+    for element in elements:
+        clear[id(element)] = not (outer(element) or element.outside) and (element.parent is None or clear[id(element.parent)])
+    rival = sum(b.words for b in blocks if b.words >= RIVAL_WORDS and 2 * b.linked < len(b.text) and clear[id(b.element)])
+    whole = sum(b.words for b in blocks)
+    for element in elements:
+        above = element.parent
+        wrapper = outer(element) and element.words >= WRAPPER * whole and rival < RIVAL * whole
+        if above:
+            element.outside |= above.outside
+            element.lean += above.lean * FADING
+        if outer(element) and not wrapper:
+            element.lean += OUTER_NAME if element.named else FORM
+            element.article = False
+        elif above:
+            element.article |= above.article
+        element.lean = max(element.lean, LEAST_LEAN)
+
+
 class Block:
-    __slots__ = ("text", "element", "linked")
+    __slots__ = ("text", "element", "linked", "words")
 
     def __init__(self, text: str, element: Element, linked: int):
-        self.text, self.element, self.linked = text, element, linked
+        self.text, self.element, self.linked, self.words = text, element, linked, text.count(" ") + 1
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order: white space as one space, character references decoded, ends trimmed."""
     blocks: list[Block] = []
     here = Element("", None, "")
+    elements, endless = [here], set()
     parts: list[str] = []
     opened: dict[str, int] = {}
     linked, in_link, at, end = 0, 0, 0, len(page)
@@ -165,12 +213,17 @@ def blocks_of(page: str) -> list[Block]:
             in_link = 0 if closing else 1
         elif kind in UNREAD:
             if not closing and not attributes.endswith("/"):
-                shut = CLOSERS[kind].search(page, at)
-                if shut is None:
-                    at = end
-                else:
+                shut = None if kind in endless else CLOSERS[kind].search(page, at)
+                if shut is not None:
                     close = page.find(">", shut.end())
                     at = end if close < 0 else close + 1
+                else:
+                    endless.add(kind)  # nor is there one further on
+                    if kind in RAW:
+                        at = end
+                    elif kind == "option":
+                        close = page.find("<", at)
+                        at = end if close < 0 else close
         elif kind in BREAKING:
             flush()
             in_link = 0
@@ -185,8 +238,10 @@ def blocks_of(page: str) -> list[Block]:
                     opened[here.tag] -= 1
                     here = here.parent
                 here = Element(kind, here, attributes)
+                elements.append(here)
                 opened[kind] = opened.get(kind, 0) + 1
     flush()
+    settle(elements, blocks)
     return blocks
 
 
@@ -195,7 +250,7 @@ def leaning(block: Block, has_article: bool) -> float:
     element = block.element
     if element.outside:
         return OUTSIDE
-    score = BASE + PER_LOG_WORD * log1p(block.text.count(" ") + 1) + element.lean + LINKS * block.linked / len(block.text)
+    score = BASE + PER_LOG_WORD * log1p(block.words) + element.lean + LINKS * block.linked / len(block.text)
     if element.tag == "p":
         score += PARAGRAPH
     elif element.tag in HEADINGS:
@@ -248,4 +303,5 @@ def extracted(df: DataFrame, html: str = "html") -> DataFrame:
             return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         return compute
 
-    return map_texts(df, html, [field("text", STRING), field("n_chars", LONG)], make)
+    clear = df.select(*(c for c in df.columns if c == html or c not in ("text", "n_chars")))
+    return map_texts(clear, html, [field("text", STRING), field("n_chars", LONG)], make)

@@ -35,13 +35,15 @@ from eventwarden.llm.components import labelled
 from eventwarden.llm.decontaminate import FILTER_WORD
 from eventwarden.llm.jobs import BINARY, INT, KEY, LONG, field, keys, prepared, staged, without
 from eventwarden.llm.trees import Links, Marks, across, bitmaps, width
+from eventwarden.session import release
 
 SHINGLE = 5
 NUM, DEN = 80, 100
 BUCKETS = 1 << 16
 FILTER_BITS = (1 << 16, 1 << 25)
 FILTER_SPARE = 16
-SALTS = 64
+# tokens of a crowded bucket of 2**(SALTED - 1) shingles or more are spread over so many places
+SALTS, SALTED = 64, 17
 GROUP_SETS = 2048
 GROUP_TOKENS = 1 << 21
 SEEN = 1 << 18
@@ -136,7 +138,7 @@ def _fresh(seen: set, ids: np.ndarray) -> np.ndarray:
 
 
 def _entries(documents: DataFrame, crowding: np.ndarray) -> DataFrame:
-    """(token, salt, set_id, n) for the prefix of every set; only tokens of crowded buckets are salted."""
+    """(token, salt, set_id, n) for the prefix of every set; only tokens of the fullest crowded buckets are salted."""
     ranks = documents.sparkSession.sparkContext.broadcast(crowding)  # BUCKETS bytes
 
     def run(batches):
@@ -152,7 +154,7 @@ def _entries(documents: DataFrame, crowding: np.ndarray) -> DataFrame:
             prefix = place < n - -(-NUM * n // DEN) + 1
             doc, code, n = doc[prefix], code[prefix], n[prefix]
             ids = sets.ids[doc]
-            salt = np.where(rank[_bucket(code)] > 0, 1 + (ids.view(np.uint64) % np.uint64(SALTS)).astype(np.int32), 0)
+            salt = np.where(rank[_bucket(code)] >= SALTED, 1 + (ids.view(np.uint64) % np.uint64(SALTS)).astype(np.int32), 0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sets.tokens(doc, code)), pa.array(salt.astype(np.int32)), pa.array(ids), pa.array(n.astype(np.int32))],
                 names=ENTRIES.names)
@@ -219,7 +221,10 @@ def _possible(entries: DataFrame, maps: DataFrame) -> DataFrame:
     rest = groups.filter(F.greatest(F.col("sets") / GROUP_SETS, F.col("tokens") / GROUP_TOKENS) > 1)
     waiting = rest.join(found, "set_id", "left_anti").select("token").distinct()
     crossed = staged(_marked(_blocks(rest.join(waiting, "token"), last=True)), "possible-crossed")
-    return staged(found.union(crossed).distinct(), "possible-all")
+    both = staged(found.union(crossed).distinct(), "possible-all")
+    release(found)
+    release(crossed)
+    return both
 
 
 def _marked(groups: DataFrame) -> DataFrame:
@@ -365,9 +370,10 @@ def _visits(groups: DataFrame, maps: DataFrame) -> DataFrame:
             .sortWithinPartitions("token", "a", "b").mapInArrow(run, schema).distinct())
 
 
-def _hosted(visits: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Groups of a component's members and its visitors: both in blocks of bounded size, every two blocks once."""
-    rows = staged(visits.join(labels, "set_id").join(sizes, "set_id"), "visits").withColumn("own", F.col("label") == F.col("anchor"))
+def _hosted(visits: DataFrame) -> DataFrame:
+    """Groups of a component's members and its visitors (set_id, anchor, label, n): both in blocks of bounded size, every
+    two blocks once."""
+    rows = visits.withColumn("own", F.col("label") == F.col("anchor"))
     number = lambda own: F.greatest(
         F.ceil(F.count_if(own) / GROUP_SETS), F.ceil(F.sum(F.when(own, F.col("n"))) / GROUP_TOKENS)).cast("int")
     blocks = rows.groupBy("anchor").agg(number(F.col("own")).alias("homes"), number(~F.col("own")).alias("guests")).filter(
@@ -382,10 +388,13 @@ def _hosted(visits: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame
 def _relabelled(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     links = staged(links, f"{name}-links")
     if links.isEmpty():
+        release(links)
         return labels
     merged = labelled(links).select(F.col("id").alias("label"), F.col("label").alias("to"))
-    return staged(labels.join(merged, "label", "left").select("set_id", F.coalesce("to", "label").alias("label")),
-                  f"{name}-labels")
+    joined = staged(labels.join(merged, "label", "left").select("set_id", F.coalesce("to", "label").alias("label")), f"{name}-labels")
+    release(links)
+    release(labels)
+    return joined
 
 
 def _open_groups(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -402,20 +411,34 @@ def linked_sets(documents: DataFrame, sized: DataFrame) -> DataFrame:
     crowding = np.zeros(BUCKETS, dtype=np.uint8)
     for row in sized.filter("bucket is not null").groupBy("bucket").agg(F.sum("held").alias("held")).toLocalIterator():
         crowding[row.bucket] = int(row.held).bit_length()  # at most BUCKETS rows
-    meeting = staged(_without_twins(staged(_meeting(_entries(documents, crowding)), "met")), "meeting")
+    met = staged(_meeting(_entries(documents, crowding)), "met")
+    meeting = staged(_without_twins(met), "meeting")
+    release(met)
     maps = sized.filter("n_shingles > 0").groupBy("set_id").agg(F.first("map").alias("map"),
                                                                 F.first("n_shingles").alias("n"))
     possible = _possible(meeting, maps)
     entries = staged(_without_twins(meeting.select("token", "set_id", "n").join(possible, "set_id")), "entries")
+    release(meeting)
+    release(possible)
     labels = staged(entries.select("set_id").distinct().withColumn("label", F.col("set_id")), "labels")
     texts = sized.filter("n_shingles > 0").select("set_id", "text_key").join(labels.select("set_id"), "set_id")
-    passing = _filter_of(staged(texts.select("text_key").distinct(), "chosen-texts"))
+    chosen = staged(texts.select("text_key").distinct(), "chosen-texts")
+    passing = _filter_of(chosen)
+    release(chosen)
     sets = staged(_chosen_sets(documents, passing).join(labels.select("set_id"), "set_id"), "sets")
 
     labels = _joined_once(entries, labels, sets, "first")
     labels = _joined_once(entries, labels, sets, "second")
-    visits = _visits(staged(_blocks(_open_groups(entries, labels), last=True), "open"), maps)
-    return _relabelled(labels, _links(_hosted(visits, labels, maps.select("set_id", "n")), sets), "last")
+    opened = staged(_blocks(_open_groups(entries, labels), last=True), "open")
+    visits = staged(_visits(opened, maps).join(labels, "set_id").join(maps.select("set_id", "n"), "set_id"), "visits")
+    hosted = staged(_hosted(visits), "hosted")
+    release(visits)
+    release(opened)
+    release(entries)
+    last = _relabelled(labels, _links(hosted, sets), "last")
+    release(hosted)
+    release(sets)
+    return last
 
 
 def _joined_once(entries: DataFrame, labels: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -424,7 +447,9 @@ def _joined_once(entries: DataFrame, labels: DataFrame, sets: DataFrame, name: s
     best = opened.groupBy("set_id").agg(F.max(F.struct("sets", "token")).alias("most")).select("set_id", "most.token")
     dealt = opened.select("token", "set_id", "n", "label").join(best, ["set_id", "token"])
     sizes = dealt.groupBy("token").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1")
-    return _relabelled(labels, _links(_blocks(dealt.join(sizes, "token"), last=False), sets), name)
+    joined = _relabelled(labels, _links(_blocks(dealt.join(sizes, "token"), last=False), sets), name)
+    release(opened)
+    return joined
 
 
 def _classes(rows: DataFrame, sized: DataFrame) -> DataFrame:
