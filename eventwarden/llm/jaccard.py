@@ -147,7 +147,7 @@ def _entries(documents: DataFrame, crowding: np.ndarray) -> DataFrame:
             fresh = _fresh(seen, sets.ids)
             use = fresh[sets.doc]
             doc, code = sets.doc[use], sets.code[use]
-            order = np.lexsort((code, rank[_bucket(code)], doc))
+            order = w.by_doc(doc, np.argsort(rank[_bucket(code)], kind="stable"))  # codes are in order already
             doc, code = doc[order], code[order]
             place = np.arange(len(doc)) - np.searchsorted(doc, np.arange(sets.n))[doc]
             n = sets.sizes[doc]

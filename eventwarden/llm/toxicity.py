@@ -298,14 +298,21 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     ranked = lambda y, n: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = ranked(1, FIT_TOXIC).union(ranked(0, FIT_CLEAN))
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
-    sizes = rows.select("doc_id", "toxic", F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("draw")
-                        ).toPandas().sort_values(["draw", "doc_id", "size"])  # one short row per document
-    fits = sizes[sizes["size"].cumsum() <= FIT_BYTES]["doc_id"].drop_duplicates()
-    if not len(fits):
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    # one short row per distinct (document, text), as many as documents are asked for
+    drawn = keyed.groupBy("doc_id", "text_key").agg(F.first(F.octet_length("text")).alias("size")).orderBy(
+        F.xxhash64("doc_id"), "doc_id", "size", "text_key").limit(FIT_TOXIC + FIT_CLEAN).collect()
+    fits, taken = [], 0
+    for row in drawn:  # a text that does not fit is left out, and the next ones are taken
+        if taken + row["size"] <= FIT_BYTES:
+            taken += row["size"]
+            fits.append((row.doc_id, row.text_key))
+    if not fits:
         return None
-    spark = documents.sparkSession
-    wanted = spark.createDataFrame([(int(i),) for i in fits], "doc_id long")
-    sample = rows.join(F.broadcast(wanted), "doc_id").toPandas().sort_values(["doc_id", "text"])  # FIT_BYTES at most
+    wanted = documents.sparkSession.createDataFrame(fits, "doc_id long, text_key long")
+    texts = keyed.join(F.broadcast(wanted), ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(
+        F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = texts.toPandas().sort_values(["doc_id", "text"])  # FIT_BYTES at most
     return trained(sample["text"].tolist(), sample["toxic"].to_numpy() == 1)
 
 

@@ -173,13 +173,18 @@ def shingle_sets(words: Words, n_docs: int, k: int) -> tuple[np.ndarray, np.ndar
     short, short_doc = short_codes(words.code, word_bounds(words, n_docs), k)
     doc = np.concatenate([words.doc[first], short_doc])
     code = np.concatenate([code, short])
-    order = np.lexsort((code, doc))
+    order = by_doc(doc, np.argsort(code))
     doc, code = doc[order], code[order]
     fresh = np.ones(len(code), dtype=bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
     return doc[fresh], code[fresh]
 
 
+def by_doc(doc: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """``order`` with the entries of each document together; a slice has fewer documents than two bytes can count."""
+    return order[np.argsort(doc[order].astype(np.uint16), kind="stable")]
+
+
 def signed(code: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's signed long."""
     return code.view(np.int64)
