@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventwarden.model import ACTIVE_INCIDENT_STATUSES, CORRELATION_WINDOW_SECONDS
-from eventwarden.operators.groups import numbered
+from eventwarden.operators.groups import numbered, running_totals
 from eventwarden.session import release, stage
 
 DAY_US = 86_400_000_000
@@ -23,12 +23,17 @@ def entity_islands(alerts: DataFrame, entities: DataFrame, window_seconds: int =
     width = window_seconds * 1_000_000
     members = entities.join(alerts.select("alert_id", "first_us", "last_us"), "alert_id").withColumn(
         "slice", F.expr(f"first_us div {width}"))
-    slices = members.groupBy("entity", "slice").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    order = Window.partitionBy("entity").orderBy("slice")
-    reach = F.max("last_us").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.when(reach.isNull() | (F.col("first_us") - reach > width), 1).otherwise(0)
-    runs = slices.withColumn("_opens", opened).withColumn(
-        "run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    slices = members.groupBy("entity", "slice").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")).withColumn(
+        "day", F.expr(f"first_us div {DAY_US}"))
+    # how far earlier days reach: one row per entity and day is put in order
+    days = Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.groupBy("entity", "day").agg(F.max("last_us").alias("last_us")).select(
+        "entity", "day", F.max("last_us").over(days).alias("before"))
+    inside = Window.partitionBy("entity", "day").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest("before", F.max("last_us").over(inside))
+    opened = slices.join(carried, ["entity", "day"]).withColumn("reach", reach).select(
+        "entity", "day", "slice", F.when(F.col("reach").isNull() | (F.col("first_us") - F.col("reach") > width), 1).otherwise(0).alias("opens"))
+    runs = running_totals(opened, ["entity"], "day", ["slice"], {"run": F.col("opens")})
     named = runs.select("entity", "slice", F.concat_ws("#", "entity", F.col("run").cast("string")).alias("island"))
     return members.join(named, ["entity", "slice"]).select("alert_id", "entity", "island")
 

@@ -105,10 +105,10 @@ def earliest_hits(rows: DataFrame) -> DataFrame:
         F.first("w").alias("w"), F.first("n").alias("n"), F.first("kd").alias("kd"),
         F.collect_list(F.struct("us", "d")).alias("cur"),
     )
-    by_cell = Window.partitionBy("rule_id", "g").orderBy("cell")
-    cells = cells.withColumn("_prev", F.lag(F.struct("cell", "cur")).over(by_cell))
-    context = F.when(F.col("_prev.cell") == F.col("cell") - 1, F.col("_prev.cur"))
-    cells = cells.withColumn("ctx", F.coalesce(F.concat(context, F.col("cur")), F.col("cur")))
+    # the cell before, by its number: no group is put in order
+    before = cells.select("rule_id", "g", (F.col("cell") + 1).alias("cell"), F.col("cur").alias("_before"))
+    cells = cells.join(before, ["rule_id", "g", "cell"], "left").withColumn(
+        "ctx", F.coalesce(F.concat("_before", "cur"), F.col("cur")))
 
     def completes(r: Column) -> Column:
         inside = F.filter("ctx", lambda x: (x["us"] >= r["us"] - F.col("w")) & (x["us"] <= r["us"]))

@@ -17,7 +17,7 @@ from eventwarden.operators import scoring
 from eventwarden.operators.anomaly import anomalies, any_candidate
 from eventwarden.operators.baseline import with_history, with_stored_history
 from eventwarden.operators.conditions import compile_selection, field, single_tests
-from eventwarden.operators.groups import group_text
+from eventwarden.operators.groups import group_text, numbered
 from eventwarden.operators.indicators import match_indicators
 from eventwarden.operators.match import match_rules
 from eventwarden.operators.sequence import rule_sequence, sequence_evidence
@@ -379,8 +379,10 @@ def detect(events: DataFrame, rules: list[Rule] | None = None, indicators: DataF
 
 
 def detection_order(detections: DataFrame) -> DataFrame:
-    """Newest first, then by rule; ids break the remaining ties."""
-    return detections.orderBy(F.desc("detected_us"), F.desc("rule_id"), "detection_id")
+    """The place of each detection: newest first, then by rule, ids break the remaining ties. Numbered day by day."""
+    rows = detections.select("*", F.lit(0).alias("_all"), (-F.expr("detected_us div 86400000000")).alias("_day"))
+    order = [F.desc("detected_us"), F.desc("rule_id"), "detection_id"]
+    return numbered(rows, ["_all"], "_day", order, "place").drop("_all", "_day")
 
 
 def alert_id(key: Column | str = "dedup_key") -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from eventwarden.registry.base import QUERIES, SQL
 
-_MODULES = ["predicates", "detection", "cases", "dashboards", "investigation", "normalization", "text", "streams", "sinks"]
+_MODULES = ["predicates", "detection", "cases", "dashboards", "investigation", "normalization", "text", "streams", "sinks", "pipeline"]
 
 
 def _load() -> None:

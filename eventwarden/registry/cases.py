@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from eventwarden.operators import correlate
-from eventwarden.plans import incidents
+from eventwarden.plans import detect, incidents
 from eventwarden.plans.desk import STRETCH, desk
+from eventwarden.plans.rulepack import RULES
 from eventwarden.registry import sql as S
 from eventwarden.registry.base import query
 from eventwarden.registry.sql import with_alerts, with_cases
@@ -47,16 +50,29 @@ def risk_breakdown(spark, sf_dir):
         "alert_id", "t.factor", "t.contribution")
 
 
-@query("alert_titles", with_alerts("""
-SELECT alert_id, CASE rule_id WHEN 'PRIVESC_SUID_ENUM_001' THEN 'Setuid search by ' || coalesce(al0."user", '(unknown)') || ' on ' || coalesce(al0.host, '(unknown)')
-  WHEN 'CLOUD_LOG_TAMPERING_001' THEN 'Audit logging changed by ' || coalesce(al0."user", '(unknown)') || ' (' || ev.action || ')'
-  ELSE 'Autostart entry on ' || coalesce(al0.host, '(unknown)') || ': ' || ev.file_path END AS title
-FROM al0 JOIN dt USING (detection_id) JOIN ev ON ev.e = dt.trigger_e
-WHERE al0.rule_id IN ('PRIVESC_SUID_ENUM_001', 'CLOUD_LOG_TAMPERING_001', 'PERSISTENCE_SCHEDULED_TASK_001')""".replace(
-    "CASE rule_id", "CASE al0.rule_id"), STRETCH))
+def _title_sql() -> str:
+    """Every rule's title in SQL: values of the trigger event, else of the group, else a mark."""
+    branches = []
+    for r in RULES:
+        pieces = [] if r.title else [
+            "'Known indicator seen: ' || coalesce(dt.parts[1], '(unknown)')" if r.kind == "ioc" else f"'{r.name}'"]
+        for literal, name in re.findall(r"([^{]*)(?:\{([^}]*)\})?", r.title):
+            if literal:
+                pieces.append("'" + literal.replace("'", "''") + "'")
+            if name:
+                options = [f'CAST(ev."{name}" AS VARCHAR)'] if name in detect.TITLE_FIELDS else []
+                if name in r.group_by:
+                    options.append(f"dt.parts[{r.group_by.index(name) + 1}]")
+                pieces.append(f"coalesce({', '.join([*options, chr(39) + '(unknown)' + chr(39)])})")
+        branches.append(f"WHEN '{r.id}' THEN {' || '.join(pieces)}")
+    return "CASE al0.rule_id " + " ".join(branches) + " END"
+
+
+@query("alert_titles", with_alerts(
+    f"SELECT alert_id, {_title_sql()} AS title FROM al0 JOIN dt USING (detection_id) JOIN ev ON ev.e = dt.trigger_e", STRETCH))
 def alert_titles(spark, sf_dir):
-    return desk(spark, sf_dir).alerts.filter(F.col("rule_id").isin(
-        "PRIVESC_SUID_ENUM_001", "CLOUD_LOG_TAMPERING_001", "PERSISTENCE_SCHEDULED_TASK_001")).select("alert_id", "title")
+    """Titles of all alerts, every rule's template filled."""
+    return desk(spark, sf_dir).alerts.select("alert_id", "title")
 
 
 @query("alert_explanations", with_alerts(f"""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from eventwarden.functions.net import is_external
 from eventwarden.model import micros
@@ -280,13 +279,11 @@ def detection_evidence(spark, sf_dir):
 
 
 @query("detection_order", with_ev("""
-SELECT row_number() OVER (ORDER BY last_us DESC, rule_id DESC, detection_id) AS place, rule_id, last_us FROM dt
-ORDER BY place LIMIT 50""", S.detection_ctes(STRETCH)))
+SELECT row_number() OVER (ORDER BY last_us DESC, rule_id DESC, detection_id) AS place, rule_id, last_us FROM dt""", S.detection_ctes(STRETCH)))
 def detection_order(spark, sf_dir):
-    """The newest fifty detections in their fixed order."""
-    top = detect.detection_order(desk(spark, sf_dir).detections.select("detected_us", "rule_id", "detection_id")).limit(50)
-    place = F.row_number().over(Window.orderBy(F.desc("detected_us"), F.desc("rule_id"), "detection_id"))  # fifty rows
-    return top.select(place.cast("bigint").alias("place"), "rule_id", F.col("detected_us").alias("last_us"))
+    """The place of every detection in their fixed order."""
+    placed = detect.detection_order(desk(spark, sf_dir).detections.select("detected_us", "rule_id", "detection_id"))
+    return placed.select("place", "rule_id", F.col("detected_us").alias("last_us"))
 
 
 @query("rule_firings", with_ev("""

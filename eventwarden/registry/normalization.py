@@ -159,6 +159,28 @@ def norm_dispatch(spark, sf_dir):
         F.count("*").alias("records"), F.count_if(F.size("reasons") > 0).alias("refused"))
 
 
+@query("norm_canonical", with_ev("""
+SELECT event_id, us // 1000000 AS second, event_type, host, 'ssh' AS service, 'T-' || (us // 1000000 % 5) AS ticket, 2 AS extra_keys,
+  CASE WHEN us // 1000000 % 11 = 0 THEN 'unknown field color' WHEN us // 1000000 % 8 > 5 THEN 'metadata nests deeper than 6 levels' ELSE '' END AS reasons
+FROM ev WHERE host IS NOT NULL"""))
+def norm_canonical(spark, sf_dir):
+    """Canonical events as JSON records, with metadata that no rule reads, deep metadata and unknown fields."""
+    events = desk(spark, sf_dir).events.filter("host IS NOT NULL").withColumn("s", F.expr("unix_micros(timestamp) div 1000000"))
+    depth = (F.col("s") % 8).cast("int")
+    deep = F.concat(F.repeat(F.lit('{"x":'), depth), F.lit("1"), F.repeat(F.lit("}"), depth))
+    record = F.concat(
+        F.lit('{"event_id":"'), "event_id", F.lit('","timestamp":"'), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit('","event_type":"'), "event_type", F.lit('","host_id":"'), "host", F.lit('","status":"'), "status",
+        F.when(F.col("s") % 11 == 0, '","color":"red').otherwise(""), F.lit('","metadata":{"service":"ssh","ticket":"T-'),
+        (F.col("s") % 5).cast("string"), F.lit('","deep":'), deep, F.lit("}}"))
+    raw = events.select(F.col("event_id").alias("record_id"), F.lit("normalized").alias("source"), record.alias("record"),
+                        F.col("timestamp").alias("ingested_at"))
+    out = normalize(raw, F.lit("2024-02-05").cast("timestamp"), ["normalized"])
+    return out.select(
+        "event_id", F.expr("unix_micros(timestamp) div 1000000").alias("second"), "event_type", "host", _meta("service"),
+        F.col("metadata.extra")["ticket"].alias("ticket"), F.size("metadata.extra").alias("extra_keys"), F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query("validate_quarantine", """
 WITH d AS (
   SELECT o_orderkey AS id, o_custkey % 4 AS c, o_orderkey % 11 AS a, o_orderkey % 13 AS b, o_orderkey % 17 AS p, o_orderkey % 19 AS y, o_custkey % 5 AS h FROM orders

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventwarden.session import stage
+from eventwarden.sources.normalize.canonical import canonical_events
 from eventwarden.sources.normalize.common import bounded_raw, split_rejects, validate
 from eventwarden.sources.normalize.hosts import edr_process, file_integrity, linux_auth, windows_security
 from eventwarden.sources.normalize.network import cloud_audit, network_flow
@@ -12,7 +14,7 @@ from eventwarden.sources.normalize.network import cloud_audit, network_flow
 # Sources and the job that reads each.
 NORMALIZERS = {
     "linux_auth": linux_auth, "windows_security": windows_security, "edr_process": edr_process, "linux_auditd": edr_process,
-    "network_flow": network_flow, "file_integrity": file_integrity, "cloud_audit": cloud_audit,
+    "network_flow": network_flow, "file_integrity": file_integrity, "cloud_audit": cloud_audit, "normalized": canonical_events,
 }
 
 
@@ -39,8 +41,11 @@ def normalize(raw: DataFrame, now: Column | None = None, sources: list[str] | No
 
 
 def ingest(raw: DataFrame, now: Column | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Good events and the quarantine; ``strict`` fails the job when anything is refused."""
-    good, bad = split_rejects(normalize(raw, now))
+    """Good events and the quarantine; ``strict`` fails the job when anything is refused.
+
+    Normalized once: both sides read the staged result.
+    """
+    good, bad = split_rejects(stage(normalize(raw, now), "normalized"))
     if strict and not bad.isEmpty():
         raise ValueError(f"records refused: {[r.asDict() for r in bad.limit(5).collect()]}")
     return good, bad

@@ -95,23 +95,25 @@ def validate(df: DataFrame, now: Column | None = None) -> DataFrame:
     return out.withColumn("reasons", F.array_compact(F.array(*checks))).drop("_source_ip", "_destination_ip")
 
 
-def bounded_raw(raw: DataFrame) -> DataFrame:
-    """Adds ``raw_reason`` for records over 64 KiB, nested too deeply or not JSON objects.
-
-    Depth is read off the braces and brackets outside quoted text.
-    """
-    bare = F.regexp_replace("record", r'"(?:[^"\\]|\\.)*"', "")
+def depth_of(text: Column) -> Column:
+    """How many objects and lists lie in each other, read off the marks outside quoted text; empty ones do not count."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"\{\s*\}|\[\s*\]", "")
     marks = F.split(F.regexp_replace(bare, r"[^{}\[\]]", ""), "")
     steps = F.transform(marks, lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
     walk = F.aggregate(
         steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
         lambda acc, s: F.struct((acc["now"] + s).alias("now"), F.greatest(acc["top"], acc["now"] + s).alias("top")))
+    return let(walk, lambda w: w["top"])
+
+
+def bounded_raw(raw: DataFrame) -> DataFrame:
+    """Adds ``raw_reason`` for records over 64 KiB, nested too deeply or not JSON objects."""
     # only records with enough opening marks are walked; the record itself is level 0
     opened = F.length("record") - F.length(F.translate(F.col("record"), "{[", ""))
     return raw.withColumn("raw_reason", F.coalesce(
         F.when(F.octet_length("record") > MAX_RAW_BYTES, "raw record exceeds 65536 bytes"),
         F.when(F.try_parse_json("record").isNull() | ~F.col("record").rlike(r"^\s*\{"), "record is not a JSON object"),
-        F.when((opened > MAX_RAW_DEPTH) & (let(walk, lambda w: w["top"]) > MAX_RAW_DEPTH + 1), "raw record is nested too deeply"),
+        F.when((opened > MAX_RAW_DEPTH) & (depth_of(F.col("record")) > MAX_RAW_DEPTH + 1), "raw record is nested too deeply"),
     ))
 
 
