@@ -113,7 +113,11 @@ class Tally:
 
 
 def _counted(documents: DataFrame) -> DataFrame:
-    """(lang, source, term, held, docs): occurrences, and documents that have the term."""
+    """(lang, source, term, held, docs): occurrences, and documents that have the term.
+
+    Tasks hand on what is already added up, so it is dealt by term at once: a task's row per source and term, which the
+    sums by source and by language after it then find in place.
+    """
 
     def run(batches):
         tally = Tally()
@@ -126,7 +130,7 @@ def _counted(documents: DataFrame) -> DataFrame:
                     yield tally.rows()
         yield tally.rows()
 
-    return documents.mapInArrow(run, COUNTED).groupBy("lang", "source", "term").agg(
+    return documents.mapInArrow(run, COUNTED).repartition("lang", "term").groupBy("lang", "source", "term").agg(
         F.sum("held").alias("held"), F.sum("docs").alias("docs"))
 
 
