@@ -83,7 +83,8 @@ class IncrementalTable:
         names = self.stored.fieldNames()
         rows = self.spark.createDataFrame([], self.stored)
         if state["base"] is not None:
-            base = self.spark.read.schema(self.stored.add(BUCKET, "int")).parquet(f"{self.folder}/base={state['base']}")
+            schema = T.StructType([*self.stored.fields, T.StructField(BUCKET, T.IntegerType())])
+            base = self.spark.read.schema(schema).parquet(f"{self.folder}/base={state['base']}")
             if keys is not None:
                 touched = [r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()]  # ``buckets`` values at most
                 base = base.filter(F.col(BUCKET).isin(touched))

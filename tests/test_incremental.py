@@ -11,7 +11,8 @@ from eventwarden.sinks.incremental import IncrementalTable
 from eventwarden.streaming.pipeline import Pipeline
 from tests.test_streaming import attack
 
-SCHEMA = T.StructType.fromDDL("k string, n bigint, low bigint, high bigint, name string, last string")
+SCHEMA = T.StructType([T.StructField(n, kind) for n, kind in (
+    ("k", T.StringType()), ("n", T.LongType()), ("low", T.LongType()), ("high", T.LongType()), ("name", T.StringType()), ("last", T.StringType()))])
 MERGE = {"n": "sum", "low": "min", "high": "max", "name": "first", "last": "last"}
 
 
@@ -68,9 +69,9 @@ def test_reads_for_keys_open_their_buckets_only(spark, tmp_path):
 def test_incidents_that_meet_are_merged_and_stay_merged(spark, make_events, tmp_path):
     first = make_events(attack(0, "mallory", "LINUX-03", "203.0.113.44"))
     second = make_events([{**e, "event_id": f"B{i}"} for i, e in enumerate(attack(5, "eve", "WIN-1", "198.51.100.9"))])
-    # one account on both hosts, from both addresses
-    bridge = [{**e, "event_id": f"C{i}", "host": "WIN-1" if i % 2 else "LINUX-03", "source_ip": "198.51.100.9" if i % 2 else "203.0.113.44"}
-              for i, e in enumerate(attack(900, "trent", "x", "y")[:8])]
+    # one account searches both hosts for setuid files
+    search = attack(80, "trent")[6]
+    bridge = [{**search, "event_id": f"C{i}", "host": host, "at": 200 + 10 * i} for i, host in enumerate(("LINUX-03", "WIN-1"))]
     p = Pipeline(spark, str(tmp_path / "tables"), RULES)
     p.run_events(first, 0)
     p.run_events(second, 1)
