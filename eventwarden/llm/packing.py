@@ -7,12 +7,12 @@ residual that fits it, and from there on to the successors until a bin without c
 bin. Bitmaps over bin numbers say which bins have which residual, and which hold a given source slot or duplicate cluster,
 so a residual's bins without conflict are found in one operation, however many bins a cluster is in.
 
-Conflicts: two documents of one duplicate cluster, and two documents of one source slot. Bins lie within a shard, so only
-documents whose rest pieces share a shard can meet; the exact n-gram join (``jaccard.py``) runs within shards, and a
-cluster is a component of its links there. Every pair of similar documents that could share a bin is kept apart, and so are
-documents joined by a chain of similar ones of the same shard; a chain through another shard's documents does not count.
-Documents without a link have no cluster. A caller who has clusters of the whole corpus gives them as ``clusters``. A source has one slot per document that its share of the corpus
-gives it in two bins, so that even a source with a third of all rows cannot fill a bin alone, nor leaves bins half empty.
+Conflicts: two documents of one duplicate cluster, and two documents of one source slot. A cluster is a component of the
+links of the exact n-gram join (``jaccard.py``) over the whole corpus, whatever shards its documents lie in: every pair of
+similar documents is in one cluster, and so are documents joined by a chain of similar ones. Documents without a link have
+no cluster. A caller who has clusters already gives them as ``clusters``. A source has one slot per document that its share
+of the corpus gives it in two bins, so that even a source with a third of all rows cannot fill a bin alone, nor leaves bins
+half empty.
 
 Defined results: null and empty texts are one marker token. Pieces of a document follow in order of ``piece``. Rows that
 repeat are packed each. Null sources count as one source. Extra columns are ignored; an empty table has no bins.
@@ -34,7 +34,7 @@ TOKEN_BYTES = 6
 
 
 def _clustered(sized: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows with their duplicate cluster; null for rows that no other row of their shard is linked with."""
+    """Rows with their duplicate cluster; null for rows that no other row is linked with."""
     held = sized.filter("bucket is null").select(
         "doc_id", "source", "n_words", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"))
     classes = held.groupBy("set_id").agg(F.count("*").alias("held")).join(jaccard.clusters(rows, sized), "set_id")
@@ -125,11 +125,6 @@ def _packed(pieces: DataFrame, capacity: int) -> DataFrame:
     return pieces.mapInArrow(run, schema)
 
 
-def _sharded(documents: DataFrame, shards: int) -> DataFrame:
-    """doc_id, source, text, and as ``within`` the shard of the rest piece."""
-    return documents.select("doc_id", "source", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias(jaccard.WITHIN))
-
-
 def _shards(documents: DataFrame, shard_tokens: int) -> int:
     """How many shards hold about ``shard_tokens`` tokens each, by the bytes of all texts; three times that at most."""
     size = documents.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"), F.count("*").alias("held")).first()
@@ -140,15 +135,14 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHA
          clusters: DataFrame | None = None) -> DataFrame:
     """One row per piece: document, piece number, bin, start in the bin, tokens, first token in the document.
 
-    ``clusters`` (doc_id, cluster), if given, are taken instead of those found within shards; one row per doc_id.
+    ``clusters`` (doc_id, cluster), if given, are taken instead of those found here; one row per doc_id.
     """
     spark = prepared(documents.sparkSession)
     documents = documents.select("doc_id", "source", "text")
     shards = _shards(documents, shard_tokens)
-    texts = _sharded(documents, shards)
-    sized = jaccard.sets_of(texts)
+    sized = jaccard.sets_of(documents)
     if clusters is None:
-        found = _clustered(sized, texts)
+        found = _clustered(sized, documents)
     else:
         found = sized.filter("bucket is null").select("doc_id", "source", "n_words").join(
             clusters.select("doc_id", F.col("cluster").cast("long").alias("cluster")), "doc_id", "left")

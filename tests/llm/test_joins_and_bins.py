@@ -77,6 +77,22 @@ def test_similar_documents_share_no_bin_in_any_shard(spark):
                 assert 100 * both < 80 * (len(sets[a]) + len(sets[b]) - both)
 
 
+def test_clusters_hold_links_across_shards(spark):
+    texts = crowd(120, 3)
+    df = spark.createDataFrame([(i, f"s{i % 50}", t) for i, t in enumerate(texts)],
+                               "doc_id long, source string, text string").repartition(3)
+    rows = packing.pack(df, capacity=512, shard_tokens=4000).collect()
+    assert len({r.bin_id >> 32 for r in rows}) > 2
+    got: dict = {}
+    for r in rows:
+        if r.cluster is not None:
+            got.setdefault(r.cluster, set()).add(r.doc_id)
+    want: dict = {}
+    for doc, _, component in brute.components(list(range(len(texts))), texts):
+        want.setdefault(component, set()).add(doc)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(held) for held in want.values() if len(held) > 1)
+
+
 def test_given_clusters_are_kept_apart(spark):
     df = spark.createDataFrame([(i, f"s{i}", prose(i, 20)) for i in range(12)], "doc_id long, source string, text string")
     given = spark.createDataFrame([(i, i % 3 if i < 9 else None) for i in range(12)], "doc_id long, cluster int")
