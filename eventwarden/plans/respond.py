@@ -69,17 +69,9 @@ def similar_incidents(incidents: DataFrame, keys: DataFrame, base_ids: list[str]
     base = incidents.filter(F.col("incident_id").isin(base_ids)).select(
         F.col("incident_id").alias("base_id"), F.col("technique_ids").alias("b_techniques"), F.col("rule_ids").alias("b_rules"),
         F.col("severity").alias("b_severity"), F.coalesce("entity_count", F.lit(0)).alias("b_entities"))
-    rows = base.collect()  # the named incidents only
-    packed = F.array(*[
-        F.struct(
-            F.lit(r.base_id).alias("base_id"), F.array(*[F.lit(t) for t in r.b_techniques]).cast("array<string>").alias("b_techniques"),
-            F.array(*[F.lit(t) for t in r.b_rules]).cast("array<string>").alias("b_rules"), F.lit(r.b_severity).alias("b_severity"),
-            F.lit(int(r.b_entities)).cast("bigint").alias("b_entities"),
-        ) for r in rows
-    ])
     pairs = incidents.select(
-        "incident_id", "technique_ids", "rule_ids", "severity", F.coalesce("entity_count", F.lit(0)).alias("entity_count"), F.explode(packed).alias("b")
-    ).select("incident_id", "technique_ids", "rule_ids", "severity", "entity_count", "b.*").filter("incident_id <> base_id")
+        "incident_id", "technique_ids", "rule_ids", "severity", F.coalesce("entity_count", F.lit(0)).alias("entity_count")
+    ).crossJoin(F.broadcast(base)).filter("incident_id <> base_id")  # the named incidents that exist: none, or a few rows
     wanted = keys.filter(F.col("incident_id").isin(base_ids)).select(F.col("incident_id").alias("base_id"), "entity")
     shared = keys.select("incident_id", "entity").join(wanted, "entity").groupBy("base_id", "incident_id").agg(F.count("*").alias("shared"))
     joined = pairs.join(shared, ["base_id", "incident_id"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))

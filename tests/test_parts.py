@@ -186,6 +186,12 @@ def test_similar_incidents(spark):
     assert [(r.incident_id, r.similarity) for r in rows] == [("I2", 0.9)]
 
 
+def test_similar_incidents_of_none(spark):
+    incidents = spark.createDataFrame([("I1", ["T1"], ["R1"], "high", 1)], "incident_id string, technique_ids array<string>, rule_ids array<string>, severity string, entity_count long")
+    keys = spark.createDataFrame([("I1", "host:a")], "incident_id string, entity string")
+    assert similar_incidents(incidents, keys, ["I9"]).collect() == []
+
+
 def test_insert_absent_and_indicator_upsert(spark, tmp_path):
     path = str(tmp_path / "links")
     rows = lambda *r: spark.createDataFrame(list(r), "a string, e string, d string")
