@@ -14,6 +14,7 @@ from eventwarden.plans import detect
 from eventwarden.plans.reports import even_sample
 from eventwarden.plans.respond import similar_incidents
 from eventwarden.plans.rulepack import Rule, Step
+from eventwarden.session import prepare
 from eventwarden.sinks import tables
 
 
@@ -192,6 +193,15 @@ def test_similar_incidents_of_none(spark):
     assert similar_incidents(incidents, keys, ["I9"]).collect() == []
 
 
+def test_tables_beyond_the_limit_are_not_broadcast(spark, tmp_path):
+    prepare(spark)
+    for name in "ab":  # packs to some 1 MB, far less than in memory
+        spark.range(200_000).withColumn("x", F.lit("x" * 200)).write.parquet(f"{tmp_path}/{name}")
+    joined = spark.read.parquet(f"{tmp_path}/a").join(spark.read.parquet(f"{tmp_path}/b"), "id")
+    assert joined.count() == 200_000
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_insert_absent_and_indicator_upsert(spark, tmp_path):
     path = str(tmp_path / "links")
     rows = lambda *r: spark.createDataFrame(list(r), "a string, e string, d string")
