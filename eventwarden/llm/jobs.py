@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from eventwarden.llm.words import Slice, slices
-from eventwarden.session import BROADCAST_LIMITS, prepare, stage
+from eventwarden.session import EVENT_SETTINGS, prepare, stage
 
 # Rows of an Arrow batch: bounds what a Python worker holds at once, whatever the length of the texts.
 BATCH_ROWS = "512"
@@ -19,8 +19,8 @@ BATCH_ROWS = "512"
 
 def prepared(spark: SparkSession) -> SparkSession:
     prepare(spark)
-    for limit in BROADCAST_LIMITS:  # the cluster's own again: these operators' small tables are small in rows, too
-        spark.conf.unset(limit)
+    for name in EVENT_SETTINGS:  # the session's own again: these are for wide events
+        spark.conf.unset(name)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 

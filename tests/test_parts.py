@@ -193,6 +193,11 @@ def test_similar_incidents_of_none(spark):
     assert similar_incidents(incidents, keys, ["I9"]).collect() == []
 
 
+def test_wide_methods_are_left_to_single_operators(spark):
+    prepare(spark)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
 def test_tables_beyond_the_limit_are_not_broadcast(spark, tmp_path):
     prepare(spark)
     for name in "ab":  # packs to some 1 MB, far less than in memory
