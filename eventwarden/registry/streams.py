@@ -1,6 +1,6 @@
 """Streaming operators run to the end over the whole event table (file source, all available data).
 
-Operators with state read the events in time order, a file of three days per micro-batch, so every entry carries its state
+Operators with state read the events in time order, the files of three days per micro-batch, so every entry carries its state
 over ten batches or more.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from eventwarden.model import micros
 from eventwarden.operators.sequence import rule_sequence
 from eventwarden.operators.threshold import ThresholdSpec
-from eventwarden.plans.desk import desk
+from eventwarden.plans.desk import SLICE_SECONDS, desk
 from eventwarden.plans.rulepack import Rule, Step, rules_of, stretched
 from eventwarden.registry import sql as S
 from eventwarden.registry.base import query
@@ -31,9 +31,9 @@ def _stream(spark, sf_dir):
 
 
 def _ordered(spark, sf_dir):
-    """The events in time order, one micro-batch per slice."""
+    """The events in time order, three days of slices per micro-batch."""
     d = desk(spark, sf_dir)
-    return sliced_stream(spark, d.event_slices, d.events.schema)
+    return sliced_stream(spark, d.event_slices, d.events.schema, 3 * 86_400 // SLICE_SECONDS)
 
 
 def _drain(stream):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -81,32 +82,50 @@ def activity_sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 # ---- threshold ------------------------------------------------------------------------------------
+# Groups are dealt by hash to so many buckets a rule, and a bucket's state is read and written at once: a call for every
+# group of a micro-batch costs more than its events. Fixed, as a checkpoint's state is kept by bucket.
+BUCKETS = 256
+
+
 class Expiring(StatefulProcessor):
-    """State that goes when the watermark has passed all it could still decide.
+    """State of a bucket of groups, one row a group, that goes when the watermark has passed all it could still decide.
 
-    Every batch of a group puts the group's timer at the end of its newest window; the timer that fires finds a group
-    without newer events, and its state is cleared.
+    A group is held until the end of its newest window, and left out when its bucket is next read after that; the bucket's
+    timer is at the end of the newest window of all. The timer that fires finds a bucket without newer events, and its
+    state is cleared.
     """
 
+    GROUP: str
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.alarm = handle.getValueState("alarm", "at bigint")
+        self.groups = handle.getListState("groups", f"g string, until bigint, {self.GROUP}")
+
+    def _held(self, timer_values) -> dict[str, tuple]:
+        """The groups that may still decide something: by name, their last millisecond and their state."""
+        now = timer_values.getCurrentWatermarkInMs()
+        plain = lambda x: tuple(x) if isinstance(x, Row) else [plain(y) for y in x] if isinstance(x, list) else x
+        return {row[0]: tuple(plain(x) for x in row[1:]) for row in self.groups.get() if row[1] > now}
 
-    def _expire_at(self, us: int) -> None:
+    def _until(self, us: int, held: tuple | None) -> int:
         """Forget the group once the watermark is beyond ``us``; never earlier than asked before."""
-        at, held = us // 1000 + 1, self.alarm.get()
-        if held is not None and held[0] >= at:
+        return max(us // 1000 + 1, held[0] if held is not None else 0)
+
+    def _hold(self, groups: dict[str, tuple]) -> None:
+        if not groups:
+            return
+        self.groups.put([(g, *row) for g, row in groups.items()])
+        at, asked = int(max(row[0] for row in groups.values())), self.alarm.get()
+        if asked is not None and asked[0] >= at:
             return
-        if held is not None:
-            self.handle.deleteTimer(held[0])
+        if asked is not None:
+            self.handle.deleteTimer(asked[0])
         self.handle.registerTimer(at)
         self.alarm.update((at,))
 
-    def _forget(self) -> None:
-        raise NotImplementedError
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._forget()
+        self.groups.clear()
         self.alarm.clear()
         yield pd.DataFrame([], columns=HIT_COLUMNS)
 
@@ -126,29 +145,34 @@ class ThresholdState(Expiring):
     limit ``start_us`` is the first row still held.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.rows = handle.getValueState("rows", "us array<bigint>, d array<string>, id array<string>, quiet bigint")
+    GROUP = "us array<bigint>, d array<string>, id array<string>, quiet bigint"
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.rows.get()
-        quiet = stored[3] if stored is not None else -1
-        old = list(zip(stored[0], stored[1], stored[2])) if stored is not None else []
-        cells: dict = {}
+        held = self._held(timerValues)
+        fresh: dict[str, dict] = {}
         n = w = kd = None
         for frame in rows:
             n, w = int(frame["n"].iloc[0]), int(frame["w"].iloc[0])
             kd = None if pd.isna(frame["kd"].iloc[0]) else int(frame["kd"].iloc[0])
-            values = frame["d"].where(frame["d"].notna(), None)
-            for row in zip(frame["us"].astype("int64"), values, frame["event_id"]):
-                self._put(cells, row, n, w, kd, quiet)
-        if n is None:
-            return
+            values = frame["d"].astype(object).where(frame["d"].notna(), None)
+            for g, *row in zip(frame["g"], frame["us"].astype("int64").tolist(), values, frame["event_id"]):
+                self._put(fresh.setdefault(g, {}), tuple(row), n, w, kd, held[g][4] if g in held else -1)
+        out = []
+        for g, cells in fresh.items():
+            hit, last, state = self._advance(cells, held.get(g), n, w, kd)
+            out += [(key[0], g, *hit)] if hit is not None else []
+            held[g] = (self._until(last + w, held.get(g)), *state)
+        self._hold(held)
+        yield pd.DataFrame(out, columns=HIT_COLUMNS)
+
+    def _advance(self, cells: dict, held: tuple | None, n: int, w: int, kd: int | None) -> tuple:
+        """Of a group's new rows and what it held: its hit or None, its newest time and what it holds from now on."""
+        quiet = held[4] if held is not None else -1
         fresh = {r for cell in cells.values() for r in cell}
-        for row in old:
+        for row in zip(*held[1:4]) if held is not None else ():
             self._put(cells, row, n, w, kd, quiet)
         kept = sorted((r for cell in cells.values() for r in cell), key=lambda r: (r[0], r[2]))
-        out, low = [], 0
+        hit, low = None, 0
         for i, (us, _, event_id) in enumerate(kept):
             while us - kept[low][0] > w:
                 low += 1
@@ -156,17 +180,12 @@ class ThresholdState(Expiring):
             if us <= quiet or kept[i] not in fresh or len(inside) < n:
                 continue
             if kd is None or len({d for _, d, _ in inside if d is not None}) >= kd:
-                out.append((key[0], key[1], inside[0][0], us, event_id))
+                hit = (inside[0][0], us, event_id)
                 quiet = inside[0][0] + w
                 break
-        last = kept[-1][0]
+        last = int(kept[-1][0])
         tail = [r for r in kept if r[0] >= last - w]
-        self.rows.update(([int(r[0]) for r in tail], [r[1] for r in tail], [r[2] for r in tail], int(quiet)))
-        self._expire_at(int(last) + w)
-        yield pd.DataFrame(out, columns=HIT_COLUMNS)
-
-    def _forget(self) -> None:
-        self.rows.clear()
+        return hit, last, ([int(r[0]) for r in tail], [r[1] for r in tail], [r[2] for r in tail], int(quiet))
 
     def _put(self, cells: dict, row: tuple, n: int, w: int, kd: int | None, quiet: int) -> None:
         cell = cells.setdefault((row[0] // w, row[0] > quiet), [])
@@ -194,8 +213,9 @@ HITS = "rule_id string, g string, start_us bigint, hit_us bigint, event_id strin
 
 
 def _stateful(rows: DataFrame, processor: StatefulProcessor, lateness_seconds: int) -> DataFrame:
-    """``rows`` by rule and group through the processor; the watermark bounds lateness and lets old state go."""
-    return rows.withWatermark("timestamp", f"{lateness_seconds} seconds").groupBy("rule_id", "g").transformWithStateInPandas(
+    """``rows`` by rule and bucket of groups through the processor; the watermark bounds lateness and lets old state go."""
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(BUCKETS)).cast("int"))
+    return dealt.withWatermark("timestamp", f"{lateness_seconds} seconds").groupBy("rule_id", "bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=StructType.fromDDL(HITS), outputMode="Append", timeMode="EventTime")
 
 
@@ -217,62 +237,53 @@ class SequenceState(Expiring):
 
     RUN = ("anchor bigint, counts array<int>, first array<bigint>, ends array<bigint>, "
            "of array<int>, checks array<int>, held array<string>, at array<bigint>, own array<boolean>")
-    GROUP = "quiet bigint, us array<bigint>, of array<int>, checks array<int>, held array<string>"
+    GROUP = ("quiet bigint, us array<bigint>, of array<int>, checks array<int>, held array<string>, "
+             f"runs array<struct<{', '.join(f.replace(' ', ': ', 1) for f in RUN.split(', '))}>>")
 
     def __init__(self, plans: dict[str, Plan]):
         self.plans = plans
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.runs = handle.getListState("runs", self.RUN)
-        self.group = handle.getValueState("group", self.GROUP)
-
-    def _load(self, plan: Plan) -> Runs:
-        group, open_ = self.group.get(), []
-        if group is None:
+    def _load(self, plan: Plan, held: tuple | None) -> Runs:
+        if held is None:
             return Runs(plan)
-        for row in self.runs.get():
+        open_ = []
+        for row in held[6]:
             anchor, counts, first, ends = int(row[0]), *([int(x) for x in part] for part in row[1:4])
             run = Run(anchor, counts, first, ends)
             for of, check, value, at, own in zip(*row[4:]):
                 (run.own if own else run.seen).setdefault((int(of), int(check)), {})[value] = int(at)
             open_.append(run)
-        ties = [(int(a), int(b), int(c), d) for a, b, c, d in zip(*group[1:])]
-        return Runs(plan, open_, group[0], ties)
+        ties = [(int(a), int(b), int(c), d) for a, b, c, d in zip(*held[2:6])]
+        return Runs(plan, open_, held[1], ties)
 
-    def _store(self, runs: Runs) -> None:
+    def _state(self, runs: Runs) -> tuple:
         rows = []
         for run in runs.open:
             values = [(*place, value, at, own) for own, kept in ((False, run.seen), (True, run.own))
                       for place, held in kept.items() for value, at in held.items()]
             rows.append((run.anchor, run.counts, run.first, run.ends, *([v[i] for v in values] for i in range(5))))
-        if rows:
-            self.runs.put(rows)
-        else:
-            self.runs.clear()
-        self.group.update((runs.quiet, *([t[i] for t in runs.ties] for i in range(4))))
+        return (runs.quiet, *([t[i] for t in runs.ties] for i in range(4)), rows)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         plan = self.plans[key[0]]
-        runs, out, newest = self._load(plan), [], 0
+        groups, out = self._held(timerValues), []
         flags = [f"s{k}" for k in range(len(plan.steps))]
         checks = [f"v{i}" for i in range(len(plan.limits))]
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"])
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["g", "us", "event_id"])
         values = batch[checks].astype(object).where(batch[checks].notna(), None)
-        for us, event_id, hits, held in zip(batch["us"].astype("int64").tolist(), batch["event_id"],
-                                            batch[flags].astype(bool).values.tolist(), values.values.tolist()):
-            start = runs.advance(us, hits, held)
-            newest = us
-            if start is not None:
-                out.append((key[0], key[1], start, us, event_id))
-        self._store(runs)
-        self._expire_at(newest + plan.window)
+        events = zip(batch["g"], batch["us"].astype("int64").tolist(), batch["event_id"],
+                     batch[flags].astype(bool).values.tolist(), values.values.tolist())
+        for g, own in groupby(events, key=lambda e: e[0]):
+            runs, newest = self._load(plan, groups.get(g)), 0
+            for _, us, event_id, hits, held in own:
+                start = runs.advance(us, hits, held)
+                newest = us
+                if start is not None:
+                    out.append((key[0], g, start, us, event_id))
+            groups[g] = (self._until(newest + plan.window, groups.get(g)), *self._state(runs))
+        self._hold(groups)
         yield pd.DataFrame(out, columns=HIT_COLUMNS)
 
-    def _forget(self) -> None:
-        self.runs.clear()
-        self.group.clear()
-
 
 def sequence_plan(spec: SequenceSpec) -> Plan:
     gap = lambda s: s.max_gap_seconds * 1_000_000 if s.max_gap_seconds else None

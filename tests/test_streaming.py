@@ -249,3 +249,26 @@ def test_closed_incidents_take_no_more_alerts(spark, make_events, tmp_path):
     open_.run_events(events.filter(early), 0)
     open_.run_events(events.filter(~early), 1)
     assert open_.tables()["membership"].select("incident_id").distinct().count() < len(after)
+
+
+def test_state_is_read_by_bucket_not_by_group(spark, make_events, tmp_path, monkeypatch):
+    """Many groups share a bucket's state: two thirds of a bucket's groups come back in a later batch, the others wait."""
+    monkeypatch.setattr(ops, "BUCKETS", 2)
+    ops.use_rocksdb(spark)
+    fail = {"event_type": "authentication", "status": "failure", "host": "h1"}
+    early = [{**fail, "at": i, "action": "a", "user": f"u{i}"} for i in range(60)]
+    late = [{**fail, "at": 400 + i, "action": "b", "user": f"u{i}"} for i in range(60) if i % 3]
+    last = [{**fail, "at": 800 + i, "action": "b", "user": f"u{i}"} for i in range(60) if not i % 3]
+    events = make_events(early + late + last)
+    time_slices(events, str(tmp_path / "events"), 300)
+    spec = SequenceSpec("R", (StepSpec("x", _is("a")), StepSpec("y", _is("b"))), 900, group_parts(["user"]))
+    rule = _rule("T", {"status": "failure"}, ("user",))
+    for name, hits in (("sequence", lambda s: ops.sequence_stream(s, [spec], 600)),
+                       ("threshold", lambda s: ops.threshold_stream(s, [ThresholdSpec(rule, 2, 900)], 600))):
+        found = hits(sliced_stream(spark, str(tmp_path / "events"), events.schema))
+        run = found.writeStream.format("memory").queryName(f"buckets_{name}").option(
+            "checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        run.awaitTermination()
+        got = {(r.g, r.event_id) for r in spark.table(f"buckets_{name}").collect()}
+        want = {(f"={e['user']}", f"EVT-{60 + i:05d}") for i, e in enumerate(late + last)}
+        assert got == want
