@@ -175,3 +175,22 @@ def test_new_event_gate(make_events):
     evidence = threshold_evidence(make_events(events), [ThresholdSpec(rule, 3, 10)])
     kept = gate_new(evidence, ["rule_id", "g"], F.col("event_id") == "EVT-00004")
     assert {r.group_key[0] for r in kept.select("group_key").collect()} == {"y"}
+
+
+def test_evidence_carries_only_what_is_kept(make_events):
+    from eventwarden.plans import detect
+    from eventwarden.plans.rulepack import Rule, Step
+
+    fail = {"event_type": "authentication", "status": "failure", "host": "h1", "user": "u", "metadata": {"target_user": "t"}}
+    events = make_events([{**fail, "at": i} for i in range(4)] + [{**fail, "at": 5, "status": "success"}])
+    count = Rule("T", "threshold", "t", "low", 0.5, "c", (), (), selection={"status": "failure"}, group_by=("user",),
+                 count=3, window_seconds=60)
+    steps = Rule("S", "sequence", "s", "low", 0.5, "c", (), (), group_by=("user",), window_seconds=60,
+                 steps=(Step("a", {"status": "failure"}), Step("b", {"status": "success"})))
+    specs = [ThresholdSpec(count, 3, 60)]
+    assert sorted(threshold_evidence(events, specs, detect._facts()).columns) == sorted([
+        *detect.CARRIED, "flags", "target", "rule_id", "group_key", "g", "us", "d", "w", "n", "kd"])
+    for rows, held in ((detect.threshold_rows(events, [count]), 4), (detect.sequence_rows(events, [steps]), 5)):
+        got = rows.collect()
+        assert len(got) == held and {(r.user, r.target, r.status) for r in got} >= {("u", "t", "failure")}
+        assert len({r.us for r in got}) == held
