@@ -298,3 +298,12 @@ def test_rules_with_patterns_the_engine_refuses_are_named(spark, make_events):
     assert sorted(skipped) == sorted(r.id for r in bad)
     again = []
     assert detect.collect_evidence(events, [*good, *bad], skipped=again).count() == len(fired) and sorted(again) == sorted(skipped)
+
+
+def test_tables_of_terms_are_not_broadcast(spark):
+    from eventwarden.llm import divergence
+    from eventwarden.session import BROADCAST_LIMIT
+
+    docs = spark.createDataFrame([(i, "one two", "en", f"s{i % 2}") for i in range(4)], "doc_id long, text string, lang string, source string")
+    assert divergence.audit(docs).count() == 2
+    assert {spark.conf.get(name) for name in divergence.BROADCASTS} == {BROADCAST_LIMIT}
