@@ -9,8 +9,9 @@ when the root is ``NONE``.
 The vocabulary is a tokenizer file in JSON (BPE with word ends, bytes as letters): the driver reads it and broadcasts it,
 so its size is bounded by the file. Texts are cut at added tokens, brought to the file's normal form (NFC, white space to
 one space, lower case letter by letter) and split into words, as the file states; ``Vocabulary`` refuses files that
-state anything else. Each worker process keeps the ids of up to ``CACHE_WORDS`` words of at most ``CACHE_CHARS`` characters. Signs
-that came into Unicode after Python's tables (15.1) are neither letters nor numbers here.
+state anything else. No word spans white space, so a text is cut there first, and only chunks not seen before are split into
+words. Each worker process keeps the ids of up to ``CACHE_WORDS`` words and ``CACHE_CHUNKS`` chunks of at most ``CACHE_CHARS``
+characters. Signs that came into Unicode after Python's tables (15.1) are neither letters nor numbers here.
 
 Defined results: null and empty texts have no ids and decode to the empty text. Ids outside the vocabulary decode to
 nothing. Rows are independent of each other, so repeated rows get equal results; the other columns are passed on, and
@@ -22,6 +23,7 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ from eventwarden.llm.jobs import INT, STRING, field, prepared
 NONE = 1 << 60
 PAIR_BITS = 20
 CACHE_WORDS = 1 << 19
+CACHE_CHUNKS = 1 << 19
 CACHE_CHARS = 64
 
 # Fixed values of the vocabulary file: its normal form, its word pattern, and the letters that stand for bytes.
@@ -97,12 +100,12 @@ class PairTree:
         node[i] = rank
         while i > 1:
             best = node[i ^ 1]  # the sibling
-            if rank < best:
-                best = rank
+            if best < rank:
+                rank = best
             i >>= 1
-            if node[i] == best:
+            if node[i] == rank:
                 return
-            node[i] = rank = best
+            node[i] = rank
 
 
 class Vocabulary:
@@ -134,7 +137,12 @@ class Vocabulary:
         self.words = regex.compile(WORD).findall
         self.later = regex.compile(f"[{later}]").search if later else None
         self.words_later = regex.compile(WORD_LATER % (later, later, later), regex.V1).findall if later else None
-        self.known: dict[str, list[int]] = {}
+        # ``str.split`` cuts at these four as well, which the file's pattern takes for signs
+        self.separators = regex.compile("[\x1c-\x1f]").search
+        self.spaced = regex.compile(r"\S+").findall
+        # ids as the bytes of 32-bit numbers: the collector has nothing to visit in them
+        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, lowest rank first, the leftmost of equal ones first."""
@@ -142,7 +150,7 @@ class Vocabulary:
         if n < 2:
             return symbols
         tree = PairTree([rank_of(a << PAIR_BITS | b, NONE) for a, b in zip(symbols, symbols[1:])])
-        node, put, leftmost, made = tree.node, tree.put, tree.leftmost, self.made
+        node, width, put, leftmost, made = tree.node, tree.width, tree.put, tree.leftmost, self.made
         after, before = list(range(1, n + 1)), list(range(-1, n))
         while node[1] != NONE:
             i = leftmost()
@@ -152,27 +160,44 @@ class Vocabulary:
             k = after[i] = after[j]
             before[k] = i
             if k < n:
-                put(j, NONE)
+                if node[j + width] != NONE:
+                    put(j, NONE)
                 put(i, rank_of(new << PAIR_BITS | symbols[k], NONE))
             else:
                 put(i, NONE)
             h = before[i]
             if h >= 0:
-                put(h, rank_of(symbols[h] << PAIR_BITS | new, NONE))
+                rank = rank_of(symbols[h] << PAIR_BITS | new, NONE)
+                if node[h + width] != rank:
+                    put(h, rank)
         return [s for s in symbols if s >= 0]
 
-    def word_ids(self, word: str) -> list[int]:
+    def word_ids(self, word: str) -> bytes:
         """The ids of a word, kept for the next time if it is not too long."""
         raw = word.encode()
         symbols = [self.inner[b] for b in raw]
         symbols[-1] = self.last[raw[-1]]
-        found = self.merged(symbols)
+        found = array("i", self.merged(symbols)).tobytes()
         if len(word) <= CACHE_CHARS:
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
             self.known[word] = found
         return found
 
+    def chunk_ids(self, chunk: str) -> bytes:
+        """The ids of the words of a text without white space, kept like those of a word."""
+        if chunk.isalpha():  # one word
+            words = (chunk,)
+        else:
+            late = self.later and not chunk.isascii() and self.later(chunk)
+            words = (self.words_later if late else self.words)(chunk)
+        found = b"".join([self.known.get(word) or self.word_ids(word) for word in words])
+        if len(chunk) <= CACHE_CHARS:
+            if len(self.chunks) >= CACHE_CHUNKS:
+                self.chunks.clear()
+            self.chunks[chunk] = found
+        return found
+
     def normal(self, text: str) -> str:
         """NFC, then lower case letter by letter: a capital sigma does not look at its neighbours."""
         if not text.isascii():
@@ -180,18 +205,21 @@ class Vocabulary:
         return text.lower()
 
     def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known.get
+        return np.frombuffer(self.packed(text), dtype=np.int32).tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as the bytes of 32-bit numbers."""
+        out: list[bytes] = []
+        known = self.chunks.get
         parts = self.cut.split(text) if "<|" in text else [text]
         for part in parts:
             if part in self.added:
-                out.append(self.added[part])
+                out.append(array("i", [self.added[part]]).tobytes())
                 continue
             part = self.normal(part)
-            late = self.later and not part.isascii() and self.later(part)
-            for word in (self.words_later if late else self.words)(part):
-                out += known(word) or self.word_ids(word)
-        return out
+            chunks = self.spaced(part) if self.separators(part) else part.split()
+            out += [known(chunk) or self.chunk_ids(chunk) for chunk in chunks]
+        return b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)
@@ -230,8 +258,8 @@ def encoded(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def make(known: Vocabulary):
         def compute(column):
-            found = [np.array(known.ids(t or ""), dtype=np.int32) for t in column.to_pylist()]
-            return _lists([len(x) for x in found], pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int32)])))
+            found = [known.packed(t or "") for t in column.to_pylist()]
+            return _lists([len(x) // 4 for x in found], pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
         return compute
 
     return _mapped(documents, text, field("ids", T.ArrayType(INT, False)), path, make)

@@ -143,6 +143,16 @@ def test_long_words_merge_in_little_time():
     assert vocabulary.ids(word) == Tokenizer.from_file(VOCABULARY).encode(word, add_special_tokens=False).ids
 
 
+def test_only_new_chunks_are_split_into_words():
+    vocabulary = bpe.Vocabulary(open(VOCABULARY, "rb").read(), bpe.later_signs())
+    library, split, given = Tokenizer.from_file(VOCABULARY), vocabulary.words, []
+    vocabulary.words = lambda chunk: given.append(chunk) or split(chunk)
+    text = "don't stop, plain don't\u2003STOP,\x1cstop, \x1f don't\x85stop,"
+    for _ in range(3):
+        assert vocabulary.ids(text) == library.encode(text, add_special_tokens=False).ids
+    assert sorted(given) == sorted({"don't", "stop,", "stop,\x1cstop,", "\x1f"})
+
+
 def audited(rows, top=200):
     docs = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(brute.LOWER)))
             for lang, source, t in rows]
