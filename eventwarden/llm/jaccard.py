@@ -4,6 +4,8 @@
 2. Two sets at similarity t or more share one of the first ``n - ceil(t * n) + 1`` of their shingles in any fixed
    order, so those are the candidate entries. The order puts shingles of crowded hash buckets last: shared passages
    then hardly ever make candidates. Buckets are counted over all documents; the table has ``BUCKETS`` rows at most.
+   Two sets can share no more than what either has from their first common shingle on, so an entry stays only where that
+   is enough with another one of its shingle; groups beyond ``PAIRED`` sets stay whole.
 3. Signature trees over bitmaps (``trees.py``) of the sets that meet under a shingle leave out all sets that cannot
    reach the threshold with any other there; bitmaps are a sixteenth of a set's size.
 4. The others' sets are compared by signature trees exactly, in two rounds: each set under its most shared shingle,
@@ -34,7 +36,7 @@ from eventwarden.llm import words as w
 from eventwarden.llm.components import labelled
 from eventwarden.llm.decontaminate import FILTER_WORD
 from eventwarden.llm.jobs import BINARY, INT, KEY, LONG, field, keys, prepared, staged, without
-from eventwarden.llm.trees import Links, Marks, across, bitmaps, width
+from eventwarden.llm.trees import Links, Marks, across, bitmaps, needed, width
 from eventwarden.session import release
 
 SHINGLE = 5
@@ -47,6 +49,8 @@ SALTS, SALTED = 64, 17
 GROUP_SETS = 2048
 GROUP_TOKENS = 1 << 21
 SEEN = 1 << 18
+# groups of so many entries at most are looked through pair by pair before bitmaps are joined to them
+PAIRED = 64
 
 
 class Sets:
@@ -138,7 +142,8 @@ def _fresh(seen: set, ids: np.ndarray) -> np.ndarray:
 
 
 def _entries(documents: DataFrame, crowding: np.ndarray) -> DataFrame:
-    """(token, salt, set_id, n) for the prefix of every set; only tokens of the fullest crowded buckets are salted."""
+    """(token, salt, set_id, n, place) for the prefix of every set, n and place as one long; only tokens of the fullest crowded
+    buckets are salted."""
     ranks = documents.sparkSession.sparkContext.broadcast(crowding)  # BUCKETS bytes
 
     def run(batches):
@@ -152,55 +157,79 @@ def _entries(documents: DataFrame, crowding: np.ndarray) -> DataFrame:
             place = np.arange(len(doc)) - np.searchsorted(doc, np.arange(sets.n))[doc]
             n = sets.sizes[doc]
             prefix = place < n - -(-NUM * n // DEN) + 1
-            doc, code, n = doc[prefix], code[prefix], n[prefix]
+            doc, code, n, place = doc[prefix], code[prefix], n[prefix], place[prefix]
             ids = sets.ids[doc]
             salt = np.where(rank[_bucket(code)] >= SALTED, 1 + (ids.view(np.uint64) % np.uint64(SALTS)).astype(np.int32), 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets.tokens(doc, code)), pa.array(salt.astype(np.int32)), pa.array(ids), pa.array(n.astype(np.int32))],
-                names=ENTRIES.names)
+                [pa.array(sets.tokens(doc, code)), pa.array(salt.astype(np.int32)), pa.array(ids),
+                 pa.array(n.astype(np.int64) << PLACE_BITS | place)], names=ENTRIES.names)
 
     return _texts(documents).mapInArrow(run, ENTRIES)
 
 
-ENTRIES = T.StructType([field("token", LONG), field("salt", INT), field("set_id", LONG), field("n", INT)])
+PLACE_BITS = 32
+ENTRIES = T.StructType([field("token", LONG), field("salt", INT), field("set_id", LONG), field("spot", LONG)])
 
 
 def _texts(documents: DataFrame, *more: str) -> DataFrame:
     return documents.select(*(c for c in documents.columns if c in ("text", WITHIN, *more)))
 
 
+def _matched(table: np.ndarray) -> np.ndarray:
+    """Which entries (token, salt, set_id, n and place) of whole groups stay: those that may first meet a similar set here.
+
+    All that two sets share lies at or behind the place of the first shingle they share, in both of them.
+    """
+    if not len(table):
+        return np.zeros(0, dtype=bool)
+    starts = np.flatnonzero(np.concatenate([[True], (table[1:, :2] != table[:-1, :2]).any(axis=1)]))
+    sizes = np.diff(np.append(starts, len(table)))
+    behind = np.repeat(starts + sizes, sizes) - np.arange(len(table))  # entries of the group from here on
+    n = table[:, 3] >> PLACE_BITS
+    rest = n - (table[:, 3] & ((1 << PLACE_BITS) - 1))
+    large = np.repeat(sizes, sizes) > PAIRED
+    stay = large | (table[:, 1] > 0)
+    here = np.flatnonzero(~large)
+    for step in range(1, PAIRED):
+        here = here[behind[here] > step]
+        if not len(here):
+            break
+        there = here + step
+        alike = np.minimum(rest[here], rest[there]) >= needed(n[here], n[there], NUM, DEN)
+        stay[here[alike]] = stay[there[alike]] = True
+    return stay
+
+
 def _meeting(entries: DataFrame) -> DataFrame:
-    """Entries, without repeats, of tokens that at least two sets have; streams over sorted partitions.
+    """Entries (token, set_id, n), without repeats, that may be similar to another one of their token; streams over
+    sorted partitions.
 
     A salted token, which may be in any part of all sets, is spread over ``SALTS`` places; its entries all pass.
     """
-    schema = T.StructType([f for f in ENTRIES.fields if f.name != "salt"])
+    schema = T.StructType([field("token", LONG), field("set_id", LONG), field("n", INT)])
 
     def run(batches):
-        held = None
+        held = np.zeros((0, 4), dtype=np.int64)
         for batch in batches:
             table = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1).astype(np.int64)
-            if held is not None:
-                table = np.concatenate([held, table])
+            table = np.concatenate([held, table])
             if not len(table):
                 continue
             table = table[np.concatenate([[True], (table[1:, :3] != table[:-1, :3]).any(axis=1)])]
-            # the last token may go on in the next batch: hold back its last two entries, enough to decide it
+            # the last token may go on in the next batch: held back, or as much of it as tells that its group is large
             ending = (table[::-1, :2] == table[-1, :2]).all(axis=1)
             tail = len(table) if ending.all() else int(np.argmin(ending))
-            ready, held = (table[:-2], table[-2:]) if tail > 2 else (table[:-tail], table[-tail:])
-            twice = np.zeros(len(table), dtype=bool)
-            twice[1:] = (table[1:, :2] == table[:-1, :2]).all(axis=1)
-            twice[:-1] |= twice[1:]
-            yield _rows(ready[(twice | (table[:, 1] > 0))[:len(ready)]])
-        if held is not None:
-            both = len(held) > 1 and bool((held[0, :2] == held[1, :2]).all())
-            yield _rows(held if both else held[held[:, 1] > 0])
+            ready, held = table[:-tail], table[-tail:]
+            yield _rows(ready[_matched(ready)])
+            if tail > PAIRED + 1:
+                yield _rows(held[:-PAIRED - 1])
+                held = held[-PAIRED - 1:]
+        yield _rows(held[_matched(held)])
 
     def _rows(table):
         return pa.RecordBatch.from_arrays(
             [pa.array(np.ascontiguousarray(table[:, 0])), pa.array(np.ascontiguousarray(table[:, 2])),
-             pa.array(table[:, 3].astype(np.int32))], names=schema.names)
+             pa.array((table[:, 3] >> PLACE_BITS).astype(np.int32))], names=schema.names)
 
     return (entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "set_id").mapInArrow(run, schema))
 

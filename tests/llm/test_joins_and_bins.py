@@ -6,6 +6,8 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
+
 from eventwarden.llm import components, jaccard, packing
 from tests.llm import brute
 from tests.llm.conftest import prose
@@ -41,6 +43,36 @@ def test_hot_shingles_lose_no_link(spark):
     assert got == Counter(brute.components(list(range(len(texts))), texts))
 
 
+def test_only_entries_that_may_be_similar_meet(spark):
+    spot = lambda n, place: n << jaccard.PLACE_BITS | place
+    rows = [(1, 0, 10, spot(100, 0)), (1, 0, 11, spot(130, 0)),  # sizes too far apart
+            (2, 0, 10, spot(100, 11)), (2, 0, 12, spot(100, 11)),  # 89 shingles from here on
+            (3, 0, 10, spot(100, 11)), (3, 0, 12, spot(100, 12)),  # 88
+            (4, 0, 10, spot(100, 3)), (4, 0, 11, spot(130, 3)), (4, 0, 13, spot(100, 2)), (4, 0, 13, spot(100, 2)),
+            (5, 0, 10, spot(100, 0)), (6, 7, 10, spot(100, 20))]
+    rows += [(7, 0, i, spot(1 + 9 * i, 0)) for i in range(jaccard.PAIRED + 1500)]  # more than a batch, looked through by trees
+    df = spark.createDataFrame(rows, jaccard.ENTRIES)
+    got = Counter(tuple(r) for r in jaccard._meeting(df).collect())
+    want = [(2, 10, 100), (2, 12, 100), (4, 10, 100), (4, 13, 100), (6, 10, 100)]
+    assert got == Counter(want + [(t, i, s >> jaccard.PLACE_BITS) for t, _, i, s in rows if t == 7])
+
+
+def test_the_first_common_shingle_of_similar_sets_stays():
+    rng = random.Random(8)
+    for _ in range(200):
+        base = rng.sample(range(1000), rng.randrange(5, 60))
+        sets = [sorted(set(base) - set(rng.sample(base, rng.randrange(4))) | set(rng.sample(range(1000), rng.randrange(5))))
+                for _ in range(rng.randrange(2, 9))]
+        rows = sorted((code, 0, i, len(held) << jaccard.PLACE_BITS | place) for i, held in enumerate(sets)
+                      for place, code in enumerate(held) if place < len(held) - -(-80 * len(held) // 100) + 1)
+        left = {(r[0], r[2]) for r, stays in zip(rows, jaccard._matched(np.array(rows, dtype=np.int64))) if stays}
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = set(a) & set(b)
+                if 100 * len(both) >= 80 * len({*a, *b}):
+                    assert {(min(both), i), (min(both), j)} <= left
+
+
 def test_sets_meet_only_within(spark):
     texts = crowd(60)
     rows = [(i, t, i % 3) for i, t in enumerate(texts)]
