@@ -14,8 +14,9 @@ from pyspark.sql.utils import AnalysisException
 from eventwarden.session import stage
 
 
-# Files a batch writes per day and event type.
+# Files a batch writes per day and event type at most, and the events from which on it writes another one.
 FILES_PER_PARTITION = 8
+FILE_EVENTS = 20_000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -42,21 +43,24 @@ def append_events(events: DataFrame, path: str, batch_id: int = 0, observed: Obs
     """Append canonical events by day and type; returns the batch's own events. ``observed`` counts them as ``rows``.
 
     Ids that another batch stored are repeats and dropped. Ids this batch stored before it failed are not
-    written again but stay in the result, so a batch that runs twice is processed as a whole.
+    written again but stay in the result, so a batch that runs twice is processed as a whole. Only ids meet stored
+    events; ``events`` are read several times, so they should be stored themselves.
     """
     spark = events.sparkSession
     dated = events.withColumn("event_date", F.date_format("timestamp", "yyyy-MM-dd")).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
     missing = dated
+    held = dated.groupBy("event_date", "event_type").count().collect()  # the days and types of one batch
     if exists(spark, path):
-        days = [r.event_date for r in dated.select("event_date").distinct().collect()]  # the days of one batch
-        stored = spark.read.schema(dated.schema).parquet(path).filter(F.col("event_date").isin(days)).select(
-            "event_id", F.col("batch_id").alias("_by"))
-        known = dated.join(stored, "event_id", "left").filter(F.col("_by").isNull() | (F.col("_by") == batch_id))
-        marked = stage(known.select(*dated.columns, F.col("_by").isNull().alias("_new")), "batch-events")
-        dated = marked.drop("_new")
-        missing = marked.filter("_new").drop("_new")
+        days = sorted({r.event_date for r in held if r.event_date is not None})
+        stored = spark.read.schema(dated.schema).parquet(path).filter(F.col("event_date").isin(days)).select("event_id", "batch_id")
+        repeats = stage(stored.join(dated.select("event_id"), "event_id", "left_semi").groupBy("event_id").agg(
+            F.bool_or(F.col("batch_id") == batch_id).alias("own")), "repeats")
+        if not repeats.isEmpty():
+            without = lambda rows: dated.join(rows.select("event_id"), "event_id", "left_anti").select(*dated.columns)
+            dated, missing = stage(without(repeats.filter(~F.col("own"))), "batch-events"), without(repeats)
     # rows of a day and type meet in a few tasks, so files stay few; the salt keeps a heavy type from one task
-    salt = F.pmod(F.xxhash64("event_id"), F.lit(FILES_PER_PARTITION))
+    files = min(FILES_PER_PARTITION, 1 + max((r["count"] for r in held), default=0) // FILE_EVENTS)
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(files))
     missing.repartition("event_date", "event_type", salt).write.mode("append").partitionBy("event_date", "event_type").parquet(path)
     own = dated.drop("event_date", "batch_id")
     return own if observed is None else own.observe(observed, F.count(F.lit(1)).alias("rows"))

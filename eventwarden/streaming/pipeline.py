@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -15,7 +16,7 @@ from eventwarden.operators import baseline, correlate
 from eventwarden.plans import detect, incidents
 from eventwarden.plans.lookback import lookback_candidates
 from eventwarden.plans.rulepack import RULES, Rule
-from eventwarden.session import prepare, stage, work_folder
+from eventwarden.session import prepare, stage, together, work_folder
 from eventwarden.sinks import tables
 from eventwarden.sinks.incremental import IncrementalTable
 from eventwarden.sources.inventory import discover_hosts, discover_users
@@ -62,18 +63,18 @@ class Pipeline:
 
         Every write is idempotent per batch, so a batch that failed half-way is simply run again.
         """
-        admitted = self._on_time(events.dropDuplicates(["event_id"]), batch_id)
-        fresh = Observation()
-        new = stage(tables.append_events(admitted, self.path("events"), batch_id, fresh), "batch")
-        if not new.isEmpty():
-            self._counts["events_ingested"] = fresh.get["rows"]
-            self._batch_table("watermarks", new.agg(F.max(F.unix_micros("timestamp")).alias("newest_us")), batch_id)
-            self._inventory(new, batch_id)
-            alerts = self._detect(new, batch_id)
-            if alerts is not None:
-                self._correlate(alerts, batch_id)
-            # the baseline learns last: a batch is judged on what came before it
-            self._learn(new, batch_id)
+        admitted = self._on_time(stage(events.dropDuplicates(["event_id"]), "arrived"), batch_id)
+        new = tables.append_events(admitted, self.path("events"), batch_id)
+        ingested = new.count()
+        if ingested:
+            self._counts["events_ingested"] = ingested
+            candidates, *_ = together(
+                lambda: self._candidates(new),
+                lambda: self._batch_table("watermarks", new.agg(F.max(F.unix_micros("timestamp")).alias("newest_us")), batch_id),
+                *self._inventory(new, batch_id))
+            alerts = self._detect(new, candidates, batch_id)
+            # the baseline learns after detection: a batch is judged on what came before it
+            together(lambda: self._learn(new, batch_id), lambda: alerts is None or self._correlate(alerts, batch_id))
         if self._counts:
             rows = self.spark.createDataFrame(sorted(self._counts.items()), "metric string, value bigint")
             self._batch_table("batch_metrics", rows, batch_id)
@@ -98,7 +99,7 @@ class Pipeline:
         if refused.isEmpty():
             return events
         self._batch_table("late", refused, batch_id)
-        return events.join(refused.select("event_id"), "event_id", "left_anti").select(*events.columns)
+        return stage(events.join(refused.select("event_id"), "event_id", "left_anti").select(*events.columns), "on-time")
 
     def set_status(self, statuses: DataFrame) -> None:
         """Records ``(incident_id, status)``; the latest entry counts. Incidents that are not active take no more alerts."""
@@ -130,9 +131,9 @@ class Pipeline:
             spec = StructType.fromDDL(ddl), keys, merge, bucket
         return IncrementalTable(self.spark, self.path(name), *spec)
 
-    def _inventory(self, new: DataFrame, batch_id: int) -> None:
-        self._incremental("hosts").apply(discover_hosts(new), batch_id)
-        self._incremental("users").apply(discover_users(new), batch_id)
+    def _inventory(self, new: DataFrame, batch_id: int) -> list[Callable]:
+        return [lambda: self._incremental("hosts").apply(discover_hosts(new), batch_id),
+                lambda: self._incremental("users").apply(discover_users(new), batch_id)]
 
     def _learn(self, new: DataFrame, batch_id: int) -> None:
         self._incremental("baseline").apply(baseline.frequency_table(new, keep=None), batch_id)
@@ -142,14 +143,17 @@ class Pipeline:
         totals = counts.groupBy("entity_ref", "feature").agg(F.sum("n").alias("observation_count"))
         return counts.join(totals, ["entity_ref", "feature"]).select("entity_ref", "feature", "value", "n", "observation_count")
 
-    def _detect(self, new: DataFrame, batch_id: int) -> DataFrame | None:
+    def _candidates(self, new: DataFrame) -> DataFrame:
+        """The batch and the history its stateful rules look back on."""
         low, high = new.agg(F.min("timestamp"), F.max("timestamp")).first()
         first_day = F.date_format(F.lit(low) - F.expr(f"make_dt_interval(0, 0, 0, {int(self.lookback_seconds)})"), "yyyy-MM-dd")
         # only the days the look-back reaches are listed and read
         history = self.spark.read.schema(self._event_table_schema()).parquet(self.path("events")).filter(
             (F.col("event_date") >= first_day) & (F.col("event_date") <= F.date_format(F.lit(high), "yyyy-MM-dd")))
         history = history.select(*[F.col(f"`{n}`") for n in event_schema().fieldNames()])
-        candidates = stage(lookback_candidates(history, new, self.lookback_seconds), "candidates")
+        return stage(lookback_candidates(history, new, self.lookback_seconds, (low, high)), "candidates")
+
+    def _detect(self, new: DataFrame, candidates: DataFrame, batch_id: int) -> DataFrame | None:
         stored = self._baseline(batch_id, new.filter(F.col("user").isNotNull()).select(F.lower("user").alias("entity_ref")))
         skipped: list[str] = []
         evidence = stage(detect.collect_evidence(
@@ -167,17 +171,17 @@ class Pipeline:
         else:
             iocs = iocs.withColumn("ioc_confidence", F.lit(None).cast("double"))
         iocs = iocs.select("ioc_id", "event_id", "matched_field", "ioc_confidence", "event_date")
-        self._counts["ioc_matches"] = tables.insert_absent(
-            iocs, self.path("ioc_matches"), ["ioc_id", "event_id", "matched_field"], "event_date").count()
         hosts, users = (self._incremental(name).read(batch_id + 1, candidates.select(F.col(column).alias(key)))
                         for name, column, key in (("hosts", "host", "host_id"), ("users", "user", "user_id")))
         folded = detect.fold_alerts(detections)
         scored = detect.score_alerts(folded, evidence, iocs, hosts, users)
-        touched = tables.upsert_alerts(scored, self.path("alerts"))
         links = detect.alert_evidence(detections, evidence).withColumn("event_date", tables.event_day(F.col("us")))
-        tables.insert_absent(links, self.path("alert_evidence"), ["alert_id", "event_id"], "event_date")
         keys = detect.entity_keys(links, ["alert_id", "event_date"])
-        tables.insert_absent(keys, self.path("alert_entities"), ["alert_id", "entity"], "event_date")
+        self._counts["ioc_matches"], touched, *_ = together(
+            lambda: tables.insert_absent(iocs, self.path("ioc_matches"), ["ioc_id", "event_id", "matched_field"], "event_date").count(),
+            lambda: tables.upsert_alerts(scored, self.path("alerts")),
+            lambda: tables.insert_absent(links, self.path("alert_evidence"), ["alert_id", "event_id"], "event_date"),
+            lambda: tables.insert_absent(keys, self.path("alert_entities"), ["alert_id", "entity"], "event_date"))
         return touched
 
     def _event_table_schema(self):
@@ -202,38 +206,46 @@ class Pipeline:
         entities = self.spark.read.schema("alert_id string, entity string, event_date string").parquet(self.path("alert_entities")).filter(
             F.col("event_date") >= tables.event_day(F.lit(low))).select("alert_id", "entity")
         own = stage(entities.join(inserted.select("alert_id"), "alert_id", "left_semi"), "own-entities")
-        clusters = stage(correlate.cluster_alerts(inserted, own, self.window_seconds), "clusters")
-        windows = correlate.cluster_windows(inserted, clusters)
-        cluster_entities = own.join(clusters, "alert_id").select("cluster", "entity")
-        # incidents that share an entity, by the name they go by now, and did not end before the window of the new alerts
         merges = self._incremental("incident_merges")
         gone = merges.read(batch_id)
-        near = stage(self._current(self._incremental("incident_entities").read(batch_id, own), gone).distinct(), "near-incidents")
-        known = stage(self._incremental("incident_spans").read(batch_id, near).filter(F.col("last_us") >= low).join(
-            self._statuses(), "incident_id", "left").withColumn("status", F.coalesce("status", F.lit("open"))), "known")
+
+        def met() -> tuple[DataFrame, DataFrame]:
+            """Incidents that share an entity, by the name they go by now, and did not end before the window of the new alerts."""
+            near = stage(self._current(self._incremental("incident_entities").read(batch_id, own), gone).distinct(), "near-incidents")
+            return near, stage(self._incremental("incident_spans").read(batch_id, near).filter(F.col("last_us") >= low).join(
+                self._statuses(), "incident_id", "left").withColumn("status", F.coalesce("status", F.lit("open"))), "known")
+
+        clusters, (near, known) = together(
+            lambda: stage(correlate.cluster_alerts(inserted, own, self.window_seconds), "clusters"), met)
+        windows = correlate.cluster_windows(inserted, clusters)
+        cluster_entities = own.join(clusters, "alert_id").select("cluster", "entity")
         matches = stage(correlate.matching_incidents(windows, cluster_entities, known, near, self.window_seconds), "matches")
         chosen, absorbed = correlate.merge_into_incidents(windows, matches, known)
-        absorbed = stage(absorbed, "absorbed")
         rest = windows.join(chosen.select("cluster"), "cluster", "left_anti")
         numbers = self._incremental("incident_numbers")
         taken = numbers.read(batch_id).select(F.concat_ws("-", F.lit("INC"), "year", F.col("used").cast("string")).alias("incident_id"))
-        fresh = stage(correlate.number_incidents(rest, taken=taken), "fresh-incidents")
+        absorbed, fresh = together(
+            lambda: stage(absorbed, "absorbed"), lambda: stage(correlate.number_incidents(rest, taken=taken), "fresh-incidents"))
         placed = stage(clusters.join(chosen.unionByName(fresh), "cluster").select("alert_id", "incident_id").join(
             inserted.select("alert_id", "first_us", "last_us"), "alert_id"), "placed")
-        merged = self._batch_table("merged_incidents", absorbed, batch_id)
         parts = F.split("incident_id", "-")
-        numbers.apply(fresh.groupBy(F.get(parts, F.lit(1)).alias("year")).agg(F.max(F.get(parts, F.lit(2)).cast("int")).alias("used")), batch_id)
+        used = fresh.groupBy(F.get(parts, F.lit(1)).alias("year")).agg(F.max(F.get(parts, F.lit(2)).cast("int")).alias("used"))
         # what an incident took over before now goes by the name of the one that takes it over
         onward = gone.join(absorbed.select(F.col("incident_id").alias("into"), F.col("into").alias("end")), "into")
-        merges.apply(absorbed.unionByName(onward.select("incident_id", F.col("end").alias("into"))), batch_id)
+        onward = onward.select("incident_id", F.col("end").alias("into"))
         taken_over = known.join(absorbed, "incident_id").select(F.col("into").alias("incident_id"), "first_us", "last_us")
-        self._incremental("incident_spans").apply(
-            placed.select("incident_id", "first_us", "last_us").unionByName(taken_over).groupBy("incident_id").agg(
-                F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")), batch_id)
-        self._incremental("incident_entities").apply(
-            placed.join(own, "alert_id").select("incident_id", "entity").distinct(), batch_id)
-        self._counts["alerts"] = self._incremental("membership").apply(placed, batch_id)
-        self._counts["incidents"] = fresh.select("incident_id").count() - merged
+        spans = placed.select("incident_id", "first_us", "last_us").unionByName(taken_over).groupBy("incident_id").agg(
+            F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+        touching = placed.join(own, "alert_id").select("incident_id", "entity").distinct()
+        self._counts["alerts"], merged, opened, *_ = together(
+            lambda: self._incremental("membership").apply(placed, batch_id),
+            lambda: self._batch_table("merged_incidents", absorbed, batch_id),
+            lambda: fresh.select("incident_id").count(),
+            lambda: numbers.apply(used, batch_id),
+            lambda: merges.apply(absorbed.unionByName(onward), batch_id),
+            lambda: self._incremental("incident_spans").apply(spans, batch_id),
+            lambda: self._incremental("incident_entities").apply(touching, batch_id))
+        self._counts["incidents"] = opened - merged
 
     @staticmethod
     def _current(rows: DataFrame, gone: DataFrame) -> DataFrame:
