@@ -171,17 +171,20 @@ class Pipeline:
         else:
             iocs = iocs.withColumn("ioc_confidence", F.lit(None).cast("double"))
         iocs = iocs.select("ioc_id", "event_id", "matched_field", "ioc_confidence", "event_date")
-        hosts, users = (self._incremental(name).read(batch_id + 1, candidates.select(F.col(column).alias(key)))
-                        for name, column, key in (("hosts", "host", "host_id"), ("users", "user", "user_id")))
-        folded = detect.fold_alerts(detections)
-        scored = detect.score_alerts(folded, evidence, iocs, hosts, users)
+
+        def alerts() -> DataFrame:
+            hosts, users = (self._incremental(name).read(batch_id + 1, candidates.select(F.col(column).alias(key)))
+                            for name, column, key in (("hosts", "host", "host_id"), ("users", "user", "user_id")))
+            scored = detect.score_alerts(detect.fold_alerts(detections), evidence, iocs, hosts, users)
+            return tables.upsert_alerts(scored, self.path("alerts"))
+
         links = detect.alert_evidence(detections, evidence).withColumn("event_date", tables.event_day(F.col("us")))
-        keys = detect.entity_keys(links, ["alert_id", "event_date"])
-        self._counts["ioc_matches"], touched, *_ = together(
+        touched, self._counts["ioc_matches"], *_ = together(
+            alerts,
             lambda: tables.insert_absent(iocs, self.path("ioc_matches"), ["ioc_id", "event_id", "matched_field"], "event_date").count(),
-            lambda: tables.upsert_alerts(scored, self.path("alerts")),
             lambda: tables.insert_absent(links, self.path("alert_evidence"), ["alert_id", "event_id"], "event_date"),
-            lambda: tables.insert_absent(keys, self.path("alert_entities"), ["alert_id", "entity"], "event_date"))
+            lambda: tables.insert_absent(detect.entity_keys(links, ["alert_id", "event_date"]), self.path("alert_entities"),
+                                         ["alert_id", "entity"], "event_date"))
         return touched
 
     def _event_table_schema(self):
